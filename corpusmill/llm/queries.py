@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+from corpusmill.llm.packing import op1_best_fit_packing
 from corpusmill.llm.quality_rules import op10_quality_rules
 from corpusmill.llm.url_filter import OP4_SQL, op4_url_filter
+from corpusmill.llm.warc import OP9_SQL, op9_warc
 
 QUERIES = {
+    "op1_best_fit_packing": op1_best_fit_packing,
     "op4_url_filter": op4_url_filter,
+    "op9_warc": op9_warc,
     "op10_quality_rules": op10_quality_rules,
 }
 
 ORACLES = {
     "op4_url_filter": OP4_SQL,
+    "op9_warc": OP9_SQL,
 }
