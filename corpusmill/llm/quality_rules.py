@@ -22,7 +22,7 @@ import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 
-import pyarrow as pa
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,9 +40,10 @@ LEAST_REACH = {"chars_per_token": 0.05, "byte_share": 0.02, "entropy": 0.12}
 MIN_GROUP = 50
 
 STATS_SCHEMA = (
-    "doc_id long, group string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, "
+    "group string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, "
     "n_tokens long, chars_per_token double, byte_share double, entropy double"
 )
+STATS = [x.split()[0] for x in STATS_SCHEMA.split(", ")]
 
 
 def repeated_words(words: list) -> int:
@@ -105,31 +106,31 @@ class Fertility:
 
 
 def measure(model: str):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fertility = None
-        for batch in batches:
-            fertility = fertility or Fertility(model)
+    """A pandas UDF: counts and figures of a text, grouped by its language or script."""
+
+    @F.pandas_udf(STATS_SCHEMA)
+    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        fertility = Fertility(model)
+        for texts, langs in batches:
             out = []
-            for doc_id, text, lang in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "lang"))):
+            for text, lang in zip(texts, langs):
                 text = text or ""
                 words = text.encode().split()
-                chars = sum(len(w.decode()) for w in words) if not text.isascii() else sum(map(len, words))
+                chars = sum(map(len, words)) if text.isascii() else sum(len(w.decode()) for w in words)
                 n, fallback, entropy = fertility.of(Counter(words))
+                group = lang if isinstance(lang, str) else script_of(text)
                 out.append((
-                    doc_id, lang if lang is not None else script_of(text), len(words), chars, len(SYMBOLS.findall(text)),
-                    repeated_lines(text), repeated_words(words), n, chars / n if n else 0.0, fallback / n if n else 0.0, entropy,
+                    group, len(words), chars, len(SYMBOLS.findall(text)), repeated_lines(text), repeated_words(words),
+                    n, chars / n if n else 0.0, fallback / n if n else 0.0, entropy,
                 ))
-            names = [x.split()[0] for x in STATS_SCHEMA.split(", ")]
-            types = [{"long": pa.int64(), "string": pa.string(), "double": pa.float64()}[x.split()[1]] for x in STATS_SCHEMA.split(", ")]
-            columns = zip(*out) if out else [[]] * len(names)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=names)
+            yield pd.DataFrame(out, columns=STATS)
 
     return run
 
 
-def statistics(docs: DataFrame, model: str) -> DataFrame:
-    """A row of counts and figures per document (columns doc_id, text, lang)."""
-    return docs.select("doc_id", "text", "lang").mapInArrow(measure(model), STATS_SCHEMA)
+def with_stats(docs: DataFrame, model: str, column: str = "_stats") -> DataFrame:
+    """``docs`` (text, lang) with a struct column of counts and figures."""
+    return docs.withColumn(column, measure(model)("text", "lang"))
 
 
 def bands(stats: DataFrame, reach: float = REACH, min_group: int = MIN_GROUP) -> DataFrame:
@@ -182,8 +183,8 @@ def default_model() -> str:
 
 
 def rate(docs: DataFrame, model: str | None = None) -> DataFrame:
-    """Counts, figures and verdict of every document."""
-    stats = stored(statistics(docs, model or default_model()), "fertility")
+    """Counts, figures and verdict of every document (doc_id, text, lang)."""
+    stats = stored(with_stats(docs.select("doc_id", "text", "lang"), model or default_model()).select("doc_id", "_stats.*"), "fertility")
     return judge(stats, bands(stats))
 
 
@@ -191,13 +192,14 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     rated = rate(table(spark, sf_dir, "documents"))
     return rated.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "reason",
-        F.round("chars_per_token", 9).alias("chars_per_token"), F.round("byte_share", 9).alias("byte_share"), F.round("entropy", 9).alias("entropy"),
+        "chars_per_token", "byte_share", "entropy",
     )
 
 
 def keep_sound(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the rules keep, with their columns. Rows are judged by id;
-    where an id has several rows, each row stands for itself only if ids are unique,
-    so the verdict of an id is that all its rows are kept."""
-    rated = rate(docs).groupBy("doc_id").agg(F.bool_and("kept").alias("_kept")).where("_kept").drop("_kept")
-    return docs.join(rated, "doc_id", "left_semi").select(*docs.columns)
+    """The documents that the rules keep, with their columns. The texts are written once
+    beside their figures, so that rows are judged where they lie, without a join."""
+    both = stored(docs.select(F.struct(*docs.columns).alias("_row"), measure(default_model())("text", "lang").alias("_stats")), "fertility")
+    limits = bands(both.select("_stats.*"))
+    kept = judge(both.select("_row", "_stats.*"), limits).where("kept")
+    return kept.select(*[F.col("_row").getField(c).alias(c) for c in docs.columns])

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from corpusmill.llm.language_id import op5_language_id
 from corpusmill.llm.packing import op1_best_fit_packing
+from corpusmill.llm.quality_classifier import op8_quality_classifier
 from corpusmill.llm.quality_rules import op10_quality_rules
 from corpusmill.llm.url_filter import OP4_SQL, op4_url_filter
 from corpusmill.llm.warc import OP9_SQL, op9_warc
@@ -10,6 +12,8 @@ from corpusmill.llm.warc import OP9_SQL, op9_warc
 QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op4_url_filter": op4_url_filter,
+    "op5_language_id": op5_language_id,
+    "op8_quality_classifier": op8_quality_classifier,
     "op9_warc": op9_warc,
     "op10_quality_rules": op10_quality_rules,
 }
