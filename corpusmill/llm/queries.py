@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from corpusmill.llm.ann import op6_nearest_neighbours
+from corpusmill.llm.html_text import op7_html_text
 from corpusmill.llm.language_id import op5_language_id
 from corpusmill.llm.packing import op1_best_fit_packing
 from corpusmill.llm.quality_classifier import op8_quality_classifier
@@ -13,6 +15,8 @@ QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op4_url_filter": op4_url_filter,
     "op5_language_id": op5_language_id,
+    "op6_nearest_neighbours": op6_nearest_neighbours,
+    "op7_html_text": op7_html_text,
     "op8_quality_classifier": op8_quality_classifier,
     "op9_warc": op9_warc,
     "op10_quality_rules": op10_quality_rules,
