@@ -5,6 +5,7 @@ from __future__ import annotations
 from corpusmill.llm.ann import op6_nearest_neighbours
 from corpusmill.llm.html_text import op7_html_text
 from corpusmill.llm.language_id import op5_language_id
+from corpusmill.llm.mixing import op3_source_mixing
 from corpusmill.llm.ngram_join import op2_ngram_join
 from corpusmill.llm.packing import op1_best_fit_packing
 from corpusmill.llm.quality_classifier import op8_quality_classifier
@@ -15,6 +16,7 @@ from corpusmill.llm.warc import OP9_SQL, op9_warc
 QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_ngram_join": op2_ngram_join,
+    "op3_source_mixing": op3_source_mixing,
     "op4_url_filter": op4_url_filter,
     "op5_language_id": op5_language_id,
     "op6_nearest_neighbours": op6_nearest_neighbours,
