@@ -2,5 +2,8 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from corpusmill.jobs import search_jobs
+
+_MODULES = (search_jobs,)
+QUERIES = {k: f for m in _MODULES for k, f in m.QUERIES.items()}
+ORACLES = {k: sql for m in _MODULES for k, sql in m.ORACLES.items()}
