@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.llm.common import stored
+from corpusmill.llm.common import discard, stored
 
 
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -22,7 +22,8 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     for _ in range(max_rounds):
         if before[0] == 0:
             break
-        now = stored(_small_star(_large_star(now)), "edges")
+        last, now = now, stored(_small_star(_large_star(now)), "edges")
+        discard(edges.sparkSession, last)
         after = _state(now)
         if after == before:
             break

@@ -11,9 +11,12 @@ component under links. No link between different sets is lost:
    copies costs a pair per member.
 3. Prefix shingles that join different components make groups (of bounded size: rare
    shingles by the sketch, the others cut into tiles). In a group a signature tree is
-   traversed against itself; pairs that its bounds allow are verified on the sets. A
-   pair that a node's preceding group has seen too is left to that one.
-4. Components of the verified links, by star rounds over edge tables.
+   traversed against itself, which leaves the pairs that its bounds allow. A pair that
+   a node's preceding group has seen too is left to that one.
+4. First only a spanning forest of each group's likeliest pairs is verified on the sets,
+   a pair per member at most; that ties groups together. Then every pair that is left
+   between different components is verified.
+5. Components of the verified links, by star rounds over edge tables.
 
 Cases: null texts and texts without a word have an empty set, link with nothing and are
 their own component; a text of fewer than five words is one shingle. Rows of a null
@@ -35,9 +38,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from corpusmill.llm.common import stored, table
+from corpusmill.llm.common import discard, stored, table
 from corpusmill.llm.components import connected_components
-from corpusmill.llm.signature_tree import OF, SHARE, SignatureTree, bitmap, needed
+from corpusmill.llm.signature_tree import OF, SHARE, SignatureTree, bitmap, most_overlap, needed, spanning
 
 WORDS = 5
 #: Buckets of the count sketch, and rows of the table that it is sent in.
@@ -204,7 +207,10 @@ def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, found: DataFra
     one, other = (sets.select(F.col("node").alias(x), F.col("tokens").alias(f"t{x}")) for x in "ab")
     shared = F.size(F.array_intersect("ta", "tb"))
     both = pairs.join(one, "a").join(other, "b")
-    return stored(both.where((OF + SHARE) * shared >= SHARE * (F.size("ta") + F.size("tb"))).select("a", "b"), "links")
+    links = stored(both.where((OF + SHARE) * shared >= SHARE * (F.size("ta") + F.size("tb"))).select("a", "b"), "links")
+    for x in (sets, ids):
+        discard(docs.sparkSession, x)
+    return links
 
 
 # --- candidate pairs -------------------------------------------------------------------
@@ -275,8 +281,18 @@ def tiles(rows: DataFrame, tile_rows: int = TILE_ROWS) -> DataFrame:
     return joined.withColumn("tile", F.explode(where)).drop("all", "top", "most")
 
 
-def _traverse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _traverse(forest: bool):
     """Pairs of nodes that may link, of rows sorted by key and tile."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _whole_tiles(batches):
+            yield _pairs(rows, forest)
+
+    return run
+
+
+def _whole_tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Tables of rows with no tile cut between two."""
     rest: list[pa.RecordBatch] = []
     seen = None
     for batch in batches:
@@ -289,12 +305,13 @@ def _traverse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             seen = ids[-1]
             continue
         last = next(i for i in range(len(ids) - 1, -1, -1) if ids[i] != ids[-1]) + 1 if first is not None else 0
-        yield _pairs(pa.Table.from_batches([*rest, batch.slice(0, last)]))
+        yield pa.Table.from_batches([*rest, batch.slice(0, last)])
         rest, seen = [batch.slice(last)], ids[-1]
-    yield _pairs(pa.Table.from_batches(rest)) if rest else _batch3(np.zeros((2, 0), np.int64), ["a", "b"])
+    if rest:
+        yield pa.Table.from_batches(rest)
 
 
-def _pairs(rows: pa.Table) -> pa.RecordBatch:
+def _pairs(rows: pa.Table, forest: bool) -> pa.RecordBatch:
     node, comp, n = (rows.column(c).to_numpy() for c in ("node", "comp", "n"))
     prev = rows.column("prev").fill_null(0).to_numpy()
     some = rows.column("prev").is_valid().to_numpy()
@@ -313,36 +330,63 @@ def _pairs(rows: pa.Table) -> pa.RecordBatch:
                     out.append((np.array([s]), np.array([s + 1])))
             continue
         groups = np.unique(comp[s:e], return_inverse=True)[1]
+        found = []
         for a, b in SignatureTree(n[s:e], bits[s:e], groups).pairs():
-            a, b = a + s, b + s
-            new = ~(some[a] & some[b] & (prev[a] == prev[b]))
-            out.append((a[new], b[new]))
+            new = ~(some[a + s] & some[b + s] & (prev[a + s] == prev[b + s]))
+            found.append((a[new], b[new]))
+        a, b = (np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, np.int64),) * 2
+        if forest and len(a):
+            taken = spanning(groups, a, b, most_overlap(n[s:e], bits[s:e], a, b))
+            a, b = a[taken], b[taken]
+        out.append((a + s, b + s))
     a = node[np.concatenate([x for x, _ in out])] if out else np.zeros(0, np.int64)
     b = node[np.concatenate([x for _, x in out])] if out else np.zeros(0, np.int64)
     both = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1) if len(a) else np.zeros((2, 0), np.int64)
     return _batch3(both, ["a", "b"])
 
 
-def tree_pairs(found: DataFrame, components: DataFrame) -> DataFrame:
-    """Pairs of nodes of different components that the signature trees can't rule out."""
-    rows = stored(shared_keys(found, components), "shared")
-    rows = rows.withColumn("prev", F.lag("key").over(Window.partitionBy("node").orderBy("key")))
+def groups_of(found: DataFrame, components: DataFrame) -> DataFrame:
+    """key, node, prev: groups that join different components. ``prev`` is the node's
+    preceding group; a group that all its nodes come to from the same one is left out."""
+    shared = stored(shared_keys(found, components).select("key", "node"), "shared")
+    rows = shared.withColumn("prev", F.lag("key").over(Window.partitionBy("node").orderBy("key")))
     fresh = rows.groupBy("key").agg((F.count("prev") < F.count("*")).alias("some"), (F.min("prev") < F.max("prev")).alias("more")).where("some OR more").select("key")
-    rows = stored(rows.join(fresh, "key", "left_semi"), "groups")
-    wanted = small(stored(rows.select("node").distinct(), "grouped"))
-    bits = found.select("node", "n", "bits").join(wanted, "node", "left_semi").dropDuplicates(["node"])
+    groups = stored(rows.join(fresh, "key", "left_semi"), "groups")
+    discard(found.sparkSession, shared)
+    return groups
+
+
+def tree_pairs(groups: DataFrame, found: DataFrame, components: DataFrame, forest: bool) -> DataFrame:
+    """Pairs of nodes of different components that the signature trees can't rule out:
+    all, or of each group a spanning forest."""
+    rows = groups.join(components, "node", "left").select("key", "node", "prev", F.coalesce("component", "node").alias("comp"))
+    ends = rows.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x < y").select("key")
+    rows = stored(rows.join(ends, "key", "left_semi"), "grouped")
+    wanted = stored(rows.select("node").distinct(), "wanted-bits")
+    bits = found.select("node", "n", "bits").join(small(wanted), "node", "left_semi").dropDuplicates(["node"])
     tiled = tiles(rows).join(bits, "node").select("key", "tile", "node", "comp", "prev", "n", "bits")
-    return tiled.repartition("key", "tile").sortWithinPartitions("key", "tile").mapInArrow(_traverse, "a long, b long").distinct()
+    pairs = tiled.repartition("key", "tile").sortWithinPartitions("key", "tile").mapInArrow(_traverse(forest), "a long, b long")
+    pairs = stored(pairs.distinct(), "pairs")
+    for x in (rows, wanted):
+        discard(found.sparkSession, x)
+    return pairs
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles and component_id for every row of ``docs`` (doc_id, text)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     found, nodes, seed = described(docs)
-    links = verified(stored(leader_pairs(found), "leaders"), docs, nodes, found, seed)
-    first = small(stored(connected_components(links), "first-components"))
-    links = links.unionByName(verified(stored(tree_pairs(found, first), "pairs"), docs, nodes, found, seed))
+    spark = docs.sparkSession
+    pairs = stored(leader_pairs(found), "leaders")
+    links = verified(pairs, docs, nodes, found, seed)
     components = stored(connected_components(links), "components")
+    groups = groups_of(found, small(components))
+    for forest in (True, False):
+        pairs = tree_pairs(groups, found, small(components), forest)
+        links = links.unionByName(verified(pairs, docs, nodes, found, seed))
+        components = stored(connected_components(links), "components")
+        discard(spark, pairs)
+    discard(spark, groups)
     named = nodes.join(components, "node", "left")
     least = named.where(F.col("component").isNotNull()).groupBy("component").agg(F.min("rep").alias("least"))
     named = named.join(least, "component", "left").select("node", F.coalesce("least", "rep").alias("least"))

@@ -14,7 +14,7 @@ from dataclasses import dataclass
 
 import numpy as np
 
-BITS = 4096
+BITS = 2048
 FANOUT = 8
 CHUNK = 4096
 #: Similarity of a link as a fraction; 100 * intersection >= 75 * union.
@@ -64,6 +64,8 @@ class SignatureTree:
 
     def pairs(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Positions of pairs that the bounds allow, each pair once."""
+        if len(self.order) < 2:
+            return
         top = len(self.levels[-1].least)
         i, j = np.triu_indices(top)
         yield from self._down(len(self.levels) - 1, i, j)
@@ -99,3 +101,37 @@ class SignatureTree:
         # The bound falls short of what any pair below needs: no link there.
         keep[where] = shared + np.minimum(level.surplus[a], level.surplus[b]) >= needed(level.least[a] + level.least[b])
         return keep
+
+
+def most_overlap(sizes: np.ndarray, bitmaps: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The leaf's bound as a share of the union: high for likely links."""
+    surplus = sizes - np.bitwise_count(bitmaps).sum(axis=1, dtype=np.int64)
+    out = np.zeros(len(a))
+    for at in range(0, len(a), CHUNK):
+        x, y = a[at : at + CHUNK], b[at : at + CHUNK]
+        shared = np.bitwise_count(bitmaps[x] & bitmaps[y]).sum(axis=1, dtype=np.int64) + np.minimum(surplus[x], surplus[y])
+        out[at : at + CHUNK] = shared / np.maximum(sizes[x] + sizes[y] - shared, 1)
+    return out
+
+
+def spanning(groups: np.ndarray, a: np.ndarray, b: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Positions of pairs that make a maximum spanning forest over ``groups``."""
+    root = list(range(int(groups.max()) + 1))
+
+    def find(x: int) -> int:
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    taken, left = [], len(np.unique(groups)) - 1
+    order = np.lexsort((b, a, -weight))
+    for k, x, y in zip(order.tolist(), groups[a[order]].tolist(), groups[b[order]].tolist()):
+        x, y = find(x), find(y)
+        if x != y:
+            root[x] = y
+            taken.append(k)
+            left -= 1
+            if not left:
+                break
+    return np.array(taken, np.int64)
