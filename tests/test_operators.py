@@ -1,0 +1,197 @@
+"""Operators on small fixtures, against restated formulas."""
+
+import math
+
+import pytest
+from pyspark.sql import functions as F
+
+from corpusmill.functions import text as T
+from corpusmill.operators import code, evaluation, evidence_packing, facts, fusion, retrieval, sampling, sessions, vectors
+
+BLOCKS = [(0, "Reference ref_a1b2c3d4e5. Project ALPHA budget is $900,000."), (1, "Project BETA budget is $100,000."), (2, "Unrelated operational note.")]
+
+
+def one(spark, value, f):
+    return spark.createDataFrame([(value,)], "t string").select(f(F.col("t")).alias("x")).first().x
+
+
+@pytest.mark.parametrize(
+    "text,amount",
+    [("$900,000", 900000), ("1.5 million", 1500000), ("250k", 250000), ("2026", None), ("$2026", 2026), ("1234567", 1234567), ("12.9", 12), ("none", None)],
+)
+def test_normalized_budget(spark, text, amount):
+    assert one(spark, text, T.normalized_budget) == amount
+
+
+def test_budget_string_takes_the_first_pattern(spark):
+    assert one(spark, "about 40 k, but $1,200 is due", T.budget_string) == "$1,200"
+    assert one(spark, "a total of 3 million", T.budget_string).strip() == "3 million"
+
+
+@pytest.mark.parametrize("text,date", [("on 3 October 1998.", (1998, 9, 3)), ("3 Foo 1998", (1998, -1, 3)), ("in 1990 or 2024", (2024, -1, -1)), ("in 1889", (-1, -1, -1))])
+def test_date_parts(spark, text, date):
+    assert tuple(one(spark, text, T.date_parts)) == date
+
+
+def test_entities_and_boundaries(spark):
+    assert sorted(one(spark, "KRONOS and Alice Martin met NEPTUNE-Legacy in Budget REPORT", T.entity_candidates)) == ["Alice Martin", "KRONOS", "NEPTUNE-L"]
+    mention = lambda text: one(spark, text, lambda t: T.mentions(t, F.lit("NEPTUNE")))
+    assert mention("of neptune.") and not mention("NEPTUNE-Legacy") and not mention("xNEPTUNE")
+    assert one(spark, "NEPTUNE-Legacy", lambda t: T.suffixes(t, F.lit("NEPTUNE"))) == ["-legacy"]
+    assert one(spark, "Néptune-r2 ends", lambda t: T.mentions_revision(t, F.lit("NEPTUNE")))
+
+
+def test_question_parse(spark):
+    fields = one(spark, "Who is the manager and what is the budget?", T.required_fields)
+    assert fields == ["owner", "budget"]
+    assert one(spark, "Compare A", lambda t: T.intent(t, F.array(), F.lit(1))) == "comparison"
+    key = lambda q: one(spark, q, lambda t: T.canonical_hash(t, F.array(F.lit("A")), F.array(F.lit("budget")), F.lit("comparison"), F.lit(None).cast("string")))
+    assert key("Which is  HIGHER?") == key("which is higher?") != key("which is lower?")
+
+
+def test_answers(spark):
+    assert one(spark, "The  $1,000 Project b", T.token_sorted_answer) == "1000 b the"
+    assert one(spark, "The answer, a 42!", T.bare_answer) == "answer 42"
+    assert one(spark, 'so: {"answer": "x"} ok', T.json_object) == '{"answer": "x"}'
+    assert one(spark, "no object", T.json_object) is None
+
+
+def test_chunks_and_sentences(spark):
+    words = " ".join(map(str, range(300)))
+    assert [len(c) for c in one(spark, words, lambda t: T.chunks(T.words(t)))] == [128, 128, 44]
+    assert one(spark, "", lambda t: T.chunks(T.words(t))) == []
+    assert one(spark, "One. Two!  Three? four", T.sentences) == ["One.", "Two!", "Three?", "four"]
+
+
+def test_bm25_against_formula(spark):
+    docs = {i: t.lower().split() for i, t in BLOCKS}
+    query = "project budget budget"
+    n, avg = len(docs), sum(map(len, docs.values())) / len(docs)
+    expect = {}
+    for i, d in docs.items():
+        s = 0.0
+        for t in query.split():
+            df = sum(t in x for x in docs.values())
+            if tf := d.count(t):
+                s += math.log((n - df + 0.5) / (df + 0.5) + 1) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len(d) / avg))
+        if s:
+            expect[i] = round(s, 6)
+    rows = retrieval.bm25_scores(spark.createDataFrame(BLOCKS, "id long, text string"), spark.createDataFrame([(7, query)], "qid long, text string")).collect()
+    assert {r.id: r.score for r in rows} == pytest.approx(expect)
+
+
+def test_tiers_and_fusion(spark):
+    s = "qid long, id long, score double"
+    first, second = spark.createDataFrame([(1, 5, 2.0)], s), spark.createDataFrame([(1, 6, 9.0), (2, 7, 1.0), (2, 8, 3.0)], s)
+    rows = retrieval.tiered_candidates([first, second], [None, 1]).collect()
+    assert {(r.qid, r.id, r.tier) for r in rows} == {(1, 5, 1), (2, 8, 2)}
+    ranks = "qid long, id long, rank int"
+    fused = fusion.reciprocal_ranks(spark.createDataFrame([(1, 1, 1), (1, 2, 2)], ranks), spark.createDataFrame([(1, 2, 1)], ranks))
+    assert {r.id: r.score for r in fused.collect()} == pytest.approx({1: round(1 / 61 + 1 / 100060, 9), 2: round(1 / 62 + 1 / 61, 9)})
+    none = spark.createDataFrame([], s)
+    total = fusion.fused(spark.createDataFrame([(1, 1, 0.5)], s), spark.createDataFrame([(1, 1, 30.0)], s), none, none, spark.createDataFrame([(1, 1, 1.0)], s)).first()
+    assert total.score == pytest.approx(0.5 + 1.0 + 10.0)
+
+
+def test_vectors(spark):
+    rows = spark.createDataFrame([(i, v) for i, v in enumerate([[1.0, 0.0], [0.0, 1.0], [0.6, 0.8]])], "id long, v array<float>")
+    found = vectors.cosine_top_k(rows, spark.createDataFrame([(9, [1.0, 0.0])], "qid long, v array<float>"), 2).collect()
+    assert [(r.rank, r.id) for r in sorted(found, key=lambda r: r.rank)] == [(1, 0), (2, 2)]
+    assert vectors.HashingEmbedder().encode([""])[0][-1] == 1.0
+
+
+EVIDENCE = [
+    (1, "contracts/contract_base_1.txt", "Project ALPHA budget is $900,000.\n3 May 2020\nProject ALPHA is managed by Jean Dupont."),
+    (2, "contracts/amendment_2.txt", "The new budget of Project ALPHA was increased to $950,000.\n4 May 2021"),
+    (3, "noise/x.txt", "Project ALPHA budget is $1.\n9 May 2030\nbudget $5,000"),
+    (4, "reports/r.txt", "Subject: Project BETA $7,777\nProject BETA budget is $100,000.\nPreviously Project BETA was managed by Emma Michel."),
+    (5, "reports/s.txt", "Project ALPHA was reassigned from Jean Dupont to Alice Martin.\n1 June 2022"),
+]
+
+
+def test_facts_and_kernels(spark):
+    rows = facts.extract(spark.createDataFrame(EVIDENCE, "block_id long, source_file string, text string")).cache()
+    budgets = facts.resolved(rows.where("field = 'budget'"), ["entity"])
+    assert {r.entity: r.amount for r in budgets.collect()} == {"ALPHA": 950000, "BETA": 100000}
+    assert rows.where("entity = 'BETA' AND amount = 7777").count() == 0  # a header line
+    owners = {(r.owner, r.entity) for r in facts.current_owners(rows).collect()}
+    assert owners == {("Alice Martin", "ALPHA")}
+    pairs = spark.createDataFrame([(1, "ALPHA", "BETA"), (2, "ALPHA", "GAMMA"), (3, "ALPHA", "ALPHA")], "pair_id long, a string, b string")
+    found = {r.pair_id: r.answer for r in facts.compared(pairs, budgets, facts.mentioned_entities(rows)).collect()}
+    assert found == {1: "Project ALPHA (budget of $950,000)", 2: "NOT_FOUND", 3: "INSUFFICIENT_EVIDENCE"}
+
+
+def test_supersession(spark):
+    rows = [(1, "a/contract_base.txt", "E", (2020, 1, 1)), (2, "a/amendment_1.txt", "E", (2021, 1, 1)), (3, "a/amendment_2.txt", "E", (2022, 1, 1)), (4, "r.txt", "E", (2019, 1, 1)), (5, "r.txt", "F", (2019, 1, 1))]
+    df = spark.createDataFrame(rows, "block_id long, source_file string, entity string, date struct<y:int,m:int,d:int>")
+    assert {r.block_id: r.reason for r in facts.superseded(df).collect()} == {1: "amended", 2: "later amendment", 3: None, 4: "later date", 5: None}
+
+
+def test_packing_skips_what_does_not_fit(spark):
+    rows = [(1, "what is 42 ABC", i, i % 2, text, i, i, i) for i, text in enumerate(["what is this thing", "is " * 600, "it is 42 here", "ABC has no number"])]
+    df = spark.createDataFrame(rows, "qid long, question string, id long, doc long, text string, bm25_rank int, dense_rank int, block_rank int")
+    got = evidence_packing.packed(evidence_packing.scored(df)).first()
+    assert {t.id for t in got.taken} == {0, 2, 3} and got.total == 12
+    low = evidence_packing.rescued(evidence_packing.packed(evidence_packing.scored(df), most=1), most=3).first()
+    assert low.taken[0].how == "packed" and any(t.how == "rescued" for t in low.taken)
+    sents = spark.createDataFrame([(0, i, i, t) for i, t in enumerate(["first words here", "what is this thing", "more"])], "doc long, sent int, id long, text string")
+    wide = evidence_packing.expanded(spark.createDataFrame([(1, 4, [(1, 0, "what is this thing", 4, "packed")])], "qid long, total int, taken array<struct<id:bigint,doc:bigint,text:string,n_tokens:int,how:string>>"), sents).first()
+    assert wide.ids == [1, 0, 2] and wide.total == 8
+
+
+def test_economics(spark):
+    c = evaluation.economics(*map(F.lit, (10000, 1000, 250)), F.lit(100.0), F.lit(400.0), 1.0, 2.0)
+    r = spark.range(1).select(*[v.alias(k) for k, v in c.items()]).first()
+    assert (r.avoided, r.input_tps, r.output_tps, r.effective_tps, r.cost, r.avoided_cost) == (9000, 10000.0, 625.0, 20000.0, 0.0015, 0.009)
+
+
+def test_recall_needs_every_group(spark):
+    found = spark.createDataFrame([(1, 10, 1), (1, 11, 5)], "qid long, id long, rank int")
+    gold = spark.createDataFrame([(1, 0, 10), (1, 1, 11), (2, 0, 99)], "qid long, gold_group int, id long")
+    rows = {r.qid: r for r in evaluation.recall_at(found, gold, (1, 10)).collect()}
+    assert (rows[1].hit_1, rows[1].hit_10, rows[1].rr) == (False, True, 1.0)
+    assert (rows[2].hit_10, rows[2].rr) == (False, 0.0)
+
+
+def test_sampling_and_cache(spark):
+    df = spark.range(100).select(F.col("id"), (F.col("id") % 4 == 0).cast("int").alias("s"))
+    assert sampling.stratified(df, "s", "id", 5).count() == 10
+    assert {r.s: r["count"] for r in sampling.proportional(df, "s", "id", 20).groupBy("s").count().collect()} == {0: 15, 1: 5}
+    cache = spark.createDataFrame([("a", "v1", "x"), ("b", "v0", "y")], "key string, version string, value string")
+    rows = sampling.cached(spark.createDataFrame([("a",), ("b",)], "key string"), cache, "v1").collect()
+    assert {r.key: r.hit for r in rows} == {"a": True, "b": False}
+
+
+def test_sessions(spark):
+    rows = [(1, 0, "user", "About KRONOS please"), (1, 1, "assistant", "fine"), (1, 2, "user", "and its budget too"), (2, 0, "user", "hello there")]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    plans = {(r.conv_id, r.turn): (r.kind, r["query"]) for r in sessions.planned(turns).collect()}
+    assert plans[1, 0][0] == "entity" and plans[1, 2] == ("follow_up", "Project KRONOS and its budget too") and plans[2, 0][0] == "semantic"
+    assert {r.turn: r.switches for r in sessions.switches(turns, "role").where("conv_id = 1").collect()} == {0: 0, 1: 1, 2: 2}
+
+
+PATCH = """diff --git a/pkg/m.py b/pkg/m.py
+--- a/pkg/m.py
++++ b/pkg/m.py
+@@ -10,3 +20,4 @@ class R
+ keep
+-old
++new
++more
+ keep"""
+
+
+def test_code(spark):
+    lines = code.changed_lines(spark.createDataFrame([("i", PATCH)], "id string, patch string"))
+    assert {(r.file, r.line) for r in lines.collect()} == {("pkg/m.py", 21), ("pkg/m.py", 22)}
+    files = spark.createDataFrame([("pkg/m.py", "\n" * 18 + "class Runner:\n    def execute(self):\n        a = 1\n        b = 2\n"), ("pkg/bad.py", "def (")], "path string, text string")
+    ranges = code.symbols(files)
+    assert {(r.symbol, r.first, r.last) for r in ranges.collect()} == {("Runner", 19, 22), ("Runner.execute", 20, 22)}
+    assert {r.symbol for r in code.changed_symbols(lines, ranges).collect()} == {"Runner.execute"}
+    issues = spark.createDataFrame([("i", "fails in /usr/lib/site-packages/pkg/m.py at execute")], "id string, text string")
+    assert code.file_scores(issues, files).orderBy(F.desc("score")).first().path == "pkg/m.py"
+
+
+def test_leaks(spark):
+    assert one(spark, "q_0123456789abcdef", lambda t: evaluation.leak_reasons(t, F.lit("a/b.txt"))) == []
+    assert one(spark, "q_1", lambda t: evaluation.leak_reasons(t, F.lit("gold/q_1.txt"))) == ["id_not_opaque", "id_in_path", "path_names_answer"]
