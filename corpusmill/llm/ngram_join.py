@@ -30,6 +30,7 @@ Shingles are 64-bit hashes (a false one in a pair of documents has a chance of a
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -38,7 +39,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from corpusmill.llm.common import discard, stored, table
+from corpusmill.llm.common import discard, free_shuffles, stored, table
 from corpusmill.llm.components import connected_components
 from corpusmill.llm.signature_tree import OF, SHARE, SignatureTree, bitmap, most_overlap, needed, spanning
 
@@ -57,11 +58,19 @@ DOC_SCHEMA = "doc_id long, node long, proof long, n long, cold array<long>, hot
 
 
 class WordHashes(dict):
+    """Hashes of words; those of recent words are kept."""
+
     def __missing__(self, word: bytes) -> int:
         self[word] = h = xxhash.xxh3_64_intdigest(word)
         return h
 
 
+@lru_cache(maxsize=1)
+def word_hashes() -> WordHashes:
+    """One for all tasks of a Python worker."""
+    return WordHashes()
+
+
 def _mixed(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(32))) * _M
     x = (x ^ (x >> np.uint64(29))) * _M
@@ -88,7 +97,7 @@ def shingles(text: str | None, hashes: WordHashes) -> np.ndarray:
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counts, hashes = np.zeros(SKETCH, np.int64), WordHashes()
+    counts, hashes = np.zeros(SKETCH, np.int64), word_hashes()
     for batch in batches:
         for text in batch.column("text"):
             np.add.at(counts, (shingles(text.as_py(), hashes) >> np.uint64(44)).astype(np.int64), 1)
@@ -133,7 +142,7 @@ def prefix(tokens: np.ndarray, often: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 def _describe(sent, seed: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        often, hashes = sent.value, WordHashes()
+        often, hashes = sent.value, word_hashes()
         seeds = [np.uint64(xxhash.xxh3_64_intdigest(b"min-hash %d" % i)) for i in range(MIN_HASHES)]
         names = [x.split()[0] for x in DOC_SCHEMA.split(", ")]
         types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary())
@@ -184,7 +193,7 @@ def small(df: DataFrame) -> DataFrame:
 
 def _sets(seed: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
+        hashes = word_hashes()
         for batch in batches:
             nodes, tokens = [], []
             for text, node in zip(batch.column("text"), batch.column("node").to_pylist()):
@@ -375,17 +384,23 @@ def tree_pairs(groups: DataFrame, found: DataFrame, components: DataFrame, fores
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles and component_id for every row of ``docs`` (doc_id, text)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    found, nodes, seed = described(docs)
     spark = docs.sparkSession
+    found, nodes, seed = described(docs)
+    free_shuffles(spark)
     pairs = stored(leader_pairs(found), "leaders")
     links = verified(pairs, docs, nodes, found, seed)
+    discard(spark, pairs)
     components = stored(connected_components(links), "components")
+    free_shuffles(spark)
     groups = groups_of(found, small(components))
     for forest in (True, False):
+        free_shuffles(spark)
         pairs = tree_pairs(groups, found, small(components), forest)
+        free_shuffles(spark)
         links = links.unionByName(verified(pairs, docs, nodes, found, seed))
-        components = stored(connected_components(links), "components")
         discard(spark, pairs)
+        free_shuffles(spark)
+        components = stored(connected_components(links), "components")
     discard(spark, groups)
     named = nodes.join(components, "node", "left")
     least = named.where(F.col("component").isNotNull()).groupBy("component").agg(F.min("rep").alias("least"))
