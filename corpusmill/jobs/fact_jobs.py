@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from corpusmill.functions import text as T
 from corpusmill.functions.plans import ranked
-from corpusmill.operators import facts
+from corpusmill.operators import contracts, facts, resolve
 
 
 def evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -101,8 +101,38 @@ def field_coverage(spark, sf_dir):
     return rows.groupBy(kind.alias("kind")).agg(F.count("*").alias("n"), *[F.round(F.avg(F.col(f).cast("double")) * 100, 6).alias(f"{f}_pct") for f in ("budget", "deadline", "owner", "location")])
 
 
+def _asked(spark, sf_dir):
+    """A question per customer, with the blocks of that customer and of those whose key
+    has one digit more: names that begin alike."""
+    key = F.col("c_custkey")
+    asked = spark.read.parquet(f"{sf_dir}/customer.parquet").select(
+        key.alias("qid"), F.concat(F.lit("What is the budget of Project C"), key.cast("string"), F.lit("?")).alias("question"), F.array(F.concat(F.lit("Project C"), key.cast("string"))).alias("entities"),
+        F.lit("single_fact_lookup").alias("intent"), F.lit(None).cast("string").alias("marker"),
+    )
+    rows = evidence(spark, sf_dir).withColumn("of", F.regexp_extract("text", r"Project C(\d+)", 1).cast("long"))
+    keyed = rows.select("*", F.explode(F.array_distinct(F.array("of", F.floor(F.col("of") / 10)))).alias("qid")).drop("of")
+    return keyed.join(asked, "qid")
+
+
+def resolver(spark, sf_dir):
+    return resolve.resolved(_asked(spark, sf_dir))
+
+
+def field_rerank(spark, sf_dir):
+    score = resolve.field_score(F.col("text"), F.col("source_file"), F.get("entities", F.lit(0)), ("owner", "budget"))
+    return ranked(_asked(spark, sf_dir).select("qid", "block_id", score.alias("score")), ["qid"], [F.col("score").desc(), F.col("block_id")])
+
+
+def claim_states(spark, sf_dir):
+    """Every order's amount as a claim about its customer's budget, against all facts
+    but noise."""
+    rows = facts.extract(evidence(spark, sf_dir)).where(~F.col("is_noise"))
+    claims = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").alias("claim_id"), F.concat(F.lit("C"), F.col("o_custkey").cast("string")).alias("entity"), F.lit("budget").alias("field"), T.money(F.floor("o_totalprice")).alias("value"))
+    return contracts.verified_claims(claims, rows).select("claim_id", "entity", "value", "state")
+
+
 QUERIES = {f.__name__: f for f in (
-    fact_table, temporal_field_resolver, temporal_supersession, supersession_counts, kernel_list, kernel_compare, portfolio, multi_fact_lookup, budget_normalise, date_extract, field_coverage,
+    fact_table, temporal_field_resolver, temporal_supersession, supersession_counts, kernel_list, kernel_compare, portfolio, multi_fact_lookup, budget_normalise, date_extract, field_coverage, resolver, field_rerank, claim_states,
 )}
 
 _EV = """
@@ -164,7 +194,21 @@ su AS (
     WHEN n > 1 AND NOT is_amendment AND latest > y * 10000 + m * 100 + d THEN 'later date' END AS reason FROM sw
 )"""
 
+_ASKED = f"""
+{_SUPER},
+ca AS (SELECT x.* FROM (SELECT *, unnest(list_distinct([substr(entity, 2)::BIGINT, substr(entity, 2)::BIGINT // 10])) AS qid FROM su JOIN ev USING (block_id)) x JOIN customer ON c_custkey = x.qid)"""
+
 ORACLES = {
+    "resolver": f"WITH {_ASKED} SELECT qid, block_id, CASE WHEN entity <> 'C' || qid AND starts_with(entity, 'C' || qid) THEN 'suffix_distractor' WHEN entity <> 'C' || qid THEN 'unrelated_entity' WHEN reason IS NOT NULL THEN 'obsolete' ELSE 'active' END AS state FROM ca",
+    "field_rerank": f"""WITH {_ASKED}, tk AS (SELECT *, regexp_extract_all(lower(text || ' ' || source_file), '[a-z0-9_]+') AS t FROM ca),
+        sc AS (SELECT qid, block_id, round(CASE WHEN starts_with(entity, 'C' || qid) THEN 8.0::DOUBLE ELSE 0.0 END + CASE WHEN list_contains(t, 'c' || qid) THEN 5.0 ELSE 0.0 END + (len(list_filter(['owner', 'manager', 'managed', 'responsible', 'budget', 'amount', 'cost'], lambda x: list_contains(t, x)))) * 1.5::DOUBLE
+          + len(list_filter(['evidence', 'proof', 'source', 'budget', 'owns', 'managed'], lambda x: list_contains(t, x))) * 0.8::DOUBLE - len(list_filter(['background', 'generic', 'lure', 'noise', 'ordinary', 'unrelated'], lambda x: list_contains(t, x))) * 3.0::DOUBLE, 6) AS score FROM tk)
+        SELECT qid, block_id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, block_id)::INT AS rank FROM sc""",
+    "claim_states": f"""WITH {_FACTS}, f AS (SELECT * FROM facts WHERE NOT is_noise), k AS (SELECT entity, bool_or(status = 'active') AS alive FROM f GROUP BY ALL),
+        h AS (SELECT entity, value, bool_or(status = 'active') AS active FROM f WHERE field = 'budget' GROUP BY ALL),
+        c AS (SELECT o_orderkey AS claim_id, 'C' || o_custkey AS entity, '$' || format('{{:,}}', floor(o_totalprice)::BIGINT) AS value FROM orders)
+        SELECT claim_id, c.entity, c.value, CASE WHEN NOT coalesce(alive, false) THEN 'unknown_entity' WHEN active THEN 'active' WHEN active IS NOT NULL THEN 'obsolete' ELSE 'wrong_value' END AS state
+        FROM c LEFT JOIN h ON h.entity = c.entity AND h.value = c.value LEFT JOIN k ON k.entity = c.entity""",
     "fact_table": f"WITH {_FACTS} SELECT entity, field, value, coalesce(amount, -1) AS amount, status, block_id, y, m, d, is_amendment, is_base, is_noise FROM facts",
     "temporal_field_resolver": f"WITH {_RESOLVED} SELECT entity, field, value, block_id FROM res",
     "temporal_supersession": f"WITH {_SUPER} SELECT block_id, entity, reason FROM su",

@@ -195,3 +195,50 @@ def test_code(spark):
 def test_leaks(spark):
     assert one(spark, "q_0123456789abcdef", lambda t: evaluation.leak_reasons(t, F.lit("a/b.txt"))) == []
     assert one(spark, "q_1", lambda t: evaluation.leak_reasons(t, F.lit("gold/q_1.txt"))) == ["id_not_opaque", "id_in_path", "path_names_answer"]
+
+
+def test_resolver(spark):
+    from corpusmill.operators import resolve
+
+    rows = [(1, "a/contract_base.txt", "NEPTUNE budget is $1. 1 May 2020"), (2, "a/amendment.txt", "NEPTUNE budget is $2. 1 May 2021"), (3, "r.txt", "NEPTUNE-Legacy budget is $3."), (4, "r.txt", "about KRONOS"), (2, "a/amendment.txt", "NEPTUNE budget is $2. 1 May 2021")]
+    df = spark.createDataFrame([(9, "Compare the budget of Project NEPTUNE", ["Project NEPTUNE"], "comparison", None, *r) for r in rows], "qid long, question string, entities array<string>, intent string, marker string, block_id long, source_file string, text string")
+    got = {r.block_id: r.state for r in resolve.resolved(df).collect()}
+    assert got == {1: "obsolete", 2: "active", 3: "suffix_distractor", 4: "unrelated_entity"}
+    assert resolve.resolved(df.withColumn("marker", F.lit("ref_0123456789"))).count() == 0
+
+
+def test_field_score(spark):
+    from corpusmill.operators import resolve
+
+    score = lambda t: one(spark, t, lambda c: resolve.field_score(c, F.lit("f.txt"), F.lit("Project ALPHA"), ("budget",)))
+    assert score("Project ALPHA budget is here") == pytest.approx(8 + 3 + 2 + 1.5 + 0.8)
+    assert score("alpha " + "x " * 20 + "budget noise") == pytest.approx(3 + 1.5 + 0.8 - 3)
+
+
+def test_contracts(spark):
+    from corpusmill.operators import contracts
+
+    blocks = [("a.txt", "Project ALPHA budget is $900,000."), ("b.txt", "Project BETA budget is $100,000.")]
+    packs = spark.createDataFrame([(1, "What is the budget of Project ALPHA?", blocks)], "qid long, question string, blocks array<struct<source_file:string,text:string>>")
+    made = contracts.compiled(packs)
+    r = made.first()
+    assert (r.answer_type, r.max_output_tokens, r.retry_tokens, r.amounts_allowed, r.sources_allowed) == ("numeric_fact", 64, 32, ["$100,000", "$900,000"], ["a.txt", "b.txt"])
+
+    def verdict(answer, sources, tokens=5):
+        row = made.crossJoin(spark.createDataFrame([(answer, sources, "$900,000", tokens)], "answer string, sources array<string>, expected string, output_tokens int"))
+        return contracts.audited(row).first().verdict
+
+    assert verdict("$900,000", ["a.txt"]) == "PASS" and verdict(None, []) == "MODEL_PARSE_FAIL"
+    assert verdict("$999,999", ["a.txt"]) == "HALLUCINATION_FAIL" and verdict("$900,000", ["x.txt"]) == verdict("$900,000", []) == "SOURCE_FAIL"
+    assert verdict("$900,000", ["a.txt"], 65) == "OUTPUT_BUDGET_FAIL" and verdict("no idea", ["a.txt"]) == "QUALITY_FAIL"
+
+
+def test_output_and_claims(spark):
+    from corpusmill.operators import contracts
+
+    said = lambda a, proof="PARTIAL": one(spark, a, lambda c: contracts.verified_output(c, F.lit(proof), F.lit(False), F.lit("alice martin has 1,000"), F.array(F.lit("NEPTUNE-Legacy"))))
+    assert said("Alice Martin 1000") == [] and said("NOT_FOUND") == [] and said("NOT_FOUND", "COMPLETE") and said("x", "ABSENT")
+    assert said("NEPTUNE-Legacy") == ["forbidden: NEPTUNE-Legacy"] and said("Bob Smith") == ["not grounded: Bob Smith"]
+    facts_ = spark.createDataFrame([("A", "budget", "$1", "active"), ("A", "budget", "$2", "obsolete")], "entity string, field string, value string, status string")
+    claims = spark.createDataFrame([(1, "A", "budget", "$1"), (2, "A", "budget", "$2"), (3, "A", "budget", "$3"), (4, "B", "budget", "$1")], "claim_id long, entity string, field string, value string")
+    assert {r.claim_id: r.state for r in contracts.verified_claims(claims, facts_).collect()} == {1: "active", 2: "obsolete", 3: "wrong_value", 4: "unknown_entity"}
