@@ -20,7 +20,8 @@ component under links. No link between different sets is lost:
 
 Cases: null texts and texts without a word have an empty set, link with nothing and are
 their own component; a text of fewer than five words is one shingle. Rows of a null
-doc_id take part and never name a component. Repeated rows are one node. Very long
+doc_id join the component of their copies and never name one; a text that only such
+rows have links with nothing and has a null component. Repeated rows are one node. Very long
 texts are read whole. An empty table gives no rows. Only doc_id and text are read.
 
 Shingles are 64-bit hashes (a false one in a pair of documents has a chance of about
@@ -49,9 +50,11 @@ SKETCH, SKETCH_PARTS = 1 << 20, 256
 MIN_HASHES = 6
 #: Rows of a group that one traversal takes; larger groups are cut into tiles.
 TILE_ROWS = 2000
+#: Members that are compared with a hub in one task.
+HUB_ROWS = 500
 #: Rows of a counted table up to which it is broadcast; beyond, the join shuffles.
 BROADCAST_ROWS = 1_000_000
-CACHE_WORDS = 500_000
+CACHE_WORDS = 150_000
 _C, _M = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 DOC_SCHEMA = "doc_id long, node long, proof long, n long, cold array<long>, hot array<long>, mins array<long>, bits binary"
@@ -192,33 +195,60 @@ def small(df: DataFrame) -> DataFrame:
 
 
 def _sets(seed: int):
+    """Rows with the set of their text, but for rows whose text isn't their node's."""
+    kept = ["hub", "salt", "member", "node"]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = word_hashes()
-        for batch in batches:
-            nodes, tokens = [], []
-            for text, node in zip(batch.column("text"), batch.column("node").to_pylist()):
-                own = shingles(text.as_py(), hashes)
-                if _signed(xxhash.xxh3_64_intdigest(own.tobytes(), seed)) == node:
-                    nodes.append(node)
-                    tokens.append(own.view(np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(tokens, pa.list_(pa.int64()))], names=["node", "tokens"])
+        for whole in batches:
+            for at in range(0, whole.num_rows, 1000):
+                batch = whole.slice(at, 1000)
+                tokens = [shingles(x.as_py(), hashes) for x in batch.column("text")]
+                same = [_signed(xxhash.xxh3_64_intdigest(t.tobytes(), seed)) == n for t, n in zip(tokens, batch.column("node").to_pylist())]
+                rows = pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array([t.tobytes() for t in tokens], pa.binary())], names=[*kept, "tokens"])
+                yield rows.filter(pa.array(same, pa.bool_()))
 
     return run
 
 
-def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, found: DataFrame, seed: int) -> DataFrame:
-    """Those of ``pairs`` (a, b: a stored table) that link. Only sets of nodes in pairs
-    are made again from their texts."""
-    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-    ids = stored(wanted.join(nodes.where(F.col("rep").isNotNull()), "node").select("node", F.col("rep").alias("doc_id")), "wanted")
-    sets = docs.join(small(ids), "doc_id").select("text", "node").mapInArrow(_sets(seed), "node long, tokens array<long>")
-    sets = stored(sets.dropDuplicates(["node"]), "sets")
-    one, other = (sets.select(F.col("node").alias(x), F.col("tokens").alias(f"t{x}")) for x in "ab")
-    shared = F.size(F.array_intersect("ta", "tb"))
-    both = pairs.join(one, "a").join(other, "b")
-    links = stored(both.where((OF + SHARE) * shared >= SHARE * (F.size("ta") + F.size("tb"))).select("a", "b"), "links")
-    for x in (sets, ids):
-        discard(docs.sparkSession, x)
+def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs that link, of rows sorted by hub and salt, a hub before its members."""
+    place, hub_tokens = None, None
+    for batch in batches:
+        out: list[list[int]] = [[], []]
+        for hub, salt, member, node, data in zip(*(batch.column(c) for c in ("hub", "salt", "member", "node", "tokens"))):
+            tokens, key = np.frombuffer(data.as_py(), np.uint64), (hub.as_py(), salt.as_py())
+            if not member.as_py():
+                place, hub_tokens = key, tokens
+            elif key == place:
+                shared = len(np.intersect1d(hub_tokens, tokens, assume_unique=True))
+                if shared >= needed(len(hub_tokens) + len(tokens)):
+                    out[0].append(hub.as_py())
+                    out[1].append(node.as_py())
+        yield _batch3(np.array(out, np.int64), ["a", "b"])
+
+
+def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, seed: int) -> DataFrame:
+    """Those of ``pairs`` (a, b: a stored table) that link.
+
+    The node of more pairs is a pair's hub. Every set is made again from its text and
+    shuffled once per pair, to its hub; a hub of very many members is sent to several
+    tasks, each of which takes ``HUB_ROWS`` of them.
+    """
+    ends = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).groupBy("node").agg(F.count("*").alias("n"))
+    degree = lambda x: ends.select(F.col("node").alias(x), F.col("n").alias(f"{x}_n"))
+    both = pairs.join(degree("a"), "a").join(degree("b"), "b")
+    first = (F.col("a_n") > F.col("b_n")) | ((F.col("a_n") == F.col("b_n")) & (F.col("a") < F.col("b")))
+    turned = both.select(F.when(first, F.col("a")).otherwise(F.col("b")).alias("hub"), F.when(first, F.col("b")).otherwise(F.col("a")).alias("node"), F.greatest("a_n", "b_n").alias("n"))
+    salts = F.greatest(F.lit(1), F.ceil(F.col("n") / HUB_ROWS)).cast("int")
+    members = turned.select("hub", F.pmod(F.xxhash64("node"), salts).cast("int").alias("salt"), F.lit(True).alias("member"), "node")
+    hubs = turned.select("hub", "n").distinct().select("hub", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"), F.lit(False).alias("member"), F.col("hub").alias("node"))
+    wanted = members.unionByName(hubs).join(nodes.where(F.col("rep").isNotNull()).select("node", F.col("rep").alias("doc_id")), "node")
+    wanted = stored(wanted, "wanted")
+    sets = docs.join(small(wanted), "doc_id").select("hub", "salt", "member", "node", "text").mapInArrow(_sets(seed), "hub long, salt int, member boolean, node long, tokens binary")
+    dealt = sets.repartition("hub", "salt").sortWithinPartitions("hub", "salt", "member")
+    links = stored(dealt.mapInArrow(_compared, "a long, b long").distinct(), "links")
+    discard(docs.sparkSession, wanted)
     return links
 
 
@@ -388,7 +418,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     found, nodes, seed = described(docs)
     free_shuffles(spark)
     pairs = stored(leader_pairs(found), "leaders")
-    links = verified(pairs, docs, nodes, found, seed)
+    links = verified(pairs, docs, nodes, seed)
     discard(spark, pairs)
     components = stored(connected_components(links), "components")
     free_shuffles(spark)
@@ -397,7 +427,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         free_shuffles(spark)
         pairs = tree_pairs(groups, found, small(components), forest)
         free_shuffles(spark)
-        links = links.unionByName(verified(pairs, docs, nodes, found, seed))
+        links = links.unionByName(verified(pairs, docs, nodes, seed))
         discard(spark, pairs)
         free_shuffles(spark)
         components = stored(connected_components(links), "components")

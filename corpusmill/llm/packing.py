@@ -37,7 +37,7 @@ from corpusmill.llm.common import stored, table
 CAPACITY = 4096
 END_TOKEN = 1
 #: Chunks of text (words with their punctuation) in a generation of kept ids.
-CACHE_CHUNKS = 400_000
+CACHE_CHUNKS = 150_000
 #: Pieces of one length that are numbered together.
 GROUP_ROWS = 1_000
 MAX_NODES = 20_000

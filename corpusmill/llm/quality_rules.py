@@ -32,7 +32,7 @@ SYMBOLS = re.compile(r"[#*$%&|<>]")
 SCRIPTS = ("LATIN", "GREEK", "CYRILLIC", "ARABIC", "HEBREW", "DEVANAGARI", "HANGUL", "HIRAGANA", "KATAKANA", "CJK", "THAI")
 MIN_WORDS = 50
 #: Distinct words that a Python worker keeps the encoding of.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 150_000
 #: A band reaches so many times the distance between the quartiles beyond them, and at
 #: least so far (the figures' units).
 REACH = 3.5
