@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from corpusmill.llm.common import discard, free_shuffles, stored, table
+from corpusmill.llm.common import arrow_batches, discard, free_shuffles, stored, table
 from corpusmill.llm.components import connected_components
 from corpusmill.llm.signature_tree import OF, SHARE, SignatureTree, bitmap, most_overlap, needed, spanning
 
@@ -50,6 +50,8 @@ SKETCH, SKETCH_PARTS = 1 << 20, 256
 MIN_HASHES = 6
 #: Rows of a group that one traversal takes; larger groups are cut into tiles.
 TILE_ROWS = 2000
+#: Rows with whole token sets in an Arrow batch.
+SET_ROWS = 500
 #: Members that are compared with a hub in one task.
 HUB_ROWS = 500
 #: Rows of a counted table up to which it is broadcast; beyond, the join shuffles.
@@ -247,7 +249,8 @@ def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, seed: int) ->
     wanted = stored(wanted, "wanted")
     sets = docs.join(small(wanted), "doc_id").select("hub", "salt", "member", "node", "text").mapInArrow(_sets(seed), "hub long, salt int, member boolean, node long, tokens binary")
     dealt = sets.repartition("hub", "salt").sortWithinPartitions("hub", "salt", "member")
-    links = stored(dealt.mapInArrow(_compared, "a long, b long").distinct(), "links")
+    with arrow_batches(docs.sparkSession, SET_ROWS):
+        links = stored(dealt.mapInArrow(_compared, "a long, b long").distinct(), "links")
     discard(docs.sparkSession, wanted)
     return links
 

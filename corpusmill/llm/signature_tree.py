@@ -14,7 +14,7 @@ from dataclasses import dataclass
 
 import numpy as np
 
-BITS = 2048
+BITS = 4096
 FANOUT = 8
 CHUNK = 4096
 #: Similarity of a link as a fraction; 100 * intersection >= 75 * union.
