@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from corpusmill.functions import text as T
-from corpusmill.functions.plans import ranked, top_k
+from corpusmill.functions.plans import broadcast_if_small, ranked, top_k
 from corpusmill.jobs.search_jobs import _bm25, _DOCS, blocks, questions
 from corpusmill.operators import evaluation as E
 from corpusmill.operators import retrieval, sampling, sessions
@@ -95,7 +95,7 @@ def _gold(spark, sf_dir):
     keys = questions(spark, sf_dir).select("qid", first.alias("key"))
     w = T.lower_words(F.col("text"))
     windows = blocks(spark, sf_dir).select("id", w.alias("w")).where(F.size("w") >= 10).select("id", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("w") - 9), lambda i: F.array_join(F.slice(F.col("w"), i, 10), " ")))).alias("key"))
-    return windows.join(F.broadcast(keys), "key").select("qid", F.lit(0).alias("gold_group"), "id").distinct()
+    return windows.join(broadcast_if_small(keys), "key").select("qid", F.lit(0).alias("gold_group"), "id").distinct()
 
 
 def recall_mrr(spark, sf_dir):

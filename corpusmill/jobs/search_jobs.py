@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusmill.functions import text as T
-from corpusmill.functions.plans import ranked, top_k
+from corpusmill.functions.plans import broadcast_if_small, ranked, top_k
 from corpusmill.operators import fusion, retrieval, vectors
 
 TOP = 10
@@ -105,7 +105,7 @@ def tier_fallback(spark, sf_dir):
     best 200; else any term."""
     docs, terms = blocks(spark, sf_dir), retrieval.query_terms(questions(spark, sf_dir))
     strong = retrieval.strong_terms(terms)
-    hits = retrieval.matching_postings(docs, strong, T.index_tokens).join(F.broadcast(strong), "term")
+    hits = retrieval.matching_postings(docs, strong, T.index_tokens).join(broadcast_if_small(strong), "term")
     many = hits.groupBy("qid", "id").agg(F.sum("tf").alias("score"), F.count("*").alias("n")).where("n >= 3").drop("n")
     some = retrieval.tf_scores(docs, strong)
     rows = retrieval.tiered_candidates([many, some, retrieval.tf_scores(docs, terms)], [None, 200, 200])

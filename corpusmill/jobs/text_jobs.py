@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from corpusmill.functions import text as T
-from corpusmill.functions.plans import ranked
+from corpusmill.functions.plans import broadcast_if_small, ranked
 from corpusmill.jobs.search_jobs import _SENTS, questions, sentence_rows
 from corpusmill.operators import evidence_packing as packing
 from corpusmill.operators import retrieval
@@ -71,7 +71,7 @@ def _candidates(spark, sf_dir):
     by their document's best sentence."""
     sents, asked = sentence_rows(spark, sf_dir), questions(spark, sf_dir)
     found = retrieval.best(retrieval.bm25_scores(sents, asked), 40).withColumn("bm25_rank", F.col("rank") - 1)
-    rows = found.join(sents.select("id", "doc", "text"), "id").join(F.broadcast(asked.withColumnRenamed("text", "question")), "qid")
+    rows = found.join(sents.select("id", "doc", "text"), "id").join(broadcast_if_small(asked.withColumnRenamed("text", "question")), "qid")
     q, s = T.feature_sets(F.col("question"))["tokens"], T.feature_sets(F.col("text"))["tokens"]
     near = F.size(F.array_intersect(q, s)) / F.greatest(F.lit(1.0), F.sqrt(F.size(q) * F.size(s).cast("double")))
     rows = ranked(rows.withColumn("near", F.round(near, 9)), ["qid"], [F.col("near").desc(), F.col("id")], "dense_rank").withColumn("dense_rank", F.col("dense_rank") - 1)

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from corpusmill.functions import text as T
+from corpusmill.functions.plans import broadcast_if_small
 
 HUNK = r"^@@ -\d+(?:,\d+)? \+(\d+)(?:,(\d+))? @@"
 
@@ -70,11 +71,11 @@ def file_scores(issues: DataFrame, files: DataFrame) -> DataFrame:
     10000 more for files that the issue names, 900 for each of their symbols it names."""
     tokens = files.select("path", F.explode(T.code_tokens(F.concat_ws(" ", "text", "path"))).alias("token")).groupBy("path", "token").agg(F.count("*").alias("tf"))
     asked = issues.select("id", F.explode(F.array_distinct(T.code_tokens(F.col("text")))).alias("token"))
-    lexical = tokens.join(F.broadcast(asked), "token").groupBy("id", "path").agg(F.sum(F.log1p("tf")).alias("score"))
+    lexical = tokens.join(broadcast_if_small(asked), "token").groupBy("id", "path").agg(F.sum(F.log1p("tf")).alias("score"))
     named = issues.select("id", F.explode(T.code_paths(F.col("text"))).alias("suffix"))
-    explicit = files.select("path").join(F.broadcast(named), F.endswith("path", F.col("suffix"))).groupBy("id", "path").agg(F.lit(10_000.0).alias("score"))
+    explicit = files.select("path").join(broadcast_if_small(named), F.endswith("path", F.col("suffix"))).groupBy("id", "path").agg(F.lit(10_000.0).alias("score"))
     spoken = issues.select("id", F.explode(T.code_symbols(F.col("text"))).alias("name"))
-    by_name = symbols(files).select("path", F.element_at(F.split("symbol", r"\."), -1).alias("name")).distinct().join(F.broadcast(spoken), "name")
+    by_name = symbols(files).select("path", F.element_at(F.split("symbol", r"\."), -1).alias("name")).distinct().join(broadcast_if_small(spoken), "name")
     strong = by_name.groupBy("id", "path").agg((F.count("*") * 900.0).alias("score"))
     return lexical.unionByName(explicit).unionByName(strong).groupBy("id", "path").agg(F.round(F.sum("score"), 6).alias("score"))
 

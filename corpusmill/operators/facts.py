@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from corpusmill.functions import text as T
+from corpusmill.functions.plans import broadcast_if_small
 
 NAME = r"\bProject\s+([A-Z][A-Z0-9_-]*)\b"
 OWNER = r"managed by ([A-Za-z0-9_ ]+)"
@@ -43,7 +44,7 @@ def extract(evidence: DataFrame, renamed: DataFrame | None = None) -> DataFrame:
     targets = F.when(F.size(of_line) > 0, of_line).when(~T.is_noise_path(F.col("source_file")), F.col("of_block"))
     rows = lines.withColumn("entity", F.explode(targets))
     if renamed is not None:
-        rows = rows.join(F.broadcast(renamed), rows["entity"] == renamed["old"], "left").withColumn("entity", F.coalesce("new", "entity")).drop("old", "new")
+        rows = rows.join(broadcast_if_small(renamed), rows["entity"] == renamed["old"], "left").withColumn("entity", F.coalesce("new", "entity")).drop("old", "new")
     line, budget = F.col("line"), T.budget_string(F.col("line"))
     amount, status = T.normalized_budget(budget), T.line_status(F.col("line"))
     nothing = F.lit(None).cast("bigint")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.functions.plans import top_k
+from corpusmill.functions.plans import broadcast_if_small, top_k
 
 
 def hash_order(key: str, seed: int) -> F.Column:
@@ -22,7 +22,7 @@ def proportional(df: DataFrame, by: str, key: str, total: int, seed: int = 42) -
     sizes = df.groupBy(by).agg(F.count("*").alias("_n"))
     share = sizes.join(F.broadcast(sizes.agg(F.sum("_n").alias("_all")))).select(F.col(by).alias("_by"), F.greatest(F.lit(1), F.round(F.lit(total) * F.col("_n") / F.col("_all"))).alias("_take"))
     ranked = top_k(df, [by], [hash_order(key, seed), F.col(key)], total, "sample_rank")
-    return ranked.join(F.broadcast(share), ranked[by].eqNullSafe(share["_by"])).where("sample_rank <= _take").drop("_by", "_take")
+    return ranked.join(broadcast_if_small(share), ranked[by].eqNullSafe(share["_by"])).where("sample_rank <= _take").drop("_by", "_take")
 
 
 def not_done(todo: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:
