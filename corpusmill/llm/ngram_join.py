@@ -13,8 +13,8 @@ component under links. No link between different sets is lost:
    shingles by the sketch, the others cut into tiles). In a group a signature tree is
    traversed against itself, which leaves the pairs that its bounds allow. A pair that
    a node's preceding group has seen too is left to that one.
-4. First only a spanning forest of each group's likeliest pairs is verified on the sets,
-   a pair per member at most; that ties groups together. Then every pair that is left
+4. Twice, only the likeliest pair of each node is verified on the sets, out of spanning
+   forests of the groups' likeliest pairs; that ties groups together. Then every pair that is left
    between different components is verified.
 5. Components of the verified links, by star rounds over edge tables.
 
@@ -361,15 +361,16 @@ def _pairs(rows: pa.Table, forest: bool) -> pa.RecordBatch:
     key, tile = rows.column("key").to_numpy(), np.array(rows.column("tile").to_pylist(), dtype=object)
     start = np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (tile[1:] != tile[:-1]))) if len(key) else np.zeros(0, np.int64)
     stop = np.append(start[1:], len(key))
-    out: list[tuple[np.ndarray, np.ndarray]] = []
+    out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     for s, e in zip(start, stop):
         if e - s < 2:
             continue
         if e - s == 2:  # most groups: the leaf's bound alone
             if comp[s] != comp[s + 1] and not (some[s] and some[s + 1] and prev[s] == prev[s + 1]):
                 surplus = n[s : s + 2] - np.bitwise_count(bits[s : s + 2]).sum(axis=1, dtype=np.int64)
-                if int(np.bitwise_count(bits[s] & bits[s + 1]).sum(dtype=np.int64)) + surplus.min() >= needed(n[s] + n[s + 1]):
-                    out.append((np.array([s]), np.array([s + 1])))
+                shared = int(np.bitwise_count(bits[s] & bits[s + 1]).sum(dtype=np.int64)) + surplus.min()
+                if shared >= needed(n[s] + n[s + 1]):
+                    out.append((np.array([s]), np.array([s + 1]), np.array([shared / max(n[s] + n[s + 1] - shared, 1)])))
             continue
         groups = np.unique(comp[s:e], return_inverse=True)[1]
         found = []
@@ -377,14 +378,14 @@ def _pairs(rows: pa.Table, forest: bool) -> pa.RecordBatch:
             new = ~(some[a + s] & some[b + s] & (prev[a + s] == prev[b + s]))
             found.append((a[new], b[new]))
         a, b = (np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, np.int64),) * 2
+        weight = most_overlap(n[s:e], bits[s:e], a, b) if forest else np.zeros(len(a))
         if forest and len(a):
-            taken = spanning(groups, a, b, most_overlap(n[s:e], bits[s:e], a, b))
-            a, b = a[taken], b[taken]
-        out.append((a + s, b + s))
-    a = node[np.concatenate([x for x, _ in out])] if out else np.zeros(0, np.int64)
-    b = node[np.concatenate([x for _, x in out])] if out else np.zeros(0, np.int64)
-    both = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1) if len(a) else np.zeros((2, 0), np.int64)
-    return _batch3(both, ["a", "b"])
+            taken = spanning(groups, a, b, weight)
+            a, b, weight = a[taken], b[taken], weight[taken]
+        out.append((a + s, b + s, weight))
+    a, b = (node[np.concatenate([x[k] for x in out])] if out else np.zeros(0, np.int64) for k in (0, 1))
+    weight = np.concatenate([x[2] for x in out]) if out else np.zeros(0)
+    return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(weight)], names=["a", "b", "weight"])
 
 
 def groups_of(found: DataFrame, components: DataFrame) -> DataFrame:
@@ -398,6 +399,14 @@ def groups_of(found: DataFrame, components: DataFrame) -> DataFrame:
     return groups
 
 
+def heaviest(pairs: DataFrame) -> DataFrame:
+    """Of ``pairs`` (a, b, weight) each node's heaviest alone: a pair per node at most,
+    however many groups have found pairs of it."""
+    ends = pairs.select(F.col("a").alias("node"), "a", "b", "weight").unionByName(pairs.select(F.col("b").alias("node"), "a", "b", "weight"))
+    best = ends.groupBy("node").agg(F.max(F.struct("weight", "a", "b")).alias("best"))
+    return best.select("best.a", "best.b").distinct()
+
+
 def tree_pairs(groups: DataFrame, found: DataFrame, components: DataFrame, forest: bool) -> DataFrame:
     """Pairs of nodes of different components that the signature trees can't rule out:
     all, or of each group a spanning forest."""
@@ -407,8 +416,8 @@ def tree_pairs(groups: DataFrame, found: DataFrame, components: DataFrame, fores
     wanted = stored(rows.select("node").distinct(), "wanted-bits")
     bits = found.select("node", "n", "bits").join(small(wanted), "node", "left_semi").dropDuplicates(["node"])
     tiled = tiles(rows).join(bits, "node").select("key", "tile", "node", "comp", "prev", "n", "bits")
-    pairs = tiled.repartition("key", "tile").sortWithinPartitions("key", "tile").mapInArrow(_traverse(forest), "a long, b long")
-    pairs = stored(pairs.distinct(), "pairs")
+    pairs = tiled.repartition("key", "tile").sortWithinPartitions("key", "tile").mapInArrow(_traverse(forest), "a long, b long, weight double")
+    pairs = stored(heaviest(pairs) if forest else pairs.select("a", "b").distinct(), "pairs")
     for x in (rows, wanted):
         discard(found.sparkSession, x)
     return pairs
@@ -426,7 +435,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     components = stored(connected_components(links), "components")
     free_shuffles(spark)
     groups = groups_of(found, small(components))
-    for forest in (True, False):
+    for forest in (True, True, False):
         free_shuffles(spark)
         pairs = tree_pairs(groups, found, small(components), forest)
         free_shuffles(spark)
