@@ -1,7 +1,9 @@
 """The corpus pipeline: documents to training sequences, in five written stages.
 
 Every stage takes what its predecessor kept, as a table, and its result is written and
-read again before the next. All but the last return the columns of ``documents``.
+read again before the next. All but the last return the columns of ``documents``. The
+mixture is the order of the fourth stage's files and rows; packing numbers its sequences
+along it.
 """
 
 from __future__ import annotations
@@ -13,7 +15,7 @@ from corpusmill.llm.common import stored, table
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack_documents(docs)
+    return packing.pack_documents(docs, ordered=True)
 
 
 STAGES = [

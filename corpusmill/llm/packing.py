@@ -7,6 +7,12 @@ there are. Bin completion runs over that histogram on the driver and returns pat
 pieces of each length (within salted groups of bounded size, joined to their groups'
 prefix sums) and joins each number to the pattern that takes it.
 
+Where the order of the documents counts (``ordered``: that of the files and rows they are
+read from, a mixture), the pieces of a length are numbered in that order, and the uses of
+every pattern are dealt out evenly over ``EPOCHS`` parts of the plan. So the sequences of
+one part take the pieces of one part of the order, whatever their lengths. More patterns
+than ``PLAN_ROWS`` allows make fewer parts.
+
 Bin completion: a sequence is made around the largest piece left; the undominated
 fillings of its rest are branched over in order of waste; a branch is left when its waste
 exceeds what one sequence less than the incumbent's allows; the first incumbent is
@@ -28,6 +34,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -40,6 +47,8 @@ END_TOKEN = 1
 CACHE_CHUNKS = 150_000
 #: Pieces of one length that are numbered together.
 GROUP_ROWS = 1_000
+#: Parts of an ordered plan, and the rows up to which they may lengthen it.
+EPOCHS, PLAN_ROWS = 64, 100_000
 MAX_NODES = 20_000
 PIECE_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -124,21 +133,24 @@ def word_ids(path: str) -> WordIds:
     return WordIds(path)
 
 
-def _cut(path: str, capacity: int):
+def _cut(path: str, capacity: int, also: tuple[str, ...] = ()):
     end = END_TOKEN.to_bytes(4, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = word_ids(path)
         for batch in batches:
             rows: list[list[int]] = [[], [], [], [], []]
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text")):
+            at: list[int] = []
+            for i, (doc_id, text) in enumerate(zip(batch.column("doc_id").to_pylist(), batch.column("text"))):
                 ids = words.of(text.as_py()) + end
                 for k, start in enumerate(range(0, len(ids) // 4, capacity)):
                     part = ids[4 * start : 4 * (start + capacity)]
                     for column, x in zip(rows, (doc_id, k, start, len(part) // 4, zlib.crc32(part))):
                         column.append(x)
+                    at.append(i)
             types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, types)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
+            kept = [batch.column(c).take(pa.array(at, pa.int64())) for c in also]
+            yield pa.RecordBatch.from_arrays([*(pa.array(c, t) for c, t in zip(rows, types)), *kept], names=["doc_id", "piece", "start", "length", "ids_crc32", *also])
 
     return run
 
@@ -148,6 +160,29 @@ def pieces_of(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAP
     return docs.select("doc_id", "text").mapInArrow(_cut(tokenizer or default_tokenizer(), capacity), PIECE_SCHEMA)
 
 
+def located_pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY) -> DataFrame:
+    """``pieces_of`` with _file and _row: the file of a document and its row there, or, if
+    ``docs`` isn't read from Parquet files, its partition and row."""
+    try:
+        rows = docs.select("doc_id", "text", F.col("_metadata.file_name").alias("_file"), F.col("_metadata.row_index").alias("_row"))
+    except AnalysisException:
+        n = F.monotonically_increasing_id()
+        rows = docs.select("doc_id", "text", n.alias("_n")).select(
+            "doc_id", "text", F.format_string("part-%d", F.shiftright("_n", 33)).alias("_file"), F.col("_n").bitwiseAND((1 << 33) - 1).alias("_row")
+        )
+    return rows.mapInArrow(_cut(tokenizer or default_tokenizer(), capacity, ("_file", "_row")), f"{PIECE_SCHEMA}, _file string, _row long")
+
+
+def positions(pieces: DataFrame) -> DataFrame:
+    """``located_pieces`` (a stored table) with _pos, their document's number from 0 in
+    the order of files and rows, and _total, how many documents there are."""
+    files = pieces.groupBy("_file").agg((F.max("_row") + 1).alias("_n"))
+    number = F.regexp_extract("_file", r"^part-(\d+)", 1).try_cast("long")
+    before = F.sum("_n").over(Window.orderBy(number, "_file")) - F.col("_n")  # a row per file
+    starts = files.select("_file", before.alias("_start"), F.sum("_n").over(Window.partitionBy()).alias("_total"))
+    return pieces.join(F.broadcast(starts), "_file").withColumn("_pos", F.col("_start") + F.col("_row")).drop("_file", "_row", "_start")
+
+
 # --- bin completion over a histogram of lengths ---------------------------------------
 
 
@@ -327,40 +362,65 @@ def slots(plan: list[tuple[dict[int, int], int]]) -> list[tuple[int, int, int, i
     return out
 
 
+def in_epochs(plan: list[tuple[dict[int, int], int]], epochs: int = EPOCHS, most: int = PLAN_ROWS) -> list[tuple[dict[int, int], int]]:
+    """``plan`` in parts that each use every pattern as often, give or take one; patterns
+    of few uses begin at different parts."""
+    while epochs > 1 and sum(len(p) * min(t, epochs) for p, t in plan) > most:
+        epochs //= 2
+    phase = [int(i * 0.6180339887498949 % 1 * epochs) for i in range(len(plan))]
+    upto = lambda i, e: (e * plan[i][1] + phase[i]) // epochs
+    return [(p, n) for e in range(epochs) for i, (p, _) in enumerate(plan) if (n := upto(i, e + 1) - upto(i, e))]
+
+
 # --- on Spark --------------------------------------------------------------------------
 
 
-def pack(pieces: DataFrame, capacity: int = CAPACITY, max_nodes: int = MAX_NODES, group_rows: int = GROUP_ROWS) -> DataFrame:
-    """``pieces`` (a stored table) with sequence_id and offset.
+def pack(pieces: DataFrame, capacity: int = CAPACITY, max_nodes: int = MAX_NODES, group_rows: int = GROUP_ROWS, ordered: bool = False) -> DataFrame:
+    """``pieces`` (a stored table) with sequence_id and offset; ``ordered`` pieces have
+    their place (_file, _row), which the numbers of the sequences follow.
 
     To the driver comes a count per length, ``capacity`` rows at most; the broadcast
-    tables have a row per length or per length of a pattern.
+    tables have a row per length or per length of a pattern (and part of the plan).
     """
     spark = pieces.sparkSession
+    columns = [c for c in pieces.columns if not (ordered and c in ("_file", "_row"))]
     counts = {r.length: r.n for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
-    plan = slots(complete(counts, capacity, max_nodes))
+    found = complete(counts, capacity, max_nodes)
+    plan = slots(in_epochs(found) if ordered else found)
     places = spark.createDataFrame(plan, "length long, first long, past long, each long, sequence long, at long")
     salts = spark.createDataFrame([(n, -(-c // group_rows)) for n, c in counts.items()], "length long, salts long")
-    salted = pieces.join(F.broadcast(salts), "length").withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), "salts")).drop("salts")
+    if ordered:
+        pieces, order = positions(pieces), ["_pos", "piece"]
+        salt = F.floor(F.col("_pos") / F.col("_total") * F.col("salts")).cast("long")
+    else:
+        order = ["doc_id", "piece", "ids_crc32"]
+        salt = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), "salts")
+    salted = pieces.join(F.broadcast(salts), "length").withColumn("salt", salt).drop("salts")
     sizes = salted.groupBy("length", "salt").agg(F.count("*").alias("n"))
     before = sizes.select("length", "salt", (F.sum("n").over(Window.partitionBy("length").orderBy("salt")) - F.col("n")).alias("before"))
-    in_group = Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "ids_crc32")
+    in_group = Window.partitionBy("length", "salt").orderBy(*order)
     numbered = (
         salted.withColumn("_k", F.row_number().over(in_group)).join(before, ["length", "salt"])
         .withColumn("_k", F.col("_k") - 1 + F.col("before"))
     )
-    place = F.broadcast(places.withColumnRenamed("length", "_length"))
-    found = numbered.join(place, (F.col("length") == F.col("_length")) & (F.col("_k") >= F.col("first")) & (F.col("_k") < F.col("past")))
+    same = (F.col("length") == F.col("_length")) & (F.col("_k") >= F.col("first")) & (F.col("_k") < F.col("past"))
+    places = places.withColumnRenamed("length", "_length")
+    if ordered:  # a length has a row per pattern and part: looked up by blocks of numbers
+        block = lambda k: F.floor(k / (10 * group_rows)).cast("long")
+        places = places.withColumn("_block", F.explode(F.sequence(block(F.col("first")), block(F.col("past") - 1))))
+        same = same & (F.col("_block") == block(F.col("_k")))
+    found = numbered.join(F.broadcast(places), same)
     nth = F.col("_k") - F.col("first")
     return found.select(
-        *pieces.columns,
+        *columns,
         (F.col("sequence") + F.floor(nth / F.col("each"))).cast("long").alias("sequence_id"),
         (F.col("at") + (nth % F.col("each")) * F.col("length")).cast("long").alias("offset"),
     )
 
 
-def pack_documents(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY) -> DataFrame:
-    return pack(stored(pieces_of(docs, tokenizer, capacity), "pieces"), capacity)
+def pack_documents(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY, ordered: bool = False) -> DataFrame:
+    cut = located_pieces if ordered else pieces_of
+    return pack(stored(cut(docs, tokenizer, capacity), "pieces"), capacity, ordered=ordered)
 
 
 def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from corpusmill.llm import ngram_join, quality_classifier, quality_rules
+from corpusmill.llm import mixing, ngram_join, packing, quality_classifier, quality_rules
 from corpusmill.llm.common import stored
 
 SF = "/root/testdata/sf0.001"
@@ -47,6 +47,28 @@ def test_run_equals_the_stages(spark, stages):
     assert rows(corpus_pipeline.run(spark, SF)) == rows(stages[-1])
 
 
+def test_mixing_decides_the_order_of_sequences(spark, stages):
+    name, pack = corpus_pipeline.STAGES[-1]
+    placed = lambda df: sorted(map(tuple, df.select("ids_crc32", "piece", "sequence_id", "offset").collect()))
+    assert placed(pack(spark, stages[-2], SF)) == placed(stages[-1])
+    assert placed(stored(pack(spark, stages[-3], SF), name)) != placed(stages[-1])
+
+
+def test_sequences_follow_the_mixture(spark):
+    rows = [(i, "word " * (1 + i * 7 % 5), "a" if i < 300 else "b", 1) for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars long").repartition(1).sortWithinPartitions("doc_id")
+    for given in (docs, stored(docs, "unmixed")):  # rows of a plan, rows of files
+        single = packing.pack_documents(given, capacity=20, ordered=True).toPandas().sort_values("sequence_id")
+        assert single.doc_id.head(150).max() < 300 <= single.doc_id.tail(150).min()
+    mixed = stored(mixing.in_order(spark, docs, SF), "mixed")
+    got = packing.pack_documents(mixed, capacity=20, ordered=True).toPandas().sort_values("sequence_id")
+    assert list(got.columns) == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
+    place = {r.doc_id: i for i, r in enumerate(mixing.placed(docs).select("row.doc_id", "slot", "place").orderBy("slot", "place").collect())}
+    quarters = [got.doc_id.map(place)[k * len(got) // 4 : (k + 1) * len(got) // 4] for k in range(4)]
+    assert all(abs(q.mean() - 150 * k - 75) < 30 for k, q in enumerate(quarters)), [q.mean() for q in quarters]
+    assert len(got) == 600 and not got.duplicated(["sequence_id", "offset"]).any()
+
+
 def test_empty_documents(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
     for _, stage in corpus_pipeline.STAGES:
