@@ -14,9 +14,13 @@ one part take the pieces of one part of the order, whatever their lengths. More
 than ``PLAN_ROWS`` allows make fewer parts.
 
 Bin completion: a sequence is made around the largest piece left; the undominated
-fillings of its rest are branched over in order of waste; a branch is left when its waste
-exceeds what one sequence less than the incumbent's allows; the first incumbent is
-best-fit decreasing. The search ends at the lower bound or after ``max_nodes`` nodes.
+fillings of its rest, of any number of pieces, are branched over in order of waste, and
+over how often each is used; a branch is left when its waste exceeds what one sequence
+less than the incumbent's allows; the first incumbent is best-fit decreasing. Fillings
+are made one at a time, by a depth-first search that a table of the sums which the pieces
+left can make keeps from dead ends. The search ends at the lower bound or after
+``max_nodes`` nodes (patterns looked at), the one limit: then the best found so far is
+returned, with no proof that there is none better.
 
 Cases: a null or empty text is a document of one token (the end token). Repeated rows
 are packed each. Very long texts are tokenized whole and cut. An empty table gives no
@@ -28,7 +32,7 @@ from __future__ import annotations
 import re
 import zlib
 from array import array
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
@@ -50,6 +54,8 @@ GROUP_ROWS = 1_000
 #: Parts of an ordered plan, and the rows up to which they may lengthen it.
 EPOCHS, PLAN_ROWS = 64, 100_000
 MAX_NODES = 20_000
+#: Steps of the search, from the last, whose sums stay in memory.
+KEPT_SUMS = 32
 PIECE_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -204,20 +210,23 @@ def lower_bound(counts: dict[int, int], capacity: int) -> int:
 
 
 class _Left:
-    """Counts of lengths left, and their sorted list."""
+    """Counts of lengths left, their sorted list, and a bit set of them."""
 
     def __init__(self, counts: dict[int, int]):
         self.counts = dict(counts)
         self.lengths = sorted(n for n, c in counts.items() if c > 0)
+        self.bits = sum(1 << n for n in self.lengths)
 
     def change(self, pattern: dict[int, int], times: int) -> None:
         for n, k in pattern.items():
             before = self.counts[n]
             self.counts[n] = before - k * times
             if before and not self.counts[n]:
-                self.lengths.remove(n)
+                del self.lengths[bisect_left(self.lengths, n)]
+                self.bits ^= 1 << n
             elif not before and self.counts[n]:
                 self.lengths.insert(bisect_right(self.lengths, n), n)
+                self.bits ^= 1 << n
 
     def at_most(self, room: int) -> int:
         """The largest length left within ``room``, or 0."""
@@ -243,54 +252,132 @@ def _size(pattern: dict[int, int]) -> int:
     return sum(n * k for n, k in pattern.items())
 
 
-def fillings(left: _Left, capacity: int, width: int = 4) -> list[dict[int, int]]:
-    """Undominated patterns around the largest length left, least waste first: one exact
-    piece beats all; else the best of one, two and three pieces, and the greedy filling.
-    A filling is dominated if a larger piece left could take one piece's place."""
-    first = left.lengths[-1]
-    room = capacity - first
-    left.counts[first] -= 1
-    try:
-        has = lambda n, used: left.counts.get(n, 0) - used.count(n) > 0
-        if room == 0:
-            return [{first: 1}]
-        if has(room, ()):
-            return [dict(Counter((first, room)))]
-        found: dict[tuple[int, ...], int] = {}
-        i = bisect_right(left.lengths, room)
-        tried = 0
-        while i > 0 and tried < 400:
+class _Sums:
+    """Which sums up to ``room`` the pieces left can make: for each of ``lengths`` (at
+    most ``room``) a bit set of the sums of it and all shorter ones."""
+
+    def __init__(self, left: _Left, room: int):
+        self.lengths = left.lengths[: bisect_right(left.lengths, room)]
+        self.most = [c if (c := left.counts[n]) * n <= room else room // n for n in self.lengths]
+        full = (1 << (room + 1)) - 1
+        now, self.upto = 1, []
+        for n, c in zip(self.lengths, self.most):
+            k, before = 1, -1
+            while c and now != before:  # c copies, by doubling, while one makes new sums
+                before, k = now, k if k < c else c
+                now |= (now << (n * k)) & full
+                c -= k
+                k *= 2
+            self.upto.append(now)
+        self.all = now
+
+    def of(self, size: int, top: int | None = None) -> Iterator[dict[int, int]]:
+        """Every multiset of pieces that sums to ``size``, those of larger pieces first.
+        No step leads into a dead end."""
+        if size == 0:
+            yield {}
+            return
+        i = len(self.lengths) - 1 if top is None else top
+        while i >= 0 and self.upto[i] >> size & 1:
+            n, below = self.lengths[i], self.upto[i - 1] if i else 1
+            for k in range(min(self.most[i], size // n), 0, -1):
+                if below >> (size - k * n) & 1:
+                    for rest in self.of(size - k * n, i - 1):
+                        yield {n: k, **rest}
             i -= 1
-            x = left.lengths[i]
-            if not has(x, ()):
-                continue
-            tried += 1
-            rest = room - x
-            y = rest if has(rest, (x,)) else left.at_most(rest)
-            if y > x:
-                y = x
-            if y and has(y, (x,)):
-                found[(x, y)] = rest - y
-                if rest == y:
-                    break
-                if tried <= 40:
-                    z = left.at_most(rest - y)
-                    if z and has(z, (x, y)):
-                        found[(x, y, z)] = rest - y - z
-            else:
-                found[(x,)] = rest
-        used = _greedy(left, first, room)
-        used[first] = used.get(first, 1)
-        patterns = [(capacity - _size(used), used)]
-        patterns += [(waste, dict(Counter((first, *s)))) for s, waste in sorted(found.items(), key=lambda e: (e[1], len(e[0]), [-n for n in e[0]]))[: 2 * width]]
-        out: list[dict[int, int]] = []
-        for waste, p in sorted(patterns, key=lambda e: (e[0], sum(e[1].values()))):
-            better = any(left.at_most(n + waste) > n and has(left.at_most(n + waste), tuple(p)) for n in p if n != first) if waste else False
-            if p not in out and not (better and out):
-                out.append(p)
-        return out[:width]
-    finally:
+
+
+def dominated(left: _Left, pattern: dict[int, int], waste: int) -> bool:
+    """Whether some of the pieces of ``pattern`` (without the first) could give way to one
+    piece left that is no smaller than they are together: a larger piece, or one for many,
+    or one more beside them."""
+    sums, many, singles = 1, 0, 0
+    for n, k in pattern.items():
+        for _ in range(k):
+            many |= (sums & ~1) << n
+            sums |= sums << n
+        singles |= 1 << n
+    better = (_up_to(many, waste) | (_up_to((singles | 1) << 1, waste - 1) if waste else 0)) & left.bits
+    while better:
+        n = (better & -better).bit_length() - 1
+        if left.counts[n] > pattern.get(n, 0):
+            return True
+        better &= better - 1
+    return False
+
+
+def _up_to(sums: int, more: int) -> int:
+    """The sums, and those that exceed one of them by up to ``more``."""
+    done = 0
+    while done < more:
+        step = min(done + 1, more - done)
+        sums |= sums << step
+        done += step
+    return sums
+
+
+class Fillings:
+    """The undominated patterns around the largest length left, made one at a time, least
+    waste first. ``next`` gives a pattern and its waste, or None when no pattern of at
+    most the allowed waste is left; ``looked`` counts the patterns looked at.
+
+    The sums that the search needs are dropped by ``forget``, and made again if it goes on
+    (by then the pieces left are the same again).
+    """
+
+    def __init__(self, left: _Left, capacity: int, without: dict[int, int] | None = None):
+        self.left, self.first, self.without = left, left.lengths[-1], without
+        self.room, self.looked, self.allowed, self.limit = capacity - self.first, 0, 0, 0
+        self.sums: _Sums | None = None
+        self.found = self._search()
+
+    def forget(self) -> None:
+        self.sums = None
+        self.found = None
+
+    def next(self, allowed: int, looks: int) -> tuple[dict[int, int], int] | None:
+        """At most ``looks`` patterns are looked at."""
+        self.allowed, self.limit = allowed, self.looked + looks
+        if self.found is None:
+            seen, self.looked = self.looked, 0
+            self.found = self._search(seen)
+        return next(self.found, None)
+
+    def _search(self, seen: int = 0) -> Iterator[tuple[dict[int, int], int]]:
+        left, first, room = self.left, self.first, self.room
+        left.counts[first] -= 1
+        alone = left.counts.get(room, 0) > 0 or room == 0
+        if not alone:
+            self.sums = _Sums(left, room)
         left.counts[first] += 1
+        if alone:  # one piece that fills the rest is as good as any
+            self.looked += 1
+            pattern = {first: 1} if not room else {first: 2} if room == first else {first: 1, room: 1}
+            if self.looked > seen and pattern != self.without:
+                yield pattern, 0
+            if pattern != self.without:
+                return
+            left.counts[first] -= 1
+            self.sums = _Sums(left, room)
+            left.counts[first] += 1
+        sums = self.sums
+        for waste in range(room + 1):
+            if waste > self.allowed:
+                return
+            if not sums.all >> (room - waste) & 1:
+                continue
+            for rest in sums.of(room - waste):
+                self.looked += 1
+                if self.looked <= seen:
+                    continue
+                if self.looked > self.limit:
+                    return
+                left.counts[first] -= 1
+                worse = dominated(left, rest, waste)
+                left.counts[first] += 1
+                pattern = {**rest, first: rest.get(first, 0) + 1}
+                if not worse and pattern != self.without:
+                    yield pattern, waste
 
 
 def _times(left: _Left, pattern: dict[int, int]) -> int:
@@ -315,35 +402,45 @@ def complete(counts: dict[int, int], capacity: int = CAPACITY, max_nodes: int =
     counts = {n: c for n, c in counts.items() if c > 0}
     if not counts:
         return []
-    bins = lambda plan: sum(t for _, t in plan)
     total, bound = sum(n * c for n, c in counts.items()), lower_bound(counts, capacity)
     best = best_fit(counts, capacity)
-    left, plan, waste, nodes = _Left(counts), [], 0, 0
-    open_: list[list[dict[int, int]]] = [fillings(left, capacity)]
-    while open_ and bins(best) > bound and nodes < max_nodes:
-        allowed = (bins(best) - 1) * capacity - total
-        if not open_[-1]:
-            open_.pop()
-            if plan:
-                pattern, times = plan.pop()
-                left.change(pattern, -times)
-                waste -= times * (capacity - _size(pattern))
-            continue
-        pattern = open_[-1].pop(0)
-        nodes += 1
-        times = _times(left, pattern)
-        more = times * (capacity - _size(pattern))
-        if waste + more - (capacity - 1 if not len(left.lengths) else 0) > allowed:
-            continue
-        left.change(pattern, times)
-        plan.append((pattern, times))
-        waste += more
-        if left.lengths:
-            open_.append(fillings(left, capacity))
+    fewest = sum(t for _, t in best)
+    left, waste, used, nodes = _Left(counts), 0, 0, 0
+    plan: list[tuple[dict[int, int], int, int]] = []  # pattern, times, waste of each
+    open_ = [Fillings(left, capacity)]
+    while open_ and fewest > bound and nodes < max_nodes:
+        top, allowed = open_[-1], (fewest - 1) * capacity - total - waste
+        if len(plan) == len(open_):  # back from below: the same pattern fewer times, then the next
+            pattern, times, lost = plan.pop()
+            left.change(pattern, -times)
+            waste, used = waste - times * lost, used - times
+            allowed += times * lost
+            times -= 1
+            nodes += 1
         else:
-            if bins(plan) < bins(best):
-                best = list(plan)
-            open_.append([])
+            times = 0
+        if not times:
+            before = top.looked
+            found = top.next(allowed, max_nodes - nodes)
+            nodes += max(1, top.looked - before)
+            if found is None:
+                open_.pop()
+                continue
+            pattern, lost = found
+            times = _times(left, pattern)
+            if lost:
+                times = max(1, min(times, allowed // lost))
+        left.change(pattern, times)
+        plan.append((pattern, times, lost))
+        waste, used = waste + times * lost, used + times
+        if not left.lengths:
+            if used < fewest:
+                best, fewest = [(p, t) for p, t, _ in plan], used
+        elif waste <= (fewest - 1) * capacity - total:
+            again = left.lengths[-1] == max(pattern)
+            open_.append(Fillings(left, capacity, pattern if again else None))
+            if len(open_) > KEPT_SUMS:
+                open_[-1 - KEPT_SUMS].forget()
     return best
 
 

@@ -4,6 +4,7 @@ tables, extra columns with clashing names."""
 
 import base64
 import collections
+import itertools
 import hashlib
 import html
 import random
@@ -80,6 +81,35 @@ def test_bin_completion_is_optimal_on_small_cases(seed):
     assert got == exact_small(lengths, 20)
 
 
+def test_bin_completion_fills_with_many_pieces():
+    rnd, counts = random.Random(1), collections.Counter()
+    while counts.total() < 1000:  # pieces that fill 4096 by fives, of which four leave too little
+        four = [rnd.randint(780, 860) for _ in range(4)]
+        if 780 <= 4096 - sum(four) <= 860:
+            counts.update([*four, 4096 - sum(four)])
+    got = check_plan(counts, packing.complete(counts), 4096)
+    assert got <= 202 < 215 < sum(t for _, t in packing.best_fit(counts, 4096))
+
+
+def test_fillings_are_all_undominated_ones():
+    counts = collections.Counter({9: 1, 5: 2, 4: 2, 3: 1, 2: 2, 1: 1})
+    left, capacity = packing._Left(counts), 19
+    fillings = packing.Fillings(left, capacity)
+    got = []
+    while found := fillings.next(capacity, 1000):
+        got.append((tuple(sorted(found[0].items())), found[1]))
+    rest = list((counts - collections.Counter([9])).elements())
+    every = {tuple(sorted(c)) for k in range(len(rest) + 1) for c in itertools.combinations(rest, k) if sum(c) <= 10}
+
+    def worse(few):  # whether one piece left beats some of them
+        waste, others = 10 - sum(few), collections.Counter(rest) - collections.Counter(few)
+        some = [c for k in range(1, len(few) + 1) for c in itertools.combinations(few, k)]
+        return any(sum(c) <= x <= sum(c) + waste and (len(c) > 1 or x > c[0]) for c in some for x in others) or any(x <= waste for x in others)
+
+    want = {tuple(sorted(collections.Counter((9, *few)).items())): 10 - sum(few) for few in every if not worse(few)}
+    assert dict(got) == want and len(got) == len(want) and [w for _, w in got] == sorted(w for _, w in got)
+
+
 def test_word_ids_equal_the_whole_tokenizer():
     words = packing.word_ids(packing.default_tokenizer())
     assert words.by_chunk
