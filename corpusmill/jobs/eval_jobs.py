@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from corpusmill.functions import text as T
-from corpusmill.functions.plans import broadcast_if_small, ranked, top_k
+from corpusmill.functions.plans import broadcast_if_small, top_k
 from corpusmill.jobs.search_jobs import _bm25, _DOCS, blocks, questions
 from corpusmill.operators import evaluation as E
 from corpusmill.operators import retrieval, sampling, sessions
@@ -132,14 +132,10 @@ def stratified_sample(spark, sf_dir):
 
 
 def context_trim(spark, sf_dir):
-    """How many of a source's documents, longest first, fit a budget of characters."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", F.length("text").alias("n"))
-    rows = ranked(docs.where(F.col("n") < 2000), ["source"], [F.col("n").desc(), F.col("doc_id")])
-    from pyspark.sql.window import Window
-
-    w = Window.partitionBy("source").orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("upto", F.sum("n").over(w))
-    return rows.groupBy("source").agg(F.greatest(F.lit(1), F.count_if(F.col("upto") <= 20_000)).alias("kept"), F.count("*").alias("n"))
+    """How many of a source's documents of less than 2000 characters (the limit of its SQL;
+    null texts are left out too), longest first, fit a budget of characters."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("source", F.length("text").alias("n"))
+    return sampling.trimmed(docs.where(F.col("n") < 2000), "source", "n", 20_000)
 
 
 QUERIES = {f.__name__: f for f in (

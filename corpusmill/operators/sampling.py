@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from corpusmill.functions.plans import broadcast_if_small, top_k
 
@@ -35,3 +36,16 @@ def cached(asked: DataFrame, cache: DataFrame, version: str) -> DataFrame:
     version, and whether it hit."""
     current = cache.where(F.col("version") == version).select("key", "value")
     return asked.join(current, "key", "left").withColumn("hit", F.col("value").isNotNull())
+
+
+def trimmed(rows: DataFrame, by: str, size: str, budget: int) -> DataFrame:
+    """Per ``by`` how many rows (kept), largest ``size`` first, fit the budget together, one
+    at least, and how many there are (n). Rows of one size are counted before the window
+    orders them, so that it has a row per size, however many rows a group has; a null
+    size counts as 0."""
+    of_size = rows.select(by, F.coalesce(F.col(size), F.lit(0)).cast("long").alias("_size")).groupBy(by, "_size").agg(F.count("*").alias("_count"))
+    before = F.sum(F.col("_size") * F.col("_count")).over(Window.partitionBy(by).orderBy(F.col("_size").desc())) - F.col("_size") * F.col("_count")
+    room = F.greatest(F.lit(0), F.lit(budget) - F.col("_before"))
+    fit = F.when(F.col("_before") > budget, F.lit(0)).when(F.col("_size") == 0, F.col("_count")).otherwise(F.least(F.col("_count"), F.floor(room / F.col("_size"))))
+    sums = of_size.withColumn("_before", before).withColumn("_fit", fit.cast("long"))
+    return sums.groupBy(by).agg(F.greatest(F.lit(1), F.sum("_fit")).alias("kept"), F.sum("_count").alias("n"))

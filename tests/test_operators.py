@@ -242,3 +242,10 @@ def test_output_and_claims(spark):
     facts_ = spark.createDataFrame([("A", "budget", "$1", "active"), ("A", "budget", "$2", "obsolete")], "entity string, field string, value string, status string")
     claims = spark.createDataFrame([(1, "A", "budget", "$1"), (2, "A", "budget", "$2"), (3, "A", "budget", "$3"), (4, "B", "budget", "$1")], "claim_id long, entity string, field string, value string")
     assert {r.claim_id: r.state for r in contracts.verified_claims(claims, facts_).collect()} == {1: "active", 2: "obsolete", 3: "wrong_value", 4: "unknown_entity"}
+
+
+def test_trimmed_by_sizes(spark):
+    rows = [("a", 9000), ("a", 7000), ("a", 5000), ("a", 5000), ("a", 0), ("b", 30_000), ("b", 10), (None, 3), ("c", None)] + [("d", 300)] * 500
+    out = sampling.trimmed(spark.createDataFrame(rows, "source string, n long"), "source", "n", 20_000)
+    got = {r.source: (r.kept, r.n) for r in out.collect()}
+    assert got == {"a": (2, 5), "b": (1, 2), None: (1, 1), "c": (1, 1), "d": (66, 500)}
