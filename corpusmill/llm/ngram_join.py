@@ -457,9 +457,17 @@ def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_first(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component: that which names it. Of repeated rows of one id,
-    one stays; rows of a null id stay only if no other row is in their component."""
-    found = stored(near_duplicates(docs), "near-duplicates")
-    stay = found.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    kept = docs.join(small(stored(stay, "stay")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.select(*docs.columns)
+    """One row of each component: that of the smallest doc_id, null last, and among equal
+    ids that of the smallest hash. Components are found on a hash of id and text in place
+    of the id: so rows of a null id link like others, and different texts of one id are
+    told apart. Of repeated rows (id and text) one stays, but rows without a word and
+    without an id stay each."""
+    key = F.xxhash64("doc_id", "text")
+    found = stored(near_duplicates(docs.select(key.alias("doc_id"), "text")), "near-duplicates")
+    found = found.select(F.col("doc_id").alias("_key"), F.col("component_id").alias("_component"), (F.col("n_shingles") == 0).alias("_empty")).distinct()
+    rows = docs.select(key.alias("_key"), "doc_id").distinct().join(found, "_key")
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_key"))
+    stay = rows.groupBy("_component").agg(first.alias("_first"), F.first("_empty").alias("_empty")).select("_first._key", "_empty")
+    kept = docs.withColumn("_key", key).join(small(stored(stay, "stay")), "_key")
+    each = F.when(F.col("_empty") & F.col("doc_id").isNull(), F.monotonically_increasing_id())
+    return kept.withColumn("_each", each).dropDuplicates(["_key", "_each"]).select(*docs.columns)

@@ -4,9 +4,9 @@ tables, extra columns with clashing names."""
 
 import base64
 import collections
-import itertools
 import hashlib
 import html
+import itertools
 import random
 import zlib
 
@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from corpusmill.llm import ann, components, html_text, language_id, mixing, ngram_join, packing, quality_classifier, quality_rules, signature_tree, url_filter, warc
 from corpusmill.llm import queries as llm
+from corpusmill.llm.common import stored
 
 SF = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -203,6 +204,20 @@ def test_near_duplicates_of_nothing(spark):
     assert ngram_join.near_duplicates(spark.createDataFrame([], DOCS)).count() == 0
 
 
+def test_keep_first_with_null_and_repeated_ids(spark):
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(40)) for x in "abcd")
+    rows = [
+        (None, a, 1), (7, b, 2), (7, c, 3), (8, c + " more", 4), (None, c + " again", 5), (None, d, 6), (None, d + " again", 7),
+        (9, "", 8), (9, " ", 9), (None, "", 10), (None, "", 11), (None, None, 12), (7, b, 13),
+    ]
+    docs = stored(spark.createDataFrame(rows, "doc_id long, text string, n int"), "docs")
+    got = ngram_join.keep_first(spark, docs, SF)
+    assert got.columns == docs.columns
+    kept = sorted(r.n for r in got.collect())
+    assert [n for n in kept if n not in (2, 13, 6, 7)] == [1, 3, 8, 9, 10, 11, 12]
+    assert len({2, 13} & set(kept)) == len({6, 7} & set(kept)) == 1
+
+
 def test_tiles_cover_all_pairs(spark):
     rows = [(1, c, n) for n, c in enumerate([0] * 23 + [1] * 9 + [2] * 3)] + [(2, 0, 50), (2, 1, 51)]
     got = ngram_join.tiles(spark.createDataFrame(rows, "key long, comp long, node long"), 5).collect()
