@@ -4,9 +4,11 @@ Fertility figures of a text, over its words, each encoded on its own by a senten
 vocabulary with byte fallback: characters per token, the share of byte-fallback tokens,
 and the entropy of its token distribution, as a share of the most that so many tokens
 can have. Per language (or, where that is null, per script) the quartiles of each figure
-over all documents give a band; a document outside a band of its group is rejected.
-Figures of short texts scatter more, so below the group's median length the band widens
-with the square root of median over own length. Groups of fewer than ``min_group`` documents use the bands of all documents.
+over the group's documents give a band; a document outside a band of its group is
+rejected. Figures of short texts scatter more, so below the group's median length the
+band widens with the square root of median over own length. Quartiles of few documents
+scatter too, so a group of n documents has its room widened by the square root of
+1 + ``min_group`` / n: one rule at every size, and never the bands of other languages.
 
 Cases: null and empty texts have zero counts and fail the base rules (n_words < 50); so
 they never reach the bands. Very long texts are read whole. Repeated rows count and are
@@ -37,6 +39,7 @@ CACHE_WORDS = 150_000
 #: least so far (the figures' units).
 REACH = 3.5
 LEAST_REACH = {"chars_per_token": 0.05, "byte_share": 0.02, "entropy": 0.12}
+#: Documents of a group whose room is wider by the square root of two.
 MIN_GROUP = 50
 
 STATS_SCHEMA = (
@@ -134,19 +137,18 @@ def with_stats(docs: DataFrame, model: str, column: str = "_stats") -> DataFrame
 
 
 def bands(stats: DataFrame, reach: float = REACH, min_group: int = MIN_GROUP) -> DataFrame:
-    """A row per group (and one of null group, over all) with low and high ends and the
-    room beside them, from all documents that pass the base rules."""
+    """A row per group with low and high ends and the room beside them, from its documents
+    that pass the base rules."""
     names = list(LEAST_REACH)
     figures = [F.count("*").alias("n"), F.percentile_approx("n_tokens", 0.5, 1000).alias("typical")]
     figures += [F.percentile_approx(c, [0.25, 0.75], 1000).alias(c) for c in names]
-    sound = stats.where(~base_failed())
-    overall = sound.agg(*figures).withColumn("group", F.lit(None).cast("string"))
-    both = sound.groupBy("group").agg(*figures).where(F.col("n") >= min_group).unionByName(overall)
+    groups = stats.where(~base_failed()).groupBy("group").agg(*figures)
+    few = F.sqrt(1 + F.lit(float(min_group)) / F.col("n"))
     ends = []
     for c in names:
         room = F.greatest(F.lit(reach) * (F.col(c)[1] - F.col(c)[0]), F.lit(LEAST_REACH[c]))
-        ends += [F.col(c)[0].alias(f"{c}_low"), F.col(c)[1].alias(f"{c}_high"), room.alias(f"{c}_room")]
-    return both.select("group", "n", "typical", *ends)
+        ends += [F.col(c)[0].alias(f"{c}_low"), F.col(c)[1].alias(f"{c}_high"), (room * few).alias(f"{c}_room")]
+    return groups.select("group", "n", "typical", *ends)
 
 
 def base_failed():
@@ -155,22 +157,18 @@ def base_failed():
 
 def judge(stats: DataFrame, limits: DataFrame) -> DataFrame:
     """Stats with base_failed, kept and reason. ``limits`` has a row per language or
-    script, a set that doesn't grow with the documents."""
-    limits = limits.drop("n")
-    own = limits.where(F.col("group").isNotNull())
-    overall = limits.where(F.col("group").isNull()).select(*[F.col(c).alias(f"all_{c}") for c in limits.columns if c != "group"])
-    limit = lambda name: F.coalesce(F.col(name), F.col(f"all_{name}"))
-    wider = F.sqrt(F.greatest(F.lit(1.0), limit("typical") / F.greatest(F.col("n_tokens"), F.lit(1))))
+    script, a set that doesn't grow with the documents; every document that passes the
+    base rules has one."""
+    wider = F.sqrt(F.greatest(F.lit(1.0), F.col("typical") / F.greatest(F.col("n_tokens"), F.lit(1))))
     inside = F.lit(True)
     reason = F.when(base_failed(), "base")
     for c in LEAST_REACH:
-        room = limit(f"{c}_room") * wider
-        ok = F.coalesce(F.col(c).between(limit(f"{c}_low") - room, limit(f"{c}_high") + room), F.lit(True))
+        room = F.col(f"{c}_room") * wider
+        ok = F.coalesce(F.col(c).between(F.col(f"{c}_low") - room, F.col(f"{c}_high") + room), F.lit(True))
         inside = inside & ok
         reason = reason.when(~ok, c)
     return (
-        stats.join(F.broadcast(own), "group", "left")
-        .join(F.broadcast(overall), how="left")
+        stats.join(F.broadcast(limits.drop("n")), "group", "left")
         .withColumns({"base_failed": base_failed(), "reason": reason})
         .withColumn("kept", ~F.col("base_failed") & inside)
     )

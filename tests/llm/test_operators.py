@@ -479,3 +479,14 @@ def test_rules(spark):
     assert not got.loc[[500, 501, 502, 503], "kept"].any() and not got.base_failed[503] and got.reason[503] in ("chars_per_token", "byte_share", "entropy")
     assert got.n_words[500] == 0 and got.n_repeat_words[502] == 100
     assert quality_rules.rate(spark.createDataFrame([], DOCS)).count() == 0
+
+
+def test_small_groups_have_their_own_bands(spark):
+    rnd = random.Random(2)
+    words = "the cat sat on a mat with some other animals while people walked by in rain and sun".split()
+    latin = [(i, " ".join(rnd.choice(words) + rnd.choice(["", "s", "ly"]) for _ in range(120)), "en") for i in range(200)]
+    rare = [(1000 + i, " ".join("".join(rnd.choice("䨺䨻䨼䨽䨾") for _ in range(3)) for _ in range(120)), "xx") for i in range(60)]
+    for few in (1, 49):
+        rows = latin + rare[:few] + [(2000, " ".join("䨺䨻䨼" for _ in range(60)) + " " + " ".join(f"䨺{i}" for i in range(80)), "en")]
+        got = quality_rules.rate(spark.createDataFrame(rows, "doc_id long, text string, lang string")).toPandas().set_index("doc_id")
+        assert got.loc[[r[0] for r in rare[:few]], "kept"].all() and not got.kept[2000], few
