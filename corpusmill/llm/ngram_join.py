@@ -2,7 +2,8 @@
 
 Documents are sets of hashed five-word shingles; documents of equal sets are one node.
 Two nodes link when 100 * intersection >= 75 * union. The result has each document's
-component under links. No link between different sets is lost:
+component under links. No link that joins components is lost; links inside a component
+that is connected already are not enumerated, so there is no count of links per document:
 
 1. Every set gets a prefix under one global order of shingles (those frequent by a fixed-
    size count sketch last, then by hash): linked sets share a shingle of their prefixes.
