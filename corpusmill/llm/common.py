@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -61,12 +60,23 @@ def arrow_batches(spark: SparkSession, rows: int) -> Iterator[None]:
         spark.conf.set(name, before)
 
 
-def free_shuffles(spark: SparkSession) -> None:
-    """Lets Spark delete the shuffle files of plans that are done with. Its cleaner learns
-    of those from the driver's garbage collections alone, which a driver that does little
-    seldom has; between the phases of a long job that would add up on every disk."""
-    gc.collect()
-    spark._jvm.System.gc()
+#: Bytes of a stored table (compressed) up to which it is broadcast; beyond, the join shuffles.
+BROADCAST_BYTES = 16_000_000
+
+
+def small(df: DataFrame) -> DataFrame:
+    """``df``, stored unless it reads files alone, to be broadcast if those are small."""
+    size = sum(_bytes(df.sparkSession, name) for name in _folders(df))
+    return F.broadcast(df) if size <= BROADCAST_BYTES else df
+
+
+def _folders(df: DataFrame) -> set[str]:
+    return {name.rpartition("/")[0] for name in df.inputFiles()}
+
+
+def _bytes(spark: SparkSession, folder: str) -> int:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(path).getLength()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -2,22 +2,28 @@
 
 Documents are sets of hashed five-word shingles; documents of equal sets are one node.
 Two nodes link when 100 * intersection >= 75 * union. The result has each document's
-component under links. No link that joins components is lost; links inside a component
-that is connected already are not enumerated, so there is no count of links per document:
-
-1. Every set gets a prefix under one global order of shingles (those frequent by a fixed-
-   size count sketch last, then by hash): linked sets share a shingle of their prefixes.
-2. A few min-hashes tie most near copies to one leader each; these pairs are verified,
-   and what is connected already needs no further pair. So a group of thousands of near
-   copies costs a pair per member.
-3. Prefix shingles that join different components make groups (of bounded size: rare
-   shingles by the sketch, the others cut into tiles). In a group a signature tree is
-   traversed against itself, which leaves the pairs that its bounds allow. A pair that
-   a node's preceding group has seen too is left to that one.
-4. Twice, only the likeliest pair of each node is verified on the sets, out of spanning
-   forests of the groups' likeliest pairs; that ties groups together. Then every pair that is left
-   between different components is verified.
-5. Components of the verified links, by star rounds over edge tables.
+component under links. All links are found by the traversal of signature trees, in cells
+of sets that share a rare shingle:
+
+1. Every set gets a prefix under one global order of shingles (those frequent by a count
+   sketch last, then by hash), a little longer than needed: so two linked sets share not
+   one shingle of their prefixes but at least ``least_shared``. Prefix shingles are
+   shuffled once; those of one node alone fall away, then the nodes with too few left,
+   and so on (``peeled``). What stays are sets that have company, and only their texts
+   are shingled again, once each, and stored.
+2. Rounds: every node goes, with its set, to one cell, that of the shingle of smallest
+   hash among those it shares with other components. A signature tree over the cell is
+   traversed against itself; pairs that its bounds allow are compared exactly, unless
+   links found before connect them. Copies meet here, and a group of thousands costs a
+   comparison or two per member. Cells have a bounded number of tokens: a larger one is
+   cut by hash, and the next round, by another hash, ties the cuts together.
+3. What still shares enough shingles with another component goes to all its cells but
+   the largest ones (of which a linked pair can't have all its shared ones), and cells
+   beyond the bound are cut into tiles that meet each other pairwise. After that no
+   possible link between components is left unlooked at.
+
+No link that joins components is lost; links inside a component that is connected already
+are not enumerated, so there is no count of links per document.
 
 Cases: null texts and texts without a word have an empty set, link with nothing and are
 their own component; a text of fewer than five words is one shingle. Rows of a null
@@ -32,112 +38,140 @@ Shingles are 64-bit hashes (a false one in a pair of documents has a chance of a
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from corpusmill.llm.common import arrow_batches, discard, free_shuffles, stored, table
+from corpusmill.llm.common import arrow_batches, discard, small, stored, table
 from corpusmill.llm.components import connected_components
-from corpusmill.llm.signature_tree import OF, SHARE, SignatureTree, bitmap, most_overlap, needed, spanning
+from corpusmill.llm.signature_tree import OF, SHARE, links
 
 WORDS = 5
 #: Buckets of the count sketch, and rows of the table that it is sent in.
 SKETCH, SKETCH_PARTS = 1 << 20, 256
-MIN_HASHES = 6
-#: Rows of a group that one traversal takes; larger groups are cut into tiles.
-TILE_ROWS = 2000
-#: Rows with whole token sets in an Arrow batch.
-SET_ROWS = 500
-#: Members that are compared with a hub in one task.
-HUB_ROWS = 500
-#: Rows of a counted table up to which it is broadcast; beyond, the join shuffles.
-BROADCAST_ROWS = 1_000_000
-CACHE_WORDS = 150_000
+#: A prefix is longer by one shingle for so many of the set.
+LONGER = 32
+#: Rounds of one cell per node before all cells.
+ROUNDS = 2
+#: Tokens of a cell that one traversal takes.
+CELL_TOKENS = 1_000_000
+#: Rows of texts that are shingled together, and rows with sets in an Arrow batch.
+TEXT_ROWS, SET_ROWS = 500, 500
+CACHE_WORDS, CACHED_BYTES = 100_000, 40
 _C, _M = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
-DOC_SCHEMA = "doc_id long, node long, proof long, n long, cold array<long>, hot array<long>, mins array<long>, bits binary"
+DOC_SCHEMA = "doc_id long, node long, proof long, n int, cold array<long>, hot array<long>"
 
 
 class WordHashes(dict):
-    """Hashes of words; those of recent words are kept."""
+    """Hashes of words; those of recent short words are kept, a bounded number."""
 
     def __missing__(self, word: bytes) -> int:
-        self[word] = h = xxhash.xxh3_64_intdigest(word)
+        h = xxhash.xxh3_64_intdigest(word)
+        if len(word) <= CACHED_BYTES:
+            if len(self) >= CACHE_WORDS:
+                self.clear()
+            self[word] = h
         return h
 
 
-@lru_cache(maxsize=1)
-def word_hashes() -> WordHashes:
-    """One for all tasks of a Python worker."""
-    return WordHashes()
-
-
 def _mixed(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(32))) * _M
     x = (x ^ (x >> np.uint64(29))) * _M
     return x ^ (x >> np.uint64(32))
 
 
-def shingles(text: str | None, hashes: WordHashes) -> np.ndarray:
-    """Sorted distinct shingle hashes."""
-    words = (text or "").encode().lower().split()
-    n = len(words)
-    if not n:
-        return np.zeros(0, np.uint64)
-    if len(hashes) > CACHE_WORDS:
-        hashes.clear()
-    h = np.fromiter(map(hashes.__getitem__, words), np.uint64, n)
-    m = max(1, n - WORDS + 1)
-    out = np.full(m, min(n, WORDS), np.uint64)
-    for i in range(min(n, WORDS)):
+def _rolled(h: np.ndarray, width: int) -> np.ndarray:
+    """Hashes of all runs of ``width`` words."""
+    m = len(h) - width + 1
+    out = np.full(m, width, np.uint64)
+    for i in range(width):
         out = out * _C + h[i : i + m]
-    return np.unique(_mixed(out))
+    return _mixed(out)
+
+
+def all_shingles(texts: list[str | None], hashes: WordHashes) -> list[np.ndarray]:
+    """The hash of every shingle of every text, in order, repeated ones too."""
+    words = [x.encode().lower().split() if x else [] for x in texts]
+    counts = np.array([len(w) for w in words], np.int64)
+    h = np.fromiter(map(hashes.__getitem__, chain.from_iterable(words)), np.uint64, int(counts.sum()))
+    rolled = _rolled(h, WORDS) if len(h) >= WORDS else h[:0]
+    stop = np.cumsum(counts)
+    return [rolled[e - n : e - WORDS + 1] if n >= WORDS else _rolled(h[e - n : e], n) if n else h[:0] for n, e in zip(counts.tolist(), stop.tolist())]
+
+
+def distinct(tokens: np.ndarray) -> np.ndarray:
+    tokens = np.sort(tokens)
+    return tokens[np.append(True, tokens[1:] != tokens[:-1])] if len(tokens) else tokens
+
+
+def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    for at in range(0, batch.num_rows, TEXT_ROWS):
+        yield batch.slice(at, TEXT_ROWS)
+
+
+def _signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
 
 
 # --- the count sketch ------------------------------------------------------------------
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counts, hashes = np.zeros(SKETCH, np.int64), word_hashes()
-    for batch in batches:
-        for text in batch.column("text"):
-            np.add.at(counts, (shingles(text.as_py(), hashes) >> np.uint64(44)).astype(np.int64), 1)
+    counts, hashes = np.zeros(SKETCH, np.int64), WordHashes()
+    for whole in batches:
+        for batch in _slices(whole):
+            found = np.concatenate(all_shingles(batch.column("text").to_pylist(), hashes))
+            counts += np.bincount((found >> np.uint64(44)).astype(np.int64), minlength=SKETCH)
     parts = counts.reshape(SKETCH_PARTS, -1)
     some = [k for k in range(SKETCH_PARTS) if parts[k].any()]
-    yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([parts[k].tobytes() for k in some], pa.binary())], names=["part", "counts"])
+    data = [np.minimum(parts[k], 2**31 - 1).astype(np.int32).tobytes() for k in some]
+    yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(data, pa.binary())], names=["part", "counts"])
 
 
 def _sum(group: pa.Table) -> pa.Table:
-    total = sum(np.frombuffer(x.as_py(), np.int64) for x in group.column("counts"))
+    total = np.minimum(sum(np.frombuffer(x.as_py(), np.int32).astype(np.int64) for x in group.column("counts")), 2**31 - 1).astype(np.int32)
     return pa.table([pa.array([group.column("part")[0].as_py()], pa.int32()), pa.array([total.tobytes()], pa.binary())], names=["part", "counts"])
 
 
 def frequent(docs: DataFrame) -> np.ndarray:
     """Per sketch bucket its count if that stands out from the mean, else 0. The sketch
-    counts the shingles of all documents in an array of fixed size."""
+    counts the shingles of all documents in an array of fixed size; it orders them, and
+    any order gives the same result."""
     schema = "part int, counts binary"
     per_task = docs.select("text").mapInArrow(_count, schema).withColumn("salt", F.spark_partition_id() % 64)
     some = per_task.groupBy("part", "salt").applyInArrow(_sum, schema)
     counts = np.zeros((SKETCH_PARTS, SKETCH // SKETCH_PARTS), np.int64)
     for r in some.groupBy("part").applyInArrow(_sum, schema).collect():
-        counts[r.part] = np.frombuffer(r.counts, np.int64)
+        counts[r.part] = np.frombuffer(r.counts, np.int32)
     counts = counts.ravel()
     mean = counts.mean()
-    return np.where(counts > mean + 6 * np.sqrt(mean) + 16, np.minimum(counts, 2**31 - 1), 0).astype(np.int32)
+    return np.where(counts > mean + 6 * np.sqrt(mean) + 16, counts, 0).astype(np.int32)
 
 
-# --- prefixes and bitmaps --------------------------------------------------------------
+# --- prefixes --------------------------------------------------------------------------
+
+
+def longer(n: int) -> int:
+    return 1 + n // LONGER
+
+
+def least_shared(n: Column) -> Column:
+    """Prefix shingles that a set of ``n`` shares with any set it links with. With t the
+    least overlap, prefixes of n - t + k share k: here k is ``longer`` of the smaller
+    set, which has 3/4 of the larger one's size at least."""
+    return F.lit(1) + F.floor(F.ceil(n * SHARE / OF) / LONGER)
 
 
 def prefix(tokens: np.ndarray, often: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The rare and the frequent shingles of a set's prefix."""
     n = len(tokens)
-    length = n - -(-SHARE * n // OF) + 1
+    length = min(n, n - -(-SHARE * n // OF) + longer(n))
     count = often[(tokens >> np.uint64(44)).astype(np.int64)]
     cold = tokens[count == 0][:length]
     if len(cold) == length:
@@ -146,171 +180,163 @@ def prefix(tokens: np.ndarray, often: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return cold, tokens[hot[np.lexsort((tokens[hot], count[hot]))]][: length - len(cold)]
 
 
+def _lists(parts: list[np.ndarray]) -> pa.Array:
+    ends = np.cumsum([0, *(len(p) for p in parts)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.uint64), *parts]).view(np.int64)))
+
+
 def _describe(sent, seed: int):
+    names = [x.split()[0] for x in DOC_SCHEMA.split(", ")]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        often, hashes = sent.value, word_hashes()
-        seeds = [np.uint64(xxhash.xxh3_64_intdigest(b"min-hash %d" % i)) for i in range(MIN_HASHES)]
-        names = [x.split()[0] for x in DOC_SCHEMA.split(", ")]
-        types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary())
+        often, hashes = sent.value, WordHashes()
         for whole in batches:
-            for at in range(0, whole.num_rows, 1000):
-                batch = whole.slice(at, 1000)
-                rows: list[list] = [[] for _ in names]
-                for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text")):
-                    tokens = shingles(text.as_py(), hashes)
-                    if len(tokens):
-                        cold, hot = prefix(tokens, often)
-                        data = tokens.tobytes()
-                        mins = np.array([_mixed(tokens ^ s).min() for s in seeds])
-                        row = (doc_id, _signed(xxhash.xxh3_64_intdigest(data, seed)), _signed(xxhash.xxh64_intdigest(data, seed)), len(tokens), cold.view(np.int64), hot.view(np.int64), mins.view(np.int64), bitmap(tokens).tobytes())
-                    else:
-                        row = (doc_id, None, None, 0, [], [], [], None)
-                    for column, x in zip(rows, row):
-                        column.append(x)
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, types)], names=names)
+            for batch in _slices(whole):
+                nodes, proofs, sizes, cold, hot = [], [], [], [], []
+                for tokens in map(distinct, all_shingles(batch.column("text").to_pylist(), hashes)):
+                    data = tokens.tobytes()
+                    nodes.append(_signed(xxhash.xxh3_64_intdigest(data, seed)) if data else None)
+                    proofs.append(_signed(xxhash.xxh64_intdigest(data, seed)) if data else None)
+                    sizes.append(len(tokens))
+                    x, y = prefix(tokens, often)
+                    cold.append(x)
+                    hot.append(y)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("doc_id"), pa.array(nodes, pa.int64()), pa.array(proofs, pa.int64()), pa.array(sizes, pa.int32()), _lists(cold), _lists(hot)], names=names
+                )
 
     return run
 
 
-def _signed(x: int) -> int:
-    return x - (1 << 64) if x >> 63 else x
-
-
 def described(docs: DataFrame) -> tuple[DataFrame, DataFrame, int]:
-    """DOC_SCHEMA for every document, the nodes (node, rep: the smallest doc_id), and
-    the seed of the node hashes."""
+    """DOC_SCHEMA and a row number for every document; the nodes (node, rep: the smallest
+    doc_id, row: that document's row); and the seed of the node hashes."""
     sent = docs.sparkSession.sparkContext.broadcast(frequent(docs))
     for seed in range(8):
-        found = stored(docs.mapInArrow(_describe(sent, seed), DOC_SCHEMA), "shingles")
-        nodes = found.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("rep"), F.min("proof").alias("p"), F.max("proof").alias("q"))
-        nodes = stored(nodes, "nodes")
+        found = stored(docs.mapInArrow(_describe(sent, seed), DOC_SCHEMA).withColumn("row", F.monotonically_increasing_id()), "shingles")
+        first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("first")
+        nodes = found.where("n > 0").groupBy("node").agg(first, F.min("proof").alias("p"), F.max("proof").alias("q"))
+        nodes = stored(nodes.select("node", F.col("first.doc_id").alias("rep"), F.col("first.row").alias("row"), "p", "q"), "nodes")
         if not nodes.where("p <> q").limit(1).count():
-            return found, nodes.select("node", "rep"), seed
+            return found, nodes.select("node", "rep", "row"), seed
     raise RuntimeError("set hashes collide under every seed")
 
 
-# --- verification ----------------------------------------------------------------------
+# --- shingles that nodes share ---------------------------------------------------------
+
+
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows sorted by key: those of keys that have more than one node."""
+    names = ["key", "node", "n"]
+    rest = np.zeros((3, 0), np.int64)
+    for batch in batches:
+        if batch.num_rows:
+            rows = np.concatenate([rest, np.stack([batch.column(c).to_numpy().astype(np.int64) for c in names])], axis=1)
+            last = np.searchsorted(rows[0], rows[0, -1])  # the last key may go on
+            rest = rows[:, last:]
+            yield _batch(_repeated(rows[:, :last]), names)
+    yield _batch(_repeated(rest), names)
+
+
+def _repeated(rows: np.ndarray) -> np.ndarray:
+    if rows.shape[1] < 2:
+        return rows[:, :0]
+    same = rows[0, 1:] == rows[0, :-1]
+    return rows[:, np.append(False, same) | np.append(same, False)]
+
+
+def _batch(rows: np.ndarray, names: list[str]) -> pa.RecordBatch:
+    types = [pa.int32() if c == "n" else pa.int64() for c in names]
+    return pa.RecordBatch.from_arrays([pa.array(x).cast(t) for x, t in zip(rows, types)], names=names)
+
+
+def shared_rows(found: DataFrame, nodes: DataFrame) -> DataFrame:
+    """key, node, n: the prefix shingles that more than one node has. A node's rows come
+    from one of its documents. A frequent shingle is counted in every task first."""
+    own = found.join(small(nodes.where(F.col("rep").isNotNull()).select("row")), "row").select("node", "n", "cold", "hot")
+    cold = own.select(F.explode("cold").alias("key"), "node", "n").repartition("key").sortWithinPartitions("key")
+    hot = own.select(F.explode("hot").alias("key"), "node", "n")
+    many = hot.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
+    return cold.mapInArrow(_shared, "key long, node long, n int").unionByName(hot.join(many, "key", "left_semi"))
+
+
+def peeled(rows: DataFrame) -> DataFrame:
+    """``rows`` (key, node, n, comp) without nodes that share too few keys to link, and then
+    without keys that don't join components."""
+    own = F.count("*").over(Window.partitionBy("node"))
+    rows = rows.withColumn("own", own).where(F.col("own") >= least_shared(F.col("n"))).drop("own")
+    keys = rows.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x < y").select("key")
+    return rows.join(keys, "key", "left_semi")
+
 
+def still_open(rows: DataFrame, components: DataFrame | None = None, times: int = 2) -> DataFrame:
+    """``rows`` with the components so far, peeled a few times, stored."""
+    spark = rows.sparkSession
+    comp = F.col("node")
+    if components is not None:
+        rows = rows.drop("comp").join(small(components), "node", "left")
+        comp = F.coalesce("component", "node")
+    now = rows.select("key", "node", "n", comp.alias("comp"))
+    for _ in range(times):
+        last, now = now, stored(peeled(now), "open")
+        if _ > 0:
+            discard(spark, last)
+    return now
 
-def small(df: DataFrame) -> DataFrame:
-    """A stored table, to be broadcast if it is counted small."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
+# --- cells -----------------------------------------------------------------------------
 
-def _sets(seed: int):
-    """Rows with the set of their text, but for rows whose text isn't their node's."""
-    kept = ["hub", "salt", "member", "node"]
 
+def _token_sets(seed: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = word_hashes()
+        hashes = WordHashes()
         for whole in batches:
-            for at in range(0, whole.num_rows, 1000):
-                batch = whole.slice(at, 1000)
-                tokens = [shingles(x.as_py(), hashes) for x in batch.column("text")]
-                same = [_signed(xxhash.xxh3_64_intdigest(t.tobytes(), seed)) == n for t, n in zip(tokens, batch.column("node").to_pylist())]
-                rows = pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array([t.tobytes() for t in tokens], pa.binary())], names=[*kept, "tokens"])
+            for batch in _slices(whole):
+                data = [distinct(x).tobytes() for x in all_shingles(batch.column("text").to_pylist(), hashes)]
+                same = [_signed(xxhash.xxh3_64_intdigest(x, seed)) == n for x, n in zip(data, batch.column("node").to_pylist())]
+                rows = pa.RecordBatch.from_arrays([batch.column("node"), pa.array(data, pa.binary())], names=["node", "tokens"])
                 yield rows.filter(pa.array(same, pa.bool_()))
 
     return run
 
 
-def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs that link, of rows sorted by hub and salt, a hub before its members."""
-    place, hub_tokens = None, None
-    for batch in batches:
-        out: list[list[int]] = [[], []]
-        for hub, salt, member, node, data in zip(*(batch.column(c) for c in ("hub", "salt", "member", "node", "tokens"))):
-            tokens, key = np.frombuffer(data.as_py(), np.uint64), (hub.as_py(), salt.as_py())
-            if not member.as_py():
-                place, hub_tokens = key, tokens
-            elif key == place:
-                shared = len(np.intersect1d(hub_tokens, tokens, assume_unique=True))
-                if shared >= needed(len(hub_tokens) + len(tokens)):
-                    out[0].append(hub.as_py())
-                    out[1].append(node.as_py())
-        yield _batch3(np.array(out, np.int64), ["a", "b"])
-
-
-def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, seed: int) -> DataFrame:
-    """Those of ``pairs`` (a, b: a stored table) that link.
-
-    The node of more pairs is a pair's hub. Every set is made again from its text and
-    shuffled once per pair, to its hub; a hub of very many members is sent to several
-    tasks, each of which takes ``HUB_ROWS`` of them.
-    """
-    ends = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).groupBy("node").agg(F.count("*").alias("n"))
-    degree = lambda x: ends.select(F.col("node").alias(x), F.col("n").alias(f"{x}_n"))
-    both = pairs.join(degree("a"), "a").join(degree("b"), "b")
-    first = (F.col("a_n") > F.col("b_n")) | ((F.col("a_n") == F.col("b_n")) & (F.col("a") < F.col("b")))
-    turned = both.select(F.when(first, F.col("a")).otherwise(F.col("b")).alias("hub"), F.when(first, F.col("b")).otherwise(F.col("a")).alias("node"), F.greatest("a_n", "b_n").alias("n"))
-    salts = F.greatest(F.lit(1), F.ceil(F.col("n") / HUB_ROWS)).cast("int")
-    members = turned.select("hub", F.pmod(F.xxhash64("node"), salts).cast("int").alias("salt"), F.lit(True).alias("member"), "node")
-    hubs = turned.select("hub", "n").distinct().select("hub", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"), F.lit(False).alias("member"), F.col("hub").alias("node"))
-    wanted = members.unionByName(hubs).join(nodes.where(F.col("rep").isNotNull()).select("node", F.col("rep").alias("doc_id")), "node")
-    wanted = stored(wanted, "wanted")
-    sets = docs.join(small(wanted), "doc_id").select("hub", "salt", "member", "node", "text").mapInArrow(_sets(seed), "hub long, salt int, member boolean, node long, tokens binary")
-    dealt = sets.repartition("hub", "salt").sortWithinPartitions("hub", "salt", "member")
-    with arrow_batches(docs.sparkSession, SET_ROWS):
-        links = stored(dealt.mapInArrow(_compared, "a long, b long").distinct(), "links")
-    discard(docs.sparkSession, wanted)
-    return links
-
-
-# --- candidate pairs -------------------------------------------------------------------
-
-
-def leader_pairs(found: DataFrame) -> DataFrame:
-    """Each node with the smallest leader (smallest node) of its min-hashes."""
-    rows = found.select("node", F.explode("mins").alias("key"))
-    leaders = rows.groupBy("key").agg(F.min("node").alias("leader"), F.max("node").alias("last")).where("leader < last").drop("last")
-    tied = rows.join(leaders, "key").where("node <> leader")
-    return tied.groupBy(F.col("node").alias("a")).agg(F.min("leader").alias("b"))
-
-
-def _joining(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by key, component and node: the distinct ones of keys that have
-    more than one component."""
-    rest = np.zeros((3, 0), np.int64)
-    names = ["key", "comp", "node"]
-    for batch in batches:
-        rows = np.concatenate([rest, np.stack([batch.column(c).to_numpy() for c in names])], axis=1)
-        last = np.searchsorted(rows[0], rows[0, -1]) if rows.shape[1] else 0  # the last key may go on
-        rest = rows[:, last:]
-        yield _batch3(_many(rows[:, :last]), names)
-    yield _batch3(_many(rest), names)
-
-
-def _many(rows: np.ndarray) -> np.ndarray:
-    if rows.shape[1] < 2:
-        return rows[:, :0]
-    rows = rows[:, np.append(True, (rows[:, 1:] != rows[:, :-1]).any(axis=0))]
-    start = np.flatnonzero(np.append(True, rows[0, 1:] != rows[0, :-1]))
-    stop = np.append(start[1:], rows.shape[1])
-    joins = rows[1, start] != rows[1, stop - 1]
-    return rows[:, np.repeat(joins, stop - start)]
-
-
-def _batch3(rows: np.ndarray, names: list[str]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(x) for x in rows], names=names)
-
-
-def shared_keys(found: DataFrame, components: DataFrame) -> DataFrame:
-    """key, comp, node: rows of prefix shingles that nodes of several components share."""
-    own = found.where("n > 0").select("node", "cold", "hot").join(components, "node", "left").withColumn("comp", F.coalesce("component", "node"))
-    cold = own.select(F.explode("cold").alias("key"), "comp", "node").repartition("key").sortWithinPartitions("key", "comp", "node")
-    cold = cold.mapInArrow(_joining, "key long, comp long, node long")
-    hot = own.select(F.explode("hot").alias("key"), "comp", "node")
-    ends = hot.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x < y").select("key")
-    return cold.unionByName(hot.join(ends, "key", "left_semi").distinct())
-
-
-def tiles(rows: DataFrame, tile_rows: int = TILE_ROWS) -> DataFrame:
-    """``rows`` (key, comp, node, ...) with tile: a group's rows in one tile, or, of a
-    large group, the rows of its largest component in blocks, each beside every block of
-    the others, and the blocks of the others beside each other."""
-    sizes = rows.groupBy("key", "comp").agg(F.count("*").alias("n")).groupBy("key").agg(F.sum("n").alias("all"), F.max_by("comp", "n").alias("top"), F.max("n").alias("most"))
-    large = sizes.where(F.col("all") > tile_rows)
-    blocks = lambda n: F.greatest(F.lit(1), F.ceil(n / tile_rows)).cast("int")
+def token_sets(docs: DataFrame, nodes: DataFrame, wanted: DataFrame, seed: int) -> DataFrame:
+    """node and tokens (sorted 64-bit hashes) of the ``wanted`` nodes, one row each, from
+    the texts of their documents; documents of the same id with other texts drop out."""
+    ids = stored(nodes.where(F.col("rep").isNotNull()).join(wanted.select("node").distinct(), "node", "left_semi").select("node", F.col("rep").alias("doc_id")), "wanted")
+    texts = docs.join(small(ids), "doc_id").select("node", "text")
+    sets = stored(texts.mapInArrow(_token_sets(seed), "node long, tokens binary").groupBy("node").agg(F.first("tokens").alias("tokens")), "sets")
+    discard(docs.sparkSession, ids)
+    return sets
+
+
+def one_cell(rows: DataFrame, turn: int) -> DataFrame:
+    """key, tile, node, comp: every node in the cell of its shared key of smallest hash."""
+    mine = rows.groupBy("node", "n", "comp").agg(F.min_by("key", F.xxhash64("key", F.lit(turn))).alias("key"))
+    sizes = mine.groupBy("key").agg(F.sum("n").alias("all"), F.min("comp").alias("x"), F.max("comp").alias("y")).where("x < y")
+    tile = F.pmod(F.xxhash64("node", F.lit(turn)), F.ceil(F.col("all") / CELL_TOKENS)).cast("string")
+    return mine.join(sizes, "key").select("key", tile.alias("tile"), "node", "comp")
+
+
+def all_cells(rows: DataFrame) -> DataFrame:
+    """key, tile, node, comp: every node in the cells of its shared keys, but for the
+    largest ones: of ``least_shared`` keys that a pair shares, the one of the smallest cell
+    is none of those for either. Of cells with the same nodes one is kept."""
+    counted = rows.join(rows.groupBy("key").agg(F.count("*").alias("c")), "key")
+    rank = F.row_number().over(Window.partitionBy("node").orderBy(F.col("c").desc(), F.col("key").desc()))
+    kept = counted.withColumn("rank", rank).where(F.col("rank") >= least_shared(F.col("n"))).select("key", "node", "n", "comp")
+    like = kept.groupBy("key").agg(F.count("*").alias("c"), F.bit_xor(F.xxhash64("node")).alias("h"), F.min("node").alias("a"), F.max("node").alias("b"), F.min("comp").alias("x"), F.max("comp").alias("y"))
+    keys = like.where("x < y").groupBy("c", "h", "a", "b").agg(F.min("key").alias("key")).select("key")
+    return tiles(kept.join(keys, "key", "left_semi")).select("key", "tile", "node", "comp")
+
+
+def tiles(rows: DataFrame, cell_tokens: int = CELL_TOKENS) -> DataFrame:
+    """``rows`` (key, node, n, comp) with tile: a cell's rows in one tile, or, of a large
+    cell, the rows of its largest component in blocks, each beside every block of the
+    others, and the blocks of the others beside each other."""
+    sizes = rows.groupBy("key", "comp").agg(F.sum("n").alias("n")).groupBy("key").agg(F.sum("n").alias("all"), F.max_by("comp", "n").alias("top"), F.max("n").alias("most"))
+    large = sizes.where(F.col("all") > cell_tokens)
+    blocks = lambda n: F.greatest(F.lit(1), F.ceil(n / (cell_tokens / 2))).cast("int")
     joined = rows.join(large, "key", "left")
     top, rest = blocks(F.col("most")), blocks(F.col("all") - F.col("most"))
     mine = lambda n: F.pmod(F.xxhash64("node"), n).cast("int")
@@ -324,104 +350,40 @@ def tiles(rows: DataFrame, tile_rows: int = TILE_ROWS) -> DataFrame:
     return joined.withColumn("tile", F.explode(where)).drop("all", "top", "most")
 
 
-def _traverse(forest: bool):
-    """Pairs of nodes that may link, of rows sorted by key and tile."""
+def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list, list]]:
+    """Nodes, components and sets of each cell, of rows sorted by key and tile."""
+    at, cell = None, ([], [], [])
+    for batch in batches:
+        tokens = batch.column("tokens")
+        for key, tile, node, comp, i in zip(*(batch.column(c).to_pylist() for c in ("key", "tile", "node", "comp")), range(batch.num_rows)):
+            if (key, tile) != at:
+                yield cell
+                at, cell = (key, tile), ([], [], [])
+            for column, x in zip(cell, (node, comp, np.frombuffer(tokens[i].as_buffer(), np.uint64))):
+                column.append(x)
+    yield cell
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in _whole_tiles(batches):
-            yield _pairs(rows, forest)
 
-    return run
+def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for nodes, comps, sets in _cells(batches):
+        if len(nodes) > 1:
+            labels = np.unique(np.array(comps, np.int64), return_inverse=True)[1]
+            pairs = links(sets, labels)
+            yield pa.RecordBatch.from_arrays([pa.array([nodes[p[k]] for p in pairs], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
 
-def _whole_tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
-    """Tables of rows with no tile cut between two."""
-    rest: list[pa.RecordBatch] = []
-    seen = None
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        ids = list(zip(batch.column("key").to_pylist(), batch.column("tile").to_pylist()))
-        first = next((i for i, x in enumerate(ids) if x != ids[-1]), None)
-        if first is None and (seen is None or seen == ids[-1]):
-            rest.append(batch)
-            seen = ids[-1]
-            continue
-        last = next(i for i in range(len(ids) - 1, -1, -1) if ids[i] != ids[-1]) + 1 if first is not None else 0
-        yield pa.Table.from_batches([*rest, batch.slice(0, last)])
-        rest, seen = [batch.slice(last)], ids[-1]
-    if rest:
-        yield pa.Table.from_batches(rest)
-
-
-def _pairs(rows: pa.Table, forest: bool) -> pa.RecordBatch:
-    node, comp, n = (rows.column(c).to_numpy() for c in ("node", "comp", "n"))
-    prev = rows.column("prev").fill_null(0).to_numpy()
-    some = rows.column("prev").is_valid().to_numpy()
-    bits = np.frombuffer(b"".join(rows.column("bits").to_pylist()), np.uint64).reshape(len(node), -1)
-    key, tile = rows.column("key").to_numpy(), np.array(rows.column("tile").to_pylist(), dtype=object)
-    start = np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (tile[1:] != tile[:-1]))) if len(key) else np.zeros(0, np.int64)
-    stop = np.append(start[1:], len(key))
-    out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-    for s, e in zip(start, stop):
-        if e - s < 2:
-            continue
-        if e - s == 2:  # most groups: the leaf's bound alone
-            if comp[s] != comp[s + 1] and not (some[s] and some[s + 1] and prev[s] == prev[s + 1]):
-                surplus = n[s : s + 2] - np.bitwise_count(bits[s : s + 2]).sum(axis=1, dtype=np.int64)
-                shared = int(np.bitwise_count(bits[s] & bits[s + 1]).sum(dtype=np.int64)) + surplus.min()
-                if shared >= needed(n[s] + n[s + 1]):
-                    out.append((np.array([s]), np.array([s + 1]), np.array([shared / max(n[s] + n[s + 1] - shared, 1)])))
-            continue
-        groups = np.unique(comp[s:e], return_inverse=True)[1]
-        found = []
-        for a, b in SignatureTree(n[s:e], bits[s:e], groups).pairs():
-            new = ~(some[a + s] & some[b + s] & (prev[a + s] == prev[b + s]))
-            found.append((a[new], b[new]))
-        a, b = (np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, np.int64),) * 2
-        weight = most_overlap(n[s:e], bits[s:e], a, b) if forest else np.zeros(len(a))
-        if forest and len(a):
-            taken = spanning(groups, a, b, weight)
-            a, b, weight = a[taken], b[taken], weight[taken]
-        out.append((a + s, b + s, weight))
-    a, b = (node[np.concatenate([x[k] for x in out])] if out else np.zeros(0, np.int64) for k in (0, 1))
-    weight = np.concatenate([x[2] for x in out]) if out else np.zeros(0)
-    return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(weight)], names=["a", "b", "weight"])
-
-
-def groups_of(found: DataFrame, components: DataFrame) -> DataFrame:
-    """key, node, prev: groups that join different components. ``prev`` is the node's
-    preceding group; a group that all its nodes come to from the same one is left out."""
-    shared = stored(shared_keys(found, components).select("key", "node"), "shared")
-    rows = shared.withColumn("prev", F.lag("key").over(Window.partitionBy("node").orderBy("key")))
-    fresh = rows.groupBy("key").agg((F.count("prev") < F.count("*")).alias("some"), (F.min("prev") < F.max("prev")).alias("more")).where("some OR more").select("key")
-    groups = stored(rows.join(fresh, "key", "left_semi"), "groups")
-    discard(found.sparkSession, shared)
-    return groups
-
-
-def heaviest(pairs: DataFrame) -> DataFrame:
-    """Of ``pairs`` (a, b, weight) each node's heaviest alone: a pair per node at most,
-    however many groups have found pairs of it."""
-    ends = pairs.select(F.col("a").alias("node"), "a", "b", "weight").unionByName(pairs.select(F.col("b").alias("node"), "a", "b", "weight"))
-    best = ends.groupBy("node").agg(F.max(F.struct("weight", "a", "b")).alias("best"))
-    return best.select("best.a", "best.b").distinct()
-
-
-def tree_pairs(groups: DataFrame, found: DataFrame, components: DataFrame, forest: bool) -> DataFrame:
-    """Pairs of nodes of different components that the signature trees can't rule out:
-    all, or of each group a spanning forest."""
-    rows = groups.join(components, "node", "left").select("key", "node", "prev", F.coalesce("component", "node").alias("comp"))
-    ends = rows.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x < y").select("key")
-    rows = stored(rows.join(ends, "key", "left_semi"), "grouped")
-    wanted = stored(rows.select("node").distinct(), "wanted-bits")
-    bits = found.select("node", "n", "bits").join(small(wanted), "node", "left_semi").dropDuplicates(["node"])
-    tiled = tiles(rows).join(bits, "node").select("key", "tile", "node", "comp", "prev", "n", "bits")
-    pairs = tiled.repartition("key", "tile").sortWithinPartitions("key", "tile").mapInArrow(_traverse(forest), "a long, b long, weight double")
-    pairs = stored(heaviest(pairs) if forest else pairs.select("a", "b").distinct(), "pairs")
-    for x in (rows, wanted):
-        discard(found.sparkSession, x)
-    return pairs
+def linked(cells: DataFrame, sets: DataFrame) -> DataFrame:
+    """a, b: links that connect what is linked within ``cells``."""
+    spark = cells.sparkSession
+    cells = stored(cells, "cells")
+    dealt = sets.join(small(cells), "node").repartition("key", "tile").sortWithinPartitions("key", "tile")
+    with arrow_batches(spark, SET_ROWS):
+        out = stored(dealt.select("key", "tile", "node", "comp", "tokens").mapInArrow(_linked, "a long, b long"), "links")
+    discard(spark, cells)
+    return out
+
+
+# --- the join --------------------------------------------------------------------------
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -429,27 +391,25 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     spark = docs.sparkSession
     found, nodes, seed = described(docs)
-    free_shuffles(spark)
-    pairs = stored(leader_pairs(found), "leaders")
-    links = verified(pairs, docs, nodes, seed)
-    discard(spark, pairs)
-    components = stored(connected_components(links), "components")
-    free_shuffles(spark)
-    groups = groups_of(found, small(components))
-    for forest in (True, True, False):
-        free_shuffles(spark)
-        pairs = tree_pairs(groups, found, small(components), forest)
-        free_shuffles(spark)
-        links = links.unionByName(verified(pairs, docs, nodes, seed))
-        discard(spark, pairs)
-        free_shuffles(spark)
-        components = stored(connected_components(links), "components")
-    discard(spark, groups)
+    shared = stored(shared_rows(found, nodes), "shared")
+    rows = still_open(shared)
+    discard(spark, shared)
+    sets = token_sets(docs, nodes, rows, seed)
+    edges = components = None
+    for turn in range(ROUNDS + 1):
+        new = linked(one_cell(rows, turn) if turn < ROUNDS else all_cells(rows), sets)
+        edges = new if edges is None else edges.unionByName(new)
+        components = stored(connected_components(edges), "components")
+        if turn < ROUNDS:
+            last, rows = rows, still_open(rows, components)
+            discard(spark, last)
+    for x in (rows, sets):
+        discard(spark, x)
     named = nodes.join(components, "node", "left")
     least = named.where(F.col("component").isNotNull()).groupBy("component").agg(F.min("rep").alias("least"))
     named = named.join(least, "component", "left").select("node", F.coalesce("least", "rep").alias("least"))
     return found.select("doc_id", "n", "node").join(named, "node", "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id")
+        "doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id")
     )
 
 

@@ -187,7 +187,8 @@ def near_copies(seed):
 
 @pytest.mark.parametrize("seed", range(3))
 def test_near_duplicates(spark, seed, monkeypatch):
-    monkeypatch.setattr(ngram_join, "TILE_ROWS", 10)
+    if seed:  # cells cut into blocks
+        monkeypatch.setattr(ngram_join, "CELL_TOKENS", 600)
     rows = near_copies(seed)
     docs = spark.createDataFrame([(d, t, 1) for d, t in rows], "doc_id long, text string, node int")
     got = collections.Counter((r.doc_id, r.n_shingles, r.component_id) for r in ngram_join.near_duplicates(docs).collect())
@@ -220,7 +221,7 @@ def test_keep_first_with_null_and_repeated_ids(spark):
 
 def test_tiles_cover_all_pairs(spark):
     rows = [(1, c, n) for n, c in enumerate([0] * 23 + [1] * 9 + [2] * 3)] + [(2, 0, 50), (2, 1, 51)]
-    got = ngram_join.tiles(spark.createDataFrame(rows, "key long, comp long, node long"), 5).collect()
+    got = ngram_join.tiles(spark.createDataFrame([(*r, 7) for r in rows], "key long, comp long, node long, n int"), 35).collect()
     places = collections.defaultdict(set)
     for r in got:
         places[r.key, r.node].add(r.tile)
@@ -238,10 +239,35 @@ def test_signature_tree_loses_no_link(seed):
         base = rnd.integers(0, 2**63, rnd.integers(3, 900), dtype=np.uint64)
         for _ in range(10):
             sets.append(np.unique(np.where(rnd.random(len(base)) < rnd.choice([0.02, 0.1, 0.2]), rnd.integers(0, 2**63, len(base), dtype=np.uint64), base)))
-    sizes, bits, groups = np.array([len(s) for s in sets]), np.stack([signature_tree.bitmap(s) for s in sets]), rnd.integers(0, 40, len(sets))
-    found = {(min(x, y), max(x, y)) for a, b in signature_tree.SignatureTree(sizes, bits, groups).pairs() for x, y in zip(a.tolist(), b.tolist())}
-    links = {(i, j) for j in range(len(sets)) for i in range(j) if groups[i] != groups[j] and (o := len(np.intersect1d(sets[i], sets[j]))) and 100 * o >= 75 * (sizes[i] + sizes[j] - o)}
-    assert links and links <= found and len(found) < len(sets) ** 2 / 4
+    sizes, labels = np.array([len(s) for s in sets]), rnd.integers(0, 40, len(sets))
+    tree = signature_tree.SignatureTree(sets, labels)
+    found = [(min(x, y), max(x, y)) for a, b in tree.pairs() for x, y in zip(a.tolist(), b.tolist())]
+    true = {(i, j) for j in range(len(sets)) for i in range(j) if labels[i] != labels[j] and (o := len(np.intersect1d(sets[i], sets[j]))) and 100 * o >= 75 * (sizes[i] + sizes[j] - o)}
+    assert true and true <= set(found) and len(found) == len(set(found)) < len(sets) ** 2 / 8
+    assert len(tree.levels[-1].least) == 1 and len(tree.levels) == 5
+
+    def groups(pairs):
+        root = {x: x for x in labels.tolist()}
+        for i, j in pairs:
+            a, b = root[labels[i]], root[labels[j]]
+            root = {x: min(a, b) if r in (a, b) else r for x, r in root.items()}
+        return root
+
+    linked = signature_tree.links(sets, labels)
+    assert {(min(p), max(p)) for p in linked} <= true and groups(linked) == groups(true) and len(linked) < len(np.unique(labels))
+
+
+@pytest.mark.parametrize("seed", range(20))
+def test_linked_sets_share_enough_of_their_prefixes(seed):
+    rnd = np.random.default_rng(seed)
+    often = np.where(rnd.random(1 << 20) < 0.3, rnd.integers(1, 9, 1 << 20), 0)
+    base = rnd.integers(0, 2**63, rnd.integers(1, 700), dtype=np.uint64) * np.uint64(2)
+    a, b = (np.unique(np.where(rnd.random(len(base)) < 0.07, rnd.integers(0, 2**63, len(base), dtype=np.uint64), base)) for _ in "ab")
+    both = len(np.intersect1d(a, b))
+    if 100 * both >= 75 * (len(a) + len(b) - both):
+        x, y = (set(np.concatenate(ngram_join.prefix(t, often)).tolist()) for t in (a, b))
+        for t in (a, b):
+            assert len(x & y) >= 1 + -(-3 * len(t) // 4) // ngram_join.LONGER
 
 
 @pytest.mark.parametrize("seed", range(3))
