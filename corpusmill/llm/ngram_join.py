@@ -8,19 +8,22 @@ of sets that share a rare shingle:
 1. Every set gets a prefix under one global order of shingles (those frequent by a count
    sketch last, then by hash), a little longer than needed: so two linked sets share not
    one shingle of their prefixes but at least ``least_shared``. Prefix shingles are
-   shuffled once; those of one node alone fall away, then the nodes with too few left,
-   and so on (``peeled``). What stays are sets that have company, and only their texts
-   are shingled again, once each, and stored.
+   shuffled once; those of one node alone fall away, then the nodes with too few left.
+   What stays are sets that may have company; only their texts are shingled again, once
+   each, and stored. Of these whole sets, nodes fall away that share less than 3/4 of
+   their shingles with all others together (``crowded``).
 2. Rounds: every node goes, with its set, to one cell, that of the shingle of smallest
    hash among those it shares with other components. A signature tree over the cell is
    traversed against itself; pairs that its bounds allow are compared exactly, unless
    links found before connect them. Copies meet here, and a group of thousands costs a
    comparison or two per member. Cells have a bounded number of tokens: a larger one is
    cut by hash, and the next round, by another hash, ties the cuts together.
-3. What still shares enough shingles with another component goes to all its cells but
-   the largest ones (of which a linked pair can't have all its shared ones), and cells
-   beyond the bound are cut into tiles that meet each other pairwise. After that no
-   possible link between components is left unlooked at.
+3. What still shares enough shingles with another component is taken by family: nodes
+   that such shingles connect. A family within the bound is one cell. Nodes of larger
+   families go to all cells of their shingles but the largest ones (of which a linked pair
+   can't have all its shared ones), and cells beyond the bound are cut into tiles that
+   meet each other pairwise. After that no possible link between components is left
+   unlooked at.
 
 No link that joins components is lost; links inside a component that is connected already
 are not enumerated, so there is no count of links per document.
@@ -251,37 +254,38 @@ def _batch(rows: np.ndarray, names: list[str]) -> pa.RecordBatch:
 
 
 def shared_rows(found: DataFrame, nodes: DataFrame) -> DataFrame:
-    """key, node, n: the prefix shingles that more than one node has. A node's rows come
-    from one of its documents. A frequent shingle is counted in every task first."""
-    own = found.join(small(nodes.where(F.col("rep").isNotNull()).select("row")), "row").select("node", "n", "cold", "hot")
+    """key, node, n: the prefix shingles that more than one node has; from here on a node
+    goes by the row number of its first document, whose prefix is read. A frequent shingle
+    is counted in every task first."""
+    own = found.join(small(nodes.where(F.col("rep").isNotNull()).select("row")), "row").select(F.col("row").alias("node"), "n", "cold", "hot")
     cold = own.select(F.explode("cold").alias("key"), "node", "n").repartition("key").sortWithinPartitions("key")
     hot = own.select(F.explode("hot").alias("key"), "node", "n")
     many = hot.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
     return cold.mapInArrow(_shared, "key long, node long, n int").unionByName(hot.join(many, "key", "left_semi"))
 
 
-def peeled(rows: DataFrame) -> DataFrame:
-    """``rows`` (key, node, n, comp) without nodes that share too few keys to link, and then
-    without keys that don't join components."""
-    own = F.count("*").over(Window.partitionBy("node"))
-    rows = rows.withColumn("own", own).where(F.col("own") >= least_shared(F.col("n"))).drop("own")
-    keys = rows.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x < y").select("key")
-    return rows.join(keys, "key", "left_semi")
+def enough(rows: DataFrame) -> DataFrame:
+    """The nodes of ``rows`` (key, node, n) that have enough keys to link, stored."""
+    counts = rows.groupBy("node", "n").agg(F.count("*").alias("c"))
+    return stored(counts.where(F.col("c") >= least_shared(F.col("n"))).select("node"), "enough")
 
 
-def still_open(rows: DataFrame, components: DataFrame | None = None, times: int = 2) -> DataFrame:
-    """``rows`` with the components so far, peeled a few times, stored."""
+def still_open(rows: DataFrame, components: DataFrame) -> DataFrame:
+    """``rows`` (key, node, n) with the components so far, without nodes that have too few
+    keys that join components, and then without keys that join none; stored."""
     spark = rows.sparkSession
-    comp = F.col("node")
-    if components is not None:
-        rows = rows.drop("comp").join(small(components), "node", "left")
-        comp = F.coalesce("component", "node")
-    now = rows.select("key", "node", "n", comp.alias("comp"))
-    for _ in range(times):
-        last, now = now, stored(peeled(now), "open")
-        if _ > 0:
-            discard(spark, last)
-    return now
+    named = rows.drop("comp").join(small(components), "node", "left").select("key", "node", "n", F.coalesce("component", "node").alias("comp"))
+    last = stored(_joining(named), "joining")
+    nodes = enough(last)
+    out = stored(_joining(last.join(small(nodes), "node", "left_semi")), "open")
+    for x in (last, nodes):
+        discard(spark, x)
+    return out
+
+
+def _joining(rows: DataFrame) -> DataFrame:
+    keys = rows.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x < y").select("key")
+    return rows.join(keys, "key", "left_semi").select("key", "node", "n", "comp")
 
 
 # --- cells -----------------------------------------------------------------------------
@@ -293,7 +297,7 @@ def _token_sets(seed: int):
         for whole in batches:
             for batch in _slices(whole):
                 data = [distinct(x).tobytes() for x in all_shingles(batch.column("text").to_pylist(), hashes)]
-                same = [_signed(xxhash.xxh3_64_intdigest(x, seed)) == n for x, n in zip(data, batch.column("node").to_pylist())]
+                same = [_signed(xxhash.xxh3_64_intdigest(x, seed)) == h for x, h in zip(data, batch.column("hash").to_pylist())]
                 rows = pa.RecordBatch.from_arrays([batch.column("node"), pa.array(data, pa.binary())], names=["node", "tokens"])
                 yield rows.filter(pa.array(same, pa.bool_()))
 
@@ -303,13 +307,33 @@ def _token_sets(seed: int):
 def token_sets(docs: DataFrame, nodes: DataFrame, wanted: DataFrame, seed: int) -> DataFrame:
     """node and tokens (sorted 64-bit hashes) of the ``wanted`` nodes, one row each, from
     the texts of their documents; documents of the same id with other texts drop out."""
-    ids = stored(nodes.where(F.col("rep").isNotNull()).join(wanted.select("node").distinct(), "node", "left_semi").select("node", F.col("rep").alias("doc_id")), "wanted")
-    texts = docs.join(small(ids), "doc_id").select("node", "text")
+    known = nodes.where(F.col("rep").isNotNull()).select(F.col("node").alias("hash"), F.col("row").alias("node"), F.col("rep").alias("doc_id"))
+    ids = stored(known.join(small(wanted), "node", "left_semi"), "wanted")
+    texts = docs.join(small(ids), "doc_id").select("node", "hash", "text")
     sets = stored(texts.mapInArrow(_token_sets(seed), "node long, tokens binary").groupBy("node").agg(F.first("tokens").alias("tokens")), "sets")
     discard(docs.sparkSession, ids)
     return sets
 
 
+def _short_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each token; keys of 40 bits take less room to shuffle, and those that
+    fall together only keep more."""
+    for batch in batches:
+        sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in batch.column("tokens")]
+        size = np.array([len(x) for x in sets], np.int64)
+        keys = np.concatenate([np.zeros(0, np.uint64), *sets]) >> np.uint64(24)
+        yield _batch([keys.view(np.int64), np.repeat(batch.column("node").to_numpy(), size), np.repeat(size, size)], ["key", "node", "n"])
+
+
+def crowded(sets: DataFrame) -> DataFrame:
+    """The nodes that share 3/4 of their tokens at least with other nodes of ``sets``: any
+    two that link do."""
+    with arrow_batches(sets.sparkSession, SET_ROWS):
+        rows = sets.mapInArrow(_short_keys, "key long, node long, n int").repartition("key").sortWithinPartitions("key")
+        counts = rows.mapInArrow(_shared, "key long, node long, n int").groupBy("node", "n").agg(F.count("*").alias("c"))
+        return stored(counts.where(OF * F.col("c") >= SHARE * F.col("n")).select("node"), "crowded")
+
+
 def one_cell(rows: DataFrame, turn: int) -> DataFrame:
     """key, tile, node, comp: every node in the cell of its shared key of smallest hash."""
     mine = rows.groupBy("node", "n", "comp").agg(F.min_by("key", F.xxhash64("key", F.lit(turn))).alias("key"))
@@ -318,6 +342,21 @@ def one_cell(rows: DataFrame, turn: int) -> DataFrame:
     return mine.join(sizes, "key").select("key", tile.alias("tile"), "node", "comp")
 
 
+def family_cells(rows: DataFrame) -> DataFrame:
+    """key, tile, node, comp: every node in the cell of its family (the nodes that shared
+    keys connect), and those of families beyond ``CELL_TOKENS`` in ``all_cells``."""
+    spark = rows.sparkSession
+    least = rows.groupBy("key").agg(F.min("node").alias("least"))
+    ties = stored(rows.join(least, "key").where("node <> least").select(F.col("node").alias("a"), F.col("least").alias("b")).distinct(), "ties")
+    family = connected_components(ties).select("node", F.col("component").alias("family"))
+    own = stored(rows.select("node", "n", "comp").distinct().join(family, "node"), "families")
+    discard(spark, ties)
+    large = own.groupBy("family").agg(F.sum("n").alias("all")).where(F.col("all") > CELL_TOKENS).select("family")
+    members = stored(own.join(large, "family", "left_semi").select("node"), "members")
+    few = own.join(large, "family", "left_anti").select(F.col("family").alias("key"), F.lit("family").alias("tile"), "node", "comp")
+    return few.unionByName(all_cells(rows.join(small(members), "node", "left_semi")))
+
+
 def all_cells(rows: DataFrame) -> DataFrame:
     """key, tile, node, comp: every node in the cells of its shared keys, but for the
     largest ones: of ``least_shared`` keys that a pair shares, the one of the smallest cell
@@ -391,21 +430,21 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     spark = docs.sparkSession
     found, nodes, seed = described(docs)
-    shared = stored(shared_rows(found, nodes), "shared")
-    rows = still_open(shared)
-    discard(spark, shared)
-    sets = token_sets(docs, nodes, rows, seed)
-    edges = components = None
+    rows = stored(shared_rows(found, nodes), "shared")
+    some = enough(rows)
+    sets = token_sets(docs, nodes, some, seed)
+    core = crowded(sets)
+    rows = rows.join(small(core), "node", "left_semi")
+    edges, components = None, core.select("node", F.col("node").alias("component"))
     for turn in range(ROUNDS + 1):
-        new = linked(one_cell(rows, turn) if turn < ROUNDS else all_cells(rows), sets)
+        rows = still_open(rows, components)
+        new = linked(one_cell(rows, turn) if turn < ROUNDS else family_cells(rows), sets)
         edges = new if edges is None else edges.unionByName(new)
         components = stored(connected_components(edges), "components")
-        if turn < ROUNDS:
-            last, rows = rows, still_open(rows, components)
-            discard(spark, last)
-    for x in (rows, sets):
+    for x in (sets, core, some):
         discard(spark, x)
-    named = nodes.join(components, "node", "left")
+    components = components.withColumnRenamed("node", "row")
+    named = nodes.join(components, "row", "left")
     least = named.where(F.col("component").isNotNull()).groupBy("component").agg(F.min("rep").alias("least"))
     named = named.join(least, "component", "left").select("node", F.coalesce("least", "rep").alias("least"))
     return found.select("doc_id", "n", "node").join(named, "node", "left").select(
