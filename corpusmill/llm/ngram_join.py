@@ -12,18 +12,17 @@ of sets that share a rare shingle:
    What stays are sets that may have company; only their texts are shingled again, once
    each, and stored. Of these whole sets, nodes fall away that share less than 3/4 of
    their shingles with all others together (``crowded``).
-2. Rounds: every node goes, with its set, to one cell, that of the shingle of smallest
-   hash among those it shares with other components. A signature tree over the cell is
-   traversed against itself; pairs that its bounds allow are compared exactly, unless
-   links found before connect them. Copies meet here, and a group of thousands costs a
-   comparison or two per member. Cells have a bounded number of tokens: a larger one is
-   cut by hash, and the next round, by another hash, ties the cuts together.
+2. Every node goes, with its set, to one cell, that of the shingle of smallest hash among
+   those it shares with others. A signature tree over the cell is traversed against
+   itself; pairs that its bounds allow are compared exactly, unless links found before
+   connect them. Copies meet here, and a group of thousands costs a comparison or two per
+   member. Cells have a bounded number of tokens: larger ones are cut by hash.
 3. What still shares enough shingles with another component is taken by family: nodes
    that such shingles connect. A family within the bound is one cell. Nodes of larger
-   families go to all cells of their shingles but the largest ones (of which a linked pair
-   can't have all its shared ones), and cells beyond the bound are cut into tiles that
-   meet each other pairwise. After that no possible link between components is left
-   unlooked at.
+   families go to one cell again, by another hash, which ties cut cells together, and then
+   to all cells of their shingles but the largest ones (of which a linked pair can't have
+   all its shared ones); cells beyond the bound are cut into tiles that meet each other
+   pairwise. After that no possible link between components is left unlooked at.
 
 No link that joins components is lost; links inside a component that is connected already
 are not enumerated, so there is no count of links per document.
@@ -52,15 +51,15 @@ from pyspark.sql.window import Window
 
 from corpusmill.llm.common import arrow_batches, discard, small, stored, table
 from corpusmill.llm.components import connected_components
-from corpusmill.llm.signature_tree import OF, SHARE, links
+from corpusmill.llm.signature_tree import OF, SHARE, connect
 
 WORDS = 5
 #: Buckets of the count sketch, and rows of the table that it is sent in.
 SKETCH, SKETCH_PARTS = 1 << 20, 256
 #: A prefix is longer by one shingle for so many of the set.
 LONGER = 32
-#: Rounds of one cell per node before all cells.
-ROUNDS = 2
+#: Rounds of one cell per node for large families, before all their cells.
+ROUNDS = 1
 #: Tokens of a cell that one traversal takes.
 CELL_TOKENS = 1_000_000
 #: Rows of texts that are shingled together, and rows with sets in an Arrow batch.
@@ -342,9 +341,9 @@ def one_cell(rows: DataFrame, turn: int) -> DataFrame:
     return mine.join(sizes, "key").select("key", tile.alias("tile"), "node", "comp")
 
 
-def family_cells(rows: DataFrame) -> DataFrame:
-    """key, tile, node, comp: every node in the cell of its family (the nodes that shared
-    keys connect), and those of families beyond ``CELL_TOKENS`` in ``all_cells``."""
+def families(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Cells (key, tile, node, comp) of the families (nodes that shared keys connect) within
+    ``CELL_TOKENS``, and the nodes of the others; both stored."""
     spark = rows.sparkSession
     least = rows.groupBy("key").agg(F.min("node").alias("least"))
     ties = stored(rows.join(least, "key").where("node <> least").select(F.col("node").alias("a"), F.col("least").alias("b")).distinct(), "ties")
@@ -352,9 +351,8 @@ def family_cells(rows: DataFrame) -> DataFrame:
     own = stored(rows.select("node", "n", "comp").distinct().join(family, "node"), "families")
     discard(spark, ties)
     large = own.groupBy("family").agg(F.sum("n").alias("all")).where(F.col("all") > CELL_TOKENS).select("family")
-    members = stored(own.join(large, "family", "left_semi").select("node"), "members")
-    few = own.join(large, "family", "left_anti").select(F.col("family").alias("key"), F.lit("family").alias("tile"), "node", "comp")
-    return few.unionByName(all_cells(rows.join(small(members), "node", "left_semi")))
+    cells = own.join(large, "family", "left_anti").select(F.col("family").alias("key"), F.lit("family").alias("tile"), "node", "comp")
+    return stored(cells, "cells"), stored(own.join(large, "family", "left_semi").select("node"), "members")
 
 
 def all_cells(rows: DataFrame) -> DataFrame:
@@ -406,19 +404,28 @@ def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list, list
 def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for nodes, comps, sets in _cells(batches):
         if len(nodes) > 1:
-            labels = np.unique(np.array(comps, np.int64), return_inverse=True)[1]
-            pairs = links(sets, labels)
-            yield pa.RecordBatch.from_arrays([pa.array([nodes[p[k]] for p in pairs], pa.int64()) for k in (0, 1)], names=["a", "b"])
+            names, labels = np.unique(np.array(comps, np.int64), return_inverse=True)
+            root = connect(sets, labels)
+            tied = np.flatnonzero(root != np.arange(len(root)))
+            yield pa.RecordBatch.from_arrays([pa.array(names[tied]), pa.array(names[root[tied]])], names=["a", "b"])
 
 
 def linked(cells: DataFrame, sets: DataFrame) -> DataFrame:
-    """a, b: links that connect what is linked within ``cells``."""
-    spark = cells.sparkSession
-    cells = stored(cells, "cells")
+    """a, b: of the components of ``cells`` (key, tile, node, comp: stored) that links in
+    their cell connect, each with the smallest one there; stored."""
     dealt = sets.join(small(cells), "node").repartition("key", "tile").sortWithinPartitions("key", "tile")
-    with arrow_batches(spark, SET_ROWS):
+    with arrow_batches(cells.sparkSession, SET_ROWS):
         out = stored(dealt.select("key", "tile", "node", "comp", "tokens").mapInArrow(_linked, "a long, b long"), "links")
-    discard(spark, cells)
+    discard(cells.sparkSession, cells)
+    return out
+
+
+def merged(components: DataFrame, named: DataFrame) -> DataFrame:
+    """``components`` (node, component) with those of ``named`` (node, component) renamed,
+    stored."""
+    new = named.select(F.col("node").alias("component"), F.col("component").alias("into"))
+    out = stored(components.join(small(new), "component", "left").select("node", F.coalesce("into", "component").alias("component")), "components")
+    discard(components.sparkSession, components)
     return out
 
 
@@ -434,13 +441,19 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     some = enough(rows)
     sets = token_sets(docs, nodes, some, seed)
     core = crowded(sets)
-    rows = rows.join(small(core), "node", "left_semi")
-    edges, components = None, core.select("node", F.col("node").alias("component"))
-    for turn in range(ROUNDS + 1):
-        rows = still_open(rows, components)
-        new = linked(one_cell(rows, turn) if turn < ROUNDS else family_cells(rows), sets)
-        edges = new if edges is None else edges.unionByName(new)
-        components = stored(connected_components(edges), "components")
+    components = stored(core.select("node", F.col("node").alias("component")), "components")
+    rows = still_open(rows.join(small(core), "node", "left_semi"), components)
+    stars = linked(stored(one_cell(rows, 0), "cells"), sets)  # one cell each: no chains
+    components = merged(components, stars.select(F.col("a").alias("node"), F.col("b").alias("component")))
+    rows = still_open(rows, components)
+    cells, members = families(rows)
+    components = merged(components, stored(connected_components(linked(cells, sets)), "renamed"))
+    if not members.isEmpty():
+        rows = rows.join(small(members), "node", "left_semi")
+        for turn in range(1, ROUNDS + 2):
+            rows = still_open(rows, components)
+            cells = stored(one_cell(rows, turn) if turn <= ROUNDS else all_cells(rows), "cells")
+            components = merged(components, stored(connected_components(linked(cells, sets)), "renamed"))
     for x in (sets, core, some):
         discard(spark, x)
     components = components.withColumnRenamed("node", "row")

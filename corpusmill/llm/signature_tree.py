@@ -118,10 +118,10 @@ class SignatureTree:
         return keep
 
 
-def links(sets: list[np.ndarray], labels: np.ndarray) -> list[tuple[int, int]]:
-    """Positions of linked pairs that connect all labels which links connect: the pairs of
-    a dual traversal are compared exactly, but for those that earlier ones connect."""
-    root = {x: x for x in labels.tolist()}
+def connect(sets: list[np.ndarray], labels: np.ndarray) -> np.ndarray:
+    """For each label (from 0) the smallest one that links connect it with. The pairs of a
+    dual traversal are compared exactly, but for those that earlier links connect."""
+    root = list(range(int(labels.max()) + 1))
 
     def find(x: int) -> int:
         while root[x] != x:
@@ -129,17 +129,17 @@ def links(sets: list[np.ndarray], labels: np.ndarray) -> list[tuple[int, int]]:
             x = root[x]
         return x
 
-    tree, out = SignatureTree(sets, labels), []
+    tree = SignatureTree(sets, labels)
     for a, b in tree.pairs():
-        before = len(out)
+        tied = False
         for x, y, i, j in zip(a.tolist(), b.tolist(), labels[a].tolist(), labels[b].tolist()):
             i, j = find(i), find(j)
             if i != j and _overlap(sets[x], sets[y]) >= needed(len(sets[x]) + len(sets[y])):
                 root[max(i, j)] = min(i, j)
-                out.append((x, y))
-        if len(out) > before:
+                tied = True
+        if tied:
             tree.relabel(np.array([find(x) for x in labels.tolist()]))
-    return out
+    return np.array([find(x) for x in range(len(root))])
 
 
 def _overlap(a: np.ndarray, b: np.ndarray) -> int:
