@@ -1,25 +1,32 @@
 """Main text of web pages: flat text blocks, classified by a small decision tree.
 
 A page becomes a flat list of text blocks, cut at block-level tags. A block has its word
-count, link density (share of words inside links), the same of the blocks beside it, and
-marks of the elements around it: page furniture by tag or by class, id and role words; an
-article; a heading; a list item. A decision tree, trained here on the labelled table
-below, keeps or drops each block. The kept blocks are joined in page order.
+count and link density (share of words inside links), those of the two blocks before and
+after it, what it is (paragraph, heading, list item), how far it lies from the page's
+end, and marks of the elements around it (page furniture or article, by tag or by class,
+id and role words). A decision tree keeps or drops each block. It is trained on a labelled
+table of blocks that ``labelled_pages`` writes by rule: pages of several layouts, with
+marks, with few and with none, so that it learns to do without them. The kept blocks are
+joined in page order.
 
 Scripts, styles, comments and other elements without readable text never make blocks.
 Character references are decoded, white space inside a block becomes one space.
 
 Cases: null and empty html give an empty text. Broken markup (unclosed elements, a page
 that ends inside a tag, a script or a reference) is read as far as it goes: an unclosed
-script, style or comment hides the rest. Very long pages are read whole, in linear time.
-Repeated rows are extracted each; an empty table gives no rows.
+script, style or comment hides the rest. Very long and deep pages are read whole, in
+linear time: open elements are counted, not searched. Repeated rows are extracted each;
+an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import html
+import random
 import re
+from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -41,6 +48,7 @@ CLOSING = {tag: re.compile(f"</{tag}[^>]*>", re.I) for tag in HIDDEN}
 FURNITURE_TAGS = frozenset("nav header footer aside form head menu dialog button fieldset".split())
 ARTICLE_TAGS = frozenset("article main".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+PARAGRAPHS = frozenset("p pre blockquote dd figcaption".split())
 FURNITURE_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner sidebar menu nav navbar navigation footer header masthead "
     "cookie cookies consent gdpr notice notification alert popup modal overlay newsletter subscribe signup login share sharing social related recommended "
@@ -49,115 +57,103 @@ FURNITURE_WORDS = frozenset(
 ARTICLE_WORDS = frozenset("article post entry content story main body text".split())
 WRAPPER_WORDS = frozenset("wrap wrapper container layout page row grid with has no".split())
 
-#: The labelled table. Words, link density, the same of the block before
-#: and of the block after, furniture, article, heading, list item; label 1: main text.
-LABELLED = """
-words density before b_density after a_density furniture article heading item label
-8 0.00 0 0.00 60 0.00 0 1 1 0 1
-3 0.00 2 1.00 45 0.00 0 1 1 0 1
-1 0.00 1 1.00 12 0.00 0 1 1 0 1
-70 0.00 8 0.00 55 0.05 0 1 0 0 1
-55 0.05 70 0.00 40 0.00 0 1 0 0 1
-40 0.00 55 0.05 9 0.00 0 1 0 0 1
-4 0.00 40 0.00 62 0.00 0 1 0 0 1
-1 0.00 30 0.00 28 0.00 0 1 0 0 1
-2 0.00 6 0.00 0 0.00 0 1 0 0 1
-12 0.25 30 0.00 33 0.10 0 1 0 0 1
-9 0.45 35 0.00 41 0.00 0 1 0 0 1
-6 1.00 50 0.00 48 0.02 0 1 0 0 1
-4 1.00 31 0.00 27 0.00 0 1 0 0 1
-8 1.00 20 0.00 64 0.00 0 1 0 0 1
-3 1.00 22 0.00 35 0.00 0 1 1 0 1
-180 0.02 4 0.00 5 0.00 0 1 0 0 1
-7 0.00 20 0.00 8 0.00 0 1 0 1 1
-8 0.12 7 0.00 6 0.00 0 1 0 1 1
-2 0.00 3 0.00 2 0.00 0 1 0 1 1
-14 0.00 15 0.00 9 1.00 0 1 0 0 1
-5 0.00 0 0.00 0 0.00 0 1 0 0 1
-11 0.00 4 1.00 5 1.00 0 1 0 0 1
-60 0.00 45 0.00 2 1.00 0 1 0 0 1
-24 0.00 80 0.00 3 1.00 0 1 0 0 1
-10 0.00 12 0.00 1 1.00 0 1 0 0 1
-3 0.00 18 0.00 4 1.00 0 1 0 0 1
-90 0.00 33 0.00 12 0.00 0 1 0 0 1
-48 0.03 20 0.00 6 0.00 0 1 0 0 1
-17 0.00 2 1.00 3 0.00 0 1 0 0 1
-35 0.00 41 0.00 1 0.00 0 1 0 0 1
-200 0.00 11 0.00 0 0.00 0 1 0 0 1
-26 0.08 9 0.00 0 0.00 0 1 0 0 1
-8 0.00 70 0.00 2 0.00 0 1 0 0 1
-15 0.00 1 1.00 16 0.00 0 1 0 0 1
-2 0.00 2 1.00 1 1.00 0 1 0 0 1
-130 0.00 1 0.00 9 0.25 0 1 0 0 1
-6 0.00 3 1.00 130 0.00 0 1 1 0 1
-11 0.00 1 1.00 2 0.00 0 1 1 0 1
-5 0.20 25 0.00 14 0.00 0 1 0 0 1
-20 0.40 44 0.00 31 0.00 0 1 0 0 1
-4 0.00 5 0.00 3 1.00 0 1 0 1 1
-9 0.11 2 0.00 4 0.00 0 1 0 1 1
-3 1.00 4 1.00 3 1.00 0 1 0 1 0
-4 1.00 3 1.00 5 1.00 0 1 0 1 0
-5 1.00 40 0.00 4 1.00 0 1 0 1 0
-2 1.00 2 1.00 2 1.00 0 1 0 0 0
-6 0.90 5 1.00 0 0.00 0 1 0 1 0
-12 0.00 1 1.00 8 0.00 1 0 0 0 0
-30 0.00 3 1.00 70 0.00 1 0 0 0 0
-65 0.00 40 0.00 50 0.00 1 0 0 0 0
-9 0.00 60 0.00 0 0.00 1 0 0 0 0
-1 1.00 1 1.00 1 1.00 1 0 0 1 0
-1 1.00 0 0.00 2 1.00 1 0 0 1 0
-4 0.00 2 1.00 25 0.00 1 0 1 0 0
-120 0.02 35 0.00 60 0.00 1 0 0 0 0
-15 0.00 70 0.00 62 0.00 1 1 0 0 0
-44 0.00 55 0.00 12 0.00 1 1 0 0 0
-5 0.00 50 0.00 48 0.00 1 1 0 0 0
-3 1.00 50 0.00 48 0.00 1 1 0 1 0
-80 0.00 4 0.00 75 0.00 1 1 0 0 0
-6 0.00 90 0.00 44 0.00 1 1 1 0 0
-3 0.33 2 1.00 20 0.00 1 1 0 0 0
-90 0.00 75 0.00 66 0.04 0 0 0 0 1
-75 0.03 12 0.00 90 0.00 0 0 0 0 1
-34 0.10 6 0.00 28 0.00 0 0 0 0 1
-28 0.00 34 0.10 21 0.00 0 0 0 0 1
-22 0.00 60 0.00 2 1.00 0 0 0 0 1
-6 0.00 55 0.00 70 0.00 0 0 1 0 1
-9 0.00 2 1.00 80 0.00 0 0 1 0 1
-5 0.00 3 1.00 45 0.00 0 0 1 0 1
-12 0.00 40 0.00 44 0.00 0 0 0 0 1
-8 0.00 64 0.00 30 0.00 0 0 0 0 1
-13 0.00 26 0.00 15 0.00 0 0 0 1 1
-14 0.07 13 0.00 25 0.00 0 0 0 1 1
-150 0.01 1 1.00 2 1.00 0 0 0 0 1
-64 0.00 50 0.00 3 0.00 0 0 0 0 1
-45 0.02 38 0.00 0 0.00 0 0 0 0 1
-31 0.00 29 0.00 4 1.00 0 0 0 0 1
-19 0.05 80 0.00 36 0.00 0 0 0 0 1
-10 0.00 22 0.00 26 0.00 0 0 0 0 1
-110 0.00 0 0.00 0 0.00 0 0 0 0 1
-40 0.00 3 0.00 18 0.00 0 0 0 0 1
-7 0.00 33 0.00 52 0.00 0 0 1 0 1
-16 0.00 90 0.00 12 0.00 0 0 0 0 1
-1 1.00 1 1.00 1 1.00 0 0 0 1 0
-2 1.00 1 1.00 2 1.00 0 0 0 0 0
-3 1.00 4 1.00 2 1.00 0 0 0 1 0
-4 1.00 30 0.00 3 1.00 0 0 0 1 0
-9 0.88 5 1.00 6 1.00 0 0 0 0 0
-16 0.70 3 1.00 8 0.80 0 0 0 0 0
-4 0.00 2 1.00 1 1.00 0 0 0 0 0
-6 0.00 40 0.00 0 0.00 0 0 0 0 0
-3 0.00 1 1.00 4 1.00 0 0 1 0 0
-5 0.20 60 0.00 0 0.00 0 0 0 0 0
-2 0.00 3 1.00 3 0.00 0 0 0 0 0
-7 0.00 0 0.00 2 1.00 0 0 0 0 0
-25 0.85 40 0.00 20 0.90 0 0 0 0 0
-"""
+FEATURES = (
+    "words density before_words before_density after_words after_density before2_words before2_density after2_words after2_density "
+    "paragraph heading item from_end furniture article outside"
+).split()
+#: The last three: marks of elements around a block.
+MARKS = FEATURES[-3:]
+
+
+# --- the labelled table ----------------------------------------------------------------
+
+
+class _Writer:
+    """A page written block by block, each with its label."""
+
+    def __init__(self, rnd: random.Random, marks: str):
+        self.rnd, self.marks, self.parts, self.labels = rnd, marks, [], []
+
+    def part(self, tag: str, name: str):
+        """A section's start and end: a tag that tells, a named division, or neither."""
+        if self.marks == "tags":
+            return f"<{tag}>", f"</{tag}>"
+        return (f'<div class="{name}">' if self.marks == "names" else "<div>"), "</div>"
+
+    def block(self, tag: str, words: int, label: int, linked: int = 0) -> None:
+        text = " ".join("w" * self.rnd.randint(1, 9) for _ in range(words - linked))
+        link = '<a href="/">' + " ".join("l" * self.rnd.randint(1, 9) for _ in range(linked)) + "</a>" if linked else ""
+        self.parts.append(f"<{tag}>{text} {link}</{tag}>" if tag else f"{text} {link}")
+        self.labels.append(label)
+
+    def section(self, tag: str, name: str, blocks: list[tuple]) -> None:
+        start, end = self.part(tag, name)
+        self.parts.append(start)
+        for b in blocks:
+            self.block(*b)
+        self.parts.append(end)
+
+
+def _paragraphs(rnd: random.Random, n: int, tag: str) -> list[tuple]:
+    """Words of paragraphs are spread over all sizes, single words among them."""
+    sizes = [rnd.choice([rnd.randint(1, 4), rnd.randint(3, 20), rnd.randint(15, 90), rnd.randint(60, 400)]) for _ in range(n)]
+    return [(tag, w, 1, rnd.choice([0, 0, 0, 0, w // 8])) for w in sizes]
+
+
+def labelled_pages(n: int = 300, seed: int = 7) -> list[tuple[str, list[int]]]:
+    """Pages with the label of each of their blocks (1: main text)."""
+    rnd, out = random.Random(seed), []
+    for k in range(n):
+        page = _Writer(rnd, ("tags", "names", "none")[k % 3])
+        bare = page.marks == "none" and rnd.random() < 0.3  # no paragraphs either
+        menu = lambda most=9: [(rnd.choice(["li", "li", "div"]), w, 0, w) for w in (rnd.randint(1, 4) for _ in range(rnd.randint(2, most)))]  # noqa: B023, E731
+        aside = lambda tag="div", least=3, most=16: [(tag, rnd.randint(least, most), 0)]  # noqa: B023, E731
+        if rnd.random() < 0.4:
+            page.section("header", "header", [("div", rnd.randint(1, 5), 0, 1)] + (aside() if rnd.random() < 0.4 else []))
+        if rnd.random() < 0.9:
+            page.section("nav", "menu", menu())
+        if rnd.random() < 0.5:
+            page.section("aside", "ad", aside(""))
+        if rnd.random() < 0.3:
+            page.section("aside", "cookie-notice", aside(rnd.choice(["", "div"] if page.marks == "none" else ["", "p"]), 8, 40))
+        start, end = page.part("article", "post") if not bare else ("", "")
+        page.parts.append(start)
+        page.block("h1", rnd.randint(1, 16), 1)
+        for _ in range(rnd.randint(1, 4)):
+            body = _paragraphs(rnd, rnd.randint(1, 9), "div" if bare else "p")
+            if bare:
+                body = [(t, w + 8, y, x) for t, w, y, x in body]
+            for b in body:
+                page.block(*b)
+            if rnd.random() < 0.3:
+                page.block(rnd.choice(["h2", "h3"]), rnd.randint(1, 9), 1)
+            if rnd.random() < 0.25 and not bare:
+                for _ in range(rnd.randint(2, 6)):
+                    page.block("li", rnd.randint(1, 20), 1)
+            if rnd.random() < 0.2 and page.marks != "none":
+                page.section("aside", "advert", aside(rnd.choice(["", "p"])))
+        page.parts.append(end)
+        if rnd.random() < 0.3:
+            page.section("section", "related", menu(5)) if page.marks == "names" else page.section("aside", "related", menu(5))
+        if rnd.random() < 0.3 and page.marks != "none":
+            page.section("aside", "comments", [("p", rnd.randint(2, 70), 0) for _ in range(rnd.randint(1, 5))])
+        if rnd.random() < 0.3 and page.marks != "none":
+            page.section("form", "newsletter", [("label", rnd.randint(1, 4), 0)])
+        if rnd.random() < 0.85:
+            page.section("footer", "footer", rnd.choice([aside(""), menu(5), aside("div") + menu(3)]))
+        out.append(("<html><body>" + "".join(page.parts) + "</body></html>", page.labels))
+    return out
+
+
+# --- the tree --------------------------------------------------------------------------
 
 
 class Tree:
     """A binary decision tree by Gini impurity: nodes are (feature, threshold, low, high),
     leaves labels."""
 
-    def __init__(self, rows: np.ndarray, labels: np.ndarray, depth: int = 7):
+    def __init__(self, rows: np.ndarray, labels: np.ndarray, depth: int = 7, least: int = 6):
+        self.least = least  # rows of a leaf
         self.root = self._grow(rows, labels, depth)
 
     def _grow(self, rows: np.ndarray, labels: np.ndarray, depth: int):
@@ -165,9 +161,11 @@ class Tree:
             return int(labels.mean() > 0.5)
         best = None
         for f in range(rows.shape[1]):
-            values = np.unique(rows[:, f])
+            values = np.unique(np.quantile(rows[:, f], np.linspace(0, 1, 65), method="nearest"))
             for t in (values[:-1] + values[1:]) / 2:
                 low = rows[:, f] <= t
+                if min(low.sum(), (~low).sum()) < self.least:
+                    continue
                 impurity = sum(len(y) * y.mean() * (1 - y.mean()) for y in (labels[low], labels[~low]))
                 if best is None or impurity < best[0] - 1e-12:
                     best = impurity, f, float(t), low
@@ -183,17 +181,41 @@ class Tree:
         return bool(node)
 
 
-def trained(labelled: str = LABELLED) -> Tree:
-    rows = np.array([x.split() for x in labelled.strip().split("\n")[1:]], dtype=float)
-    return Tree(rows[:, :-1], rows[:, -1])
+@lru_cache(maxsize=4)
+def trained(without: tuple[str, ...] = (), depth: int = 9) -> Tree:
+    """The tree of the labelled table; features of ``without`` are held at 0."""
+    rows, labels = [], []
+    for source, given in labelled_pages():
+        found = rows_of(_Page(source).blocks)
+        if len(found) != len(given):
+            raise ValueError("a labelled page doesn't have its blocks")
+        rows += found
+        labels += given
+    table_ = np.array(rows, dtype=float)
+    table_[:, [FEATURES.index(x) for x in without]] = 0
+    return Tree(table_, np.array(labels), depth)
+
+
+def rows_of(blocks: list[tuple]) -> list[tuple]:
+    """FEATURES of each block of a page."""
+    none = (0, 0.0)
+    beside = [none, none, *((b[1], b[2]) for b in blocks), none, none]
+    framed = any(b[4] for b in blocks)
+    return [
+        (b[1], b[2], *beside[i + 1], *beside[i + 3], *beside[i], *beside[i + 4], *b[5:8], len(blocks) - 1 - i, b[3], b[4], framed and not b[4])
+        for i, b in enumerate(blocks)
+    ]
 
 
 class _Page:
-    """Blocks of a page: (text, words, linked words, furniture, article, heading, item)."""
+    """Blocks of a page: (text, words, link density, furniture, article, paragraph,
+    heading, item)."""
 
     def __init__(self, source: str):
         self.blocks: list[tuple] = []
-        self.open: list[tuple[str, bool, bool, bool]] = []  # tag, furniture, article, breaks
+        self.open: list[tuple[str, bool, bool]] = []  # tag, furniture, article
+        self.tags: Counter = Counter()  # open elements by tag
+        self.kinds = [0, 0, 0, 0, 0]  # open elements: furniture, article, paragraph, heading, item
         self.parts: list[str] = []
         self.linked: list[str] = []
         self.in_link = 0
@@ -207,10 +229,23 @@ class _Page:
         linked = len(html.unescape("".join(self.linked)).split())
         self.parts, self.linked = [], []
         if text:
-            tags = [x[0] for x in self.open]
-            furniture = any(x[1] for x in self.open)
-            words = len(text.split(" "))
-            self.blocks.append((text, words, min(1.0, linked / words), furniture, any(x[2] for x in self.open), any(t in HEADINGS for t in tags[-3:]), "li" in tags[-4:]))
+            words = text.count(" ") + 1
+            self.blocks.append((text, words, min(1.0, linked / words), *map(bool, self.kinds)))
+
+    def _push(self, tag: str, furniture: bool, article: bool) -> None:
+        self.open.append((tag, furniture, article))
+        self._count(self.open[-1], 1)
+
+    def _pop(self) -> str:
+        last = self.open.pop()
+        self._count(last, -1)
+        return last[0]
+
+    def _count(self, element: tuple[str, bool, bool], by: int) -> None:
+        tag, furniture, article = element
+        self.tags[tag] += by
+        for k, is_so in enumerate((furniture, article, tag in PARAGRAPHS, tag in HEADINGS, tag == "li")):
+            self.kinds[k] += by * is_so
 
     def _text(self, text: str) -> None:
         self.parts.append(text)
@@ -261,21 +296,20 @@ class _Page:
             return
         self._cut()
         if self.open and self.open[-1][0] in ("p", *HEADINGS) and tag not in INLINE:
-            self.open.pop()
+            self._pop()
         if self.open and self.open[-1][0] == tag and tag in ("li", "td", "th", "tr", "dt", "dd", "option"):
-            self.open.pop()
+            self._pop()
         if tag not in VOID and not rest.endswith("/"):
-            self.open.append((tag, furniture, article, True))
+            self._push(tag, furniture, article)
 
     def _close(self, tag: str) -> None:
         if tag == "a":
             self.in_link = max(0, self.in_link - 1)
-        for k in range(len(self.open) - 1, -1, -1):
-            if self.open[k][0] == tag:
-                self._cut()
-                del self.open[k:]
-                return
-        if tag not in INLINE:
+        if self.tags[tag]:
+            self._cut()
+            while self._pop() != tag:
+                pass
+        elif tag not in INLINE:
             self._cut()
 
     @staticmethod
@@ -297,8 +331,7 @@ def extract(source: str | None, tree: Tree) -> str:
     if not source:
         return ""
     blocks = _Page(source).blocks
-    beside = [(0, 0.0), *((b[1], b[2]) for b in blocks), (0, 0.0)]
-    return "\n".join(b[0] for i, b in enumerate(blocks) if tree.keeps((b[1], b[2], *beside[i], *beside[i + 2], *b[3:])))
+    return "\n".join(b[0] for b, row in zip(blocks, rows_of(blocks)) if tree.keeps(row))
 
 
 def with_text(pages: DataFrame, column: str = "text") -> DataFrame:

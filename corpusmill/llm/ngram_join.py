@@ -16,13 +16,13 @@ of sets that share a rare shingle:
    those it shares with others. A signature tree over the cell is traversed against
    itself; pairs that its bounds allow are compared exactly, unless links found before
    connect them. Copies meet here, and a group of thousands costs a comparison or two per
-   member. Cells have a bounded number of tokens: larger ones are cut by hash.
+   member. Cells have a bounded number of tokens: larger ones are cut by hash, and a
+   second round, by another hash, ties cut cells together.
 3. What still shares enough shingles with another component is taken by family: nodes
    that such shingles connect. A family within the bound is one cell. Nodes of larger
-   families go to one cell again, by another hash, which ties cut cells together, and then
-   to all cells of their shingles but the largest ones (of which a linked pair can't have
-   all its shared ones); cells beyond the bound are cut into tiles that meet each other
-   pairwise. After that no possible link between components is left unlooked at.
+   families go to all cells of their shingles but the largest ones (of which a linked pair
+   can't have all its shared ones); cells beyond the bound are cut into tiles that meet
+   each other pairwise. After that no possible link between components is left unlooked at.
 
 No link that joins components is lost; links inside a component that is connected already
 are not enumerated, so there is no count of links per document.
@@ -58,8 +58,6 @@ WORDS = 5
 SKETCH, SKETCH_PARTS = 1 << 20, 256
 #: A prefix is longer by one shingle for so many of the set.
 LONGER = 32
-#: Rounds of one cell per node for large families, before all their cells.
-ROUNDS = 1
 #: Tokens of a cell that one traversal takes.
 CELL_TOKENS = 1_000_000
 #: Rows of texts that are shingled together, and rows with sets in an Arrow batch.
@@ -420,6 +418,10 @@ def linked(cells: DataFrame, sets: DataFrame) -> DataFrame:
     return out
 
 
+def renamed(edges: DataFrame) -> DataFrame:
+    return stored(connected_components(edges), "renamed")
+
+
 def merged(components: DataFrame, named: DataFrame) -> DataFrame:
     """``components`` (node, component) with those of ``named`` (node, component) renamed,
     stored."""
@@ -446,14 +448,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     stars = linked(stored(one_cell(rows, 0), "cells"), sets)  # one cell each: no chains
     components = merged(components, stars.select(F.col("a").alias("node"), F.col("b").alias("component")))
     rows = still_open(rows, components)
+    components = merged(components, renamed(linked(stored(one_cell(rows, 1), "cells"), sets)))
+    rows = still_open(rows, components)
     cells, members = families(rows)
-    components = merged(components, stored(connected_components(linked(cells, sets)), "renamed"))
+    components = merged(components, renamed(linked(cells, sets)))
     if not members.isEmpty():
-        rows = rows.join(small(members), "node", "left_semi")
-        for turn in range(1, ROUNDS + 2):
-            rows = still_open(rows, components)
-            cells = stored(one_cell(rows, turn) if turn <= ROUNDS else all_cells(rows), "cells")
-            components = merged(components, stored(connected_components(linked(cells, sets)), "renamed"))
+        rows = still_open(rows.join(small(members), "node", "left_semi"), components)
+        components = merged(components, renamed(linked(stored(all_cells(rows), "cells"), sets)))
     for x in (sets, core, some):
         discard(spark, x)
     components = components.withColumnRenamed("node", "row")
