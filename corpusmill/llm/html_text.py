@@ -108,6 +108,11 @@ def labelled_pages(n: int = 300, seed: int = 7) -> list[tuple[str, list[int]]]:
         bare = page.marks == "none" and rnd.random() < 0.3  # no paragraphs either
         menu = lambda most=9: [(rnd.choice(["li", "li", "div"]), w, 0, w) for w in (rnd.randint(1, 4) for _ in range(rnd.randint(2, most)))]  # noqa: B023, E731
         aside = lambda tag="div", least=3, most=16: [(tag, rnd.randint(least, most), 0)]  # noqa: B023, E731
+        if k % 9 == 8:  # nothing but text
+            for b in _paragraphs(rnd, rnd.randint(1, 9), "p"):
+                page.block(*b)
+            out.append(("".join(page.parts), page.labels))
+            continue
         if rnd.random() < 0.4:
             page.section("header", "header", [("div", rnd.randint(1, 5), 0, 1)] + (aside() if rnd.random() < 0.4 else []))
         if rnd.random() < 0.9:
@@ -118,7 +123,8 @@ def labelled_pages(n: int = 300, seed: int = 7) -> list[tuple[str, list[int]]]:
             page.section("aside", "cookie-notice", aside(rnd.choice(["", "div"] if page.marks == "none" else ["", "p"]), 8, 40))
         start, end = page.part("article", "post") if not bare else ("", "")
         page.parts.append(start)
-        page.block("h1", rnd.randint(1, 16), 1)
+        if rnd.random() < 0.9:
+            page.block("h1", rnd.randint(1, 16), 1)
         for _ in range(rnd.randint(1, 4)):
             body = _paragraphs(rnd, rnd.randint(1, 9), "div" if bare else "p")
             if bare:
