@@ -1,19 +1,19 @@
 """Language identification by compression.
 
-Per language a zstandard raw-content dictionary is cut from a bounded sample of labelled
+Per language a zstandard raw-content dictionary is made of a bounded sample of labelled
 texts. A text's language is the one whose dictionary compresses it to the fewest bytes;
-a narrow margin to the second marks the answer as rejected. Long texts are compressed
-whole, in blocks, so that a dictionary isn't outweighed by the text itself; short ones
-at a higher level, which searches the dictionary harder.
+a narrow margin to the second marks the answer as rejected. Every text is compressed
+whole, in blocks of one size, so that a dictionary isn't outweighed by the text itself.
 
-The sample: per language the ``SAMPLE_DOCS`` labelled documents of smallest hashed id,
-``SAMPLE_CHARS`` characters of each. Fitting collects at most that times the number of
-languages (``MAX_LANGS``, else an error).
+The sample: per language the labelled rows of smallest hashed id, at most
+``SAMPLE_ROWS`` of them, of at most ``SAMPLE_BYTES`` together; rows that alone are longer
+take no part, every other is taken whole. So fitting collects at most SAMPLE_BYTES per
+language, of ``MAX_LANGS`` languages (else an error).
 
 Cases: null texts and texts without a letter are ``und`` with score 0; so is everything
 where nothing is labelled. Ties go to the language with more labelled documents, then to
-the alphabetically first. Repeated rows are answered each; an empty table gives no rows.
-Only doc_id, text and lang are read.
+the alphabetically first. Repeated rows are answered each, and learned from once; an empty
+table gives no rows. Only doc_id, text and lang are read.
 """
 
 from __future__ import annotations
@@ -27,57 +27,51 @@ from pyspark.sql.window import Window
 
 from corpusmill.llm.common import id_bucket, table
 
-SAMPLE_DOCS = 64
-SAMPLE_CHARS = 2000
+SAMPLE_ROWS, SAMPLE_BYTES = 256, 100_000
 MAX_LANGS = 200
-#: Bytes of a text up to which it counts as short; then (level, dictionary bytes, block bytes).
-SHORT_BYTES = 1024
-SHORT = (12, 65_536, 1024)
-LONG = (5, 100_000, 4096)
+LEVEL, BLOCK_BYTES = 9, 2048
 #: A margin is narrow if the second language takes less than this share more bytes.
 LEAST_MARGIN = 0.01
 UNKNOWN = "und"
 SCHEMA = "doc_id long, held_out boolean, lang_pred string, score double, rejected boolean"
 
 
-def fit(labelled: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_chars: int = SAMPLE_CHARS) -> list[tuple[str, bytes]]:
-    """Languages, those with most labelled documents first, with their dictionary bytes,
-    from ``labelled`` (doc_id, text, lang)."""
-    usable = labelled.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
+def fit(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS, sample_bytes: int = SAMPLE_BYTES) -> list[tuple[str, bytes]]:
+    """Languages, those with most labelled rows first, with their dictionary bytes, from
+    ``labelled`` (doc_id, text, lang)."""
+    usable = labelled.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).select("lang", "doc_id", "text", F.xxhash64("text").alias("t"))
     sizes = {r.lang: r.n for r in usable.groupBy("lang").agg(F.count("*").alias("n")).limit(MAX_LANGS + 1).collect()}
     if len(sizes) > MAX_LANGS:
         raise ValueError(f"more than {MAX_LANGS} languages are labelled")
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = usable.select("lang", "doc_id").withColumn("k", F.row_number().over(order)).where(F.col("k") <= sample_docs).select("lang", "doc_id").distinct()
-    texts: dict[str, list[tuple]] = {}
-    for r in usable.join(F.broadcast(ids), ["lang", "doc_id"]).select("lang", "doc_id", F.substring("text", 1, sample_chars).alias("text")).collect():
-        texts.setdefault(r.lang, []).append((r.doc_id is None, r.doc_id or 0, r.text))
-    return [(x, "\n".join(t for *_, t in sorted(texts[x])).lower().encode()) for x in sorted(texts, key=lambda x: (-sizes[x], x))]
+    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", "t")
+    rows = usable.select("lang", "doc_id", "t", F.octet_length("text").alias("bytes")).where(F.col("bytes") <= sample_bytes).distinct()
+    first = rows.withColumn("k", F.row_number().over(order)).where(F.col("k") <= sample_rows)
+    upto = F.sum("bytes").over(order.rowsBetween(Window.unboundedPreceding, 0))
+    chosen = first.withColumn("upto", upto).where(F.col("upto") <= sample_bytes).select("lang", "doc_id", "t", "k")
+    same = F.col("doc_id").eqNullSafe(F.col("_id"))
+    found = usable.join(F.broadcast(chosen.withColumnRenamed("doc_id", "_id")), ["lang", "t"]).where(same)
+    texts: dict[str, list[tuple[int, str]]] = {}
+    for r in found.groupBy("lang", "k").agg(F.first("text").alias("text")).collect():
+        texts.setdefault(r.lang, []).append((r.k, r.text))
+    return [(x, "\n".join(t for _, t in sorted(texts[x])).lower().encode()) for x in sorted(texts, key=lambda x: (-sizes[x], x))]
 
 
 class Sizes:
     """Compressed sizes of a text by language."""
 
     def __init__(self, model: list[tuple[str, bytes]]):
-        self.langs = [x for x, _ in model]
-        self.short, self.long = self._compressors(model, SHORT), self._compressors(model, LONG)
-
-    @staticmethod
-    def _compressors(model: list[tuple[str, bytes]], how: tuple[int, int, int]) -> list:
         import zstandard
 
-        out = []
+        self.langs, self.compressors = [x for x, _ in model], []
         for _, sample in model:
-            own = zstandard.ZstdCompressionDict(sample[: how[1]], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-            own.precompute_compress(level=how[0])
-            out.append(zstandard.ZstdCompressor(level=how[0], dict_data=own, write_content_size=False, write_checksum=False, write_dict_id=False))
-        return out
+            own = zstandard.ZstdCompressionDict(sample, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            own.precompute_compress(level=LEVEL)
+            self.compressors.append(zstandard.ZstdCompressor(level=LEVEL, dict_data=own, write_content_size=False, write_checksum=False, write_dict_id=False))
 
     def of(self, text: str) -> list[int]:
         data = text.lower().encode()
-        compressors, block = (self.short, SHORT[2]) if len(data) <= SHORT_BYTES else (self.long, LONG[2])
-        blocks = [data[i : i + block] for i in range(0, len(data), block)]
-        return [sum(len(c.compress(b)) for b in blocks) for c in compressors]
+        blocks = [data[i : i + BLOCK_BYTES] for i in range(0, len(data), BLOCK_BYTES)]
+        return [sum(len(c.compress(b)) for b in blocks) for c in self.compressors]
 
 
 def has_letter(text: str) -> bool:
@@ -97,12 +91,12 @@ def answer(sizes: Sizes, text: str | None) -> tuple[str, float, bool]:
 def predict(docs: DataFrame, model: list[tuple[str, bytes]]) -> DataFrame:
     """SCHEMA for each of ``docs`` (doc_id, text, held_out); ``score`` is the share of
     bytes that the answer saves over the second language."""
+    sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sizes = None
+        sizes = Sizes(sent.value)
         for batch in batches:
-            sizes = sizes or Sizes(model)
-            found = [answer(sizes, x) for x in batch.column("text").to_pylist()]
+            found = [answer(sizes, x.as_py()) for x in batch.column("text")]
             langs, scores, rejected = zip(*found) if found else ((), (), ())
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id").cast(pa.int64()), batch.column("held_out"), pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(rejected, pa.bool_())],
