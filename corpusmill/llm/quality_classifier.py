@@ -1,24 +1,28 @@
 """Quality by nearest-neighbour voting over latent-semantic vectors.
 
-A text's features are trigrams of character classes (letters by case, digits, white
-space, each punctuation mark) over all its bytes, hashed, plus words equal to the word
-before and lines equal to an earlier line; as shares, square-rooted and weighted by
-inverse document frequency. A truncated singular value decomposition of a bounded
-labelled sample gives the latent space. The sample's vectors are broadcast; every
-document's vector is multiplied with all of them in blocks, exactly, and the nearest
-vote with their labels, weighted by a power of the cosine.
-
-The sample: the ``SAMPLE_DOCS`` labelled documents of smallest hashed id. The driver
-gets their feature vectors, at most SAMPLE_DOCS x (FEATURES + 2) floats.
+A text's terms are its words (lower-cased runs of letters, of digits, and of other signs)
+and the trigrams of its character classes (letters by case, digits, white space, each
+punctuation mark), all hashed, over the whole text, plus words equal to the word before
+and lines equal to an earlier line. Their shares are square-rooted and weighted by inverse
+document frequency; a truncated singular value decomposition of a bounded labelled sample
+gives the latent space. The sample's vectors are broadcast; every document's vector is
+multiplied with all of them in blocks, exactly, and the nearest vote with their labels,
+weighted by a power of the cosine.
+
+The sample: the ``SAMPLE_DOCS`` labelled documents of smallest hashed id, one text of each
+(of several under one id that of smallest hash). The driver gets their term vectors, at
+most SAMPLE_DOCS x (WORD_TERMS + CLASS_TERMS + 2) floats.
 
 Cases: null, empty and shorter texts than three bytes have a zero vector and get the
 sample's share of label 1; where nothing is labelled every score is 0.5. Equal cosines
-are voted by the sample's order. Repeated rows are scored each; an empty table gives no
-rows. Extra columns are carried along by ``with_score``.
+are voted by the sample's order. Repeated rows are scored each and learned from once; an
+empty table gives no rows. Extra columns are carried along by ``keep_good``.
 """
 
 from __future__ import annotations
 
+import re
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -30,12 +34,15 @@ from pyspark.sql import functions as F
 from corpusmill.llm.common import id_bucket, table
 
 SAMPLE_DOCS = 3000
-FEATURES = 1024
+WORD_TERMS, CLASS_TERMS = 2048, 1024
 LATENT = 48
 NEIGHBOURS = 25
 POWER = 8
 THRESHOLD = 0.3
 BLOCK = 256
+TERM = re.compile(r"[^\W\d_]+|\d+|[^\w\s]+")
+#: Words whose term a task keeps, and characters of such a word at most.
+CACHE_WORDS, CACHED_CHARS = 50_000, 24
 
 
 def _classes() -> np.ndarray:
@@ -65,22 +72,36 @@ def _classes() -> np.ndarray:
 CLASSES = _classes()
 
 
-def features(texts: list[str | None]) -> np.ndarray:
-    """Square roots of the shares of each feature, a row per text."""
-    out = np.zeros((len(texts), FEATURES + 2), np.float32)
+class WordTerms(dict):
+    """The term of a word; those of recent short words are kept, a bounded number."""
+
+    def __missing__(self, word: str) -> int:
+        term = zlib.crc32(word.encode()) % WORD_TERMS
+        if len(word) <= CACHED_CHARS:
+            if len(self) >= CACHE_WORDS:
+                self.clear()
+            self[word] = term
+        return term
+
+
+def features(texts: list[str | None], terms: WordTerms | None = None) -> np.ndarray:
+    """Square roots of the shares of each term, a row per text."""
+    terms = WordTerms() if terms is None else terms
+    out = np.zeros((len(texts), WORD_TERMS + CLASS_TERMS + 2), np.float32)
     for row, text in zip(out, texts):
         if not text:
             continue
         c = CLASSES[np.frombuffer(text.encode(), np.uint8)]
         if len(c) < 3:
             continue
-        hashed = (((c[:-2] * 40 + c[1:-1]) * 40 + c[2:]) * 2654435761 >> 7) % FEATURES
-        row[:FEATURES] = np.bincount(hashed, minlength=FEATURES)
+        words = TERM.findall(text.lower())
+        row[:WORD_TERMS] = np.bincount(np.fromiter(map(terms.__getitem__, words), np.int64, len(words)), minlength=WORD_TERMS) / max(1, len(words))
+        hashed = (((c[:-2] * 40 + c[1:-1]) * 40 + c[2:]) * 2654435761 >> 7) % CLASS_TERMS
+        row[WORD_TERMS:-2] = np.bincount(hashed, minlength=CLASS_TERMS) / len(c)
         words = text.split()
         lines = [x for x in text.split("\n") if x]
-        row[FEATURES] = sum(map(str.__eq__, words, words[1:])) * len(c) / max(1, len(words))
-        row[FEATURES + 1] = (len(lines) - len(set(lines))) * len(c) / max(1, len(lines))
-        row /= len(c)
+        row[-2] = sum(map(str.__eq__, words, words[1:])) / max(1, len(words))
+        row[-1] = (len(lines) - len(set(lines))) / max(1, len(lines))
     return np.sqrt(out)
 
 
@@ -94,10 +115,10 @@ class Model:
         out = found @ self.projection
         return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-9)
 
-    def score(self, texts: list[str | None]) -> np.ndarray:
+    def score(self, texts: list[str | None], terms: WordTerms | None = None) -> np.ndarray:
         if not len(self.labels):
             return np.full(len(texts), 0.5)
-        cosines = self.latent(features(texts)) @ self.vectors.T
+        cosines = self.latent(features(texts, terms)) @ self.vectors.T
         k = min(NEIGHBOURS, len(self.labels))
         nearest = np.argpartition(-cosines, k - 1, axis=1)[:, :k]
         weights = np.maximum(np.take_along_axis(cosines, nearest, axis=1).astype(np.float64), 0.0) ** POWER
@@ -125,16 +146,16 @@ def fit(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS, late
     known = labels.where(F.col("quality").isin(0, 1)).groupBy("doc_id").agg(F.max("quality").alias("quality"))
     sample = known.join(ids, "doc_id", "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_docs)
 
-    @F.pandas_udf("array<float>")
+    @F.pandas_udf("binary")
     def vector(texts: pd.Series) -> pd.Series:
-        return pd.Series(list(features(texts.tolist())))
-
-    rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("doc_id", "quality", vector("text").alias("v")).toPandas()
-    if not len(rows):
-        return Model(np.zeros((FEATURES + 2, latent), np.float32), np.zeros((0, latent), np.float32), np.zeros(0))
-    rows = rows.sort_values("doc_id", kind="stable").drop_duplicates("doc_id")
-    found = np.stack(rows["v"].to_numpy()).astype(np.float32)
-    model = Model(latent_space(found, latent), np.zeros((0, latent), np.float32), rows["quality"].to_numpy(np.float64))
+        return pd.Series([features([x])[0].tobytes() for x in texts])
+
+    one = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").groupBy("doc_id", "quality").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    rows = sorted((r.doc_id, r.quality, r.v) for r in one.select("doc_id", "quality", vector("text").alias("v")).collect())
+    if not rows:
+        return Model(np.zeros((WORD_TERMS + CLASS_TERMS + 2, latent), np.float32), np.zeros((0, latent), np.float32), np.zeros(0))
+    found = np.frombuffer(b"".join(r[2] for r in rows), np.float32).reshape(len(rows), -1)
+    model = Model(latent_space(found, latent), np.zeros((0, latent), np.float32), np.array([r[1] for r in rows], np.float64))
     model.vectors = model.latent(found)
     return model
 
@@ -145,8 +166,9 @@ def scorer(spark: SparkSession, model: Model):
 
     @F.pandas_udf("double")
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        terms = WordTerms()
         for texts in batches:
-            parts = [sent.value.score(texts.iloc[i : i + BLOCK].tolist()) for i in range(0, len(texts), BLOCK)]
+            parts = [sent.value.score(texts.iloc[i : i + BLOCK].tolist(), terms) for i in range(0, len(texts), BLOCK)]
             yield pd.Series(np.concatenate(parts) if parts else np.zeros(0))
 
     return score
