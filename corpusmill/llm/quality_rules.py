@@ -1,14 +1,19 @@
-"""Quality rules: base counts of a text, and the fertility of a public tokenizer on it.
-
-Fertility figures of a text, over its words, each encoded on its own by a sentencepiece
-vocabulary with byte fallback: characters per token, the share of byte-fallback tokens,
-and the entropy of its token distribution, as a share of the most that so many tokens
-can have. Per language (or, where that is null, per script) the quartiles of each figure
-over the group's documents give a band; a document outside a band of its group is
-rejected. Figures of short texts scatter more, so below the group's median length the
-band widens with the square root of median over own length. Quartiles of few documents
-scatter too, so a group of n documents has its room widened by the square root of
-1 + ``min_group`` / n: one rule at every size, and never the bands of other languages.
+"""Quality rules: base counts of a text, and the fertility of public tokenizers on it.
+
+Fertility figures of a text, over its words, each encoded on its own: characters per token
+of a sentencepiece vocabulary with byte fallback, the share of its byte-fallback tokens,
+the entropy of its token distribution (as a share of the most that so many tokens can
+have), and characters per token of a byte-level vocabulary. Per language (or, where that
+is null, per script: the one of most letters) the quartiles of each figure over the
+group's documents give a band; a document outside a band of its group is rejected. Figures
+of short texts scatter more, so below the group's median length the band widens with the
+square root of median over own length. Quartiles of few documents scatter too, so a group
+of n documents has its room widened by the square root of 1 + ``min_group`` / n: one rule
+at every size, and never the bands of other languages.
+
+Quartiles are exact over figures rounded to ``STEPS`` a unit (lengths to a hundredth of
+their logarithm): counts per step are aggregated in every task, so neither partitions nor
+retries change them, and no task holds a group's documents.
 
 Cases: null and empty texts have zero counts and fail the base rules (n_words < 50); so
 they never reach the bands. Very long texts are read whole. Repeated rows count and are
@@ -27,24 +32,26 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from corpusmill.llm.common import stored, table
+from corpusmill.llm.common import small, stored, table
 
 SYMBOLS = re.compile(r"[#*$%&|<>]")
 SCRIPTS = ("LATIN", "GREEK", "CYRILLIC", "ARABIC", "HEBREW", "DEVANAGARI", "HANGUL", "HIRAGANA", "KATAKANA", "CJK", "THAI")
 MIN_WORDS = 50
-#: Distinct words that a Python worker keeps the encoding of.
-CACHE_WORDS = 150_000
+#: Distinct words that a task keeps the encoding of, and bytes of such a word at most.
+CACHE_WORDS, CACHED_BYTES = 60_000, 40
 #: A band reaches so many times the distance between the quartiles beyond them, and at
 #: least so far (the figures' units).
 REACH = 3.5
-LEAST_REACH = {"chars_per_token": 0.05, "byte_share": 0.02, "entropy": 0.12}
+LEAST_REACH = {"chars_per_token": 0.05, "byte_share": 0.02, "entropy": 0.12, "chars_per_byte_token": 0.05}
+STEPS = 1000
 #: Documents of a group whose room is wider by the square root of two.
 MIN_GROUP = 50
 
 STATS_SCHEMA = (
     "group string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, "
-    "n_tokens long, chars_per_token double, byte_share double, entropy double"
+    "n_tokens long, chars_per_token double, byte_share double, entropy double, chars_per_byte_token double"
 )
 STATS = [x.split()[0] for x in STATS_SCHEMA.split(", ")]
 
@@ -69,86 +76,108 @@ def repeated_lines(text: str) -> int:
 
 
 def script_of(text: str) -> str:
-    for ch in text:
+    """The script of most letters of the whole text; ties go to the first of SCRIPTS."""
+    letters: Counter = Counter()
+    for ch, n in Counter(text).items():
         if ch.isalpha():
             name = unicodedata.name(ch, "")
-            return next((s for s in SCRIPTS if name.startswith(s)), "OTHER")
-    return "NONE"
+            letters[next((s for s in SCRIPTS if name.startswith(s)), "OTHER")] += n
+    return max((*SCRIPTS, "OTHER"), key=letters.__getitem__) if letters else "NONE"
 
 
 class Fertility:
     """Token figures of texts; keeps the encodings of frequent words."""
 
-    def __init__(self, model: str):
+    def __init__(self, pieces: str, byte_level: str):
         import sentencepiece
+        from tokenizers import Tokenizer
 
-        self.sp = sentencepiece.SentencePieceProcessor(model_file=model)
+        self.sp = sentencepiece.SentencePieceProcessor(model_file=pieces)
         self.bytes = {i for i in range(self.sp.get_piece_size()) if self.sp.is_byte(i)}
-        self.known: dict[bytes, tuple[tuple[int, ...], int]] = {}
-
-    def of(self, counts: Counter) -> tuple[int, int, float]:
-        """Tokens, byte-fallback tokens and entropy (0 to 1) of words with counts."""
+        self.other = Tokenizer.from_file(byte_level)
+        self.other.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.known: dict[bytes, tuple[tuple[int, ...], int, int]] = {}
+
+    def encoded(self, words: list[bytes]) -> Iterator[tuple[tuple[int, ...], int, int]]:
+        """Ids, byte-fallback tokens, and tokens of the other vocabulary of each word."""
+        texts = [w.decode() for w in words]
+        for ids, text in zip(self.sp.encode(texts, num_threads=1), texts):
+            yield tuple(ids), sum(i in self.bytes for i in ids), len(self.other.encode(text, add_special_tokens=False).ids)
+
+    def of(self, counts: Counter) -> tuple[int, int, float, int]:
+        """Tokens, byte-fallback tokens, entropy (0 to 1) and tokens of the other
+        vocabulary, of words with counts."""
         known = self.known
-        if new := [w for w in counts if w not in known]:
-            if len(known) + len(new) > CACHE_WORDS:
-                known.clear()
-                new = list(counts)
-            for w, ids in zip(new, self.sp.encode([w.decode() for w in new], num_threads=1)):
-                known[w] = tuple(ids), sum(i in self.bytes for i in ids)
+        new = [w for w in counts if w not in known]
+        if len(known) + len(new) > CACHE_WORDS:
+            known.clear()
+            new = list(counts)
+        own = dict(zip(new, self.encoded(new)))
+        known.update((w, x) for w, x in own.items() if len(w) <= CACHED_BYTES)
         tokens: dict[int, int] = {}
-        n = fallback = 0
+        n = fallback = other = 0
         for w, c in counts.items():
-            ids, b = known[w]
+            ids, b, o = own.get(w) or known[w]
             n += c * len(ids)
             fallback += c * b
+            other += c * o
             for i in ids:
                 tokens[i] = tokens.get(i, 0) + c
         if n < 2:
-            return n, fallback, 0.0
-        return n, fallback, (math.log(n) - sum(c * math.log(c) for c in tokens.values()) / n) / math.log(n)
+            return n, fallback, 0.0, other
+        return n, fallback, (math.log(n) - sum(c * math.log(c) for c in tokens.values()) / n) / math.log(n), other
 
 
-def measure(model: str):
+def measure(pieces: str, byte_level: str):
     """A pandas UDF: counts and figures of a text, grouped by its language or script."""
 
     @F.pandas_udf(STATS_SCHEMA)
     def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-        fertility = Fertility(model)
+        fertility = Fertility(pieces, byte_level)
         for texts, langs in batches:
             out = []
             for text, lang in zip(texts, langs):
                 text = text or ""
                 words = text.encode().split()
                 chars = sum(map(len, words)) if text.isascii() else sum(len(w.decode()) for w in words)
-                n, fallback, entropy = fertility.of(Counter(words))
-                group = lang if isinstance(lang, str) else script_of(text)
+                n, fallback, entropy, other = fertility.of(Counter(words))
+                group = f"lang {lang}" if isinstance(lang, str) else f"script {script_of(text)}"
                 out.append((
                     group, len(words), chars, len(SYMBOLS.findall(text)), repeated_lines(text), repeated_words(words),
-                    n, chars / n if n else 0.0, fallback / n if n else 0.0, entropy,
+                    n, chars / n if n else 0.0, fallback / n if n else 0.0, entropy, chars / other if other else 0.0,
                 ))
             yield pd.DataFrame(out, columns=STATS)
 
     return run
 
 
-def with_stats(docs: DataFrame, model: str, column: str = "_stats") -> DataFrame:
-    """``docs`` (text, lang) with a struct column of counts and figures."""
-    return docs.withColumn(column, measure(model)("text", "lang"))
+def quantiles(stats: DataFrame, wanted: list[tuple[str, float]]) -> DataFrame:
+    """group, n and a struct q of ``wanted`` (figure, share): the smallest step of the
+    figure that so much of the group reaches up to. What is sorted is a count per step."""
+    figures = sorted({c for c, _ in wanted})
+    step = lambda c: F.round(F.log(F.greatest(F.col(c), F.lit(1))) * 100) if c == "n_tokens" else F.round(F.col(c) * STEPS)
+    pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("figure"), step(c).cast("long").alias("at")) for c in figures]))
+    counts = stats.select("group", pairs.alias("p")).groupBy("group", "p.figure", "p.at").agg(F.count("*").alias("c"))
+    by = Window.partitionBy("group", "figure")
+    upto = F.sum("c").over(by.orderBy("at").rowsBetween(Window.unboundedPreceding, 0))
+    rows = counts.select("group", "figure", "at", upto.alias("upto"), F.sum("c").over(by).alias("n"))
+    found = [F.min(F.when((F.col("figure") == c) & (F.col("upto") >= F.col("n") * q), F.col("at"))) for c, q in wanted]
+    back = lambda c, x: F.exp(x / 100) if c == "n_tokens" else x / F.lit(float(STEPS))
+    return rows.groupBy("group").agg(F.max("n").alias("n"), *[back(c, x).alias(f"{c}_{int(q * 100)}") for (c, q), x in zip(wanted, found)])
 
 
 def bands(stats: DataFrame, reach: float = REACH, min_group: int = MIN_GROUP) -> DataFrame:
     """A row per group with low and high ends and the room beside them, from its documents
     that pass the base rules."""
-    names = list(LEAST_REACH)
-    figures = [F.count("*").alias("n"), F.percentile_approx("n_tokens", 0.5, 1000).alias("typical")]
-    figures += [F.percentile_approx(c, [0.25, 0.75], 1000).alias(c) for c in names]
-    groups = stats.where(~base_failed()).groupBy("group").agg(*figures)
+    wanted = [("n_tokens", 0.5), *((c, q) for c in LEAST_REACH for q in (0.25, 0.75))]
+    groups = quantiles(stats.where(~base_failed()), wanted)
     few = F.sqrt(1 + F.lit(float(min_group)) / F.col("n"))
     ends = []
-    for c in names:
-        room = F.greatest(F.lit(reach) * (F.col(c)[1] - F.col(c)[0]), F.lit(LEAST_REACH[c]))
-        ends += [F.col(c)[0].alias(f"{c}_low"), F.col(c)[1].alias(f"{c}_high"), (room * few).alias(f"{c}_room")]
-    return groups.select("group", "n", "typical", *ends)
+    for c in LEAST_REACH:
+        low, high = F.col(f"{c}_25"), F.col(f"{c}_75")
+        room = F.greatest(F.lit(reach) * (high - low), F.lit(LEAST_REACH[c]))
+        ends += [low.alias(f"{c}_low"), high.alias(f"{c}_high"), (room * few).alias(f"{c}_room")]
+    return groups.select("group", "n", F.col("n_tokens_50").alias("typical"), *ends)
 
 
 def base_failed():
@@ -157,8 +186,7 @@ def base_failed():
 
 def judge(stats: DataFrame, limits: DataFrame) -> DataFrame:
     """Stats with base_failed, kept and reason. ``limits`` has a row per language or
-    script, a set that doesn't grow with the documents; every document that passes the
-    base rules has one."""
+    script; every document that passes the base rules has one."""
     wider = F.sqrt(F.greatest(F.lit(1.0), F.col("typical") / F.greatest(F.col("n_tokens"), F.lit(1))))
     inside = F.lit(True)
     reason = F.when(base_failed(), "base")
@@ -168,21 +196,22 @@ def judge(stats: DataFrame, limits: DataFrame) -> DataFrame:
         inside = inside & ok
         reason = reason.when(~ok, c)
     return (
-        stats.join(F.broadcast(limits.drop("n")), "group", "left")
+        stats.join(small(stored(limits.drop("n"), "bands")), "group", "left")
         .withColumns({"base_failed": base_failed(), "reason": reason})
         .withColumn("kept", ~F.col("base_failed") & inside)
     )
 
 
-def default_model() -> str:
+def default_models() -> tuple[str, str]:
     import public_tokenizers
 
-    return public_tokenizers.path("piece_bpe_32k.model")
+    return public_tokenizers.path("piece_bpe_32k.model"), public_tokenizers.path("byte_bpe_50k.json")
 
 
-def rate(docs: DataFrame, model: str | None = None) -> DataFrame:
+def rate(docs: DataFrame, models: tuple[str, str] | None = None) -> DataFrame:
     """Counts, figures and verdict of every document (doc_id, text, lang)."""
-    stats = stored(with_stats(docs.select("doc_id", "text", "lang"), model or default_model()).select("doc_id", "_stats.*"), "fertility")
+    figures = measure(*(models or default_models()))("text", "lang")
+    stats = stored(docs.select("doc_id", "text", "lang").withColumn("_stats", figures).select("doc_id", "_stats.*"), "fertility")
     return judge(stats, bands(stats))
 
 
@@ -190,14 +219,14 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     rated = rate(table(spark, sf_dir, "documents"))
     return rated.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "reason",
-        "chars_per_token", "byte_share", "entropy",
+        "chars_per_token", "byte_share", "entropy", "chars_per_byte_token",
     )
 
 
 def keep_sound(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that the rules keep, with their columns. The texts are written once
     beside their figures, so that rows are judged where they lie, without a join."""
-    both = stored(docs.select(F.struct(*docs.columns).alias("_row"), measure(default_model())("text", "lang").alias("_stats")), "fertility")
+    both = stored(docs.select(F.struct(*docs.columns).alias("_row"), measure(*default_models())("text", "lang").alias("_stats")), "fertility")
     limits = bands(both.select("_stats.*"))
     kept = judge(both.select("_row", "_stats.*"), limits).where("kept")
     return kept.select(*[F.col("_row").getField(c).alias(c) for c in docs.columns])
