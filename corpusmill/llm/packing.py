@@ -47,8 +47,9 @@ from corpusmill.llm.common import stored, table
 
 CAPACITY = 4096
 END_TOKEN = 1
-#: Chunks of text (words with their punctuation) in a generation of kept ids.
-CACHE_CHUNKS = 150_000
+#: Chunks of text (words with their punctuation) in a generation of kept ids, and bytes of
+#: such a chunk at most.
+CACHE_CHUNKS, CACHED_BYTES = 60_000, 40
 #: Pieces of one length that are numbered together.
 GROUP_ROWS = 1_000
 #: Parts of an ordered plan, and the rows up to which they may lengthen it.
@@ -119,7 +120,8 @@ class WordIds:
                     found = b"".join([self._plain(p.translate(self.letters)) for p in self.PART.findall(text)])
                 else:
                     found = self._whole(chunk.decode())
-        self.recent[chunk] = found
+        if len(chunk) <= CACHED_BYTES:
+            self.recent[chunk] = found
         return found
 
     def of(self, text: str | None) -> bytes:
