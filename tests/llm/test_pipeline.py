@@ -63,7 +63,7 @@ def test_sequences_follow_the_mixture(spark):
     mixed = stored(mixing.in_order(spark, docs, SF), "mixed")
     got = packing.pack_documents(mixed, capacity=20, ordered=True).toPandas().sort_values("sequence_id")
     assert list(got.columns) == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
-    place = {r.doc_id: i for i, r in enumerate(mixing.placed(docs).select("row.doc_id", "slot", "place").orderBy("slot", "place").collect())}
+    place = {r.doc_id: i for i, r in enumerate(mixing.placed(docs, docs.columns).select("row.doc_id", "slot", "place").orderBy("slot", "place").collect())}
     quarters = [got.doc_id.map(place)[k * len(got) // 4 : (k + 1) * len(got) // 4] for k in range(4)]
     assert all(abs(q.mean() - 150 * k - 75) < 30 for k, q in enumerate(quarters)), [q.mean() for q in quarters]
     assert len(got) == 600 and not got.duplicated(["sequence_id", "offset"]).any()
