@@ -23,12 +23,15 @@ lang are read.
 
 from __future__ import annotations
 
+import base64
 import math
 import re
 import unicodedata
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,8 +42,10 @@ from corpusmill.llm.common import small, stored, table
 SYMBOLS = re.compile(r"[#*$%&|<>]")
 SCRIPTS = ("LATIN", "GREEK", "CYRILLIC", "ARABIC", "HEBREW", "DEVANAGARI", "HANGUL", "HIRAGANA", "KATAKANA", "CJK", "THAI")
 MIN_WORDS = 50
-#: Distinct words that a task keeps the encoding of, and bytes of such a word at most.
-CACHE_WORDS, CACHED_BYTES = 60_000, 40
+#: Words of a generation that a task keeps the encodings of, and bytes of such a word at most.
+CACHE_WORDS, CACHED_BYTES = 80_000, 40
+#: Texts whose words are encoded together.
+TEXT_ROWS = 100
 #: A band reaches so many times the distance between the quartiles beyond them, and at
 #: least so far (the figures' units).
 REACH = 3.5
@@ -86,66 +91,68 @@ def script_of(text: str) -> str:
 
 
 class Fertility:
-    """Token figures of texts; keeps the encodings of frequent words."""
+    """Token figures of texts."""
 
-    def __init__(self, pieces: str, byte_level: str):
+    def __init__(self, pieces: str, byte_ranks: str):
         import sentencepiece
-        from tokenizers import Tokenizer
+        import tiktoken
+        from public_tokenizers import PATTERN
 
         self.sp = sentencepiece.SentencePieceProcessor(model_file=pieces)
-        self.bytes = {i for i in range(self.sp.get_piece_size()) if self.sp.is_byte(i)}
-        self.other = Tokenizer.from_file(byte_level)
-        self.other.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.known: dict[bytes, tuple[tuple[int, ...], int, int]] = {}
-
-    def encoded(self, words: list[bytes]) -> Iterator[tuple[tuple[int, ...], int, int]]:
-        """Ids, byte-fallback tokens, and tokens of the other vocabulary of each word."""
-        texts = [w.decode() for w in words]
-        for ids, text in zip(self.sp.encode(texts, num_threads=1), texts):
-            yield tuple(ids), sum(i in self.bytes for i in ids), len(self.other.encode(text, add_special_tokens=False).ids)
-
-    def of(self, counts: Counter) -> tuple[int, int, float, int]:
+        self.is_byte = np.array([self.sp.is_byte(i) for i in range(self.sp.get_piece_size())])
+        with open(byte_ranks, "rb") as lines:
+            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+        self.other = tiktoken.Encoding("byte-level", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+        self.known: dict[bytes, tuple[bytes, int]] = {}
+        self.older: dict[bytes, tuple[bytes, int]] = {}
+
+    def learn(self, texts: list[list[bytes]]) -> None:
+        """Encodes what isn't known of the words of some texts, all at once. Those of short
+        words are kept, in two generations of bounded size."""
+        for w in [w for w in self.known if len(w) > CACHED_BYTES]:
+            del self.known[w]
+        if len(self.known) > CACHE_WORDS:
+            self.older, self.known = self.known, {}
+        missing = {w for words in texts for w in words if w not in self.known}
+        again = missing & self.older.keys()
+        self.known.update((w, self.older[w]) for w in again)
+        new = list(missing - again)
+        plain = [w.decode() for w in new]
+        for w, ids, text in zip(new, self.sp.encode(plain, num_threads=1), plain):
+            self.known[w] = array("I", ids).tobytes(), len(self.other.encode_ordinary(text))
+
+    def of(self, words: list[bytes]) -> tuple[int, int, float, int]:
         """Tokens, byte-fallback tokens, entropy (0 to 1) and tokens of the other
-        vocabulary, of words with counts."""
-        known = self.known
-        new = [w for w in counts if w not in known]
-        if len(known) + len(new) > CACHE_WORDS:
-            known.clear()
-            new = list(counts)
-        own = dict(zip(new, self.encoded(new)))
-        known.update((w, x) for w, x in own.items() if len(w) <= CACHED_BYTES)
-        tokens: dict[int, int] = {}
-        n = fallback = other = 0
-        for w, c in counts.items():
-            ids, b, o = own.get(w) or known[w]
-            n += c * len(ids)
-            fallback += c * b
-            other += c * o
-            for i in ids:
-                tokens[i] = tokens.get(i, 0) + c
+        vocabulary, of words that are learnt."""
+        found = [self.known[w] for w in words]
+        ids = np.frombuffer(b"".join([x for x, _ in found]), np.uint32)
+        n, other = len(ids), sum([x for _, x in found])
         if n < 2:
-            return n, fallback, 0.0, other
-        return n, fallback, (math.log(n) - sum(c * math.log(c) for c in tokens.values()) / n) / math.log(n), other
+            return n, int(self.is_byte[ids].sum()), 0.0, other
+        c = np.unique(ids, return_counts=True)[1]
+        return n, int(self.is_byte[ids].sum()), float((math.log(n) - (c * np.log(c)).sum() / n) / math.log(n)), other
 
 
-def measure(pieces: str, byte_level: str):
+def measure(pieces: str, byte_ranks: str):
     """A pandas UDF: counts and figures of a text, grouped by its language or script."""
 
     @F.pandas_udf(STATS_SCHEMA)
     def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-        fertility = Fertility(pieces, byte_level)
+        fertility = Fertility(pieces, byte_ranks)
         for texts, langs in batches:
             out = []
-            for text, lang in zip(texts, langs):
-                text = text or ""
-                words = text.encode().split()
-                chars = sum(map(len, words)) if text.isascii() else sum(len(w.decode()) for w in words)
-                n, fallback, entropy, other = fertility.of(Counter(words))
-                group = f"lang {lang}" if isinstance(lang, str) else f"script {script_of(text)}"
-                out.append((
-                    group, len(words), chars, len(SYMBOLS.findall(text)), repeated_lines(text), repeated_words(words),
-                    n, chars / n if n else 0.0, fallback / n if n else 0.0, entropy, chars / other if other else 0.0,
-                ))
+            for at in range(0, len(texts), TEXT_ROWS):
+                some = [x or "" for x in texts.iloc[at : at + TEXT_ROWS]]
+                all_words = [x.encode().split() for x in some]
+                fertility.learn(all_words)
+                for text, words, lang in zip(some, all_words, langs.iloc[at : at + TEXT_ROWS]):
+                    chars = sum(map(len, words)) if text.isascii() else sum(len(w.decode()) for w in words)
+                    n, fallback, entropy, other = fertility.of(words)
+                    group = f"lang {lang}" if isinstance(lang, str) else f"script {script_of(text)}"
+                    out.append((
+                        group, len(words), chars, len(SYMBOLS.findall(text)), repeated_lines(text), repeated_words(words),
+                        n, chars / n if n else 0.0, fallback / n if n else 0.0, entropy, chars / other if other else 0.0,
+                    ))
             yield pd.DataFrame(out, columns=STATS)
 
     return run
@@ -205,7 +212,7 @@ def judge(stats: DataFrame, limits: DataFrame) -> DataFrame:
 def default_models() -> tuple[str, str]:
     import public_tokenizers
 
-    return public_tokenizers.path("piece_bpe_32k.model"), public_tokenizers.path("byte_bpe_50k.json")
+    return public_tokenizers.path("piece_bpe_32k.model"), public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
 def rate(docs: DataFrame, models: tuple[str, str] | None = None) -> DataFrame:
