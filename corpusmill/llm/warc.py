@@ -12,6 +12,11 @@ Cases: a null html is an empty payload. Records of equal page_id and payload are
 apart by WARC-Record-ID: the smaller one is the response. Null urls and ids are left
 out of the header and come back null. Very long payloads are written whole. An empty
 table makes empty archives, whose reading gives no rows.
+
+A file is read as one row, so its bytes are bounded: records are written by classes of
+size (``CLASSES``), and a file takes as many of a class as fit into ``FILE_BYTES`` at the
+class's upper end; a record beyond the last end has a file of its own. Records are taken
+out of the compressed stream one at a time. Digests are checked where payloads are read.
 """
 
 from __future__ import annotations
@@ -20,6 +25,7 @@ import base64
 import gzip
 import hashlib
 from collections.abc import Iterator
+from typing import BinaryIO
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -29,8 +35,11 @@ from corpusmill.llm.common import scratch_path, table
 
 VERSION = "WARC/1.1"
 END = "\r\n\r\n"
-#: Records of an archive file at most; a file is read as one row.
-RECORDS_PER_FILE = 2000
+#: Uncompressed bytes of payloads in an archive file, and upper ends of record sizes.
+FILE_BYTES = 64 << 20
+CLASSES = (1 << 15, 1 << 18, 1 << 21, 1 << 24)
+#: Characters of payloads that are returned together.
+BATCH_CHARS = 4 << 20
 RECORD_SCHEMA = (
     "record_type string, record_id string, page_id long, url string, payload_digest string, payload_bytes long, "
     "refers_to long, refers_to_id string, payload string"
@@ -81,8 +90,15 @@ def record_text(has_payload: Column) -> Column:
 
 def write(records: DataFrame, path: str) -> None:
     """Records (columns of RECORD_SCHEMA) to gzipped archive files under ``path``."""
-    text = records.select(record_text(F.col("record_type") == "response").alias("value"))
-    text.write.options(lineSep=END, compression="gzip", maxRecordsPerFile=RECORDS_PER_FILE).text(path)
+    kept = F.when(F.col("record_type") == "response", F.coalesce(F.octet_length("payload"), F.lit(0))).otherwise(0)
+    most = records.select(kept.alias("b")).agg(F.max("b")).first()[0] or 0
+    low = -1
+    for high in (*CLASSES, None):
+        if low < most or low < 0:
+            some = records if low < 0 and most <= high else records.where((kept > low) & ((kept <= high) if high else F.lit(True)))
+            text = some.select(record_text(F.col("record_type") == "response").alias("value"))
+            text.write.mode("append").options(lineSep=END, compression="gzip", maxRecordsPerFile=max(1, FILE_BYTES // high) if high else 1).text(path)
+        low = high
 
 
 def responses(pages: DataFrame) -> DataFrame:
@@ -94,22 +110,18 @@ def responses(pages: DataFrame) -> DataFrame:
     )
 
 
-def _parse(data: bytes, payloads: bool) -> Iterator[tuple]:
-    at, size = 0, len(data)
-    while at < size:
-        end = data.index(b"\r\n\r\n", at)
-        lines = data[at:end].decode().split("\r\n")
-        if lines[0] != VERSION:
-            raise ValueError(f"no record at byte {at}")
-        head = dict(x.split(": ", 1) for x in lines[1:])
-        start = end + 4
-        stop = start + int(head["Content-Length"])
-        body = data[start:stop]
-        at = stop + len(END)
+def _parse(stream: BinaryIO, payloads: bool) -> Iterator[tuple]:
+    while first := stream.readline():
+        if first.rstrip(b"\r\n") != VERSION.encode():
+            raise ValueError(f"no record at {first[:40]!r}")
+        lines = iter(stream.readline, b"\r\n")
+        head = dict(x.decode().rstrip("\r\n").split(": ", 1) for x in lines)
+        body = stream.read(int(head["Content-Length"]))
+        stream.read(len(END))
         uid = lambda k: head[k][10:-1] if k in head else None
         number = lambda k: int(head[k]) if k in head else None
         digest = head["WARC-Payload-Digest"].removeprefix("sha1:")
-        if head["WARC-Type"] == "response" and base64.b32encode(hashlib.sha1(body).digest()).decode() != digest:
+        if payloads and head["WARC-Type"] == "response" and base64.b32encode(hashlib.sha1(body).digest()).decode() != digest:
             raise ValueError(f"payload of {head['WARC-Record-ID']} doesn't have its digest")
         yield (
             head["WARC-Type"], uid("WARC-Record-ID"), number("WARC-Page-ID"), head.get("WARC-Target-URI"), digest, number("WARC-Payload-Length"),
@@ -122,11 +134,13 @@ def _reader(payloads: bool):
         for batch in batches:
             for content in batch.column("content"):
                 rows: list[tuple] = []
-                for row in _parse(gzip.decompress(content.as_py()), payloads):
+                size = 0
+                for row in _parse(gzip.open(pa.BufferReader(content.as_buffer())), payloads):
                     rows.append(row)
-                    if len(rows) == 500:
+                    size += len(row[-1] or "")
+                    if len(rows) == 500 or size > BATCH_CHARS:
                         yield _batch(rows)
-                        rows = []
+                        rows, size = [], 0
                 yield _batch(rows)
 
     return run
@@ -138,8 +152,8 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def read(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
-    """The records of the archive files under ``path``; the digest of every response is
-    checked against its payload."""
+    """The records of the archive files under ``path``; with ``payloads`` the digest of every
+    response is checked against them."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path)
     return files.select("content").mapInArrow(_reader(payloads), RECORD_SCHEMA)
 
