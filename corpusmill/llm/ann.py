@@ -7,31 +7,37 @@ inner product of vector and code). Vectors lie in blocks of bounded size, by has
 Search: a query is rotated alike and rounded to eight bit planes; popcounts of code and
 planes estimate its inner product with every vector of a block, and the code's error
 bound says how far off that may be. Vectors whose upper end reaches the k-th lower end
-are compared exactly, on the original vectors. The queries are a stated set; query
-blocks meet index blocks cell by cell, each cell a group of its own, and a cell returns k
-rows per query.
+are compared exactly, on the original vectors. The queries are a stated set, sent in
+rounds of bounded size to where the index blocks are: these are read once a round and
+never shuffled, and a block returns k rows per query of its dimension.
 
 Cases: vectors that are null, empty, zero, or hold a null or non-finite component take
 no part, neither as queries nor as candidates. Rows of one vec_id are one vector (the
-smallest by its bytes). Only vectors of a query's dimension are its candidates. Equal
+smallest in the order of its components), found by an aggregate before any group is
+made. Very large or small components don't overflow: a vector is scaled by a power of two
+first. Only vectors of a query's dimension are its candidates. Equal
 scores go to the smaller vec_id; with fewer than k candidates, all are returned. Empty
 tables give no rows; other columns are not read.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from corpusmill.llm.common import stored, table
+from corpusmill.llm.common import arrow_batches, stored, table
 
 K = 5
 QUERY_MOD = 50
 INDEX_BLOCK = 4096
 QUERY_BLOCK = 1024
+#: Bytes of query vectors that a round broadcasts.
+ROUND_BYTES = 32_000_000
 PLANES = 8
 #: Standard deviations of the error bound.
 SIGMAS = 3.0
@@ -52,14 +58,12 @@ def usable(vector: Column) -> Column:
 
 
 def _rows(group: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    """Ids and vectors of a group, one row per id."""
+    """Ids and vectors of a group, in order of ids."""
     ids = group.column("vec_id").to_numpy()
     flat = group.column("embedding").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-    vectors = flat.reshape(len(ids), -1)
-    order = np.lexsort([*vectors.T[::-1], ids])
-    ids, vectors = ids[order], vectors[order]
-    first = np.append(True, ids[1:] != ids[:-1]) if len(ids) else np.zeros(0, bool)
-    return ids[first].astype("<i8"), vectors[first]
+    vectors, order = flat.reshape(len(ids), -1), np.argsort(ids, kind="stable")
+    most = np.abs(vectors).max(axis=1, keepdims=True)
+    return ids[order].astype("<i8"), np.ldexp(vectors, -np.frexp(most)[1])[order]
 
 
 def encode(vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -93,11 +97,10 @@ def _query_block(keys: tuple, group: pa.Table) -> pa.Table:
 def in_blocks(vectors: DataFrame, rows: int, name: str) -> DataFrame:
     """vec_id, embedding, dim and the number of a block of about ``rows`` rows."""
     sound = vectors.where(usable(F.col("embedding")) & F.col("vec_id").isNotNull())
+    sound = sound.select(F.col("vec_id").cast("long").alias("vec_id"), F.transform("embedding", lambda x: x.cast("double")).alias("embedding"))
+    one = sound.groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
     n = -(-sound.count() // rows) or 1
-    return sound.select(
-        F.col("vec_id").cast("long").alias("vec_id"), F.transform("embedding", lambda x: x.cast("double")).alias("embedding"),
-        F.size("embedding").alias("dim"), F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int").alias(name),
-    )
+    return one.select("vec_id", "embedding", F.size("embedding").alias("dim"), F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int").alias(name))
 
 
 def build_index(vectors: DataFrame, rows: int = INDEX_BLOCK) -> DataFrame:
@@ -145,30 +148,35 @@ def search_block(ids: np.ndarray, vectors: np.ndarray, codes: np.ndarray, scalar
     return out
 
 
-def _cell(k: int):
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        rows: list[tuple] = []
-        for b in left.to_pylist():
-            dim = b["dim"]
-            ids, scalars = np.frombuffer(b["ids"], "<i8"), np.frombuffer(b["scalars"], "<f8")
-            vectors, codes = np.frombuffer(b["vectors"], "<f8").reshape(-1, dim), np.frombuffer(b["codes"], "<u8").reshape(len(ids), -1)
-            for q in right.to_pylist():
-                rows += search_block(ids, vectors, codes, scalars, np.frombuffer(q["q_ids"], "<i8"), np.frombuffer(q["q_vectors"], "<f8").reshape(-1, dim), k)
-        columns = list(zip(*rows)) or [[], [], []]
-        return pa.table([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.float64()))], names=["query_id", "vec_id", "score"])
+def _met(k: int):
+    """The k nearest in its index block of each query, of rows with an index block and a
+    query block."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for b in (r for i in range(batch.num_rows) for r in batch.slice(i, 1).to_pylist()):
+                ids, scalars = np.frombuffer(b["ids"], "<i8"), np.frombuffer(b["scalars"], "<f8")
+                vectors, codes = np.frombuffer(b["vectors"], "<f8").reshape(-1, b["dim"]), np.frombuffer(b["codes"], "<u8").reshape(len(ids), -1)
+                rows = search_block(ids, vectors, codes, scalars, np.frombuffer(b["q_ids"], "<i8"), np.frombuffer(b["q_vectors"], "<f8").reshape(-1, b["dim"]), k)
+                columns = list(zip(*rows)) or [[], [], []]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.float64()))], names=["query_id", "vec_id", "score"])
 
     return run
 
 
-def search(index: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
+def search(index: DataFrame, queries: DataFrame, k: int = K, round_bytes: int = ROUND_BYTES) -> DataFrame:
     """The k nearest of each query (vec_id, embedding): query_id, rank, vec_id, score."""
-    blocks = stored(in_blocks(queries, QUERY_BLOCK, "query_block").groupBy("dim", "query_block").applyInArrow(_query_block, QUERY_SCHEMA), "ann-queries")
-    there = index.select("dim", "block").join(blocks.select("dim", "query_block"), "dim")  # cells: numbers only
-    left = there.join(index, ["dim", "block"]).groupBy("dim", "block", "query_block")
-    other = there.join(blocks, ["dim", "query_block"])
-    other = other.select(*[F.col(c).alias(f"q_{c}") for c in other.columns])  # else its columns are those of the left side
-    right = other.groupBy("q_dim", "q_block", "q_query_block")
-    found = left.cogroup(right).applyInArrow(_cell(k), FOUND_SCHEMA)
+    spark = index.sparkSession
+    blocks = in_blocks(queries, QUERY_BLOCK, "query_block").groupBy("dim", "query_block").applyInArrow(_query_block, QUERY_SCHEMA)
+    blocks = stored(blocks.select("dim", "query_block", F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors")), "ann-queries")
+    total = blocks.agg(F.sum(F.octet_length("q_vectors"))).first()[0] or 0
+    rounds = max(1, -(-total // round_bytes))
+    found = None
+    for n in range(rounds):
+        part = blocks.where(F.pmod(F.xxhash64("dim", "query_block"), F.lit(rounds)) == n)
+        with arrow_batches(spark, 4):
+            met = stored(index.join(F.broadcast(part), "dim").mapInArrow(_met(k), FOUND_SCHEMA), "ann-found")
+        found = met if found is None else found.unionByName(met)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
