@@ -504,6 +504,18 @@ def test_neighbour_cases(spark):
     assert ann.search(ann.build_index(vectors.limit(0)), vectors.limit(0)).count() == 0
 
 
+def test_neighbours_in_rounds_and_of_huge_vectors(spark):
+    rnd = np.random.default_rng(3)
+    rows = [(i, (rnd.standard_normal(8) * 10.0 ** (200 if i % 2 else -200)).tolist()) for i in range(300)]
+    vectors = spark.createDataFrame(rows + rows[:5] * 40, "vec_id long, embedding array<double>")
+    queries = vectors.where("vec_id % 50 = 0")
+    got = [tuple(r) for r in ann.search(ann.build_index(vectors, rows=64), queries, 3, round_bytes=100).collect()]
+    x = np.stack([np.array(v) / np.abs(v).max() for _, v in rows])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    want = [(q, r + 1, int(i)) for q in range(0, 300, 50) for r, i in enumerate([i for i in np.argsort(-(x @ x[q]), kind="stable") if i != q][:3])]
+    assert sorted(g[:3] for g in got) == want and all(abs(g[3] - x[g[0]] @ x[g[2]]) < 1e-9 for g in got)
+
+
 def test_estimates_stay_within_their_bounds():
     x = np.random.default_rng(0).standard_normal((2000, 64))
     codes, scalars = ann.encode(x)
@@ -584,6 +596,17 @@ def test_warc_round_trip(spark, tmp_path):
     assert warc.read(spark, f"{tmp_path}/none").count() == 0
 
 
+def test_archives_have_files_of_bounded_size(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "CLASSES", (100, 1000))
+    monkeypatch.setattr(warc, "FILE_BYTES", 2000)
+    pages = spark.createDataFrame([(i, "u", "x" * (10 if i % 10 else 500 if i % 20 else 5000)) for i in range(100)], "page_id long, url string, html string").coalesce(1)
+    warc.write(warc.responses(pages), f"{tmp_path}/a")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(f"{tmp_path}/a").collect()
+    sizes = [sum(len(r[-1]) for r in warc._parse(warc.gzip.open(warc.pa.BufferReader(f.content)), True)) for f in files]
+    assert max(s for s in sizes if s != 5000) <= 2000 and sizes.count(5000) == 5 and sum(sizes) == 90 * 10 + 5 * 500 + 5 * 5000
+    assert warc.read(spark, f"{tmp_path}/a").count() == 100
+
+
 # --- 10 rules ----------------------------------------------------------------------------
 
 
@@ -632,7 +655,7 @@ def test_bands_and_verdicts_equal_brute_force(spark):
         repeated = len({i + d for i, w in enumerate(zip(words, words[1:], words[2:])) if windows[w] > 1 for d in range(3)})
         failed = len(words) < 50 or 100 * repeated > 50 * len(words)
         ids = [i for w in words for i in figures.sp.encode(w)]
-        other = sum(len(figures.other.encode(w, add_special_tokens=False).ids) for w in words)
+        other = sum(len(figures.other.encode_ordinary(w)) for w in words)
         n, chars = len(ids), sum(map(len, words))
         share = [c / n for c in collections.Counter(ids).values()]
         figure = (chars / n, sum(figures.sp.is_byte(i) for i in ids) / n, -sum(p * np.log(p) for p in share) / np.log(n), chars / other) if n > 1 else (0, 0, 0, 0)
