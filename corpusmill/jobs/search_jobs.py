@@ -155,8 +155,8 @@ def _tf(where: str) -> str:
     return f"SELECT qid, id, sum(tf)::BIGINT AS score FROM post JOIN q USING (term) {where} GROUP BY ALL"
 
 
-def _bm25(units: str) -> str:
-    """CTEs up to bm(qid, id, score), of ``units`` (id, text)."""
+def _word_tables(units: str) -> str:
+    """CTEs of the words, lengths, counts and question terms of ``units`` (id, text)."""
     return f"""
 u AS ({units}),
 uw AS (SELECT id, list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda x: x <> '') AS w FROM u),
@@ -164,7 +164,13 @@ ul AS (SELECT id, len(w) AS dl FROM uw),
 us AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM ul),
 ut AS (SELECT term, id, count(*) AS tf FROM (SELECT id, unnest(w) AS term FROM uw) GROUP BY ALL),
 uq AS (SELECT qid, term, count(*) AS qtf FROM (SELECT item_id AS qid, unnest(list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda x: x <> '')) AS term FROM benchmark) GROUP BY ALL),
-ud AS (SELECT term, count(*) AS df FROM ut GROUP BY ALL),
+ud AS (SELECT term, count(*) AS df FROM ut GROUP BY ALL)"""
+
+
+def _bm25(units: str) -> str:
+    """CTEs up to bm(qid, id, score), of ``units`` (id, text)."""
+    return f"""
+{_word_tables(units)},
 bm AS (
   SELECT qid, ut.id, round(sum(qtf * ln((n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE) + 1.0::DOUBLE) * tf * 2.5::DOUBLE / (tf + 1.5::DOUBLE * (1.0::DOUBLE - 0.75::DOUBLE + 0.75::DOUBLE * dl / avgdl))), 6) AS score
   FROM ut JOIN uq USING (term) JOIN ud USING (term) JOIN ul ON ul.id = ut.id CROSS JOIN us GROUP BY ALL
@@ -209,7 +215,12 @@ _DOC_LISTS = f"""
 WITH {_bm25(_SENTS)},
 l AS (SELECT qid, id, id // 100000 AS doc, score FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM bm) WHERE rank <= 40),
 r AS (SELECT *, row_number() OVER (PARTITION BY qid, doc ORDER BY score DESC, id) AS doc_rank FROM l),
-a AS (SELECT qid, doc, round(sum(score), 6) AS s_sum, round(max(score), 6) AS s_max, round(avg(CASE WHEN doc_rank <= 3 THEN score END), 6) AS s_top3 FROM r GROUP BY ALL)
+m AS (SELECT qid, doc, doc_rank, round(score * 1000000)::BIGINT AS s FROM r),
+a AS (
+  SELECT qid, doc, sum(s)::BIGINT / 1e6::DOUBLE AS s_sum, max(s) / 1e6::DOUBLE AS s_max,
+         ((2 * sum(s) FILTER (WHERE doc_rank <= 3) + count(*) FILTER (WHERE doc_rank <= 3)) // (2 * count(*) FILTER (WHERE doc_rank <= 3)))::BIGINT / 1e6::DOUBLE AS s_top3
+  FROM m GROUP BY ALL
+)
 """
 
 ORACLES = {

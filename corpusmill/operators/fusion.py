@@ -52,9 +52,11 @@ def candidate_union(ann: DataFrame, strong: DataFrame, field: DataFrame) -> Data
 
 def document_scores(rows: DataFrame, how: str) -> DataFrame:
     """(qid, doc, score) of scored sentences (qid, doc, score, rank in the document), by
-    ``sum``, ``max`` or ``top3``."""
-    agg = {"sum": F.sum("score"), "max": F.max("score"), "top3": F.avg(F.when(F.col("doc_rank") <= 3, F.col("score")))}[how]
-    return rows.groupBy("qid", "doc").agg(F.round(agg, 6).alias("score"))
+    ``sum``, ``max`` or ``top3``; scores are six-digit numbers, and so are these."""
+    whole = rows.withColumn("s", F.round(F.col("score") * 1_000_000).cast("long"))  # sums in any order are equal
+    n, top = F.count_if(F.col("doc_rank") <= 3), F.sum(F.when(F.col("doc_rank") <= 3, F.col("s")))
+    agg = {"sum": F.sum("s"), "max": F.max("s"), "top3": F.floor((2 * top + n) / (2 * n))}[how]
+    return whole.groupBy("qid", "doc").agg((agg / F.lit(1e6)).alias("score"))
 
 
 def min_max(df: DataFrame, column: str, by: str = "qid") -> Column:

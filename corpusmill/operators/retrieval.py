@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusmill.functions import text as T
-from corpusmill.functions.plans import broadcast_if_small, top_k
+from corpusmill.functions.plans import BROADCAST_ROWS, broadcast_if_small, top_k
 
 K1, B = 1.5, 0.75
 Tokens = Callable[[Column], Column]
@@ -52,19 +52,45 @@ def tf_scores(blocks: DataFrame, terms: DataFrame, tokens: Tokens = T.index_toke
     return found.join(broadcast_if_small(terms.select("qid", "term").distinct()), "term").groupBy("qid", "id").agg(F.sum("tf").alias("score"))
 
 
+def _weighed(blocks: DataFrame, queries: DataFrame, tokens: Tokens) -> tuple[DataFrame, DataFrame, DataFrame, Callable]:
+    """Query terms (qid, term, qtf), their occurrences (id, dl, term, tf), the corpus (n, avgdl),
+    and a broadcast hint if the query terms are counted small. The corpus is tokenised for
+    its lengths and once for the occurrences, which plans read from one exchange."""
+    terms = query_terms(queries, tokens)
+    few = terms.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    hint = F.broadcast if few else (lambda df: df)
+    sized = blocks.select("id", tokens(F.col("text")).alias("w")).withColumn("dl", F.size("w"))
+    corpus = sized.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
+    each = sized.select("id", "dl", F.explode("w").alias("term")).join(hint(terms.select("term").distinct()), "term", "left_semi")
+    return terms, each.groupBy("term", "id", "dl").agg(F.count("*").alias("tf")), corpus, hint
+
+
+def _summed(hits: DataFrame, weighted: DataFrame) -> DataFrame:
+    norm = F.col("tf") + K1 * (1.0 - B + B * F.col("dl") / F.col("avgdl"))
+    score = F.sum(F.col("qtf") * F.col("idf") * F.col("tf") * (K1 + 1.0) / norm)
+    return hits.join(weighted, "term").groupBy("qid", "id").agg(F.round(score, 6).alias("score"))
+
+
 def bm25_scores(blocks: DataFrame, queries: DataFrame, tokens: Tokens = T.lower_words) -> DataFrame:
     """(qid, id, score) by BM25; a term repeated in the query counts repeatedly. Scores
     are rounded to six digits, so that sums in any order rank alike."""
-    terms = query_terms(queries, tokens)
-    lengths = blocks.select("id", F.size(tokens(F.col("text"))).alias("dl"))
-    corpus = lengths.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    found = matching_postings(blocks, terms, tokens)
-    df = found.groupBy("term").agg(F.count("*").alias("df"))
+    terms, hits, corpus, hint = _weighed(blocks, queries, tokens)
+    df = hits.groupBy("term").agg(F.count("*").alias("df"))
     idf = df.join(F.broadcast(corpus)).select("term", "avgdl", F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1.0).alias("idf"))
-    weighted = broadcast_if_small(terms.join(idf, "term"))
-    norm = F.col("tf") + K1 * (1.0 - B + B * F.col("dl") / F.col("avgdl"))
-    score = F.sum(F.col("qtf") * F.col("idf") * F.col("tf") * (K1 + 1.0) / norm)
-    return found.join(lengths, "id").join(weighted, "term").groupBy("qid", "id").agg(F.round(score, 6).alias("score"))
+    return _summed(hits, hint(terms.join(hint(idf), "term")))  # a row per query term at most
+
+
+def bm25_okapi_scores(blocks: DataFrame, queries: DataFrame, tokens: Tokens = T.lower_words, epsilon: float = 0.25) -> DataFrame:
+    """As ``bm25_scores`` with the older inverse document frequency, which is negative for
+    terms of more than half of the blocks: these get ``epsilon`` times the mean over all
+    terms of the corpus."""
+    terms, hits, corpus, hint = _weighed(blocks, queries, tokens)
+    df = blocks.select(F.explode(F.array_distinct(tokens(F.col("text")))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    idf = df.join(F.broadcast(corpus)).select("term", "avgdl", (F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("idf"))
+    mean = idf.agg(F.avg("idf").alias("mean"))
+    used = idf.join(hint(terms.select("term").distinct()), "term", "left_semi").join(F.broadcast(mean))
+    idf = used.select("term", "avgdl", F.when(F.col("idf") < 0, epsilon * F.col("mean")).otherwise(F.col("idf")).alias("idf"))
+    return _summed(hits, hint(terms.join(hint(idf), "term")))
 
 
 def best(scores: DataFrame, k: int) -> DataFrame:
