@@ -31,13 +31,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusmill.llm.common import scratch_path, table
+from corpusmill.llm.common import scratch_path, stored, table
 
 VERSION = "WARC/1.1"
 END = "\r\n\r\n"
 #: Uncompressed bytes of payloads in an archive file, and upper ends of record sizes.
-FILE_BYTES = 64 << 20
-CLASSES = (1 << 15, 1 << 18, 1 << 21, 1 << 24)
+FILE_BYTES = 128 << 20
+CLASSES = (1 << 18, 1 << 21, 1 << 24)
 #: Characters of payloads that are returned together.
 BATCH_CHARS = 4 << 20
 RECORD_SCHEMA = (
@@ -88,10 +88,12 @@ def record_text(has_payload: Column) -> Column:
     )
 
 
-def write(records: DataFrame, path: str) -> None:
-    """Records (columns of RECORD_SCHEMA) to gzipped archive files under ``path``."""
+def write(records: DataFrame, path: str, most: int | None = None) -> None:
+    """Records (columns of RECORD_SCHEMA) to gzipped archive files under ``path``. ``most``:
+    the bytes of the largest payload, or an upper bound of them, where that is known."""
     kept = F.when(F.col("record_type") == "response", F.coalesce(F.octet_length("payload"), F.lit(0))).otherwise(0)
-    most = records.select(kept.alias("b")).agg(F.max("b")).first()[0] or 0
+    if most is None:
+        most = records.select(kept.alias("b")).agg(F.max("b")).first()[0] or 0
     low = -1
     for high in (*CLASSES, None):
         if low < most or low < 0:
@@ -161,7 +163,9 @@ def read(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
 def resolve(spark: SparkSession, path: str, out: str, least_bytes: int = 0) -> None:
     """The archives under ``path``, deduplicated, to ``out``. Payloads under
     ``least_bytes`` stay responses."""
-    heads = read(spark, path, payloads=False).where(F.col("payload_bytes") >= least_bytes)
+    all_heads = stored(read(spark, path, payloads=False).select("payload_digest", "payload_bytes", "page_id", "record_id"), "warc-heads")
+    most = all_heads.agg(F.max("payload_bytes")).first()[0] or 0
+    heads = all_heads.where(F.col("payload_bytes") >= least_bytes)
     first = heads.groupBy("payload_digest").agg(F.min(F.struct(F.col("page_id").isNull().alias("last"), "page_id", "record_id")).alias("first"))
     repeats = (
         heads.select("payload_digest", "record_id").join(first, "payload_digest")
@@ -172,7 +176,7 @@ def resolve(spark: SparkSession, path: str, out: str, least_bytes: int = 0) -> N
     resolved = read(spark, path).join(repeats, "record_id", "left").withColumns({
         "record_type": F.when(revisit, "revisit").otherwise("response"), "refers_to": F.col("_page"), "refers_to_id": F.col("_id"),
     })
-    write(resolved, out)
+    write(resolved, out, most)
 
 
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
