@@ -4,6 +4,13 @@ Every stage takes what its predecessor kept, as a table, and its result is writt
 read again before the next. All but the last return the columns of ``documents``. The
 mixture is the order of the fourth stage's files and rows; packing numbers its sequences
 along it.
+
+Cases: documents with a null or empty text score the sample's prior and then fail the base
+rules, so none reaches the packing; a null source is a source of its own. Rows of a null
+doc_id are judged and packed like others. Of repeated rows and of near copies one row
+stays, by smallest doc_id (null last), and among equal ids by a hash of the text. Very long
+texts are read whole. An empty table passes every stage as an empty table. Extra columns
+are carried up to the packing, whatever their names; it returns pieces.
 """
 
 from __future__ import annotations
