@@ -109,7 +109,7 @@ def labelled_pages(n: int = 300, seed: int = 7) -> list[tuple[str, list[int]]]:
         menu = lambda most=9: [(rnd.choice(["li", "li", "div"]), w, 0, w) for w in (rnd.randint(1, 4) for _ in range(rnd.randint(2, most)))]  # noqa: B023, E731
         aside = lambda tag="div", least=3, most=16: [(tag, rnd.randint(least, most), 0)]  # noqa: B023, E731
         if k % 9 == 8:  # nothing but text
-            for b in _paragraphs(rnd, rnd.randint(1, 9), "p"):
+            for b in _paragraphs(rnd, rnd.randint(1, 40), "p"):
                 page.block(*b)
             out.append(("".join(page.parts), page.labels))
             continue
