@@ -88,14 +88,25 @@ def topic_switches(spark, sf_dir):
     return sessions.switches(_conversations(spark, sf_dir), "role").select("conv_id", "turn", "role", F.col("switches").cast("bigint").alias("switches"), "distance")
 
 
-def _gold(spark, sf_dir):
-    """(qid, gold_group, id): documents that hold all of a passage's ten-word windows'
-    first one. Windows are found by an equi-join, not by searching every text."""
-    first = F.array_join(F.slice(T.lower_words(F.col("text")), 1, 10), " ")
-    keys = questions(spark, sf_dir).select("qid", first.alias("key"))
-    w = T.lower_words(F.col("text"))
-    windows = blocks(spark, sf_dir).select("id", w.alias("w")).where(F.size("w") >= 10).select("id", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("w") - 9), lambda i: F.array_join(F.slice(F.col("w"), i, 10), " ")))).alias("key"))
-    return windows.join(broadcast_if_small(keys), "key").select("qid", F.lit(0).alias("gold_group"), "id").distinct()
+def _windows(w, n):
+    """The distinct runs of ``n`` words of an array, each as one text."""
+    starts = F.when(F.size(w) >= n, F.sequence(F.lit(1), F.size(w) - n + 1)).otherwise(F.array().cast("array<int>"))
+    return F.array_distinct(F.transform(starts, lambda i: F.array_join(F.slice(w, i, n), " ")))
+
+
+def _gold(spark, sf_dir, width=10, share=0.5):
+    """(qid, gold_group, id): documents that hold at least ``share`` of a passage's distinct
+    windows of ``width`` words; a shorter passage is one window, one without words has no
+    gold. Windows are found by an equi-join, not by searching every text."""
+    w, n = T.lower_words(F.col("text")), F.least(F.size("w"), F.lit(width))
+    passages = questions(spark, sf_dir).select("qid", w.alias("w")).where(F.size("w") > 0)
+    keys = passages.select("qid", F.explode(_windows(F.col("w"), n)).alias("key"))
+    needed = keys.groupBy("qid").agg((F.countDistinct("key") * share).alias("needed"))
+    widths = [r.n for r in passages.select(n.alias("n")).distinct().collect()]  # at most ``width``
+    runs = F.flatten(F.array(*[_windows(F.col("w"), F.lit(i)) for i in widths])) if widths else F.array().cast("array<string>")
+    held = blocks(spark, sf_dir).select("id", w.alias("w")).select("id", F.explode(runs).alias("key")).join(broadcast_if_small(keys), "key")
+    counts = held.groupBy("qid", "id").agg(F.countDistinct("key").alias("n"))
+    return counts.join(broadcast_if_small(needed), "qid").where("n >= needed").select("qid", F.lit(0).alias("gold_group"), "id")
 
 
 def recall_mrr(spark, sf_dir):
@@ -132,10 +143,10 @@ def stratified_sample(spark, sf_dir):
 
 
 def context_trim(spark, sf_dir):
-    """How many of a source's documents of less than 2000 characters (the limit of its SQL;
-    null texts are left out too), longest first, fit a budget of characters."""
+    """How many of a source's documents, longest first, fit a budget of characters, one at
+    least; a null text has none."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("source", F.length("text").alias("n"))
-    return sampling.trimmed(docs.where(F.col("n") < 2000), "source", "n", 20_000)
+    return sampling.trimmed(docs, "source", "n", 20_000)
 
 
 QUERIES = {f.__name__: f for f in (
@@ -145,10 +156,13 @@ QUERIES = {f.__name__: f for f in (
 
 _WORDS = "len(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> ''))"
 _GOLD = """
-gk AS (SELECT item_id AS qid, array_to_string(list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda x: x <> '')[1:10], ' ') AS key FROM benchmark),
+gp AS (SELECT * FROM (SELECT item_id AS qid, list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda x: x <> '') AS w FROM benchmark) WHERE len(w) > 0),
+gk AS (SELECT DISTINCT qid, array_to_string(w[i:i + least(len(w), 10) - 1], ' ') AS key FROM (SELECT qid, w, unnest(generate_series(1, len(w) - least(len(w), 10) + 1)) AS i FROM gp)),
+gn AS (SELECT qid, count(*) AS n FROM gk GROUP BY ALL),
 gw AS (SELECT doc_id AS id, list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda x: x <> '') AS w FROM documents),
-gx AS (SELECT DISTINCT id, array_to_string(w[i:i + 9], ' ') AS key FROM (SELECT id, w, unnest(generate_series(1, len(w) - 9)) AS i FROM gw WHERE len(w) >= 10)),
-gold AS (SELECT DISTINCT qid, id FROM gx JOIN gk USING (key))"""
+gs AS (SELECT DISTINCT least(len(w), 10) AS n FROM gp),
+gx AS (SELECT DISTINCT id, array_to_string(w[i:i + n - 1], ' ') AS key FROM (SELECT id, w, n, unnest(generate_series(1, len(w) - n + 1)) AS i FROM gw JOIN gs ON len(w) >= n)),
+gold AS (SELECT qid, id FROM (SELECT qid, id, count(*) AS held FROM gx JOIN gk USING (key) GROUP BY ALL) JOIN gn USING (qid) WHERE held >= 0.5 * n)"""
 
 ORACLES = {
     "percentile_latency": "SELECT event_type, count(*) AS n, round(avg(value), 6) AS mean, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95, round(quantile_cont(value, 0.99), 6) AS p99, max(value) AS most FROM events GROUP BY ALL",
@@ -179,6 +193,7 @@ ORACLES = {
           CASE WHEN NOT regexp_full_match(path, '[a-z0-9_/.-]+') THEN 'path_not_plain' END, CASE WHEN regexp_matches(lower(path), 'gold|answer|expected') THEN 'path_names_answer' END], lambda x: x IS NOT NULL), ',') AS reasons FROM p""",
     "resume_anti_join": "SELECT lang, count(*) AS n_left FROM documents ANTI JOIN labels USING (doc_id) GROUP BY ALL",
     "stratified_sample": "SELECT doc_id, lang, sample_rank FROM (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY sha256(doc_id || '|42'), doc_id)::INT AS sample_rank FROM documents) WHERE sample_rank <= 50",
-    "context_trim": """WITH r AS (SELECT source, length(text) AS n, sum(length(text)) OVER (PARTITION BY source ORDER BY length(text) DESC, doc_id ROWS UNBOUNDED PRECEDING) AS upto FROM documents WHERE length(text) < 2000)
+    "context_trim": """WITH d AS (SELECT source, doc_id, coalesce(length(text), 0) AS n FROM documents),
+        r AS (SELECT source, sum(n) OVER (PARTITION BY source ORDER BY n DESC, doc_id ROWS UNBOUNDED PRECEDING) AS upto FROM d)
         SELECT source, greatest(1, count(*) FILTER (upto <= 20000)) AS kept, count(*) AS n FROM r GROUP BY ALL""",
 }
