@@ -11,6 +11,8 @@ from corpusmill.functions.plans import broadcast_if_small, ranked, top_k
 from corpusmill.operators import fusion, retrieval, vectors
 
 TOP = 10
+#: Low bits of a sentence's id: a text has fewer sentences than 2^31. Documents' ids are below 2^32.
+SENT_BITS = 31
 
 
 def blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,7 +26,11 @@ def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
 def sentence_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc, sent, id, text) of all documents; id orders sentences within and across."""
     rows = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").alias("doc"), F.posexplode(T.sentences(F.col("text"))).alias("sent", "text"))
-    return rows.select("doc", "sent", (F.col("doc") * 100_000 + F.col("sent")).alias("id"), "text")
+    return rows.select("doc", "sent", (F.shiftleft(F.col("doc").cast("long"), 31) + F.col("sent")).alias("id"), "text")
+
+
+def doc_of(sentence_id):
+    return F.shiftright(sentence_id, SENT_BITS)
 
 
 def postings_topk(spark, sf_dir):
@@ -55,7 +61,7 @@ def bm25_topk(spark, sf_dir):
 
 def bm25_sentence_topn(spark, sf_dir):
     rows = retrieval.best(retrieval.bm25_scores(sentence_rows(spark, sf_dir), questions(spark, sf_dir)), 5)
-    return rows.select(F.col("qid").alias("item_id"), "rank", F.floor(F.col("id") / 100_000).alias("doc_id"), (F.col("id") % 100_000).alias("sent_idx"), "score")
+    return rows.select(F.col("qid").alias("item_id"), "rank", F.shiftright("id", 31).alias("doc_id"), F.col("id").bitwiseAND((1 << 31) - 1).alias("sent_idx"), "score")
 
 
 def _exemplars(spark, sf_dir):
@@ -114,7 +120,7 @@ def tier_fallback(spark, sf_dir):
 
 def _document_lists(spark, sf_dir):
     rows = retrieval.best(retrieval.bm25_scores(sentence_rows(spark, sf_dir), questions(spark, sf_dir)), 40)
-    rows = rows.withColumn("doc", F.floor(F.col("id") / 100_000))
+    rows = rows.withColumn("doc", doc_of(F.col("id")))
     return ranked(rows, ["qid", "doc"], [F.col("score").desc(), F.col("id")], "doc_rank")
 
 

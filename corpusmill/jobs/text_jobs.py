@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from corpusmill.functions import text as T
 from corpusmill.functions.plans import broadcast_if_small, ranked
-from corpusmill.jobs.search_jobs import _SENTS, questions, sentence_rows
+from corpusmill.jobs.search_jobs import _SENTS, doc_of, questions, sentence_rows
 from corpusmill.operators import evidence_packing as packing
 from corpusmill.operators import retrieval
 
@@ -63,7 +63,7 @@ def prompt_audit(spark, sf_dir):
 def neighbours_lag_lead(spark, sf_dir):
     rows = packing.neighbours(sentence_rows(spark, sf_dir)).join(sentence_rows(spark, sf_dir).select("id", "text"), "id")
     flagged = rows.withColumn("needs", packing.needs_context(F.col("text")))
-    return flagged.groupBy(F.floor(F.col("id") / 100_000).alias("doc_id")).agg(F.count_if("needs").alias("n_needing"), F.count_if(F.col("needs") & F.col("before_id").isNotNull()).alias("n_with_before"), F.count_if(F.col("needs") & F.col("after_id").isNotNull()).alias("n_with_after"))
+    return flagged.groupBy(doc_of(F.col("id")).alias("doc_id")).agg(F.count_if("needs").alias("n_needing"), F.count_if(F.col("needs") & F.col("before_id").isNotNull()).alias("n_with_before"), F.count_if(F.col("needs") & F.col("after_id").isNotNull()).alias("n_with_after"))
 
 
 def _candidates(spark, sf_dir):

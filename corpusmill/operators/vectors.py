@@ -1,24 +1,28 @@
 """Exact vector search and the hashing embedder.
 
 Vectors are compared by blocked matrix products in Arrow batches; each task returns its
-best k rows per query, which a ranked window merges. Queries are a small set by contract:
-they come to the driver, ``MAX_QUERIES`` at most (else an error), and are broadcast.
+best k rows per query, which a ranked window merges. Queries come to the driver and are
+broadcast in rounds of about ``ROUND_QUERIES``, told apart by a hash; one round passes over
+the vectors once. Where there is more than one, each round's result is checkpointed before
+the next, so that neither driver nor executors hold more than a round's queries.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusmill.functions.plans import top_k
 
-MAX_QUERIES = 20_000
+ROUND_QUERIES = 20_000
 EPSILON = 1e-8
 DIM = 128
 FOUND = "qid long, id long, score double"
@@ -41,10 +45,9 @@ def _best_rows(ids: np.ndarray, scores: np.ndarray, qids: np.ndarray, k: int, ke
         kept[int(qid)] = sorted(both)[:k]
 
 
-def _search(queries: tuple[np.ndarray, np.ndarray], vectors_of, k: int):
-    qids, matrix = queries
-
+def _search(queries: Broadcast, vectors_of, k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        qids, matrix = queries.value
         kept: dict[int, list] = {}
         for batch in batches:
             ids, rows = vectors_of(batch)
@@ -60,21 +63,36 @@ def _search(queries: tuple[np.ndarray, np.ndarray], vectors_of, k: int):
     return run
 
 
+def _in_rounds(rows: DataFrame, queries: DataFrame, matrix_of: Callable[[list], np.ndarray], vectors_of, k: int, each: int) -> DataFrame:
+    """(qid, id, score, rank) for ``queries`` (qid and a column more), whose matrix
+    ``matrix_of`` makes from that column's values."""
+    spark = queries.sparkSession
+    rounds = max(1, -(-queries.count() // each))
+    done = []
+    for i in range(rounds):
+        part = queries if rounds == 1 else queries.where(F.pmod(F.xxhash64(*queries.columns), F.lit(rounds)) == i)
+        asked = part.collect()
+        if not asked:
+            continue
+        sent = spark.sparkContext.broadcast((np.array([r[0] for r in asked]), matrix_of([r[1] for r in asked])))
+        found = _merge(rows.mapInArrow(_search(sent, vectors_of, k), FOUND), k)
+        if rounds > 1:
+            found = found.checkpoint()
+            sent.unpersist()
+        done.append(found)
+    return reduce(DataFrame.unionByName, done) if done else spark.createDataFrame([], FOUND + ", rank int")
+
+
 def _stored_vectors(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     flat = batch.column("v").flatten().to_numpy(zero_copy_only=False).astype(np.float64)
     return batch.column("id").to_numpy(), flat.reshape(batch.num_rows, -1)
 
 
-def cosine_top_k(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+def cosine_top_k(vectors: DataFrame, queries: DataFrame, k: int, each: int = ROUND_QUERIES) -> DataFrame:
     """(qid, id, score, rank) over ``vectors`` (id, v) for ``queries`` (qid, v), all of one
     dimension, none null. Scores are rounded to six digits."""
-    rows = queries.select("qid", "v").limit(MAX_QUERIES + 1).collect()
-    if len(rows) > MAX_QUERIES:
-        raise ValueError(f"more than {MAX_QUERIES} queries")
-    if not rows:
-        return vectors.sparkSession.createDataFrame([], FOUND + ", rank int")
-    sent = np.array([r.qid for r in rows]), np.array([r.v for r in rows], dtype=np.float64)
-    return _merge(vectors.select("id", "v").mapInArrow(_search(sent, _stored_vectors, k), FOUND), k)
+    matrix = lambda found: np.array(found, dtype=np.float64)
+    return _in_rounds(vectors.select("id", "v"), queries.select("qid", "v"), matrix, _stored_vectors, k, each)
 
 
 class HashingEmbedder:
@@ -106,18 +124,12 @@ class HashingEmbedder:
         return out
 
 
-def hashing_top_k(blocks: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+def hashing_top_k(blocks: DataFrame, queries: DataFrame, k: int, each: int = ROUND_QUERIES) -> DataFrame:
     """(qid, id, score, rank) by cosine of hashed bags, of ``blocks`` (id, text) for
     ``queries`` (qid, text)."""
-    rows = queries.select("qid", "text").limit(MAX_QUERIES + 1).collect()
-    if len(rows) > MAX_QUERIES:
-        raise ValueError(f"more than {MAX_QUERIES} queries")
-    if not rows:
-        return blocks.sparkSession.createDataFrame([], FOUND + ", rank int")
-    sent = np.array([r.qid for r in rows]), HashingEmbedder().encode([r.text for r in rows])
     embedder = HashingEmbedder()
 
     def embedded(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
         return batch.column("id").to_numpy(), embedder.encode(batch.column("text").to_pylist())
 
-    return _merge(blocks.select("id", "text").mapInArrow(_search(sent, embedded, k), FOUND), k)
+    return _in_rounds(blocks.select("id", "text"), queries.select("qid", "text"), HashingEmbedder().encode, embedded, k, each)

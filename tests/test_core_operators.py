@@ -100,6 +100,27 @@ def test_vectors(spark):
     assert vectors.HashingEmbedder().encode([""])[0][-1] == 1.0
 
 
+def test_vector_queries_in_rounds(spark, tmp_path):
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(str(tmp_path))
+    texts = spark.createDataFrame([(i, f"w{i % 7} w{i % 5} w{i % 3}") for i in range(60)], "id long, text string")
+    asked = texts.select(F.col("id").alias("qid"), "text").unionByName(spark.createDataFrame([(60, None), (61, "")], "qid long, text string"))
+    whole, parts = (sorted(map(tuple, vectors.hashing_top_k(texts, asked, 3, each).collect())) for each in (100, 9))
+    assert len(whole) == 3 * 62 and whole == parts
+    assert vectors.hashing_top_k(texts, asked.limit(0), 3).count() == 0
+
+
+def test_gold_by_windows(spark, tmp_path):
+    from corpusmill.jobs import eval_jobs
+
+    passage = [f"w{i}" for i in range(20)]  # eleven windows of ten words
+    docs = [(1, " ".join(["x", *passage, "y"])), (2, " ".join(passage[4:])), (3, " ".join(passage[:12])), (4, "a short one here"), (5, None), (6, ""), (2, " ".join(passage[4:]))]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    items = [(1, " ".join(passage)), (2, "Short  ONE"), (3, ""), (4, None)]
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    assert sorted((r.qid, r.id) for r in eval_jobs._gold(spark, str(tmp_path)).collect()) == [(1, 1), (1, 2), (2, 4)]
+
+
 EVIDENCE = [
     (1, "contracts/contract_base_1.txt", "Project ALPHA budget is $900,000.\n3 May 2020\nProject ALPHA is managed by Jean Dupont."),
     (2, "contracts/amendment_2.txt", "The new budget of Project ALPHA was increased to $950,000.\n4 May 2021"),
