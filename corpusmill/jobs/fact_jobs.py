@@ -64,10 +64,10 @@ def _resolved_budgets(spark, sf_dir):
 
 def kernel_compare(spark, sf_dir):
     """The higher budget of each customer and the next by key."""
-    rows, budgets = _resolved_budgets(spark, sf_dir)
+    values = facts.known_amounts(facts.extract(evidence(spark, sf_dir)), "budget")
     key = F.col("c_custkey")
     pairs = spark.read.parquet(f"{sf_dir}/customer.parquet").select(key.alias("pair_id"), F.concat(F.lit("C"), key.cast("string")).alias("a"), F.concat(F.lit("C"), (key + 1).cast("string")).alias("b"))
-    return facts.compared(pairs, budgets, facts.mentioned_entities(rows)).withColumn("amount", F.coalesce("amount", F.lit(-1)))
+    return facts.compared(pairs, values).withColumn("amount", F.coalesce("amount", F.lit(-1)))
 
 
 def portfolio(spark, sf_dir):

@@ -34,22 +34,26 @@ def renames(evidence: DataFrame) -> DataFrame:
 
 def extract(evidence: DataFrame, renamed: DataFrame | None = None) -> DataFrame:
     """Facts of all lines. A line without a project speaks of the block's projects, unless
-    the file is noise; header lines say nothing; reassigned owners are obsolete."""
-    one_file = Window.partitionBy("source_file")
-    dated = T.date_parts(F.col("text"))
-    year_first = F.max(F.struct(dated["y"].alias("y"), (-F.col("block_id")).alias("b"), dated.alias("date"))).over(one_file)
-    base = evidence.select("block_id", "source_file", "text", year_first["date"].alias("date"), F.array_distinct(T.matches(F.col("text"), NAME, 1)).alias("of_block"))
+    the file is noise; header lines say nothing; reassigned owners are obsolete. A file's
+    date is an aggregate that is joined back: no task holds a file's blocks. Amounts,
+    states and owners have a projection each, so that a pattern runs once a line."""
+    dates = document_dates(evidence).select(F.col("source_file").alias("_file"), "date")
+    undated = F.struct(*[F.lit(-1).alias(x) for x in "ymd"])
+    base = evidence.join(dates, F.col("source_file").eqNullSafe(F.col("_file")), "left").select(
+        "block_id", "source_file", "text", F.coalesce("date", undated).alias("date"), F.array_distinct(T.matches(F.col("text"), NAME, 1)).alias("of_block"),
+    )
     lines = base.select("*", F.posexplode(F.split("text", "\n")).alias("line_no", "line")).drop("text").where(~T.is_header_line(F.col("line")))
     of_line = F.array_distinct(T.matches(F.col("line"), NAME, 1))
     targets = F.when(F.size(of_line) > 0, of_line).when(~T.is_noise_path(F.col("source_file")), F.col("of_block"))
     rows = lines.withColumn("entity", F.explode(targets))
     if renamed is not None:
         rows = rows.join(broadcast_if_small(renamed), rows["entity"] == renamed["old"], "left").withColumn("entity", F.coalesce("new", "entity")).drop("old", "new")
-    line, budget = F.col("line"), T.budget_string(F.col("line"))
-    amount, status = T.normalized_budget(budget), T.line_status(F.col("line"))
-    nothing = F.lit(None).cast("bigint")
+    line, nothing = F.col("line"), F.lit(None).cast("bigint")
     left, came = (F.trim(F.nullif(F.regexp_extract("line", REASSIGNED, i), F.lit(""))) for i in (1, 2))
-    owner = F.coalesce(F.trim(T.found(line, OWNER, 1)), left)
+    rows = rows.withColumns({"budget": T.budget_string(line), "status": T.line_status(line), "left": left, "came": came, "manager": F.trim(T.found(line, OWNER, 1))})
+    rows = rows.withColumn("amount", T.normalized_budget(F.col("budget")))
+    budget, amount, status, left, came = map(F.col, ("budget", "amount", "status", "left", "came"))
+    owner = F.coalesce("manager", "left")
     fact = lambda n, field, value, number, state: F.when(value.isNotNull(), F.struct(F.lit(n).alias("n"), F.lit(field).alias("field"), value.alias("value"), number.alias("amount"), state.alias("status")))
     facts = F.array_compact(F.array(
         fact(0, "owner", owner, nothing, F.when(owner == left, "obsolete").otherwise(status)),
@@ -67,50 +71,66 @@ def extract(evidence: DataFrame, renamed: DataFrame | None = None) -> DataFrame:
 def resolved(facts: DataFrame, by: list[str]) -> DataFrame:
     """One fact per group, or none: clean files before noise (even if then nothing active
     is left), active ones, the latest date, amendments, the first."""
-    clean = F.max(~F.col("is_noise")).over(Window.partitionBy(*by))
-    rows = facts.withColumn("_clean", clean).where(~F.col("_clean") | ~F.col("is_noise")).where("status = 'active'")
-    order = Window.partitionBy(*by).orderBy(F.col("date").desc(), F.col("is_amendment").desc(), "block_id", "seq")
-    return rows.withColumn("_k", F.row_number().over(order)).where("_k = 1").drop("_k", "_clean")
+    return _best(facts, by).where("best IS NOT NULL").select(*by, *[F.col("best")[c].alias(c) for c in facts.columns if c not in by])
+
+
+def _best(facts: DataFrame, by: list[str]) -> DataFrame:
+    """(``by``, best): the resolved fact as a struct, or null. An aggregate that is partly
+    done before the shuffle, however many facts a group has."""
+    order = F.struct("date", "is_amendment", -F.col("block_id"), -F.col("seq"))
+    fact = F.struct(*[c for c in facts.columns if c not in by])
+    first = lambda noise: F.max_by(fact, F.when((F.col("status") == "active") & (F.col("is_noise") == noise), order))
+    rows = facts.groupBy(*by).agg(F.max(~F.col("is_noise")).alias("clean"), first(False).alias("of_clean"), first(True).alias("of_noise"))
+    return rows.select(*by, F.when(F.col("clean"), F.col("of_clean")).otherwise(F.col("of_noise")).alias("best"))
+
+
+def known_amounts(facts: DataFrame, field: str) -> DataFrame:
+    """(entity, amount) of every entity that any fact names, in one pass: the resolved
+    amount of ``field``, null where there is none."""
+    own = F.col("field") == field
+    rows = facts.select("entity", "amount", F.when(own, F.col("status")).alias("status"), F.when(own, F.col("is_noise")).alias("is_noise"), "date", "is_amendment", "block_id", "seq")
+    return _best(rows, ["entity"]).select("entity", "best.amount")
 
 
 def superseded(evidence: DataFrame) -> DataFrame:
     """Evidence (block_id, source_file, entity, date) with ``reason``, null for what holds:
     of an entity with several blocks, a base document beside amendments is obsolete, so is
     an amendment older than the latest one, and anything else older than the latest."""
-    w = Window.partitionBy("entity")
     path = F.col("source_file")
     rows = evidence.withColumns({"is_amendment": T.is_amendment(path), "is_base": T.is_base(path)})
     known = F.col("date.y") != -1
-    rows = rows.withColumns({
-        "_n": F.count("*").over(w), "_amended": F.max("is_amendment").over(w),
-        "_latest": F.max(F.when(known, F.col("date"))).over(w), "_amendment": F.max(F.when(known & F.col("is_amendment"), F.col("date"))).over(w),
-    })
+    of_entity = rows.groupBy(F.col("entity").alias("_e")).agg(
+        F.count("*").alias("_n"), F.max("is_amendment").alias("_amended"),
+        F.max(F.when(known, F.col("date"))).alias("_latest"), F.max(F.when(known & F.col("is_amendment"), F.col("date"))).alias("_amendment"),
+    )
+    rows = rows.join(of_entity, F.col("entity").eqNullSafe(F.col("_e")))
     reason = (
         F.when((F.col("_n") > 1) & F.col("is_base") & F.col("_amended"), "amended")
         .when((F.col("_n") > 1) & known & F.col("is_amendment") & (F.col("_amendment") > F.col("date")), "later amendment")
         .when((F.col("_n") > 1) & known & ~F.col("is_amendment") & (F.col("_latest") > F.col("date")), "later date")
     )
-    return rows.withColumn("reason", reason).drop("_n", "_amended", "_latest", "_amendment")
+    return rows.withColumn("reason", reason).drop("_e", "_n", "_amended", "_latest", "_amendment")
 
 
 def current_owners(facts: DataFrame) -> DataFrame:
     """(owner, entity) of active owner facts that no other owner's later fact replaces."""
-    owners = facts.where("field = 'owner' AND status = 'active'").select("entity", F.col("value").alias("owner"), "date")
-    later = owners.where(F.col("date.y") != -1).select(F.col("entity").alias("_e"), F.col("owner").alias("_o"), F.col("date").alias("_d"))
-    replaced = (F.col("entity") == F.col("_e")) & (F.col("owner") != F.col("_o")) & (F.col("date.y") != -1) & (F.col("_d") > F.col("date"))
-    return owners.join(later, replaced, "left_anti").select("owner", "entity").distinct()
+    date, dated = F.col("date"), F.col("date.y") != -1
+    owners = facts.where("field = 'owner' AND status = 'active'").groupBy("entity", F.col("value").alias("owner")).agg(F.max(F.when(dated, date)).alias("own"), F.max(~dated).alias("undated"))
+    latest = F.max("own").over(Window.partitionBy("entity"))  # a row per owner of the entity
+    return owners.withColumn("latest", latest).where("undated OR own >= latest").select("owner", "entity")
 
 
-def compared(pairs: DataFrame, values: DataFrame, mentioned: DataFrame, higher: bool = True) -> DataFrame:
+def compared(pairs: DataFrame, values: DataFrame, mentioned: DataFrame | None = None, higher: bool = True) -> DataFrame:
     """``pairs`` (pair_id, a, b) with status, answer and amount: the entity of the higher
     (lower) amount in ``values`` (entity, amount). Unknown entities, missing amounts and
-    ties have a status each."""
-    v = values.select(F.col("entity"), F.col("amount"))
-    known = mentioned.select(F.col("entity"), F.lit(True).alias("known"))
-    rows = pairs
-    for side in "ab":
-        rows = rows.join(v.select(F.col("entity").alias(side), F.col("amount").alias(f"{side}_amount")), side, "left")
-        rows = rows.join(known.select(F.col("entity").alias(side), F.col("known").alias(f"{side}_known")), side, "left")
+    ties have a status each. Without ``mentioned`` the entities of ``values`` are the known
+    ones. Both sides of a pair meet the values in one join."""
+    v = values.select("entity", "amount", F.lit(True).alias("known"))
+    if mentioned is not None:
+        v = mentioned.select("entity", F.lit(True).alias("known")).join(values.select("entity", "amount"), "entity", "full").select("entity", "amount", "known")
+    sides = pairs.select("pair_id", "a", "b", F.posexplode(F.array("a", "b")).alias("side", "entity")).join(v, "entity", "left")
+    of = lambda side, c: F.max(F.when(F.col("side") == side, F.col(c)))
+    rows = sides.groupBy("pair_id", "a", "b").agg(*[of(i, c).alias(f"{x}_{c}") for i, x in enumerate("ab") for c in ("amount", "known")])
     a, b = F.col("a_amount"), F.col("b_amount")
     first = (a > b) if higher else (a < b)
     status = (
