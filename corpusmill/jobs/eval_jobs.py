@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from corpusmill.functions import text as T
 from corpusmill.functions.plans import broadcast_if_small, top_k
 from corpusmill.jobs.search_jobs import _bm25, _DOCS, blocks, questions
+from corpusmill.jobs.text_jobs import names_sql
 from corpusmill.operators import evaluation as E
 from corpusmill.operators import retrieval, sampling, sessions
 
@@ -164,7 +165,17 @@ gs AS (SELECT DISTINCT least(len(w), 10) AS n FROM gp),
 gx AS (SELECT DISTINCT id, array_to_string(w[i:i + n - 1], ' ') AS key FROM (SELECT id, w, n, unnest(generate_series(1, len(w) - n + 1)) AS i FROM gw JOIN gs ON len(w) >= n)),
 gold AS (SELECT qid, id FROM (SELECT qid, id, count(*) AS held FROM gx JOIN gk USING (key) GROUP BY ALL) JOIN gn USING (qid) WHERE held >= 0.5 * n)"""
 
+_PLANNED = f"""
+pn AS (SELECT *, {names_sql('text')} AS named FROM conversations),
+pa AS (SELECT *, last_value(CASE WHEN len(named) > 0 THEN named END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn) AS active FROM pn),
+pl AS (SELECT *, lag(active) OVER (PARTITION BY conv_id ORDER BY turn) AS before FROM pa),
+pk AS (SELECT *, CASE WHEN regexp_matches(lower(text), '\\bref_[0-9a-f]{{10}}\\b') THEN 'marker' WHEN len(named) > 0 THEN 'entity'
+  WHEN before IS NOT NULL AND regexp_matches(lower(text), '\\b(and|also|too|its|their|that|those|same|previous|about it|what about)\\b') THEN 'follow_up' ELSE 'semantic' END AS kind FROM pl)"""
+
 ORACLES = {
+    "turn_plans": f"""WITH {_PLANNED} SELECT kind, count(*) AS n, sum(length(CASE WHEN kind = 'follow_up' THEN concat_ws(' ', array_to_string(list_transform(before, lambda x: 'Project ' || x), ' '), text) ELSE text END))::BIGINT AS chars FROM pk GROUP BY ALL""",
+    "session_fold": f"""WITH {_PLANNED}, r AS (SELECT conv_id, string_agg(role, ',' ORDER BY first) AS roles FROM (SELECT conv_id, role, min(turn) AS first FROM conversations GROUP BY ALL) GROUP BY ALL)
+        SELECT conv_id, count(*) AS turn_count, sum({_WORDS})::BIGINT AS words, any_value(roles) AS roles, coalesce(array_to_string(list_sort(arg_max(active, turn)), '|'), '') AS active FROM pk JOIN r USING (conv_id) GROUP BY conv_id""",
     "percentile_latency": "SELECT event_type, count(*) AS n, round(avg(value), 6) AS mean, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95, round(quantile_cont(value, 0.99), 6) AS p99, max(value) AS most FROM events GROUP BY ALL",
     "mode_category_rollup": """SELECT coalesce(event_type, 'all') AS event_type, coalesce(category, -1) AS category, CASE WHEN g1 = 1 THEN 3 WHEN g2 = 1 THEN 1 ELSE 0 END::INT AS level, n, mean FROM (
         SELECT event_type, category, grouping(event_type) AS g1, grouping(category) AS g2, count(*) AS n, round(avg(value), 6) AS mean FROM (SELECT event_type, user_id % 8 AS category, value FROM events) GROUP BY GROUPING SETS ((event_type, category), (event_type), ()))""",

@@ -98,7 +98,45 @@ QUERIES = {f.__name__: f for f in (
 
 _W = "list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '')"
 
+
+
+def _quoted(words) -> str:
+    return ", ".join("'" + w.replace("'", "''") + "'" for w in words)
+
+
+def _any(text: str, words) -> str:
+    return "(" + " OR ".join(f"contains({text}, {_quoted([w])})" for w in words) + ")"
+
+
+def _bounded(text: str, word: str) -> str:
+    """SQL of a text for patterns with \\b: there it knows ASCII only, so other letters and
+    digits become ``word`` (that the pattern itself doesn't take), other characters a dot."""
+    return f"regexp_replace(regexp_replace({text}, '[^\\pL\\pN\\x00-\\x7F]', '.', 'g'), '[^\\x00-\\x7F]', '{word}', 'g')"
+
+
+def names_sql(text: str) -> str:
+    """SQL of the entity candidates of a text, a list (of null: null)."""
+    both = f"list_concat(regexp_extract_all({_bounded(text, 'q')}, '\\b[A-Z][A-Z0-9_\\-]+'), regexp_extract_all({_bounded(text, '0')}, '\\b[A-Z][a-z]+\\s+[A-Z][a-z]+\\b'))"
+    return f"list_filter(list_distinct({both}), lambda x: length(x) > 2 AND lower(x) NOT IN ({_quoted(T.ENTITY_STOP)}) AND NOT {_any('lower(x)', T.ENTITY_STOP_PARTS)})"
+
+
+_FIELDS = ", ".join(
+    f"{{'at': list_min(list_filter([{', '.join(f'instr(l, {_quoted([k])})' for k in keys)}], lambda p: p > 0)), 'n': {i}, 'field': '{name}'}}" for i, (name, keys) in enumerate(T.FIELD_KEYWORDS.items())
+)
+
 ORACLES = {
+    "entity_extract": f"SELECT entity, count(*) AS n_docs FROM (SELECT unnest({names_sql('text')}) AS entity FROM documents) GROUP BY ALL",
+    "answer_normalise": f"""WITH t AS (SELECT item_id, coalesce(text, '') AS t FROM benchmark),
+        w AS (SELECT item_id, lower(trim(regexp_replace(t, '\\s+', ' ', 'g'))) AS plain, regexp_split_to_array(lower(translate(regexp_replace(t, '[$,]', '', 'g'), '{T.ACCENTED}', '{T.PLAIN}')), '\\s+') AS s,
+          regexp_split_to_array(regexp_replace(lower(t), '[^\\pL\\pN\\s]', '', 'g'), '\\s+') AS b FROM t)
+        SELECT item_id, md5(plain) AS plain, md5(array_to_string(list_sort(list_filter(s, lambda x: x NOT IN ('', 'project'))), ' ')) AS sorted, md5(array_to_string(list_filter(b, lambda x: x NOT IN ('', 'a', 'an', 'the')), ' ')) AS bare FROM w""",
+    "question_parse": f"""WITH q AS (SELECT conv_id, turn, text, lower(text) AS l, regexp_extract_all({_bounded('text', 'q')}, '\\b[A-Z][A-Z0-9_\\-]+\\b') AS capitals FROM conversations WHERE role = 'user'),
+        p AS (SELECT *, list_transform(list_sort(list_filter([{_FIELDS}], lambda x: x.at IS NOT NULL)), lambda x: x.field) AS f, CASE WHEN len(capitals) > 0 THEN capitals ELSE regexp_extract_all({_bounded('text', '0')}, '\\b[A-Z][a-z]+\\b') END AS e FROM q),
+        i AS (SELECT *, CASE WHEN len(e) = 0 THEN 'abstention_candidate' WHEN len(f) >= 2 THEN 'multi_fact_extraction' WHEN {_any('l', T.COMPARISON_WORDS)} THEN 'comparison' WHEN {_any('l', T.LISTING_WORDS)} THEN 'aggregation'
+          WHEN {_any('l', T.STATUS_WORDS)} THEN 'status_resolution' ELSE 'single_fact_lookup' END AS intent, nullif(regexp_extract(l, '\\bref_[0-9a-f]{{10}}\\b'), '') AS marker FROM p)
+        SELECT conv_id, turn, array_to_string(f, ',') AS fields, intent, sha256('question:' || trim(regexp_replace(l, '\\s+', ' ', 'g')) || '|entities:' || array_to_string(list_sort(list_transform(e, lambda x: lower(x))), ',')
+          || '|fields:' || array_to_string(list_sort(f), ',') || '|intent:' || intent || '|constraints:' || coalesce('reference_marker=' || marker || ',', '')
+          || 'status_preference=' || CASE WHEN intent = 'status_resolution' THEN 'all' ELSE 'active' END || ',strict_entity=true,temporal_preference=latest') AS cache_key FROM i""",
     "clean_text": """WITH c AS (SELECT doc_id, array_to_string(list_filter(list_transform(regexp_split_to_array(text, '\\r\\n|\\r|\\n'), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), lambda x: x <> ''), chr(10)) AS t FROM documents)
         SELECT doc_id, md5(t) AS digest, length(t)::INT AS n_chars FROM c""",
     "chunk_128": f"""WITH w AS (SELECT doc_id, {_W} AS w FROM documents), c AS (SELECT doc_id, w, unnest(range(0, (len(w) + 127) // 128)) AS i FROM w)
