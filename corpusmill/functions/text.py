@@ -220,15 +220,15 @@ def budget_string(line: Column) -> Column:
     return F.coalesce(*[found(line, f"(?i){p}", 1) for p in BUDGET_PATTERNS])
 
 
-def normalized_budget(text: Column) -> Column:
+def normalized_budget(text: Column, years: bool = False) -> Column:
     """Whole units: millions and thousands spelled out, separators dropped, fractions cut;
-    null for bare years."""
+    null for bare years, unless ``years`` count as amounts."""
     t = F.lower(F.trim(text))
     million, thousand = found(t, r"([\d\.]+)\s*(?:m|million)", 1), found(t, r"([\d\.]+)\s*(?:k|thousand)", 1)
     plain = found(F.regexp_replace(t, r"[$,\s]", ""), r"^\d+(\.\d+)?")
     year = found(t, r"^\d{4}$").cast("int").between(1990, 2100)
     number = lambda x, by: (x.try_cast("double") * by).cast("bigint")
-    return F.when(F.coalesce(year, F.lit(False)), F.lit(None).cast("bigint")).otherwise(F.coalesce(number(million, 1_000_000), number(thousand, 1_000), number(plain, 1)))
+    return F.when(F.coalesce(year, F.lit(False)) & F.lit(not years), F.lit(None).cast("bigint")).otherwise(F.coalesce(number(million, 1_000_000), number(thousand, 1_000), number(plain, 1)))
 
 
 def money(amount: Column) -> Column:

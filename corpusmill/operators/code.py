@@ -34,7 +34,7 @@ def changed_lines(diffs: DataFrame) -> DataFrame:
 
 def symbols(files: DataFrame) -> DataFrame:
     """(path, symbol, first, last) of classes and functions of Python files (path, text),
-    nested names dotted; files that don't parse have none."""
+    nested names dotted; files that don't parse, or nest too deep to, have none."""
 
     def visit(node: ast.AST, parents: tuple[str, ...]) -> Iterator[tuple[str, int, int]]:
         for child in ast.iter_child_nodes(node):
@@ -50,7 +50,7 @@ def symbols(files: DataFrame) -> DataFrame:
             for path, text in zip(batch["path"], batch["text"]):
                 try:
                     out += [(path, *s) for s in visit(ast.parse(text or ""), ())]
-                except (SyntaxError, ValueError):
+                except (SyntaxError, ValueError, MemoryError, RecursionError):  # the last two: nested too deep
                     continue
             yield pd.DataFrame(out, columns=["path", "symbol", "first", "last"])
 

@@ -20,7 +20,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.functions.plans import top_k
+from corpusmill.functions.plans import broadcast_if_small, top_k
 
 ROUND_QUERIES = 20_000
 EPSILON = 1e-8
@@ -133,3 +133,31 @@ def hashing_top_k(blocks: DataFrame, queries: DataFrame, k: int, each: int = ROU
         return batch.column("id").to_numpy(), embedder.encode(batch.column("text").to_pylist())
 
     return _in_rounds(blocks.select("id", "text"), queries.select("qid", "text"), HashingEmbedder().encode, embedded, k, each)
+
+
+def _dot(a: str, b: str):
+    return F.aggregate(F.zip_with(F.col(a).cast("array<double>"), F.col(b).cast("array<double>"), lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+
+
+def ivf_top_k(rows: DataFrame, queries: DataFrame, k: int, nlist: int | None = None, nprobe: int = 8, sample: int = 50_000, seed: int = 42) -> DataFrame:
+    """(qid, rank, id, score): the k nearest by cosine among the vectors of the ``nprobe``
+    cells nearest to a query. Cells are k-means centres of unit vectors, 4 * sqrt(n) and 64
+    at least (``nlist``), fitted on ``sample`` rows in hash order, so never more than
+    those; every vector is in one cell. With ``nprobe`` = ``nlist`` the search is exact.
+    Null and zero vectors take no part."""
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.functions import array_to_vector
+
+    unit = rows.where("v IS NOT NULL").withColumn("norm", F.sqrt(_dot("v", "v"))).where("norm > 0")
+    unit = unit.select("id", F.transform(F.col("v").cast("array<double>"), lambda x: x / F.col("norm")).alias("v"))
+    drawn = unit.orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(sample).select(array_to_vector("v").alias("features")).persist()
+    n, held = unit.count(), drawn.count()
+    if not held:
+        return rows.sparkSession.createDataFrame([], "qid long, rank int, id long, score double")
+    model = KMeans(k=max(1, min(nlist or max(64, int(4 * n**0.5)), held)), seed=seed, maxIter=10).fit(drawn)
+    drawn.unpersist()
+    cells = model.transform(unit.withColumn("features", array_to_vector("v"))).select("id", "v", F.col("prediction").cast("long").alias("cell"))
+    centres = rows.sparkSession.createDataFrame([(i, [float(x) for x in c]) for i, c in enumerate(model.clusterCenters())], "id long, v array<double>")
+    probes = cosine_top_k(centres, queries, nprobe).select("qid", F.col("id").alias("cell")).join(queries.select("qid", F.col("v").alias("q")), "qid")
+    near = cells.join(broadcast_if_small(probes), "cell").select("qid", "id", F.round(_dot("q", "v") / (F.sqrt(_dot("q", "q")) + EPSILON), 6).alias("score"))
+    return _merge(near, k).select("qid", "rank", "id", "score")

@@ -28,6 +28,29 @@ def read_json_lines(spark: SparkSession, path: str, schema: str, limit: int | No
     return rows.limit(limit) if limit is not None else rows
 
 
+def read_json_array(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Rows of files that hold one JSON array each; a file is one task's work."""
+    return spark.read.schema(schema).option("multiLine", True).json(path)
+
+
+#: Texts keep their quotes, line ends and outer white space. Null is written as \N, so that
+#: empty texts stay apart from it (a text that is \N itself comes back null).
+CSV = {"nullValue": "\\N", "header": True, "multiLine": True, "quote": '"', "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+
+
+def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    return spark.read.schema(schema).options(**CSV).csv(path)
+
+
+def write_csv(df: DataFrame, path: str) -> None:
+    df.write.options(**{k: v for k, v in CSV.items() if k != "multiLine"}).csv(path)
+
+
+def write_json_lines(df: DataFrame, path: str) -> None:
+    """A JSON object a line; null fields stay, as nulls."""
+    df.write.option("ignoreNullFields", False).json(path)
+
+
 def read_code(spark: SparkSession, root: str) -> DataFrame:
     """(path, text) of source files of known kinds up to CODE_BYTES, bytes that aren't
     UTF-8 dropped."""
