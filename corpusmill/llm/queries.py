@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from corpusmill.llm.ann import op6_nearest_neighbours
+from corpusmill.llm.fill_middle import OP11_SQL, op11_fill_in_middle
 from corpusmill.llm.html_text import op7_html_text
 from corpusmill.llm.language_id import op5_language_id
 from corpusmill.llm.mixing import op3_source_mixing
@@ -24,9 +25,11 @@ QUERIES = {
     "op8_quality_classifier": op8_quality_classifier,
     "op9_warc": op9_warc,
     "op10_quality_rules": op10_quality_rules,
+    "op11_fill_in_middle": op11_fill_in_middle,
 }
 
 ORACLES = {
     "op4_url_filter": OP4_SQL,
     "op9_warc": OP9_SQL,
+    "op11_fill_in_middle": OP11_SQL,
 }
