@@ -7,6 +7,7 @@ from corpusmill.llm.fill_middle import OP11_SQL, op11_fill_in_middle
 from corpusmill.llm.html_text import op7_html_text
 from corpusmill.llm.language_id import op5_language_id
 from corpusmill.llm.lexical_search import OP12_SQL, op12_lexical_search
+from corpusmill.llm.metric_tree import OP13_SQL, op13_exact_topk
 from corpusmill.llm.mixing import op3_source_mixing
 from corpusmill.llm.ngram_join import op2_ngram_join
 from corpusmill.llm.packing import op1_best_fit_packing
@@ -28,6 +29,7 @@ QUERIES = {
     "op10_quality_rules": op10_quality_rules,
     "op11_fill_in_middle": op11_fill_in_middle,
     "op12_lexical_search": op12_lexical_search,
+    "op13_exact_topk": op13_exact_topk,
 }
 
 ORACLES = {
@@ -35,4 +37,5 @@ ORACLES = {
     "op9_warc": OP9_SQL,
     "op11_fill_in_middle": OP11_SQL,
     "op12_lexical_search": OP12_SQL,
+    "op13_exact_topk": OP13_SQL,
 }
