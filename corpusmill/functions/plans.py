@@ -41,3 +41,10 @@ def shared_path(spark: SparkSession, name: str) -> str:
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
         folder = sc.getCheckpointDir()
     return f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a table in the shared folder: computed once, and lineage ends there."""
+    path = shared_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

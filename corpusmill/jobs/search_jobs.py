@@ -8,43 +8,41 @@ from pyspark.sql import functions as F
 
 from corpusmill.functions import text as T
 from corpusmill.functions.plans import broadcast_if_small, ranked, top_k
+from corpusmill.jobs.indexes import SENT_BITS, index_of, sentence_rows
+from corpusmill.jobs.indexes import documents as blocks
 from corpusmill.operators import fusion, retrieval, vectors
+from corpusmill.operators import lexical_index as L
 
 TOP = 10
-#: Low bits of a sentence's id: a text has fewer sentences than 2^31. Documents' ids are below 2^32.
-SENT_BITS = 31
-
-
-def blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").alias("id"), "text")
 
 
 def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/benchmark.parquet").select(F.col("item_id").alias("qid"), "text")
 
 
-def sentence_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(doc, sent, id, text) of all documents; id orders sentences within and across."""
-    rows = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").alias("doc"), F.posexplode(T.sentences(F.col("text"))).alias("sent", "text"))
-    return rows.select("doc", "sent", (F.shiftleft(F.col("doc").cast("long"), 31) + F.col("sent")).alias("id"), "text")
-
-
 def doc_of(sentence_id):
     return F.shiftright(sentence_id, SENT_BITS)
 
 
+def index_manifest(spark, sf_dir):
+    """Figures of the written index of documents; writes it where there is none."""
+    index = index_of(spark, sf_dir, "documents")
+    n_terms = index.terms().agg(F.count("*").alias("n_terms"), F.sum("df").alias("n_postings"))
+    return n_terms.select(F.lit(index.n_blocks).alias("n_blocks"), F.lit(index.manifest["n_tokens"]).alias("n_tokens"), F.lit(index.manifest["n_words"]).alias("n_words"), "n_terms", "n_postings")
+
+
 def postings_topk(spark, sf_dir):
     terms = retrieval.query_terms(questions(spark, sf_dir))
-    return retrieval.best(retrieval.tf_scores(blocks(spark, sf_dir), terms), TOP).select(F.col("qid").alias("item_id"), "rank", F.col("id").alias("doc_id"), "score")
+    return retrieval.best(L.tf_scores(index_of(spark, sf_dir, "documents"), terms), TOP).select(F.col("qid").alias("item_id"), "rank", F.col("id").alias("doc_id"), "score")
 
 
 def strong_postings_topk(spark, sf_dir):
     terms = retrieval.strong_terms(retrieval.query_terms(questions(spark, sf_dir)))
-    return retrieval.best(retrieval.tf_scores(blocks(spark, sf_dir), terms), TOP).select(F.col("qid").alias("item_id"), "rank", F.col("id").alias("doc_id"), "score")
+    return retrieval.best(L.tf_scores(index_of(spark, sf_dir, "documents"), terms), TOP).select(F.col("qid").alias("item_id"), "rank", F.col("id").alias("doc_id"), "score")
 
 
 def term_df(spark, sf_dir):
-    return retrieval.term_stats(blocks(spark, sf_dir))
+    return index_of(spark, sf_dir, "documents").terms().select("term", "df", "cf")
 
 
 def doc_length_stats(spark, sf_dir):
@@ -55,12 +53,12 @@ def doc_length_stats(spark, sf_dir):
 
 
 def bm25_topk(spark, sf_dir):
-    scores = retrieval.bm25_scores(blocks(spark, sf_dir), questions(spark, sf_dir))
-    return retrieval.best(scores, TOP).select(F.col("qid").alias("item_id"), "rank", F.col("id").alias("doc_id"), "score")
+    found = retrieval.best(L.bm25_scores(index_of(spark, sf_dir, "documents"), questions(spark, sf_dir)), TOP)
+    return found.select(F.col("qid").alias("item_id"), "rank", F.col("id").alias("doc_id"), "score")
 
 
 def bm25_sentence_topn(spark, sf_dir):
-    rows = retrieval.best(retrieval.bm25_scores(sentence_rows(spark, sf_dir), questions(spark, sf_dir)), 5)
+    rows = retrieval.best(L.bm25_scores(index_of(spark, sf_dir, "sentences"), questions(spark, sf_dir)), 5)
     return rows.select(F.col("qid").alias("item_id"), "rank", F.shiftright("id", 31).alias("doc_id"), F.col("id").bitwiseAND((1 << 31) - 1).alias("sent_idx"), "score")
 
 
@@ -78,7 +76,7 @@ def cosine_topk(spark, sf_dir):
 
 def _lists(spark, sf_dir, n=40):
     docs, asked = blocks(spark, sf_dir), questions(spark, sf_dir)
-    lexical = retrieval.best(retrieval.bm25_scores(docs, asked), n)
+    lexical = retrieval.best(L.bm25_scores(index_of(spark, sf_dir, "documents"), asked), n)
     return lexical, vectors.hashing_top_k(docs, asked, n)
 
 
@@ -101,50 +99,50 @@ def candidate_union(spark, sf_dir):
     docs, asked = blocks(spark, sf_dir), questions(spark, sf_dir)
     terms = retrieval.query_terms(asked)
     dense = vectors.hashing_top_k(docs, asked, 40)
-    strong = retrieval.best(retrieval.tf_scores(docs, retrieval.strong_terms(terms)), 40)
-    plain = retrieval.best(retrieval.tf_scores(docs, terms), 40)
+    index = index_of(spark, sf_dir, "documents")
+    strong = retrieval.best(L.tf_scores(index, retrieval.strong_terms(terms)), 40)
+    plain = retrieval.best(L.tf_scores(index, terms), 40)
     return retrieval.best(fusion.candidate_union(dense, strong, plain), TOP).select(F.col("qid").alias("item_id"), "rank", F.col("id").alias("doc_id"), "score")
 
 
 def tier_fallback(spark, sf_dir):
     """Blocks with three or more of a question's strong terms; else any strong term, the
-    best 200; else any term."""
-    docs, terms = blocks(spark, sf_dir), retrieval.query_terms(questions(spark, sf_dir))
-    strong = retrieval.strong_terms(terms)
-    hits = retrieval.matching_postings(docs, strong, T.index_tokens).join(broadcast_if_small(strong), "term")
-    many = hits.groupBy("qid", "id").agg(F.sum("tf").alias("score"), F.count("*").alias("n")).where("n >= 3").drop("n")
-    some = retrieval.tf_scores(docs, strong)
-    rows = retrieval.tiered_candidates([many, some, retrieval.tf_scores(docs, terms)], [None, 200, 200])
-    return rows.groupBy(F.col("qid").alias("item_id"), "tier").agg(F.count("*").alias("n"), F.max("score").alias("best"))
+    best 200; else any term. One lookup of all terms, strong ones counted apart."""
+    terms = retrieval.query_terms(questions(spark, sf_dir))
+    strong = retrieval.strong_terms(terms).select("qid", "term", F.lit(True).alias("strong"))
+    asked = terms.select("qid", "term").join(strong, ["qid", "term"], "left")
+    hits = L.Wanted(asked).joined(index_of(spark, sf_dir, "documents").postings())
+    both = hits.groupBy("qid", "id").agg(F.sum("tf").alias("plain"), F.sum(F.when(F.col("strong"), F.col("tf"))).alias("some"), F.count_if("strong").alias("n"))
+    tier = F.when(F.col("n") >= 3, 1).when(F.col("n") > 0, 2).otherwise(3)
+    first = both.groupBy("qid").agg(F.min(tier).alias("tier"))
+    rows = both.join(broadcast_if_small(first), "qid").where(tier <= F.col("tier"))
+    scored = rows.select("qid", "tier", "id", F.when(F.col("tier") == 3, F.col("plain")).otherwise(F.col("some")).cast("double").alias("score"))
+    kept = top_k(scored.where("tier > 1"), ["qid"], [F.col("score").desc(), F.col("id")], 200).drop("rank").unionByName(scored.where("tier = 1"))
+    return kept.groupBy(F.col("qid").alias("item_id"), "tier").agg(F.count("*").alias("n"), F.max("score").alias("best"))
 
 
 def _document_lists(spark, sf_dir):
-    rows = retrieval.best(retrieval.bm25_scores(sentence_rows(spark, sf_dir), questions(spark, sf_dir)), 40)
+    rows = retrieval.best(L.bm25_scores(index_of(spark, sf_dir, "sentences"), questions(spark, sf_dir)), 40)
     rows = rows.withColumn("doc", doc_of(F.col("id")))
     return ranked(rows, ["qid", "doc"], [F.col("score").desc(), F.col("id")], "doc_rank")
 
 
 def doc_aggregation(spark, sf_dir):
     """The three best documents per question, by each way to sum up sentence scores."""
-    lists = _document_lists(spark, sf_dir)
-    rows = None
-    for how in ("sum", "max", "top3"):
-        scores = fusion.document_scores(lists, how)
-        some = top_k(scores, ["qid"], [F.col("score").desc(), F.col("doc")], 3).select(F.lit(how).alias("how"), F.col("qid").alias("item_id"), "rank", F.col("doc").alias("doc_id"), "score")
-        rows = some if rows is None else rows.unionByName(some)
-    return rows
+    scores = fusion.document_scores(_document_lists(spark, sf_dir)).unpivot(["qid", "doc"], ["sum", "max", "top3"], "how", "score")
+    best = top_k(scores, ["how", "qid"], [F.col("score").desc(), F.col("doc")], 3)
+    return best.select("how", F.col("qid").alias("item_id"), "rank", F.col("doc").alias("doc_id"), "score")
 
 
 def doc_min_max(spark, sf_dir):
     """Documents by the scaled sum of their best sentence and of their three best."""
-    lists = _document_lists(spark, sf_dir)
-    both = fusion.document_scores(lists, "max").withColumnRenamed("score", "most").join(fusion.document_scores(lists, "top3").withColumnRenamed("score", "mean3"), ["qid", "doc"])
-    scaled = both.withColumn("score", F.round(fusion.min_max(both, "most") + fusion.min_max(both, "mean3"), 6))
+    both = fusion.document_scores(_document_lists(spark, sf_dir))
+    scaled = both.withColumn("score", F.round(fusion.min_max(both, "max") + fusion.min_max(both, "top3"), 6))
     return top_k(scaled, ["qid"], [F.col("score").desc(), F.col("doc")], 3).select(F.col("qid").alias("item_id"), "rank", F.col("doc").alias("doc_id"), "score")
 
 
 QUERIES = {f.__name__: f for f in (
-    postings_topk, strong_postings_topk, term_df, doc_length_stats, bm25_topk, bm25_sentence_topn, cosine_topk, hashing_topk, rrf_topn_outer, rrf_weighted,
+    index_manifest, postings_topk, strong_postings_topk, term_df, doc_length_stats, bm25_topk, bm25_sentence_topn, cosine_topk, hashing_topk, rrf_topn_outer, rrf_weighted,
     candidate_union, tier_fallback, doc_aggregation, doc_min_max,
 )}
 
@@ -230,6 +228,9 @@ a AS (
 """
 
 ORACLES = {
+    "index_manifest": f"""
+        WITH {_TERMS}, w AS (SELECT sum(len(list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda x: x <> '')))::BIGINT AS n_words FROM documents)
+        SELECT (SELECT count(*) FROM documents) AS n_blocks, (SELECT count(*) FROM docs) AS n_tokens, n_words, (SELECT count(DISTINCT term) FROM post) AS n_terms, (SELECT count(*) FROM post) AS n_postings FROM w""",
     "postings_topk": f"WITH {_TERMS}, s AS ({_tf('')}) SELECT qid AS item_id, rank, id AS doc_id, score FROM (SELECT *, {_RANK} FROM s) WHERE rank <= 10",
     "strong_postings_topk": f"WITH {_TERMS}, s AS ({_tf(f'WHERE length(term) >= 5 AND term NOT IN ({_WEAK})')}) SELECT qid AS item_id, rank, id AS doc_id, score FROM (SELECT *, {_RANK} FROM s) WHERE rank <= 10",
     "term_df": f"WITH {_TERMS} SELECT term, count(*) AS df, sum(tf)::BIGINT AS cf FROM post GROUP BY ALL",

@@ -6,8 +6,11 @@ from pyspark.sql import functions as F
 
 from corpusmill.functions import text as T
 from corpusmill.functions.plans import broadcast_if_small, ranked
-from corpusmill.jobs.search_jobs import _SENTS, doc_of, questions, sentence_rows
+from corpusmill.jobs.indexes import index_of, sentence_rows
+from corpusmill.jobs.search_jobs import _SENTS, doc_of, questions
+from corpusmill.jobs.sql import any_in, bounded, names_sql, quoted
 from corpusmill.operators import evidence_packing as packing
+from corpusmill.operators import lexical_index as L
 from corpusmill.operators import retrieval
 
 
@@ -40,7 +43,7 @@ def answer_normalise(spark, sf_dir):
 
 
 def question_parse(spark, sf_dir):
-    """First user turns as questions: fields, intent, and the hash that keys caches."""
+    """User turns as questions: fields, intent, and the hash that keys caches."""
     rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").where("role = 'user'")
     t = F.col("text")
     rows = rows.withColumn("fields", T.required_fields(t)).withColumn("entities", T.unseen_entities(t))
@@ -50,8 +53,7 @@ def question_parse(spark, sf_dir):
 
 
 def prompt_audit(spark, sf_dir):
-    """Prompts of a turn with all turns before it: hash, length, and whether two turns of
-    the corpus got the same one."""
+    """Prompts of a turn with all turns before it: hash and length."""
     from pyspark.sql.window import Window
 
     rows = spark.read.parquet(f"{sf_dir}/conversations.parquet")
@@ -61,7 +63,7 @@ def prompt_audit(spark, sf_dir):
 
 
 def neighbours_lag_lead(spark, sf_dir):
-    rows = packing.neighbours(sentence_rows(spark, sf_dir)).join(sentence_rows(spark, sf_dir).select("id", "text"), "id")
+    rows = packing.neighbours(sentence_rows(spark, sf_dir))
     flagged = rows.withColumn("needs", packing.needs_context(F.col("text")))
     return flagged.groupBy(doc_of(F.col("id")).alias("doc_id")).agg(F.count_if("needs").alias("n_needing"), F.count_if(F.col("needs") & F.col("before_id").isNotNull()).alias("n_with_before"), F.count_if(F.col("needs") & F.col("after_id").isNotNull()).alias("n_with_after"))
 
@@ -69,9 +71,9 @@ def neighbours_lag_lead(spark, sf_dir):
 def _candidates(spark, sf_dir):
     """The forty best sentences per question by BM25, ranked by BM25, by hashed cosine and
     by their document's best sentence."""
-    sents, asked = sentence_rows(spark, sf_dir), questions(spark, sf_dir)
-    found = retrieval.best(retrieval.bm25_scores(sents, asked), 40).withColumn("bm25_rank", F.col("rank") - 1)
-    rows = found.join(sents.select("id", "doc", "text"), "id").join(broadcast_if_small(asked.withColumnRenamed("text", "question")), "qid")
+    index, asked = index_of(spark, sf_dir, "sentences"), questions(spark, sf_dir)
+    found = retrieval.best(L.bm25_scores(index, asked), 40).withColumn("bm25_rank", F.col("rank") - 1)
+    rows = index.blocks().select("id", "doc", "text").join(broadcast_if_small(found), "id").join(broadcast_if_small(asked.withColumnRenamed("text", "question")), "qid")
     q, s = T.feature_sets(F.col("question"))["tokens"], T.feature_sets(F.col("text"))["tokens"]
     near = F.size(F.array_intersect(q, s)) / F.greatest(F.lit(1.0), F.sqrt(F.size(q) * F.size(s).cast("double")))
     rows = ranked(rows.withColumn("near", F.round(near, 9)), ["qid"], [F.col("near").desc(), F.col("id")], "dense_rank").withColumn("dense_rank", F.col("dense_rank") - 1)
@@ -88,7 +90,7 @@ def sentence_features(spark, sf_dir):
 def pack_evidence(spark, sf_dir):
     """Packed, rescued and expanded evidence per question."""
     rows = packing.rescued(packing.packed(packing.scored(_candidates(spark, sf_dir))))
-    wide = packing.expanded(rows, sentence_rows(spark, sf_dir))
+    wide = packing.expanded(rows, index_of(spark, sf_dir, "sentences").blocks())
     return wide.select(F.col("qid").alias("item_id"), "total", F.size("ids").alias("n_sentences"), F.array_join(F.transform("ids", lambda x: x.cast("string")), ",").alias("sentence_ids"))
 
 
@@ -98,30 +100,8 @@ QUERIES = {f.__name__: f for f in (
 
 _W = "list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '')"
 
-
-
-def _quoted(words) -> str:
-    return ", ".join("'" + w.replace("'", "''") + "'" for w in words)
-
-
-def _any(text: str, words) -> str:
-    return "(" + " OR ".join(f"contains({text}, {_quoted([w])})" for w in words) + ")"
-
-
-def _bounded(text: str, word: str) -> str:
-    """SQL of a text for patterns with \\b: there it knows ASCII only, so other letters and
-    digits become ``word`` (that the pattern itself doesn't take), other characters a dot."""
-    return f"regexp_replace(regexp_replace({text}, '[^\\pL\\pN\\x00-\\x7F]', '.', 'g'), '[^\\x00-\\x7F]', '{word}', 'g')"
-
-
-def names_sql(text: str) -> str:
-    """SQL of the entity candidates of a text, a list (of null: null)."""
-    both = f"list_concat(regexp_extract_all({_bounded(text, 'q')}, '\\b[A-Z][A-Z0-9_\\-]+'), regexp_extract_all({_bounded(text, '0')}, '\\b[A-Z][a-z]+\\s+[A-Z][a-z]+\\b'))"
-    return f"list_filter(list_distinct({both}), lambda x: length(x) > 2 AND lower(x) NOT IN ({_quoted(T.ENTITY_STOP)}) AND NOT {_any('lower(x)', T.ENTITY_STOP_PARTS)})"
-
-
 _FIELDS = ", ".join(
-    f"{{'at': list_min(list_filter([{', '.join(f'instr(l, {_quoted([k])})' for k in keys)}], lambda p: p > 0)), 'n': {i}, 'field': '{name}'}}" for i, (name, keys) in enumerate(T.FIELD_KEYWORDS.items())
+    f"{{'at': list_min(list_filter([{', '.join(f'instr(l, {quoted([k])})' for k in keys)}], lambda p: p > 0)), 'n': {i}, 'field': '{name}'}}" for i, (name, keys) in enumerate(T.FIELD_KEYWORDS.items())
 )
 
 ORACLES = {
@@ -130,10 +110,10 @@ ORACLES = {
         w AS (SELECT item_id, lower(trim(regexp_replace(t, '\\s+', ' ', 'g'))) AS plain, regexp_split_to_array(lower(translate(regexp_replace(t, '[$,]', '', 'g'), '{T.ACCENTED}', '{T.PLAIN}')), '\\s+') AS s,
           regexp_split_to_array(regexp_replace(lower(t), '[^\\pL\\pN\\s]', '', 'g'), '\\s+') AS b FROM t)
         SELECT item_id, md5(plain) AS plain, md5(array_to_string(list_sort(list_filter(s, lambda x: x NOT IN ('', 'project'))), ' ')) AS sorted, md5(array_to_string(list_filter(b, lambda x: x NOT IN ('', 'a', 'an', 'the')), ' ')) AS bare FROM w""",
-    "question_parse": f"""WITH q AS (SELECT conv_id, turn, text, lower(text) AS l, regexp_extract_all({_bounded('text', 'q')}, '\\b[A-Z][A-Z0-9_\\-]+\\b') AS capitals FROM conversations WHERE role = 'user'),
-        p AS (SELECT *, list_transform(list_sort(list_filter([{_FIELDS}], lambda x: x.at IS NOT NULL)), lambda x: x.field) AS f, CASE WHEN len(capitals) > 0 THEN capitals ELSE regexp_extract_all({_bounded('text', '0')}, '\\b[A-Z][a-z]+\\b') END AS e FROM q),
-        i AS (SELECT *, CASE WHEN len(e) = 0 THEN 'abstention_candidate' WHEN len(f) >= 2 THEN 'multi_fact_extraction' WHEN {_any('l', T.COMPARISON_WORDS)} THEN 'comparison' WHEN {_any('l', T.LISTING_WORDS)} THEN 'aggregation'
-          WHEN {_any('l', T.STATUS_WORDS)} THEN 'status_resolution' ELSE 'single_fact_lookup' END AS intent, nullif(regexp_extract(l, '\\bref_[0-9a-f]{{10}}\\b'), '') AS marker FROM p)
+    "question_parse": f"""WITH q AS (SELECT conv_id, turn, text, lower(text) AS l, regexp_extract_all({bounded('text', 'q')}, '\\b[A-Z][A-Z0-9_\\-]+\\b') AS capitals FROM conversations WHERE role = 'user'),
+        p AS (SELECT *, list_transform(list_sort(list_filter([{_FIELDS}], lambda x: x.at IS NOT NULL)), lambda x: x.field) AS f, CASE WHEN len(capitals) > 0 THEN capitals ELSE regexp_extract_all({bounded('text', '0')}, '\\b[A-Z][a-z]+\\b') END AS e FROM q),
+        i AS (SELECT *, CASE WHEN len(e) = 0 THEN 'abstention_candidate' WHEN len(f) >= 2 THEN 'multi_fact_extraction' WHEN {any_in('l', T.COMPARISON_WORDS)} THEN 'comparison' WHEN {any_in('l', T.LISTING_WORDS)} THEN 'aggregation'
+          WHEN {any_in('l', T.STATUS_WORDS)} THEN 'status_resolution' ELSE 'single_fact_lookup' END AS intent, nullif(regexp_extract(l, '\\bref_[0-9a-f]{{10}}\\b'), '') AS marker FROM p)
         SELECT conv_id, turn, array_to_string(f, ',') AS fields, intent, sha256('question:' || trim(regexp_replace(l, '\\s+', ' ', 'g')) || '|entities:' || array_to_string(list_sort(list_transform(e, lambda x: lower(x))), ',')
           || '|fields:' || array_to_string(list_sort(f), ',') || '|intent:' || intent || '|constraints:' || coalesce('reference_marker=' || marker || ',', '')
           || 'status_preference=' || CASE WHEN intent = 'status_resolution' THEN 'all' ELSE 'active' END || ',strict_entity=true,temporal_preference=latest') AS cache_key FROM i""",

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from corpusmill.functions import text as T
+from corpusmill.functions.plans import broadcast_if_small
 
 BUDGET, SENTENCES, PER_DOC, RRF_K = 512, 10, 4, 60.0
 POINTING = ("this", "these", "they", "it", "such")
@@ -96,7 +97,7 @@ def neighbours(sentences: DataFrame) -> DataFrame:
     """Sentences (doc, sent, id, text) with the ids and texts before and after."""
     w = Window.partitionBy("doc").orderBy("sent")
     return sentences.select(
-        "id", F.lag("id").over(w).alias("before_id"), F.lag("text").over(w).alias("before"), F.lead("id").over(w).alias("after_id"), F.lead("text").over(w).alias("after"),
+        "id", "text", F.lag("id").over(w).alias("before_id"), F.lag("text").over(w).alias("before"), F.lead("id").over(w).alias("after_id"), F.lead("text").over(w).alias("after"),
     )
 
 
@@ -113,17 +114,19 @@ def expanded(rows: DataFrame, sentences: DataFrame, budget: int = BUDGET) -> Dat
     """(qid, total, ids): packed ids with neighbours of sentences that need context, added
     in packed order while they fit."""
     taken = rows.select("qid", "total", F.posexplode("taken").alias("at", "t")).select("qid", "total", "at", F.col("t.id").alias("id"), F.col("t.text").alias("text"))
-    beside = taken.join(neighbours(sentences), "id", "left")
+    packed_docs = rows.select(F.explode("taken.doc").alias("doc")).distinct()
+    own = sentences.join(broadcast_if_small(packed_docs), "doc", "left_semi")
+    beside = taken.join(neighbours(own).drop("text"), "id", "left")
     near = lambda i, t: F.struct(F.col(i).alias("id"), F.greatest(F.lit(1), F.size(T.words(F.col(t)))).alias("n"))
     found = F.filter(F.array(near("before_id", "before"), near("after_id", "after")), lambda x: x["id"].isNotNull())
     one = F.struct("at", "id", F.when(needs_context(F.col("text")), found).otherwise(F.array().cast("array<struct<id:bigint,n:int>>")).alias("near"))
     lists = beside.groupBy("qid", "total").agg(F.array_sort(F.collect_list(one)).alias("items"))
-    own = F.transform("items", lambda x: x["id"])
+    ids = F.transform("items", lambda x: x["id"])
 
     def add(state: Column, n: Column) -> Column:
         fits = (state["total"] + n["n"] <= budget) & ~F.array_contains(state["ids"], n["id"])
         return F.when(fits, F.struct((state["total"] + n["n"]).alias("total"), F.concat(state["ids"], F.array(n["id"])).alias("ids"))).otherwise(state)
 
-    start = F.struct("total", own.alias("ids"))
+    start = F.struct("total", ids.alias("ids"))
     state = F.aggregate(F.flatten(F.transform("items", lambda x: x["near"])), start, add)
     return lists.withColumn("state", state).select("qid", F.col("state.total").alias("total"), F.col("state.ids").alias("ids"))

@@ -50,13 +50,13 @@ def candidate_union(ann: DataFrame, strong: DataFrame, field: DataFrame) -> Data
     return rows.groupBy("qid", "id").agg(F.round(F.max("ann") + 0.05 * F.sum("strong") + 0.03 * F.sum("field"), 6).alias("score"))
 
 
-def document_scores(rows: DataFrame, how: str) -> DataFrame:
-    """(qid, doc, score) of scored sentences (qid, doc, score, rank in the document), by
-    ``sum``, ``max`` or ``top3``; scores are six-digit numbers, and so are these."""
+def document_scores(rows: DataFrame) -> DataFrame:
+    """(qid, doc, sum, max, top3) of scored sentences (qid, doc, score, doc_rank), in one
+    aggregate; scores are six-digit numbers, and so are these."""
     whole = rows.withColumn("s", F.round(F.col("score") * 1_000_000).cast("long"))  # sums in any order are equal
     n, top = F.count_if(F.col("doc_rank") <= 3), F.sum(F.when(F.col("doc_rank") <= 3, F.col("s")))
-    agg = {"sum": F.sum("s"), "max": F.max("s"), "top3": F.floor((2 * top + n) / (2 * n))}[how]
-    return whole.groupBy("qid", "doc").agg((agg / F.lit(1e6)).alias("score"))
+    ways = {"sum": F.sum("s"), "max": F.max("s"), "top3": F.floor((2 * top + n) / (2 * n))}
+    return whole.groupBy("qid", "doc").agg(*[(x / F.lit(1e6)).alias(how) for how, x in ways.items()])
 
 
 def min_max(df: DataFrame, column: str, by: str = "qid") -> Column:

@@ -65,10 +65,11 @@ def _weighed(blocks: DataFrame, queries: DataFrame, tokens: Tokens) -> tuple[Dat
     return terms, each.groupBy("term", "id", "dl").agg(F.count("*").alias("tf")), corpus, hint
 
 
-def _summed(hits: DataFrame, weighted: DataFrame) -> DataFrame:
+def summed(hits: DataFrame) -> DataFrame:
+    """BM25 of a query's terms in blocks (qid, id, qtf, idf, tf, dl, avgdl)."""
     norm = F.col("tf") + K1 * (1.0 - B + B * F.col("dl") / F.col("avgdl"))
     score = F.sum(F.col("qtf") * F.col("idf") * F.col("tf") * (K1 + 1.0) / norm)
-    return hits.join(weighted, "term").groupBy("qid", "id").agg(F.round(score, 6).alias("score"))
+    return hits.groupBy("qid", "id").agg(F.round(score, 6).alias("score"))
 
 
 def bm25_scores(blocks: DataFrame, queries: DataFrame, tokens: Tokens = T.lower_words) -> DataFrame:
@@ -77,7 +78,7 @@ def bm25_scores(blocks: DataFrame, queries: DataFrame, tokens: Tokens = T.lower_
     terms, hits, corpus, hint = _weighed(blocks, queries, tokens)
     df = hits.groupBy("term").agg(F.count("*").alias("df"))
     idf = df.join(F.broadcast(corpus)).select("term", "avgdl", F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1.0).alias("idf"))
-    return _summed(hits, hint(terms.join(hint(idf), "term")))  # a row per query term at most
+    return summed(hits.join(hint(terms.join(hint(idf), "term")), "term"))  # a row per query term at most
 
 
 def bm25_okapi_scores(blocks: DataFrame, queries: DataFrame, tokens: Tokens = T.lower_words, epsilon: float = 0.25) -> DataFrame:
@@ -90,7 +91,7 @@ def bm25_okapi_scores(blocks: DataFrame, queries: DataFrame, tokens: Tokens = T.
     mean = idf.agg(F.avg("idf").alias("mean"))
     used = idf.join(hint(terms.select("term").distinct()), "term", "left_semi").join(F.broadcast(mean))
     idf = used.select("term", "avgdl", F.when(F.col("idf") < 0, epsilon * F.col("mean")).otherwise(F.col("idf")).alias("idf"))
-    return _summed(hits, hint(terms.join(hint(idf), "term")))
+    return summed(hits.join(hint(terms.join(hint(idf), "term")), "term"))
 
 
 def best(scores: DataFrame, k: int) -> DataFrame:

@@ -124,6 +124,19 @@ class HashingEmbedder:
         return out
 
 
+def hashed_vectors(blocks: DataFrame) -> DataFrame:
+    """(id, v): the unit vector of each of ``blocks`` (id, text)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        embedder = HashingEmbedder()
+        for batch in batches:
+            rows = embedder.encode(batch.column("text").to_pylist())
+            flat = pa.FixedSizeListArray.from_arrays(pa.array(rows.ravel()), DIM).cast(pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays([batch.column("id").cast(pa.int64()), flat], names=["id", "v"])
+
+    return blocks.select("id", "text").mapInArrow(run, "id long, v array<double>")
+
+
 def hashing_top_k(blocks: DataFrame, queries: DataFrame, k: int, each: int = ROUND_QUERIES) -> DataFrame:
     """(qid, id, score, rank) by cosine of hashed bags, of ``blocks`` (id, text) for
     ``queries`` (qid, text)."""

@@ -1,4 +1,4 @@
-"""Scans and sinks: text trees, JSON lines, source trees, written indexes."""
+"""Scans and sinks: text trees, JSON lines, CSV, source trees."""
 
 from __future__ import annotations
 
@@ -6,12 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusmill.functions import text as T
-from corpusmill.operators import retrieval
 
 CODE_SUFFIXES = ("py", "js", "ts", "java", "go", "rs", "c", "cc", "cpp", "h", "hpp", "rb", "php", "scala", "kt", "swift", "md", "rst", "toml", "yaml", "json")
 CODE_IGNORED = ("/.git/", "/node_modules/", "/__pycache__/", "/build/", "/dist/", "/venv/")
 CODE_BYTES = 80_000
-LAYOUT = "corpusmill-index-1"
 
 
 def read_texts(spark: SparkSession, root: str, pattern: str = "*.txt") -> DataFrame:
@@ -67,26 +65,3 @@ def blocks(texts: DataFrame, size: int = 128) -> DataFrame:
     number over the whole corpus would need all rows in one order."""
     cut = texts.select("path", "category", F.posexplode(T.chunks(T.words(T.clean_text(F.col("text"))), size)).alias("chunk_index", "w"))
     return cut.select(F.col("path").alias("source_file"), "category", "chunk_index", F.array_join("w", " ").alias("text"), F.size("w").alias("token_count"))
-
-
-def write_index(blocks_: DataFrame, path: str) -> None:
-    """Blocks (id, text, ...), their postings and a one-row manifest. Postings are ranged
-    and sorted by term, so that a lookup reads the row groups of its terms alone."""
-    blocks_.write.parquet(f"{path}/blocks")
-    spark = blocks_.sparkSession
-    stored = spark.read.parquet(f"{path}/blocks")
-    postings = retrieval.postings(stored.select("id", "text"))
-    postings.repartitionByRange("term", "id").sortWithinPartitions("term", "id").write.parquet(f"{path}/postings")
-    stored.agg(F.lit(LAYOUT).alias("layout"), F.count("*").alias("n_blocks"), F.sum(F.size(T.index_tokens(F.col("text")))).alias("n_tokens")).write.json(f"{path}/manifest")
-
-
-def read_postings(spark: SparkSession, path: str, terms: list[str]) -> DataFrame:
-    """Postings of a few terms; the filter reaches the scan."""
-    return spark.read.parquet(f"{path}/postings").where(F.col("term").isin(*terms))
-
-
-def is_index(spark: SparkSession, path: str) -> bool:
-    try:
-        return spark.read.json(f"{path}/manifest").where(F.col("layout") == LAYOUT).limit(1).count() == 1
-    except Exception:  # no such path
-        return False

@@ -11,12 +11,6 @@ def test_texts_to_index(spark, tmp_path):
     assert {(r.path, r.category) for r in texts.collect()} == {("reports/a.txt", "reports"), ("b.txt", "unknown")}
     rows = tables.blocks(texts)
     assert sorted((r.source_file, r.chunk_index, r.token_count) for r in rows.collect()) == [("b.txt", 0, 1), ("reports/a.txt", 0, 128), ("reports/a.txt", 1, 4)]
-    numbered = spark.createDataFrame([(i, r.text) for i, r in enumerate(rows.collect())], "id long, text string")
-    tables.write_index(numbered, f"{tmp_path}/index")
-    assert tables.is_index(spark, f"{tmp_path}/index") and not tables.is_index(spark, f"{tmp_path}/none")
-    found = tables.read_postings(spark, f"{tmp_path}/index", ["beta"])
-    assert found.count() == 2
-    assert "PushedFilters: [In(term" in found._jdf.queryExecution().toString() or "EqualTo(term" in found._jdf.queryExecution().toString()
 
 
 def test_code_files(spark, tmp_path):
