@@ -13,7 +13,7 @@ SF = "/root/testdata/sf0.001"
 
 def test_all_are_registered():
     names = entry.queries()
-    assert "pipeline" in names and all(any(k.startswith(f"op{n}_") for k in names) for n in range(1, 11))
+    assert "pipeline" in names and all(any(k.startswith(f"op{n}_") for k in names) for n in range(1, 14))
 
 
 @pytest.fixture(scope="module")
