@@ -12,6 +12,7 @@ from corpusmill.jobs.indexes import SENT_BITS, index_of, sentence_rows
 from corpusmill.jobs.indexes import documents as blocks
 from corpusmill.operators import fusion, retrieval, vectors
 from corpusmill.operators import lexical_index as L
+from corpusmill.sources import tables
 
 TOP = 10
 
@@ -93,6 +94,29 @@ def rrf_weighted(spark, sf_dir):
     return retrieval.best(fusion.reciprocal_ranks(*_lists(spark, sf_dir), weights=(0.8, 0.2)), TOP).select(F.col("qid").alias("item_id"), "rank", F.col("id").alias("doc_id"), "score")
 
 
+def rrf_full_topk(spark, sf_dir):
+    """The ten best by reciprocal ranks over all blocks, in both orders of all of them."""
+    index, asked = index_of(spark, sf_dir, "documents"), questions(spark, sf_dir)
+    rows = fusion.full_reciprocal_ranks(vectors.hashed_scores(index.blocks(), asked), L.bm25_scores(index, asked))
+    return retrieval.best(rows, TOP).select(F.col("qid").alias("item_id"), "rank", F.col("id").alias("doc_id"), "dense_rank", "lexical_rank", "score")
+
+
+def block_numbers(spark, sf_dir):
+    """All documents as files of a path by language and source, cut into numbered blocks."""
+    path = F.concat_ws("/", F.coalesce("lang", F.lit("none")), F.coalesce("source", F.lit("none")), F.lpad(F.col("doc_id").cast("string"), 10, "0"))
+    texts = spark.read.parquet(f"{sf_dir}/documents.parquet").select(path.alias("path"), F.col("lang").alias("category"), "text")
+    return tables.numbered_blocks(tables.blocks(texts)).select("source_file", "chunk_index", "number", "block_id")
+
+
+def bm25_case_topn(spark, sf_dir):
+    """The three best turns of each conversation for its first user turn, against the
+    conversation's own turns alone."""
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    asked = turns.where("role = 'user'").groupBy(F.col("conv_id").alias("case")).agg(F.min_by("text", "turn").alias("text"))
+    rows = retrieval.bm25_case_scores(turns.select(F.col("conv_id").alias("case"), F.col("turn").alias("id"), "text"), asked)
+    return top_k(rows, ["case"], [F.col("score").desc(), F.col("id")], 3).select(F.col("case").alias("conv_id"), "rank", F.col("id").alias("turn"), "score")
+
+
 def candidate_union(spark, sf_dir):
     """Dense candidates joined with strong-term and all-term hits, as the rescue
     strategies combine them."""
@@ -142,7 +166,7 @@ def doc_min_max(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (
-    index_manifest, postings_topk, strong_postings_topk, term_df, doc_length_stats, bm25_topk, bm25_sentence_topn, cosine_topk, hashing_topk, rrf_topn_outer, rrf_weighted,
+    index_manifest, postings_topk, strong_postings_topk, term_df, doc_length_stats, bm25_topk, bm25_sentence_topn, cosine_topk, hashing_topk, rrf_topn_outer, rrf_weighted, rrf_full_topk, block_numbers, bm25_case_topn,
     candidate_union, tier_fallback, doc_aggregation, doc_min_max,
 )}
 
@@ -247,6 +271,23 @@ ORACLES = {
     "hashing_topk": f"WITH {_hashed()} SELECT qid AS item_id, rank, id AS doc_id, score FROM (SELECT *, {_RANK} FROM hd) WHERE rank <= 10",
     "rrf_topn_outer": _rrf("1.0", "1.0"),
     "rrf_weighted": _rrf("0.8", "0.2"),
+    "rrf_full_topk": f"""
+        WITH {_bm25(_DOCS)}, {_hashed()},
+        al AS (SELECT item_id AS qid, doc_id AS id, coalesce(hd.score, 0) AS ds, coalesce(bm.score, 0) AS ls FROM benchmark CROSS JOIN documents LEFT JOIN hd ON hd.qid = item_id AND hd.id = doc_id LEFT JOIN bm ON bm.qid = item_id AND bm.id = doc_id),
+        rk AS (SELECT qid, id, row_number() OVER (PARTITION BY qid ORDER BY ds DESC, id) - 1 AS dense_rank, row_number() OVER (PARTITION BY qid ORDER BY ls DESC, id) - 1 AS lexical_rank FROM al),
+        f AS (SELECT *, round(1.0::DOUBLE / (60 + lexical_rank) + 1.0::DOUBLE / (60 + dense_rank), 9) AS score FROM rk)
+        SELECT qid AS item_id, rank, id AS doc_id, dense_rank, lexical_rank, score FROM (SELECT *, {_RANK} FROM f) WHERE rank <= 10""",
+    "block_numbers": """
+        WITH t AS (SELECT coalesce(lang, 'none') || '/' || coalesce(source, 'none') || '/' || lpad(doc_id::VARCHAR, 10, '0') AS source_file, list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '') AS w FROM documents),
+        c AS (SELECT source_file, unnest(range(0, (len(w) + 127) // 128))::INT AS chunk_index FROM t), n AS (SELECT *, row_number() OVER (ORDER BY source_file, chunk_index) - 1 AS number FROM c)
+        SELECT *, 'block_' || CASE WHEN number < 1000 THEN lpad(number::VARCHAR, 4, '0') ELSE number::VARCHAR END AS block_id FROM n""",
+    "bm25_case_topn": """
+        WITH w AS (SELECT conv_id AS c, turn AS id, list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda x: x <> '') AS w FROM conversations),
+        s AS (SELECT c, count(*) AS n, avg(len(coalesce(w, []))) AS avgdl FROM w GROUP BY c), t AS (SELECT c, id, len(w) AS dl, unnest(w) AS term FROM w), f AS (SELECT c, id, dl, term, count(*) AS tf FROM t GROUP BY ALL),
+        d AS (SELECT c, term, count(*) AS df FROM f GROUP BY ALL), q0 AS (SELECT conv_id AS c, arg_min(text, turn) AS text FROM conversations WHERE role = 'user' GROUP BY c),
+        q AS (SELECT c, term, count(*) AS qtf FROM (SELECT c, unnest(list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda x: x <> '')) AS term FROM q0) GROUP BY ALL),
+        r AS (SELECT c, id, round(sum(qtf * ln((n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE) + 1.0::DOUBLE) * tf * 2.5::DOUBLE / (tf + 1.5::DOUBLE * (1.0::DOUBLE - 0.75::DOUBLE + 0.75::DOUBLE * dl / avgdl))), 6) AS score FROM f JOIN q USING (c, term) JOIN d USING (c, term) JOIN s USING (c) GROUP BY ALL)
+        SELECT c AS conv_id, rank, id AS turn, score FROM (SELECT *, row_number() OVER (PARTITION BY c ORDER BY score DESC, id)::INT AS rank FROM r) WHERE rank <= 3""",
     "tier_fallback": f"""
         WITH {_TERMS}, st AS (SELECT * FROM q WHERE length(term) >= 5 AND term NOT IN ({_WEAK})),
         t1 AS (SELECT qid, id, sum(tf) AS score, 1 AS tier FROM post JOIN st USING (term) GROUP BY qid, id HAVING count(*) >= 3),

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpusmill.operators.global_order import ranked_globally
+
 MISSING = 100_000
 RRF_K = 60.0
 
@@ -18,6 +20,17 @@ def reciprocal_ranks(one: DataFrame, other: DataFrame, weights: tuple[float, flo
     return a.join(b, ["qid", "id"], "outer").select("qid", "id", F.round(part(weights[0], "rank_a") + part(weights[1], "rank_b"), 9).alias("score"))
 
 
+def full_reciprocal_ranks(dense: DataFrame, lexical: DataFrame, k: float = RRF_K) -> DataFrame:
+    """(qid, id, dense_rank, lexical_rank, score) over all rows of ``dense`` (qid, id, score:
+    every block for every query); ``lexical`` (qid, id, score) has the blocks that score
+    there, the others follow by id. Ranks are global and start from 0."""
+    both = dense.select("qid", "id", F.col("score").alias("_dense")).join(lexical.select("qid", "id", F.col("score").alias("_lexical")), ["qid", "id"], "left")
+    rows = ranked_globally(both.na.fill(0.0, ["_lexical"]), ["qid"], [F.col("_dense").desc(), F.col("id")], "dense_rank", 0)
+    rows = ranked_globally(rows.drop("_dense"), ["qid"], [F.col("_lexical").desc(), F.col("id")], "lexical_rank", 0)
+    score = F.round(1.0 / (k + F.col("lexical_rank")) + 1.0 / (k + F.col("dense_rank")), 9)
+    return rows.select("qid", "id", "dense_rank", "lexical_rank", score.alias("score"))
+
+
 def entity_boost(score: Column, text: Column, entities: list[str], each: float = 0.3) -> Column:
     """``score`` plus a boost per entity that the text has between word boundaries or
     underscores."""

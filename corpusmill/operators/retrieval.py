@@ -94,6 +94,21 @@ def bm25_okapi_scores(blocks: DataFrame, queries: DataFrame, tokens: Tokens = T.
     return summed(hits.join(hint(terms.join(hint(idf), "term")), "term"))
 
 
+def bm25_case_scores(units: DataFrame, questions: DataFrame, tokens: Tokens = T.lower_words) -> DataFrame:
+    """(case, id, score): BM25 of units (case, id, text) for the question of their case
+    (case, text) against the case's own units: numbers, lengths and document frequencies
+    are aggregates by case and by case and term, so that no case is gathered in a task."""
+    sized = units.select("case", "id", tokens(F.col("text")).alias("w")).withColumn("dl", F.coalesce(F.size("w"), F.lit(0)))
+    of_case = sized.groupBy("case").agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
+    asked = questions.select("case", F.explode(tokens(F.col("text"))).alias("term")).groupBy("case", "term").agg(F.count("*").alias("qtf"))
+    words = sized.select("case", "id", "dl", F.explode("w").alias("term")).join(asked, ["case", "term"])
+    hits = words.groupBy("case", "term", "id", "dl", "qtf").agg(F.count("*").alias("tf"))
+    df = hits.groupBy("case", "term").agg(F.count("*").alias("df"))
+    rows = hits.join(df, ["case", "term"]).join(of_case, "case")
+    idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1.0)
+    return summed(rows.withColumn("idf", idf).withColumn("qid", F.col("case"))).withColumnRenamed("qid", "case")
+
+
 def best(scores: DataFrame, k: int) -> DataFrame:
     return top_k(scores, ["qid"], [F.col("score").desc(), F.col("id")], k)
 

@@ -32,32 +32,42 @@ def _merge(rows: DataFrame, k: int) -> DataFrame:
     return top_k(rows, ["qid"], [F.col("score").desc(), F.col("id")], k)
 
 
-def _best_rows(ids: np.ndarray, scores: np.ndarray, qids: np.ndarray, k: int, kept: dict) -> None:
-    """Keeps each query's k best (score, id), ties to the smaller id."""
-    for j, qid in enumerate(qids):
-        s = scores[:, j]
-        if len(s) > k:
-            least = np.partition(s, len(s) - k)[len(s) - k]
-            near = np.flatnonzero(s >= least)
-        else:
-            near = np.arange(len(s))
-        both = kept.get(int(qid), []) + [(-float(s[i]), int(ids[i])) for i in near]
-        kept[int(qid)] = sorted(both)[:k]
+class _Best:
+    """Each query's k best (score, id), ties to the smaller id: arrays of queries x k."""
+
+    def __init__(self, n: int, k: int):
+        self.k, self.scores, self.ids = k, np.full((n, k), -np.inf), np.full((n, k), np.iinfo(np.int64).max)
+
+    def add(self, ids: np.ndarray, scores: np.ndarray) -> None:
+        """``scores``: rows x queries. Queries whose k-th best no row reaches are left alone."""
+        scores = scores.T
+        some = np.flatnonzero(scores.max(axis=1, initial=-np.inf) >= self.scores[:, -1])
+        if not len(some):
+            return
+        mine, own = scores[some], ids
+        if len(ids) > 4 * self.k:  # rows that tie with the k-th stay
+            least = np.partition(mine, len(ids) - self.k, axis=1)[:, -self.k]
+            wide = int((mine >= least[:, None]).sum(axis=1).max())
+            best = np.argpartition(-mine, wide - 1, axis=1)[:, :wide] if wide < len(ids) else np.tile(np.arange(len(ids)), (len(some), 1))
+            mine, own = np.take_along_axis(mine, best, axis=1), ids[best]
+        both = np.concatenate([self.scores[some], mine], axis=1)
+        names = np.concatenate([self.ids[some], np.broadcast_to(own, mine.shape)], axis=1)
+        order = np.lexsort((names, -both), axis=1)[:, : self.k]
+        self.scores[some], self.ids[some] = np.take_along_axis(both, order, axis=1), np.take_along_axis(names, order, axis=1)
 
 
 def _search(queries: Broadcast, vectors_of, k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         qids, matrix = queries.value
-        kept: dict[int, list] = {}
+        best, norms = _Best(len(qids), k), np.linalg.norm(matrix, axis=1)
         for batch in batches:
             ids, rows = vectors_of(batch)
             for at in range(0, len(ids), 2048):
                 part = rows[at : at + 2048]
-                norms = np.linalg.norm(part, axis=1, keepdims=True)
-                scores = (part @ matrix.T) / (norms * np.linalg.norm(matrix, axis=1)[None, :] + EPSILON)
-                _best_rows(ids[at : at + 2048], np.round(scores, 6), qids, k, kept)
-        out = [(q, i, -s) for q, rows in kept.items() for s, i in rows]
-        columns = list(zip(*out)) or [[], [], []]
+                scores = (part @ matrix.T) / (np.linalg.norm(part, axis=1, keepdims=True) * norms + EPSILON)
+                best.add(ids[at : at + 2048], np.round(scores, 6))
+        kept = np.isfinite(best.scores)
+        columns = np.repeat(qids, kept.sum(axis=1)), best.ids[kept], best.scores[kept]
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.float64()))], names=["qid", "id", "score"])
 
     return run
@@ -124,6 +134,41 @@ class HashingEmbedder:
         return out
 
 
+def _all_scores(queries: Broadcast, vectors_of):
+    """Every row's score for every query, in batches of bounded size."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        qids, matrix = queries.value
+        norms = np.linalg.norm(matrix, axis=1)
+        for batch in batches:
+            ids, rows = vectors_of(batch)
+            step = max(1, 500_000 // max(1, len(qids)))
+            for at in range(0, len(ids), step):
+                part = rows[at : at + step]
+                scores = np.round((part @ matrix.T) / (np.linalg.norm(part, axis=1, keepdims=True) * norms + EPSILON), 6)
+                columns = np.tile(qids, len(part)), np.repeat(ids[at : at + step], len(qids)), scores.ravel()
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["qid", "id", "score"])
+
+    return run
+
+
+def hashed_scores(blocks: DataFrame, queries: DataFrame, each: int = ROUND_QUERIES) -> DataFrame:
+    """(qid, id, score) of all of ``blocks`` (id, text) for each of ``queries`` (qid, text), by
+    cosine of hashed bags; queries are broadcast in rounds, a pass each."""
+    embedder, spark = HashingEmbedder(), blocks.sparkSession
+    rounds, rows = max(1, -(-queries.count() // each)), spark.createDataFrame([], FOUND)
+
+    def embedded(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+        return batch.column("id").to_numpy(), embedder.encode(batch.column("text").to_pylist())
+
+    for i in range(rounds):
+        asked = queries.select("qid", "text").where(F.pmod(F.xxhash64("qid"), F.lit(rounds)) == i).collect()
+        if asked:
+            sent = spark.sparkContext.broadcast((np.array([r[0] for r in asked]), HashingEmbedder().encode([r[1] for r in asked])))
+            rows = rows.unionByName(blocks.select("id", "text").mapInArrow(_all_scores(sent, embedded), FOUND))
+    return rows
+
+
 def hashed_vectors(blocks: DataFrame) -> DataFrame:
     """(id, v): the unit vector of each of ``blocks`` (id, text)."""
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusmill.functions import text as T
+from corpusmill.operators import global_order
 
 CODE_SUFFIXES = ("py", "js", "ts", "java", "go", "rs", "c", "cc", "cpp", "h", "hpp", "rb", "php", "scala", "kt", "swift", "md", "rst", "toml", "yaml", "json")
 CODE_IGNORED = ("/.git/", "/node_modules/", "/__pycache__/", "/build/", "/dist/", "/venv/")
@@ -61,7 +62,14 @@ def read_code(spark: SparkSession, root: str) -> DataFrame:
 
 def blocks(texts: DataFrame, size: int = 128) -> DataFrame:
     """(source_file, category, chunk_index, text, token_count) of texts (path, category,
-    text), cleaned and cut into blocks. Blocks are known by file and place: a running
-    number over the whole corpus would need all rows in one order."""
+    text), cleaned and cut into blocks. ``numbered_blocks`` numbers them."""
     cut = texts.select("path", "category", F.posexplode(T.chunks(T.words(T.clean_text(F.col("text"))), size)).alias("chunk_index", "w"))
     return cut.select(F.col("path").alias("source_file"), "category", "chunk_index", F.array_join("w", " ").alias("text"), F.size("w").alias("token_count"))
+
+
+def numbered_blocks(blocks_: DataFrame) -> DataFrame:
+    """``blocks`` with block_id: block_ and a running number in the order of paths and
+    places, four digits at least."""
+    rows = global_order.numbered(blocks_, [F.col("source_file"), F.col("chunk_index")])
+    digits = F.col("number").cast("string")
+    return rows.withColumn("block_id", F.concat(F.lit("block_"), F.when(F.length(digits) < 4, F.lpad(digits, 4, "0")).otherwise(digits)))
