@@ -13,6 +13,8 @@ from pyspark.sql.window import Window
 from corpusmill.functions import text as T
 from corpusmill.functions.plans import broadcast_if_small
 
+#: Lines of a bin by which lines meet ranges.
+BIN = 256
 HUNK = r"^@@ -\d+(?:,\d+)? \+(\d+)(?:,(\d+))? @@"
 
 
@@ -57,13 +59,64 @@ def symbols(files: DataFrame) -> DataFrame:
     return files.select("path", "text").mapInPandas(run, "path string, symbol string, first int, last int")
 
 
+def _within(lines: DataFrame, ranges: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """``lines`` (keys, line) beside the ``ranges`` (keys, first, last, ...) they lie in.
+    A range is spelled out by the bins of lines that it touches, so that rows meet in an
+    equi-join on keys and bin."""
+    bins = F.explode(F.sequence(F.floor(F.col("first") / BIN), F.floor(F.greatest("first", "last") / BIN)))
+    spread = ranges.withColumnsRenamed({k: f"_of_{k}" for k in keys}).withColumn("_bin", bins)
+    same = F.floor(F.col("line") / BIN) == F.col("_bin")
+    for k in keys:
+        same = same & (F.col(k) == F.col(f"_of_{k}"))
+    return lines.join(spread, same & F.col("line").between(F.col("first"), F.greatest("first", "last")), how).drop("_bin", *[f"_of_{k}" for k in keys])
+
+
 def changed_symbols(lines: DataFrame, ranges: DataFrame) -> DataFrame:
-    """(id, file, line, symbol): the smallest symbol around each changed line; a line
-    outside all has its place in the file."""
-    inside = lines.join(ranges, (lines["file"] == ranges["path"]) & F.col("line").between(F.col("first"), F.col("last")), "left")
-    rank = F.row_number().over(Window.partitionBy("id", "file", "line").orderBy(F.col("last") - F.col("first"), "first"))
+    """(id, file, line, symbol): the smallest symbol of ``ranges`` (path, symbol, first,
+    last) around each changed line (id, file, line); a line outside all has its place in
+    the file."""
+    inside = _within(lines, ranges.withColumnRenamed("path", "file"), ["file"], "left")
+    size = F.when(F.col("first").isNotNull(), F.struct(F.col("last") - F.col("first"), "first", "symbol"))
+    best = inside.groupBy("id", "file", "line").agg(F.min_by("symbol", size).alias("symbol"))
     place = F.concat_ws("", "file", F.lit(":"), "line", F.lit("-"), "line")
-    return inside.withColumn("_k", rank).where("_k = 1").select("id", "file", "line", F.coalesce("symbol", place).alias("symbol"))
+    return best.withColumn("symbol", F.coalesce("symbol", place))
+
+
+def context_metrics(selected: DataFrame, gold: DataFrame, ks: tuple[int, ...] = (1, 3, 5)) -> DataFrame:
+    """Per issue what its ``selected`` snippets (id, rank, file, first, last, n_tokens) have
+    of ``gold`` (id, file, line, symbol): the share of symbols whose file is among the
+    first k, of changed lines inside a snippet, of snippet lines that are no changed ones,
+    and tokens per changed line. Without gold all recalls are 100."""
+    percent = lambda x, y: F.round(F.when(y > 0, 100.0 * x / y).otherwise(0.0), 6)
+    lines = gold.select("id", "file", "line").distinct()
+    covered = _within(lines, selected.select("id", "file", "first", "last"), ["id", "file"]).select("id", "file", "line").distinct().groupBy("id").agg(F.count("*").alias("covered"))
+    first = selected.groupBy("id", "file").agg(F.min("rank").alias("rank"))
+    symbols = gold.select("id", "file", "symbol").distinct().join(first, ["id", "file"], "left").groupBy("id").agg(F.count("*").alias("n_symbols"), *[F.count_if(F.col("rank") <= k).alias(f"hits_{k}") for k in ks])
+    sizes = selected.groupBy("id").agg(F.sum(F.greatest(F.lit(0), F.col("last") - F.col("first") + 1)).alias("n_lines"), F.sum("n_tokens").alias("n_tokens"))
+    rows = sizes.join(lines.groupBy("id").agg(F.count("*").alias("n_gold")), "id", "left").join(covered, "id", "left").join(symbols, "id", "left").na.fill(0, ["n_gold", "covered", "n_symbols", *[f"hits_{k}" for k in ks]])
+    n, all_lines = F.col("n_gold"), F.greatest(F.lit(1), F.col("n_lines"))
+    recalls = [F.when(F.col("n_symbols") == 0, 100.0).otherwise(percent(F.col(f"hits_{k}"), F.col("n_symbols"))).alias(f"symbol_recall_{k}") for k in ks]
+    return rows.select(
+        "id", *recalls, F.when(n == 0, 100.0).otherwise(percent(F.col("covered"), n)).alias("line_coverage"),
+        percent(F.greatest(F.lit(0), F.col("n_lines") - F.col("covered")), all_lines).alias("irrelevant_lines"), F.round(F.col("n_tokens") / F.greatest(F.lit(1), n), 6).alias("tokens_per_line"),
+    )
+
+
+def _suffixes(path: F.Column) -> F.Column:
+    """The ends of a path: its name, its folder and name, and so on."""
+    parts = F.split(F.lower(F.replace(path, F.lit("\\"), F.lit("/"))), "/")
+    return F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "/"))
+
+
+def matching_paths(files: DataFrame, named: DataFrame) -> DataFrame:
+    """(id, path): files (path) that a named path (id, suffix) means: equal, or one is the
+    end of the other after a slash; case doesn't matter. Ends are spelled out and joined by
+    equality: no pattern runs per file and name."""
+    whole = lambda c: F.element_at(_suffixes(F.col(c)), 1)
+    names = named.select("id", "suffix").distinct()
+    longer = files.select("path", F.explode(_suffixes(F.col("path"))).alias("end")).join(broadcast_if_small(names.select("id", whole("suffix").alias("end"))), "end")
+    shorter = files.select("path", whole("path").alias("end")).join(broadcast_if_small(names.select("id", F.explode(_suffixes(F.col("suffix"))).alias("end"))), "end")
+    return longer.select("id", "path").unionByName(shorter.select("id", "path")).distinct()
 
 
 def file_scores(issues: DataFrame, files: DataFrame) -> DataFrame:
@@ -73,7 +126,7 @@ def file_scores(issues: DataFrame, files: DataFrame) -> DataFrame:
     asked = issues.select("id", F.explode(F.array_distinct(T.code_tokens(F.col("text")))).alias("token"))
     lexical = tokens.join(broadcast_if_small(asked), "token").groupBy("id", "path").agg(F.sum(F.log1p("tf")).alias("score"))
     named = issues.select("id", F.explode(T.code_paths(F.col("text"))).alias("suffix"))
-    explicit = files.select("path").join(broadcast_if_small(named), F.endswith("path", F.col("suffix"))).groupBy("id", "path").agg(F.lit(10_000.0).alias("score"))
+    explicit = matching_paths(files.select("path"), named).select("id", "path", F.lit(10_000.0).alias("score"))
     spoken = issues.select("id", F.explode(T.code_symbols(F.col("text"))).alias("name"))
     by_name = symbols(files).select("path", F.element_at(F.split("symbol", r"\."), -1).alias("name")).distinct().join(broadcast_if_small(spoken), "name")
     strong = by_name.groupBy("id", "path").agg((F.count("*") * 900.0).alias("score"))
