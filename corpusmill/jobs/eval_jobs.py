@@ -152,9 +152,15 @@ def context_trim(spark, sf_dir):
     return sampling.trimmed(docs, "source", "n", 20_000)
 
 
+def weighted_draws(spark, sf_dir):
+    """5000 draws of orders with replacement, in proportion to their whole amounts."""
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_totalprice")
+    return sampling.drawn_with_replacement(orders, "o_orderkey", F.floor("o_totalprice"), 5000, "seed").select("draw", "o_orderkey")
+
+
 QUERIES = {f.__name__: f for f in (
     percentile_latency, mode_category_rollup, rate_metrics, gates, best_config, json_parse_lenient, token_economics, session_fold, turn_plans, topic_switches,
-    recall_mrr, poison_anti_join, leak_check, resume_anti_join, stratified_sample, context_trim,
+    recall_mrr, poison_anti_join, leak_check, resume_anti_join, stratified_sample, context_trim, weighted_draws,
 )}
 
 _WORDS = "len(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> ''))"
@@ -175,6 +181,10 @@ pk AS (SELECT *, CASE WHEN regexp_matches(lower(text), '\\bref_[0-9a-f]{{10}}\\b
   WHEN before IS NOT NULL AND regexp_matches(lower(text), '\\b(and|also|too|its|their|that|those|same|previous|about it|what about)\\b') THEN 'follow_up' ELSE 'semantic' END AS kind FROM pl)"""
 
 ORACLES = {
+    "weighted_draws": """
+        WITH w AS (SELECT o_orderkey, floor(o_totalprice)::BIGINT AS w FROM orders WHERE floor(o_totalprice) > 0), e AS (SELECT o_orderkey, w, (sum(w) OVER (ORDER BY o_orderkey))::BIGINT AS stop FROM w),
+        d AS (SELECT range AS draw, ('0x' || substr(sha256('seed|' || range), 1, 15))::BIGINT % (SELECT sum(w)::BIGINT FROM w) AS lot FROM range(5000))
+        SELECT draw, o_orderkey FROM d JOIN e ON lot >= stop - w AND lot < stop""",
     "turn_plans": f"""WITH {_PLANNED} SELECT kind, count(*) AS n, sum(length(CASE WHEN kind = 'follow_up' THEN concat_ws(' ', array_to_string(list_transform(before, lambda x: 'Project ' || x), ' '), text) ELSE text END))::BIGINT AS chars FROM pk GROUP BY ALL""",
     "session_fold": f"""WITH {_PLANNED}, r AS (SELECT conv_id, string_agg(role, ',' ORDER BY first) AS roles FROM (SELECT conv_id, role, min(turn) AS first FROM conversations GROUP BY ALL) GROUP BY ALL)
         SELECT conv_id, count(*) AS turn_count, sum({_WORDS})::BIGINT AS words, any_value(roles) AS roles, coalesce(array_to_string(list_sort(arg_max(active, turn)), '|'), '') AS active FROM pk JOIN r USING (conv_id) GROUP BY conv_id""",

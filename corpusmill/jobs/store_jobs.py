@@ -48,7 +48,7 @@ def _store(spark, sf_dir):
     """Facts under last names, the names, and every project that a text names."""
     rows = evidence(spark, sf_dir).unionByName(memos(spark, sf_dir))
     names = fact_store.final_names(facts.renames(rows))
-    found = fact_store.renamed(fact_store.extract(rows, _people(spark, sf_dir), DEPARTMENTS, LOCATIONS), names)
+    found = written(fact_store.renamed(fact_store.extract(rows, _people(spark, sf_dir), DEPARTMENTS, LOCATIONS), names), "facts")
     return found, names, rows.select(F.explode(T.matches(F.col("text"), facts.NAME, 1)).alias("entity")).distinct()
 
 

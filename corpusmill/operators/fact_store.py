@@ -1,14 +1,15 @@
 """A store of facts of five fields, with names followed through renames, and what is
 checked against it: packs of active and suppressed facts, and the claims of answers.
 
-All facts of a block are found inside its row, lines first and then, for a clean file's
-block about one project, what no line gave from the whole text; rows meet others only for
-their file's date and their entity's last name. People, departments and locations are
+Facts are found line by line; for a clean file's block about one project, fields that no
+line gave are looked for in the whole text. People, departments and locations are
 dimensions given as lists of names.
 """
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -40,68 +41,69 @@ def final_names(renames: DataFrame) -> DataFrame:
     return rows.join(broadcast_if_small(circles), "new", "left").select("old", F.coalesce("_circle", "new").alias("new")).where("old <> new")
 
 
+def _any_of(names: list[str]) -> str:
+    """A pattern of any of ``names``, the longest first."""
+    return "|".join(re.escape(n) for n in sorted(names, key=lambda n: (-len(n), n)))
+
+
 def _person(text: Column, people: People, aliases: bool = True) -> Column:
-    """The first of ``people`` whose name (or alias) a text has, any case."""
+    """The first of ``people`` whose name (or alias) a text has, any case. One pattern of all
+    names says whether there is any."""
     if not people:
         return F.lit(None).cast("string")
-    rows = F.array(*[F.struct(F.lit(n).alias("name"), F.array(*[F.lit(x.lower()) for x in (n, *(a if aliases else []))]).alias("keys")) for n, a in people])
+    keys = [[x.lower() for x in (n, *(a if aliases else []))] for n, a in people]
+    rows = F.array(*[F.struct(F.lit(n).alias("name"), F.array(*map(F.lit, k)).alias("keys")) for (n, _), k in zip(people, keys)])
     lowered = F.lower(text)
-    return F.get(F.filter(rows, lambda p: F.exists(p["keys"], lambda k: F.contains(lowered, k))), F.lit(0))["name"]
+    first = F.get(F.filter(rows, lambda p: F.exists(p["keys"], lambda k: F.contains(lowered, k))), F.lit(0))["name"]
+    return F.when(F.regexp_like(lowered, F.lit(_any_of([x for k in keys for x in k]))), first)
 
 
 def _word(text: Column, names: tuple[str, ...]) -> Column:
     """The first of ``names`` that stands in a text as a word, any case."""
     if not names:
         return F.lit(None).cast("string")
-    return F.get(F.filter(F.array(*map(F.lit, names)), lambda n: F.regexp_like(text, F.concat(F.lit(r"(?i)\b"), T.quoted(n), F.lit(r"\b")))), F.lit(0))
+    pattern = rf"\b(?:{_any_of([n.lower() for n in names])})\b"
+    lowered = F.lower(text)
+    said = T.matches(lowered, pattern)
+    return F.when(F.regexp_like(lowered, F.lit(pattern)), F.get(F.filter(F.array(*map(F.lit, names)), lambda n: F.array_contains(said, F.lower(n))), F.lit(0)))
+
+
+def _fact(n: int, field: str, value: Column, amount: Column, status: Column) -> Column:
+    return F.when(value.isNotNull(), F.struct(F.lit(n).alias("n"), F.lit(field).alias("field"), value.alias("value"), amount.alias("amount"), status.alias("status")))
 
 
 def extract(evidence: DataFrame, people: People, departments: tuple[str, ...], locations: tuple[str, ...]) -> DataFrame:
     """Facts (entity, field, value, amount, status, source_file, block_id, date, seq,
-    is_amendment, is_base, is_noise) of evidence (block_id, source_file, text)."""
+    is_amendment, is_base, is_noise) of evidence (block_id, source_file, text). What a
+    pattern finds has a projection of its own, so that it runs once a line."""
     dates = facts.document_dates(evidence).select(F.col("source_file").alias("_file"), "date")
     undated = F.struct(*[F.lit(-1).alias(x) for x in "ymd"])
-    path, text = F.col("source_file"), F.col("text")
-    rows = evidence.join(dates, path.eqNullSafe(F.col("_file")), "left").select(
-        "block_id", "source_file", "text", F.coalesce("date", undated).alias("date"), T.is_noise_path(path).alias("noise"), F.array_distinct(T.matches(text, facts.NAME, 1)).alias("of_block"),
-    )
-
-    def told(line: Column, i: Column) -> Column:
-        left, came = (_person(F.nullif(F.regexp_extract(line, facts.REASSIGNED, n), F.lit("")), people) for n in (1, 2))
-        return F.struct(
-            i.alias("i"), F.array_distinct(T.matches(line, facts.NAME, 1)).alias("names"), _person(line, people).alias("owner"), left.alias("left"), came.alias("came"), T.budget_string(line).alias("budget"),
-            T.found(line, DAY).alias("deadline"), _word(line, departments).alias("department"), _word(line, locations).alias("location"), T.line_status(line).alias("status"),
-        )
-
-    lines = F.filter(F.transform(F.filter(F.transform(F.split("text", "\n"), lambda x, i: F.struct(x.alias("x"), i.alias("i"))), lambda s: ~T.is_header_line(s["x"])), lambda s: told(s["x"], s["i"])), lambda s: s["i"] >= 0)
-    rows = rows.withColumn("lines", lines)
-    nothing = F.lit(None).cast("bigint")
-    of = lambda n, field, value, amount, status: F.struct(F.lit(n).alias("n"), F.lit(field).alias("field"), value.alias("value"), amount.alias("amount"), status.alias("status"))
-    active = F.lit("active")
-
-    def of_line(s: Column) -> Column:
-        amount = T.normalized_budget(s["budget"])
-        found = F.array(
-            of(0, "owner", s["owner"], nothing, F.when(F.coalesce(s["left"] == s["owner"], F.lit(False)), "obsolete").otherwise(s["status"])), of(1, "owner", s["came"], nothing, active),
-            of(2, "budget", F.when(amount.isNotNull(), s["budget"]), amount, s["status"]), of(3, "deadline", s["deadline"], nothing, s["status"]),
-            of(4, "department", s["department"], nothing, s["status"]), of(5, "location", s["location"], nothing, s["status"]),
-        )
-        targets = F.when(F.size(s["names"]) > 0, s["names"]).when(~F.col("noise"), F.col("of_block")).otherwise(F.array().cast("array<string>"))
-        return F.struct(s["i"].alias("i"), targets.alias("targets"), F.filter(found, lambda f: f["value"].isNotNull()).alias("found"))
-
-    whole, number = T.budget_string(text), T.normalized_budget(T.budget_string(text))
-    lacks = lambda *names: ~F.exists("lines", lambda s: F.coalesce(*[s[n] for n in names]).isNotNull())
-    no_budget = ~F.exists("lines", lambda s: T.normalized_budget(s["budget"]).isNotNull())
-    fallback = F.filter(F.array(
-        of(0, "owner", F.when(lacks("owner", "came"), _person(text, people, aliases=False)), nothing, active), of(2, "budget", F.when(no_budget & number.isNotNull(), whole), number, active),
-        of(3, "deadline", F.when(lacks("deadline"), T.found(text, DAY)), nothing, active),
-    ), lambda f: f["value"].isNotNull())
-    alone = ~F.col("noise") & (F.size("of_block") == 1)
-    last = F.array(F.struct(F.lit(1_000_000_000).alias("i"), F.col("of_block").alias("targets"), F.when(alone, fallback).otherwise(F.filter(fallback, lambda f: F.lit(False))).alias("found")))
-    each = rows.withColumn("each", F.concat(F.transform("lines", of_line), last)).select("block_id", "source_file", "date", F.inline("each"))
-    each = each.select("block_id", "source_file", "date", "i", F.explode("targets").alias("entity"), "found").select("block_id", "source_file", "date", "i", "entity", F.explode("found").alias("f"))
-    return each.select(
-        "entity", "f.field", "f.value", "f.amount", "f.status", "source_file", "block_id", "date", (F.col("i").cast("long") * 6 + F.col("f.n")).alias("seq"),
+    path, text, line, nothing, active = F.col("source_file"), F.col("text"), F.col("line"), F.lit(None).cast("bigint"), F.lit("active")
+    rows = evidence.select("block_id", "source_file", "text", T.is_noise_path(path).alias("noise"), F.array_distinct(T.matches(text, facts.NAME, 1)).alias("of_block"))
+
+    lines = rows.select("*", F.posexplode(F.split("text", "\n")).alias("i", "line")).drop("text").where(~T.is_header_line(line))
+    lines = lines.withColumn("names", F.array_distinct(T.matches(line, facts.NAME, 1)))
+    lines = lines.withColumn("targets", F.when(F.size("names") > 0, F.col("names")).when(~F.col("noise"), F.col("of_block"))).where(F.size("targets") > 0)
+    moved = F.contains(F.lower(line), F.lit("reassigned"))
+    left, came = (F.when(moved, _person(F.regexp_extract("line", facts.REASSIGNED, n), people)) for n in (1, 2))
+    found = {"owner": _person(line, people), "left": left, "came": came, "budget": T.budget_string(line), "deadline": T.found(line, DAY), "department": _word(line, departments), "location": _word(line, locations), "status": T.line_status(line)}
+    lines = lines.withColumns(found).withColumn("amount", T.normalized_budget(F.col("budget")))
+    owner, status, amount = F.col("owner"), F.col("status"), F.col("amount")
+    of_line = F.array_compact(F.array(
+        _fact(0, "owner", owner, nothing, F.when(F.coalesce(F.col("left") == owner, F.lit(False)), "obsolete").otherwise(status)), _fact(1, "owner", F.col("came"), nothing, active),
+        _fact(2, "budget", F.when(amount.isNotNull(), F.col("budget")), amount, status), *[_fact(n, f, F.col(f), nothing, status) for n, f in ((3, "deadline"), (4, "department"), (5, "location"))],
+    ))
+    told = lines.select("block_id", "source_file", "i", "targets", F.explode(of_line).alias("f")).select("block_id", "source_file", "i", F.explode("targets").alias("entity"), "f.*")
+    told = written(told, "told")  # read twice
+
+    alone = rows.where(~F.col("noise") & (F.size("of_block") == 1)).withColumns({"owner": _person(text, people, aliases=False), "budget": T.budget_string(text), "deadline": T.found(text, DAY)})
+    alone = alone.withColumn("amount", T.normalized_budget(F.col("budget")))
+    of_text = F.array_compact(F.array(_fact(0, "owner", owner, nothing, active), _fact(2, "budget", F.when(amount.isNotNull(), F.col("budget")), amount, active), _fact(3, "deadline", F.col("deadline"), nothing, active)))
+    whole = alone.select("block_id", "source_file", F.lit(1_000_000_000).alias("i"), F.col("of_block")[0].alias("entity"), F.explode(of_text).alias("f")).select("block_id", "source_file", "i", "entity", "f.*")
+    every = told.unionByName(whole.join(told.select("block_id", "field").distinct(), ["block_id", "field"], "left_anti"))
+    every = every.join(dates, path.eqNullSafe(F.col("_file")), "left")
+    return every.select(
+        "entity", "field", "value", "amount", "status", "source_file", "block_id", F.coalesce("date", undated).alias("date"), (F.col("i").cast("long") * 6 + F.col("n")).alias("seq"),
         T.is_amendment(path).alias("is_amendment"), T.is_base(path).alias("is_base"), T.is_noise_path(path).alias("is_noise"),
     )
 

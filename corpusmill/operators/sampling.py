@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from corpusmill.functions.plans import broadcast_if_small, top_k
+from corpusmill.functions.plans import broadcast_if_small, top_k, written
 
 
 def hash_order(key: str, seed: int) -> F.Column:
@@ -49,3 +49,27 @@ def trimmed(rows: DataFrame, by: str, size: str, budget: int) -> DataFrame:
     fit = F.when(F.col("_before") > budget, F.lit(0)).when(F.col("_size") == 0, F.col("_count")).otherwise(F.least(F.col("_count"), F.floor(room / F.col("_size"))))
     sums = of_size.withColumn("_before", before).withColumn("_fit", fit.cast("long"))
     return sums.groupBy(by).agg(F.greatest(F.lit(1), F.sum("_fit")).alias("kept"), F.sum("_count").alias("n"))
+
+
+def drawn_with_replacement(rows: DataFrame, key: str, weight: Column, n: int, seed: str) -> DataFrame:
+    """(draw, and the columns of ``rows``): ``n`` draws, each of a row in proportion to its
+    whole-number ``weight``, a row as often as it is drawn. Rows in the order of ``key`` (unique)
+    own ranges of the weights' prefix sums, which are sums over partitions before and rows
+    inside; a draw is a hash of seed and number modulo the total. Draws meet rows by bins
+    of the sums, so the result doesn't depend on partitions. Rows of no weight are never drawn."""
+    heavy = rows.withColumn("_w", F.coalesce(weight.cast("long"), F.lit(0))).where("_w > 0")
+    dealt = heavy.repartitionByRange(key).sortWithinPartitions(key).withColumn("_part", F.spark_partition_id())
+    dealt = written(dealt, "weighted")
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = dealt.groupBy("_part").agg(F.sum("_w").alias("_sum")).select("_part", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_before"))  # a row a partition
+    inside = F.sum("_w").over(Window.partitionBy("_part").orderBy(key))
+    ends = dealt.withColumn("_end", inside).join(F.broadcast(parts), "_part").withColumn("_end", F.col("_end") + F.col("_before"))
+    total = dealt.agg(F.sum("_w")).first()[0]
+    if not total or n < 1:
+        return rows.select(F.lit(0).cast("long").alias("draw"), "*").limit(0)
+    size = max(1, total // max(1, min(dealt.count(), 10_000_000)))
+    lot = F.pmod(F.conv(F.substring(F.sha2(F.concat_ws("|", F.lit(seed), F.col("id").cast("string")), 256), 1, 15), 16, 10).cast("long"), F.lit(total))
+    draws = rows.sparkSession.range(n).select(F.col("id").alias("draw"), lot.alias("_lot")).withColumn("_bin", F.floor(F.col("_lot") / size))
+    spread = ends.withColumn("_bin", F.explode(F.sequence(F.floor((F.col("_end") - F.col("_w")) / size), F.floor((F.col("_end") - 1) / size))))
+    met = draws.join(spread, "_bin").where((F.col("_lot") < F.col("_end")) & (F.col("_lot") >= F.col("_end") - F.col("_w")))
+    return met.select("draw", *rows.columns)
