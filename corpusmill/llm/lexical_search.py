@@ -196,6 +196,8 @@ def search(docs: DataFrame, items: DataFrame, k: int = K, round_bytes: int = ROU
     for n in range(rounds):
         part = asked.where(F.pmod(F.xxhash64("item_id"), F.lit(rounds)) == n)
         wanted = Wanted([tuple(r) for r in part.select("item_id", "term", "repeats").collect()])
+        if not wanted.terms:
+            continue
         sent = spark.sparkContext.broadcast(wanted)
         df = {r.key: r.n for r in counts(docs, sent).collect()}
         n_docs, n_terms = df.get(COUNTED, 0), df.get(SUMMED, 0)
