@@ -17,7 +17,8 @@ entry's distance to a query is computed only if the stored distances leave it a
 Queries come in rounds of bounded size by broadcast variable; the queries of a block go
 through a tree together, each pruned by its own bound. A round's bounds start from the
 k-th best score in a sample, which can't be better than the final one, and a task takes
-its own over from tree to tree. Scores are exact integers; bounds are in floating point,
+its own over from tree to tree; in a tree, the leaf that the nearest routing vectors lead
+to may raise them first. Scores are exact integers; bounds are in floating point,
 with a slack above its errors.
 
 Cases: vectors that are null or hold null or non-finite components (or of 1e150 and more,
@@ -156,6 +157,7 @@ class Tree:
 
     def search(self, block: Block) -> None:
         """Adds to each query's best what the tree has; rows below its bar may be left out."""
+        self._near_leaf(block)
         far = self._far(block, np.arange(len(block.ids)))
         #: least distance of all, place, page, queries, their distances to its routing vector, their least ones
         heap = [(0.0, 0, len(self.pages) - 1, np.arange(len(block.ids)), None, np.zeros(len(block.ids)))]
@@ -176,13 +178,32 @@ class Tree:
                 self._leaf(block, which, entries)
                 far[which] = self._far(block, which)
                 continue
-            away = np.sqrt(np.maximum(block.squares[which, None] + self.longest - 2 * (block.queries[which] @ self.vectors[entries].T), 0))
+            away = self._away(block, which, entries)
             nearest = np.maximum(away - page["radii"][some], 0)
             chance &= nearest <= far[which, None]
             for j in np.flatnonzero(chance.any(axis=0)):
                 on, pushed = chance[:, j], pushed + 1
                 heapq.heappush(heap, (float(nearest[on, j].min()), pushed, int(page["children"][some[j]]), which[on], away[on, j], nearest[on, j]))
 
+    def _away(self, block: Block, which: np.ndarray, entries: np.ndarray) -> np.ndarray:
+        return np.sqrt(np.maximum(block.squares[which, None] + self.longest - 2 * (block.queries[which] @ self.vectors[entries].T), 0))
+
+    def _near_leaf(self, block: Block) -> None:
+        """Raises each query's bar to the k-th best score of the leaf that the nearest
+        routing vectors lead to."""
+        todo = [(len(self.pages) - 1, np.arange(len(block.ids)))]
+        while todo:
+            number, which = todo.pop()
+            entries, children = self.pages[number]["entries"], self.pages[number]["children"]
+            self.computed += len(which) * len(entries)
+            if children[0] >= 0:
+                nearest = self._away(block, which, entries).argmin(axis=1)
+                todo += [(int(children[c]), which[nearest == c]) for c in np.unique(nearest)]
+            elif len(entries) >= block.k:
+                scores = exact(block.queries[which], self.vectors[entries])
+                scores[(self.counts[entries] == 1) & (self.ids[self.first[entries]] == block.ids[which, None])] = LEAST_SCORE
+                block.bars[which] = np.maximum(block.bars[which], np.partition(scores, -block.k, axis=1)[:, -block.k])
+
     def _far(self, block: Block, which: np.ndarray) -> np.ndarray:
         """The distance of each query's bar, with the slack."""
         bars, squares = block.bars[which], block.squares[which]
