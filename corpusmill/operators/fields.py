@@ -24,7 +24,9 @@ FIELD_PATTERNS = {
     "department": (r"Department:\s*([A-Za-z]+)", r"Lead Unit:\s*([A-Za-z]+)", r"overseen by the\s*([A-Za-z]+)\s+unit"),
     "location": (r"Location:\s*([A-Za-z]+)", r"based in\s*([A-Za-z]+)"),
 }
+# The departments, a committee that isn't one, and what makes it one.
 DEPARTMENTS = ("Engineering", "Finance", "HR", "Legal", "Marketing", "Operations", "Sales")
+COMMITTEE, ITS_DEPARTMENT = "finance committee", ("department: finance", "lead unit: finance")
 
 
 def _first_named(text: Column, names: tuple[str, ...], of_text) -> Column:
@@ -46,7 +48,7 @@ def field_value(text: Column, field: str, names: tuple[str, ...] = ()) -> Column
     told = [F.regexp_extract(flat, f"(?i){p}", 1) for p in patterns]
     word = lambda t, n: F.regexp_like(t, F.concat(F.lit(r"(?i)\b"), T.quoted(n), F.lit(r"\b")))
     if field == "department":  # the committee isn't the department
-        only_committee = F.contains(lowered, F.lit("finance committee")) & ~T.contains_any(lowered, ("department: finance", "lead unit: finance"))
+        only_committee = F.contains(lowered, F.lit(COMMITTEE)) & ~T.contains_any(lowered, ITS_DEPARTMENT)
         stands = lambda t, n: word(t, n) & ~((F.lower(n) == "finance") & only_committee)
     else:
         stands = word
