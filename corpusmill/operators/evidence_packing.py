@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from corpusmill.functions import text as T
-from corpusmill.functions.plans import broadcast_if_small
+from corpusmill.functions.plans import broadcast_if_small, written
 
 BUDGET, SENTENCES, PER_DOC, RRF_K = 512, 10, 4, 60.0
 POINTING = ("this", "these", "they", "it", "such")
@@ -113,6 +113,7 @@ def needs_context(text: Column) -> Column:
 def expanded(rows: DataFrame, sentences: DataFrame, budget: int = BUDGET) -> DataFrame:
     """(qid, total, ids): packed ids with neighbours of sentences that need context, added
     in packed order while they fit."""
+    rows = written(rows, "packed")  # a row a question, read twice
     taken = rows.select("qid", "total", F.posexplode("taken").alias("at", "t")).select("qid", "total", "at", F.col("t.id").alias("id"), F.col("t.text").alias("text"))
     packed_docs = rows.select(F.explode("taken.doc").alias("doc")).distinct()
     own = sentences.join(broadcast_if_small(packed_docs), "doc", "left_semi")
