@@ -57,6 +57,8 @@ EPOCHS, PLAN_ROWS = 64, 100_000
 MAX_NODES = 20_000
 #: Steps of the search, from the last, whose sums stay in memory.
 KEPT_SUMS = 32
+# Patterns that a dive looks at around one piece before it takes the largest that fit.
+LOOKS = 50
 PIECE_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -399,8 +401,66 @@ def best_fit(counts: dict[int, int], capacity: int) -> list[tuple[dict[int, int]
     return plan
 
 
+def dive(counts: dict[int, int], capacity: int, loose: int, looks: int = LOOKS) -> tuple[list[tuple[dict[int, int], int]], int]:
+    """One descent without a way back: the first ``loose`` sequences take the largest
+    pieces that fit beside the largest, all others the undominated filling of least waste
+    among the first ``looks``. Returns the plan and the number of patterns looked at.
+
+    Where no whole number of pieces of the mean length fills a sequence, some sequences
+    hold one piece fewer than others; fewest are needed if those hold the largest pieces,
+    so that the smaller ones are left for fuller sequences.
+    """
+    left, plan, nodes = _Left(counts), [], 0
+    while left.lengths:
+        first, found = left.lengths[-1], None
+        if loose <= 0:
+            fillings = Fillings(left, capacity)
+            found = fillings.next(capacity, looks)
+            nodes += max(1, fillings.looked)
+        if found is None:
+            left.counts[first] -= 1
+            pattern = _greedy(left, first, capacity - first)
+            left.counts[first] += 1
+            nodes += loose > 0
+        else:
+            pattern = found[0]
+        times = _times(left, pattern)
+        if loose > 0:
+            times = min(times, loose)
+            loose -= times
+        left.change(pattern, times)
+        plan.append((pattern, times))
+    return plan, nodes
+
+
+def restarted(counts: dict[int, int], capacity: int, fewest: int, bound: int, max_nodes: int) -> tuple[list[tuple[dict[int, int], int]], int]:
+    """The best plan of dives from the top, none and then ever finer steps of ``loose``
+    around the best so far, until ``bound`` is met or the nodes are spent."""
+    tried: dict[int, int] = {}
+    best: list[tuple[dict[int, int], int]] = []
+    spent, at, step = 0, 0, max(1, fewest // 4)
+    ask = [0, step, 2 * step, 3 * step]
+    while spent < max_nodes:
+        for loose in ask:
+            if loose in tried or not 0 <= loose <= fewest or spent >= max_nodes:
+                continue
+            plan, nodes = dive(counts, capacity, loose)
+            spent += nodes
+            tried[loose] = sum(t for _, t in plan)
+            if not best or tried[loose] < sum(t for _, t in best):
+                best, at = plan, loose
+            if tried[loose] <= bound:
+                return best, spent
+        if step == 1:
+            break
+        step = max(1, step // 2)
+        ask = [at - step, at + step]
+    return best, spent
+
+
 def complete(counts: dict[int, int], capacity: int = CAPACITY, max_nodes: int = MAX_NODES) -> list[tuple[dict[int, int], int]]:
-    """Patterns and how often each is used; every length's count is used up."""
+    """Patterns and how often each is used; every length's count is used up. Up to half of
+    the nodes go to restarts from the top, the others to one search with backtracking."""
     counts = {n: c for n, c in counts.items() if c > 0}
     if not counts:
         return []
@@ -408,6 +468,10 @@ def complete(counts: dict[int, int], capacity: int = CAPACITY, max_nodes: int =
     best = best_fit(counts, capacity)
     fewest = sum(t for _, t in best)
     left, waste, used, nodes = _Left(counts), 0, 0, 0
+    if fewest > bound:
+        plan_, nodes = restarted(counts, capacity, fewest, bound, max_nodes // 2)
+        if plan_ and sum(t for _, t in plan_) < fewest:
+            best, fewest = plan_, sum(t for _, t in plan_)
     plan: list[tuple[dict[int, int], int, int]] = []  # pattern, times, waste of each
     open_ = [Fillings(left, capacity)]
     while open_ and fewest > bound and nodes < max_nodes:

@@ -94,6 +94,22 @@ def test_bin_completion_fills_with_many_pieces():
     assert got <= 202 < 215 < sum(t for _, t in packing.best_fit(counts, 4096))
 
 
+@pytest.mark.parametrize(("n", "least", "most", "allowed"), [(5_000, 1000, 1800, 1800), (20_000, 1050, 2000, 8000)])
+def test_bin_completion_of_lengths_that_fill_no_sequence_evenly(n, least, most, allowed):
+    rnd = random.Random(7)
+    counts = collections.Counter(rnd.randint(least, most) for _ in range(n))
+    assert check_plan(counts, packing.complete(counts), 4096) <= allowed < sum(t for _, t in packing.best_fit(counts, 4096))
+
+
+def test_dives_use_every_piece_once():
+    rnd = random.Random(5)
+    counts = collections.Counter(rnd.randint(20, 60) for _ in range(300))
+    for loose in (0, 1, 40, 10_000):
+        plan, nodes = packing.dive(counts, 100, loose)
+        check_plan(counts, plan, 100)
+        assert nodes > 0
+
+
 def test_fillings_are_all_undominated_ones():
     counts = collections.Counter({9: 1, 5: 2, 4: 2, 3: 1, 2: 2, 1: 1})
     left, capacity = packing._Left(counts), 19
