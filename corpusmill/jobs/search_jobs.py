@@ -170,6 +170,14 @@ QUERIES = {f.__name__: f for f in (
     candidate_union, tier_fallback, doc_aggregation, doc_min_max,
 )}
 
+# r: BM25 of each turn for its conversation's first user turn, q0.
+CASE_BM25 = """
+w AS (SELECT conv_id AS c, turn AS id, list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda x: x <> '') AS w FROM conversations),
+s AS (SELECT c, count(*) AS n, avg(len(coalesce(w, []))) AS avgdl FROM w GROUP BY c), t AS (SELECT c, id, len(w) AS dl, unnest(w) AS term FROM w), f AS (SELECT c, id, dl, term, count(*) AS tf FROM t GROUP BY ALL),
+d AS (SELECT c, term, count(*) AS df FROM f GROUP BY ALL), q0 AS (SELECT conv_id AS c, arg_min(text, turn) AS text FROM conversations WHERE role = 'user' GROUP BY c),
+q AS (SELECT c, term, count(*) AS qtf FROM (SELECT c, unnest(list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda x: x <> '')) AS term FROM q0) GROUP BY ALL),
+r AS (SELECT c, id, round(sum(qtf * ln((n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE) + 1.0::DOUBLE) * tf * 2.5::DOUBLE / (tf + 1.5::DOUBLE * (1.0::DOUBLE - 0.75::DOUBLE + 0.75::DOUBLE * dl / avgdl))), 6) AS score FROM f JOIN q USING (c, term) JOIN d USING (c, term) JOIN s USING (c) GROUP BY ALL)
+"""
 _WEAK = ", ".join(f"'{w}'" for w in T.WEAK_TERMS)
 _TERMS = """
 docs AS (SELECT doc_id AS id, unnest(regexp_extract_all(lower(text), '[a-z0-9_]+')) AS term FROM documents),
@@ -281,12 +289,8 @@ ORACLES = {
         WITH t AS (SELECT coalesce(lang, 'none') || '/' || coalesce(source, 'none') || '/' || lpad(doc_id::VARCHAR, 10, '0') AS source_file, list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '') AS w FROM documents),
         c AS (SELECT source_file, unnest(range(0, (len(w) + 127) // 128))::INT AS chunk_index FROM t), n AS (SELECT *, row_number() OVER (ORDER BY source_file, chunk_index) - 1 AS number FROM c)
         SELECT *, 'block_' || CASE WHEN number < 1000 THEN lpad(number::VARCHAR, 4, '0') ELSE number::VARCHAR END AS block_id FROM n""",
-    "bm25_case_topn": """
-        WITH w AS (SELECT conv_id AS c, turn AS id, list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda x: x <> '') AS w FROM conversations),
-        s AS (SELECT c, count(*) AS n, avg(len(coalesce(w, []))) AS avgdl FROM w GROUP BY c), t AS (SELECT c, id, len(w) AS dl, unnest(w) AS term FROM w), f AS (SELECT c, id, dl, term, count(*) AS tf FROM t GROUP BY ALL),
-        d AS (SELECT c, term, count(*) AS df FROM f GROUP BY ALL), q0 AS (SELECT conv_id AS c, arg_min(text, turn) AS text FROM conversations WHERE role = 'user' GROUP BY c),
-        q AS (SELECT c, term, count(*) AS qtf FROM (SELECT c, unnest(list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda x: x <> '')) AS term FROM q0) GROUP BY ALL),
-        r AS (SELECT c, id, round(sum(qtf * ln((n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE) + 1.0::DOUBLE) * tf * 2.5::DOUBLE / (tf + 1.5::DOUBLE * (1.0::DOUBLE - 0.75::DOUBLE + 0.75::DOUBLE * dl / avgdl))), 6) AS score FROM f JOIN q USING (c, term) JOIN d USING (c, term) JOIN s USING (c) GROUP BY ALL)
+    "bm25_case_topn": f"""
+        WITH {CASE_BM25}
         SELECT c AS conv_id, rank, id AS turn, score FROM (SELECT *, row_number() OVER (PARTITION BY c ORDER BY score DESC, id)::INT AS rank FROM r) WHERE rank <= 3""",
     "tier_fallback": f"""
         WITH {_TERMS}, st AS (SELECT * FROM q WHERE length(term) >= 5 AND term NOT IN ({_WEAK})),
