@@ -35,7 +35,10 @@ from pyspark.sql import functions as F
 
 from corpusmill.llm.common import table
 
-TAG = re.compile(r"<(?:!--|(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|[!?/][^>]*>)")
+TAG = re.compile(r"<(?:(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|[!?/][^>]*>)")
+#: The same without regard to quotes. A tag whose quotes never close makes all tags after it
+#: end at their first >, so that no part of a page is searched for quotes again and again.
+PLAIN_TAG = re.compile(r"<(?:(/?)([a-zA-Z][^\s/>]*)([^>]*)>|[!?/][^>]*>)")
 #: The same for a tag with an unclosed quote.
 LOOSE_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)")
 ATTRIBUTE = re.compile(r"""(?:^|\s)(class|id|role|hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
@@ -44,7 +47,7 @@ WORD = re.compile(r"[a-z0-9]+")
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 HIDDEN = frozenset("script style noscript template textarea select svg math iframe object canvas audio video".split())
-CLOSING = {tag: re.compile(f"</{tag}[^>]*>", re.I) for tag in HIDDEN}
+CLOSING = {tag: re.compile(f"</{tag}", re.I) for tag in HIDDEN}
 FURNITURE_TAGS = frozenset("nav header footer aside form head menu dialog button fieldset".split())
 ARTICLE_TAGS = frozenset("article main".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
@@ -260,6 +263,7 @@ class _Page:
 
     def _read(self, source: str) -> None:
         at, size = 0, len(source)
+        last, strict = source.rfind(">"), True  # no tag closes beyond the last >
         while at < size:
             start = source.find("<", at)
             if start < 0:
@@ -267,18 +271,21 @@ class _Page:
                 return
             if start > at:
                 self._text(source[at:start])
-            m = TAG.match(source, start)
+            m = None
+            if source.startswith("<!--", start):
+                end = source.find("-->", start + 4)
+                at = size if end < 0 else end + 3
+                continue
+            if start < last:
+                m = (TAG if strict else PLAIN_TAG).match(source, start)
             if not m:
                 m = LOOSE_TAG.match(source, start)
                 if not m:
                     self._text("<")
                     at = start + 1
                     continue
+                strict = False
             at = m.end()
-            if m[0] == "<!--":
-                end = source.find("-->", at)
-                at = size if end < 0 else end + 3
-                continue
             if m[2] is None:
                 continue
             tag = m[2].lower()
@@ -288,7 +295,7 @@ class _Page:
                 self._cut()
                 if not m[3].endswith("/"):
                     close = CLOSING[tag].search(source, at)
-                    at = close.end() if close else size
+                    at = source.find(">", close.end()) + 1 if close and close.end() <= last else size
             else:
                 self._start(tag, m[3])
 

@@ -562,6 +562,28 @@ def test_html_cases(spark):
     assert html_text.with_text(rows.limit(0)).count() == 0
 
 
+HOSTILE = {
+    "declarations": ("<!", "", 150_000), "ends in a script": ("</script", "<script>", 100_000), "quotes": ('<a ">"', "", 60_000), "apostrophes": ("<p '>'", "", 60_000),
+    "comments": ("<!-", "", 150_000), "names": ("<b", "", 150_000), "instructions": ("<?x", "", 150_000), "references": ("&#x", "", 150_000), "marks": ("<p class= ", "", 60_000),
+}
+
+
+@pytest.mark.parametrize("name", sorted(HOSTILE))
+def test_hostile_pages_are_read_once(name):
+    unit, before, n = HOSTILE[name]
+    began = time.process_time()
+    html_text._Page("<p>words</p>" + before + unit * n + ("'" if name == "quotes" else '"' if name == "apostrophes" else ""))
+    assert time.process_time() - began < 10
+
+
+def test_tags_with_unclosed_quotes():
+    texts = lambda page: [b[0] for b in html_text._Page(page).blocks]
+    assert texts('<p>a</p><p title="x>y">b</p>') == ["a", "b"]
+    assert texts("<p>a</p><p title='>b</p><p>c</p>") == ["a", "b", "c"]
+    assert texts("<p>a<script>x</script") == ["a"] and texts("<p>a<script>x</script >b") == ["a", "b"]
+    assert texts("<p>a<!-- <b> -->c<!-- d") == ["ac"] and texts("<p>a <! b") == ["a <! b"] and texts("<p>a<!x>b") == ["ab"]
+
+
 def blocks_right(without):
     tree, drop = html_text.trained(without), [html_text.FEATURES.index(x) for x in without]
     right = total = 0
