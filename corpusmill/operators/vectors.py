@@ -15,9 +15,10 @@ from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark import Broadcast
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusmill.functions.plans import broadcast_if_small, top_k
@@ -182,6 +183,17 @@ def hashed_vectors(blocks: DataFrame) -> DataFrame:
     return blocks.select("id", "text").mapInArrow(run, "id long, v array<double>")
 
 
+def hashed_cosine(one: Column, other: Column) -> Column:
+    """The cosine of the hashed bags of two texts of a row; null counts as empty."""
+
+    @F.pandas_udf("double")
+    def cosine(left: pd.Series, right: pd.Series) -> pd.Series:
+        embedder = HashingEmbedder()
+        return pd.Series(np.einsum("ij,ij->i", embedder.encode(left.tolist()), embedder.encode(right.tolist())))
+
+    return cosine(F.coalesce(one, F.lit("")), F.coalesce(other, F.lit("")))
+
+
 def hashing_top_k(blocks: DataFrame, queries: DataFrame, k: int, each: int = ROUND_QUERIES) -> DataFrame:
     """(qid, id, score, rank) by cosine of hashed bags, of ``blocks`` (id, text) for
     ``queries`` (qid, text)."""
