@@ -77,9 +77,7 @@ def attention_mass(spark, sf_dir):
     sized = _turns(spark, sf_dir).withColumn("n", words.cast("long"))
     stop = F.sum("n").over(Window.partitionBy("group").orderBy("id"))
     laid = sized.select("group", "id", (stop - F.col("n")).alias("start"), stop.alias("stop"))
-    ends = laid.groupBy("group").agg(F.max("stop").alias("all")).where("all > 0")
-    weights = ends.select("group", F.explode(F.sequence(F.lit(0).cast("long"), F.col("all") - 1)).alias("place")).withColumn("weight", 1.0 / (F.col("place") + 1))
-    return S.block_mass(laid, weights).withColumnsRenamed({"group": "conv_id", "id": "turn"})
+    return S.block_mass(laid, lambda place: 1.0 / (place + 1)).withColumnsRenamed({"group": "conv_id", "id": "turn"})
 
 
 def _orders(spark, sf_dir):

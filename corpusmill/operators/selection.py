@@ -3,6 +3,8 @@ diagnosis of misses, context with gaps, mass over blocks."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -86,15 +88,15 @@ def with_gaps(rows: DataFrame, mark: str = "[...]") -> DataFrame:
     return parts.groupBy("group").agg(joined.alias("context"), F.count_if("gap").alias("n_gaps"))
 
 
-def block_mass(blocks: DataFrame, weights: DataFrame) -> DataFrame:
+def block_mass(blocks: DataFrame, weight: Callable[[Column], Column]) -> DataFrame:
     """(group, id, mass) of blocks (group, id, start, stop: places, stop excluded): the
-    weights (group, place, weight) inside, as a share of the group's blocks'. Places are
-    joined by spelling out each block's own, so no range join is needed."""
-    places = blocks.where("stop > start").select("group", "id", F.explode(F.sequence(F.col("start"), F.col("stop") - 1)).alias("place"))
-    sums = places.join(weights, ["group", "place"], "left").groupBy("group", "id").agg(F.sum("weight").alias("sum"))
+    ``weight`` of the places inside, as a share of the group's blocks'. A block sums up its
+    own places, which are spelled out nowhere."""
+    places = F.sequence(F.col("start"), F.col("stop") - 1)
+    of_block = F.when(F.col("stop") > F.col("start"), F.aggregate(places, F.lit(0.0), lambda x, p: x + weight(p))).otherwise(0.0)
+    sums = blocks.select("group", "id", of_block.alias("sum"))
     total = F.sum("sum").over(Window.partitionBy("group"))
-    found = sums.withColumn("mass", F.when(total > 0, F.col("sum") / total).otherwise(0.0)).select("group", "id", "mass")
-    return blocks.select("group", "id").join(found, ["group", "id"], "left").select("group", "id", F.round(F.coalesce("mass", F.lit(0.0)), 9).alias("mass"))
+    return sums.select("group", "id", F.round(F.when(total > 0, F.col("sum") / total).otherwise(0.0), 9).alias("mass"))
 
 
 def paired(records: DataFrame, one: str, other: str) -> DataFrame:

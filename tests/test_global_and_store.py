@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from corpusmill.operators import code, fact_store, facts, fusion, global_order, retrieval, sampling, strategies, vectors
+from corpusmill.operators import code, fact_store, facts, fusion, global_order, retrieval, sampling, selection, strategies, vectors
 from corpusmill.sources import tables
 
 
@@ -127,6 +127,24 @@ def test_claims(spark):
     assert (got[3].entity, got[3].score, got[3].passed) == (1, 4, False) and (got[4].n_claims, got[4].score) == (0, 4)
 
 
+def test_dollars_are_no_year(spark):
+    store = spark.createDataFrame([("A", "budget", "$1,995", 1995, "active"), ("A", "deadline", "3 May 1995", None, "active")], "entity string, field string, value string, amount long, status string")
+    packs = fact_store.pack(store, spark.createDataFrame([(1, "Project A"), (2, "Project A"), (3, "Project A")], "pack_id long, target string"), spark.createDataFrame([], "old string, new string"))
+    claims = spark.createDataFrame([(1, 1, "Project A has $1,995 until 3 May 1995."), (2, 1, "Project A has $1,996 until 3 May 1996."), (3, 1, "Project A has 1,996 until 3 May 1996.")], "pack_id long, claim_id long, text string")
+    said = spark.createDataFrame([(i, "fine", ["fine"]) for i in (1, 2, 3)], "pack_id long, conclusion string, allowed array<string>")
+    got = {r.pack_id: r.numeric for r in fact_store.verified(claims, packs, said, spark.createDataFrame([], "old string, new string"), PEOPLE, ("HR",)).collect()}
+    assert got == {1: 0, 2: 2, 3: 1}
+
+
+def test_mass_of_blocks_spells_out_no_places(spark):
+    blocks = spark.createDataFrame([(1, 1, 0, 2), (1, 2, 2, 2), (1, 3, 2, 4), (2, 1, 0, 0), (None, 1, 0, 3)], "group long, id long, start long, stop long")
+    mass = selection.block_mass(blocks, lambda place: 1.0 / (place + 1))
+    all_of = 1 + 1 / 2 + 1 / 3 + 1 / 4
+    assert {(r.group, r.id): r.mass for r in mass.collect()} == {(1, 1): round(1.5 / all_of, 9), (1, 2): 0.0, (1, 3): round((1 / 3 + 1 / 4) / all_of, 9), (2, 1): 0.0, (None, 1): 1.0}
+    plan = mass._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan and "Join" not in plan
+
+
 def test_draws_with_replacement(spark):
     made = [(i, i % 4 * 10) for i in range(60)] + [(100, 5000), (101, None)]
     df = spark.createDataFrame(made, "k long, w long")
