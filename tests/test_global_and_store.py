@@ -2,6 +2,7 @@
 small fixtures."""
 
 import math
+import os
 import random
 
 import numpy as np
@@ -153,3 +154,11 @@ def test_draws_with_replacement(spark):
     assert [d for d, _ in got] == list(range(2000)) and got == draw(2000, df.repartition(7))
     assert all(dict(made)[k] for _, k in got) and 0.8 < sum(k == 100 for _, k in got) / 2000 / (5000 / 5900) < 1.2
     assert draw(5, df.where("w = 0")) == draw(0, df) == []
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test tables here")
+def test_context_recall_reads_the_gold_lines_once(spark):
+    from corpusmill.jobs import code_jobs
+
+    plan = code_jobs.context_recall(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and "MapInArrow" not in plan  # no diff is read again for a figure of its lines
