@@ -5,7 +5,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from corpusmill.functions.plans import written
 from corpusmill.operators import code
 
 
@@ -46,7 +45,7 @@ def patch_symbols(spark, sf_dir):
 def context_recall(spark, sf_dir):
     """What snippets hold of each patch: one per line of the order, every second in the next
     part's file."""
-    gold = written(code.changed_symbols(code.changed_lines(_patches(spark, sf_dir)), _symbols(spark, sf_dir)), "gold")  # read twice
+    gold = code.changed_symbols(code.changed_lines(_patches(spark, sf_dir)), _symbols(spark, sf_dir), repeated=False)  # the metrics count a line once
     odd = F.col("l_linenumber") % 2
     chosen = _hunks(spark, sf_dir).select(F.col("l_orderkey").alias("id"), F.col("l_linenumber").alias("rank"), _file(F.col("l_partkey") + odd).alias("file"), F.col("start").alias("first"), (F.col("start") + F.col("l_linenumber") % 4).cast("int").alias("last"), F.col("q").alias("n_tokens"))
     return code.context_metrics(chosen, gold).withColumnRenamed("id", "o_orderkey")

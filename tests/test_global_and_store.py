@@ -75,6 +75,26 @@ def test_context_metrics_and_paths(spark):
     assert rows(code.matching_paths(files, named)) == [(1, "m.py"), (1, "src/pkg/m.py"), (2, "m.py"), (2, "src/pkg/m.py"), (4, "m.py"), (4, "src/pkg/m.py")]
 
 
+def test_context_metrics_deal_out_by_issue_once(spark):
+    """Overlapping, nested and reversed snippets, repeated lines, lines and snippets of no
+    file; against counting line by line."""
+    rnd = np.random.default_rng(1)
+    gold = [(int(i), [None, "a", "b"][f], int(n), f"s{n % 5}") for i, f, n in zip(rnd.integers(0, 6, 300), rnd.integers(0, 3, 300), rnd.integers(1, 200, 300))]
+    chosen = [(int(i), r, [None, "a", "b"][f], int(n), int(n + m), 1) for r, (i, f, n, m) in enumerate(zip(rnd.integers(0, 7, 40), rnd.integers(0, 3, 40), rnd.integers(1, 190, 40), rnd.integers(-3, 40, 40)), 1)]
+    df = code.context_metrics(spark.createDataFrame(chosen, "id int, rank int, file string, first int, last int, n_tokens int"), spark.createDataFrame(gold + gold[:50], "id int, file string, line int, symbol string"), (1, 9))
+    got = {r.id: r for r in df.collect()}
+    assert set(got) == {c[0] for c in chosen}
+    for i, r in got.items():
+        lines, own = {g[1:3] for g in gold if g[0] == i}, [c for c in chosen if c[0] == i]
+        covered = {(f, n) for f, n in lines if f and any(c[2] == f and c[3] <= n <= max(c[3], c[4]) for c in own)}
+        assert r.line_coverage == (round(100 * len(covered) / len(lines), 6) if lines else 100.0)
+        symbols = {(g[1], g[3]) for g in gold if g[0] == i}
+        hit = [s for s in symbols if s[0] and any(c[2] == s[0] and c[1] <= 9 for c in own)]
+        assert r.symbol_recall_9 == (round(100 * len(hit) / len(symbols), 6) if symbols else 100.0)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert plan.split("Initial Plan")[-1].count("Exchange ") == 1
+
+
 def test_strategy_names():
     assert len(strategies.STRATEGIES) == 11
     with pytest.raises(ValueError):
