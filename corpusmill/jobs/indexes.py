@@ -32,8 +32,10 @@ def marked_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: By kind: the blocks, the tables they come from, the analyzers that queries ask for, and whether vectors and entities are written.
+#: A query asks for one analyzer: the other one's postings aren't written for it.
 SOURCES = {
-    "documents": (documents, ("documents",), ("tokens", "words"), False),
+    "documents": (documents, ("documents",), ("tokens",), False),
+    "document_words": (documents, ("documents",), ("words",), False),
     "sentences": (sentence_rows, ("documents",), ("words",), False),
     "evidence": (marked_evidence, ("orders", "customer", "nation"), ("tokens",), True),
 }

@@ -26,10 +26,10 @@ def doc_of(sentence_id):
 
 
 def index_manifest(spark, sf_dir):
-    """Figures of the written index of documents; writes it where there is none."""
+    """Figures of the written indexes of documents; writes them where there are none."""
     index = index_of(spark, sf_dir, "documents")
     n_terms = index.terms().agg(F.count("*").alias("n_terms"), F.sum("df").alias("n_postings"))
-    return n_terms.select(F.lit(index.n_blocks).alias("n_blocks"), F.lit(index.manifest["n_tokens"]).alias("n_tokens"), F.lit(index.manifest["n_words"]).alias("n_words"), "n_terms", "n_postings")
+    return n_terms.select(F.lit(index.n_blocks).alias("n_blocks"), F.lit(index.manifest["n_tokens"]).alias("n_tokens"), F.lit(index_of(spark, sf_dir, "document_words").manifest["n_words"]).alias("n_words"), "n_terms", "n_postings")
 
 
 def postings_topk(spark, sf_dir):
@@ -54,7 +54,7 @@ def doc_length_stats(spark, sf_dir):
 
 
 def bm25_topk(spark, sf_dir):
-    found = retrieval.best(L.bm25_scores(index_of(spark, sf_dir, "documents"), questions(spark, sf_dir)), TOP)
+    found = retrieval.best(L.bm25_scores(index_of(spark, sf_dir, "document_words"), questions(spark, sf_dir)), TOP)
     return found.select(F.col("qid").alias("item_id"), "rank", F.col("id").alias("doc_id"), "score")
 
 
@@ -77,7 +77,7 @@ def cosine_topk(spark, sf_dir):
 
 def _lists(spark, sf_dir, n=40):
     docs, asked = blocks(spark, sf_dir), questions(spark, sf_dir)
-    lexical = retrieval.best(L.bm25_scores(index_of(spark, sf_dir, "documents"), asked), n)
+    lexical = retrieval.best(L.bm25_scores(index_of(spark, sf_dir, "document_words"), asked), n)
     return lexical, vectors.hashing_top_k(docs, asked, n)
 
 
@@ -96,7 +96,7 @@ def rrf_weighted(spark, sf_dir):
 
 def rrf_full_topk(spark, sf_dir):
     """The ten best by reciprocal ranks over all blocks, in both orders of all of them."""
-    index, asked = index_of(spark, sf_dir, "documents"), questions(spark, sf_dir)
+    index, asked = index_of(spark, sf_dir, "document_words"), questions(spark, sf_dir)
     rows = fusion.full_reciprocal_ranks(vectors.hashed_scores(index.blocks(), asked), L.bm25_scores(index, asked))
     return retrieval.best(rows, TOP).select(F.col("qid").alias("item_id"), "rank", F.col("id").alias("doc_id"), "dense_rank", "lexical_rank", "score")
 

@@ -52,7 +52,7 @@ def pruned_sufficiency(spark, sf_dir):
 
 
 def bm25_okapi_topk(spark, sf_dir):
-    scores = L.bm25_okapi_scores(index_of(spark, sf_dir, "documents"), questions(spark, sf_dir))
+    scores = L.bm25_okapi_scores(index_of(spark, sf_dir, "document_words"), questions(spark, sf_dir))
     return retrieval.best(scores, TOP).select(F.col("qid").alias("item_id"), "rank", F.col("id").alias("doc_id"), "score")
 
 

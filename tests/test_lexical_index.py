@@ -97,3 +97,22 @@ def test_a_lookup_reads_few_row_groups(spark, tmp_path, monkeypatch):
     assert n == 3000 * 42 and one.count() == 1 and scanned(one.select("id")) < n / 10
     plan = L.bm25_scores(index, spark.createDataFrame([(1, f"{word} common")], "qid long, text string"), "tokens")
     assert plan.count() == 3000 and "Bucketed: true" in plan._jdf.queryExecution().toString()
+
+
+def test_postings_are_counted_in_their_block(spark, tmp_path):
+    """Counts and lengths of each block, files sorted by term and id; a query's index has one analyzer."""
+    from corpusmill.jobs import indexes
+
+    assert all(len(analyzers) == 1 for _, _, analyzers, _ in indexes.SOURCES.values())
+    texts = [(i, None if i % 50 == 9 else "" if i % 50 == 8 else " ".join(f"w{i * j % 17} É{j % 3}" for j in range(i % 40 + 1))) for i in range(1200)]
+    L.write(spark.createDataFrame(texts, "id long, text string").repartition(3), f"{tmp_path}/y", ("words",), with_entities=False)
+    index, expected = L.read(spark, f"{tmp_path}/y"), {}
+    for i, text in texts:
+        words = (text or "").lower().split()
+        expected |= {(w, i): (words.count(w), len(words)) for w in words}
+    assert {(r.term, r.id): (r.tf, r.dl) for r in index.postings("words").collect()} == expected
+    assert index.postings("words").count() == len(expected) and index.manifest["n_words"] == sum(len((t or "").split()) for _, t in texts)
+    files = index.postings("words").withColumns({"file": F.input_file_name(), "at": F.monotonically_increasing_id()}).collect()
+    for name in {r.file for r in files}:
+        own = [(r.term.encode(), r.id) for r in sorted((r for r in files if r.file == name), key=lambda r: r.at)]
+        assert own == sorted(own)
