@@ -290,3 +290,19 @@ def test_trimmed_by_sizes(spark):
     out = sampling.trimmed(spark.createDataFrame(rows, "source string, n long"), "source", "n", 20_000)
     got = {r.source: (r.kept, r.n) for r in out.collect()}
     assert got == {"a": (2, 5), "b": (1, 2), None: (1, 1), "c": (1, 1), "d": (66, 500)}
+
+
+def test_the_resolver_shuffles_no_texts(spark):
+    row = lambda i, text, names, intent="single_fact_lookup", marker=None: (1, "What is the budget?", names, intent, marker, i, text, f"contracts/{'amendment' if i % 2 else 'base'}_{i}.txt")
+    names = ["Project A.1"]
+    rows = [
+        row(1, "Project A.1 budget $5\n3 May 2001", names), row(3, "project a.1 budget $7\n3 May 2002", names), row(5, "Project A.1-B budget $9", names), row(7, "Project AX1 budget", names),
+        row(9, None, names), row(9, None, names),
+    ]
+    df = spark.createDataFrame(rows, "qid long, question string, entities array<string>, intent string, marker string, block_id long, text string, source_file string")
+    from corpusmill.operators import resolve
+
+    found = resolve.resolved(df)
+    assert {r.block_id: r.state for r in found.collect()} == {1: "obsolete", 3: "active", 5: "suffix_distractor", 7: "unrelated_entity", 9: "unrelated_entity"} and found.count() == 5
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" in plan and "first(text" not in plan
