@@ -12,7 +12,7 @@ from corpusmill.jobs.search_jobs import _bm25, _DOCS, blocks, questions
 from corpusmill.jobs.sql import names_sql
 from corpusmill.operators import evaluation as E
 from corpusmill.operators import lexical_index as L
-from corpusmill.operators import retrieval, sampling, sessions
+from corpusmill.operators import sampling, sessions
 
 
 def _events(spark, sf_dir):
@@ -113,7 +113,7 @@ def _gold(spark, sf_dir, width=10, share=0.5):
 
 
 def recall_mrr(spark, sf_dir):
-    found = retrieval.best(L.bm25_scores(index_of(spark, sf_dir, "document_words"), questions(spark, sf_dir)), 50)
+    found = L.best_bm25(index_of(spark, sf_dir, "document_words"), questions(spark, sf_dir), 50)
     rows = E.recall_at(found, _gold(spark, sf_dir), (1, 10, 50))
     return rows.agg(F.count("*").alias("n"), *[E.percent(F.col(f"hit_{k}")).alias(f"recall_{k}") for k in (1, 10, 50)], F.round(F.avg("rr"), 6).alias("mrr"))
 
@@ -121,7 +121,7 @@ def recall_mrr(spark, sf_dir):
 def poison_anti_join(spark, sf_dir):
     """Without its gold documents, no question may find any: what is left per question."""
     gold = _gold(spark, sf_dir)
-    found = retrieval.best(L.bm25_scores(index_of(spark, sf_dir, "document_words"), questions(spark, sf_dir)), 10)
+    found = L.best_bm25(index_of(spark, sf_dir, "document_words"), questions(spark, sf_dir), 10)
     left = found.join(gold, ["qid", "id"], "left_anti")
     return left.groupBy(F.col("qid").alias("item_id")).agg(F.count("*").alias("n_left"), F.round(F.max("score"), 6).alias("best_left"))
 

@@ -34,12 +34,12 @@ def index_manifest(spark, sf_dir):
 
 def postings_topk(spark, sf_dir):
     terms = retrieval.query_terms(questions(spark, sf_dir))
-    return retrieval.best(L.tf_scores(index_of(spark, sf_dir, "documents"), terms), TOP).select(F.col("qid").alias("item_id"), "rank", F.col("id").alias("doc_id"), "score")
+    return L.best_tf(index_of(spark, sf_dir, "documents"), terms, TOP).select(F.col("qid").alias("item_id"), "rank", F.col("id").alias("doc_id"), "score")
 
 
 def strong_postings_topk(spark, sf_dir):
     terms = retrieval.strong_terms(retrieval.query_terms(questions(spark, sf_dir)))
-    return retrieval.best(L.tf_scores(index_of(spark, sf_dir, "documents"), terms), TOP).select(F.col("qid").alias("item_id"), "rank", F.col("id").alias("doc_id"), "score")
+    return L.best_tf(index_of(spark, sf_dir, "documents"), terms, TOP).select(F.col("qid").alias("item_id"), "rank", F.col("id").alias("doc_id"), "score")
 
 
 def term_df(spark, sf_dir):
@@ -54,12 +54,12 @@ def doc_length_stats(spark, sf_dir):
 
 
 def bm25_topk(spark, sf_dir):
-    found = retrieval.best(L.bm25_scores(index_of(spark, sf_dir, "document_words"), questions(spark, sf_dir)), TOP)
+    found = L.best_bm25(index_of(spark, sf_dir, "document_words"), questions(spark, sf_dir), TOP)
     return found.select(F.col("qid").alias("item_id"), "rank", F.col("id").alias("doc_id"), "score")
 
 
 def bm25_sentence_topn(spark, sf_dir):
-    rows = retrieval.best(L.bm25_scores(index_of(spark, sf_dir, "sentences"), questions(spark, sf_dir)), 5)
+    rows = L.best_bm25(index_of(spark, sf_dir, "sentences"), questions(spark, sf_dir), 5)
     return rows.select(F.col("qid").alias("item_id"), "rank", F.shiftright("id", 31).alias("doc_id"), F.col("id").bitwiseAND((1 << 31) - 1).alias("sent_idx"), "score")
 
 
@@ -77,7 +77,7 @@ def cosine_topk(spark, sf_dir):
 
 def _lists(spark, sf_dir, n=40):
     docs, asked = blocks(spark, sf_dir), questions(spark, sf_dir)
-    lexical = retrieval.best(L.bm25_scores(index_of(spark, sf_dir, "document_words"), asked), n)
+    lexical = L.best_bm25(index_of(spark, sf_dir, "document_words"), asked, n)
     return lexical, vectors.hashing_top_k(docs, asked, n)
 
 
@@ -123,9 +123,9 @@ def candidate_union(spark, sf_dir):
     docs, asked = blocks(spark, sf_dir), questions(spark, sf_dir)
     terms = retrieval.query_terms(asked)
     dense = vectors.hashing_top_k(docs, asked, 40)
-    index = index_of(spark, sf_dir, "documents")
-    strong = retrieval.best(L.tf_scores(index, retrieval.strong_terms(terms)), 40)
-    plain = retrieval.best(L.tf_scores(index, terms), 40)
+    lists = retrieval.strong_terms(terms).withColumn("list", F.lit("strong")).unionByName(terms.withColumn("list", F.lit("plain")))
+    found = L.best_tf(index_of(spark, sf_dir, "documents"), lists, 40, ("list", "qid"))
+    strong, plain = (found.where(F.col("list") == name).drop("list") for name in ("strong", "plain"))
     return retrieval.best(fusion.candidate_union(dense, strong, plain), TOP).select(F.col("qid").alias("item_id"), "rank", F.col("id").alias("doc_id"), "score")
 
 
@@ -146,7 +146,7 @@ def tier_fallback(spark, sf_dir):
 
 
 def _document_lists(spark, sf_dir):
-    rows = retrieval.best(L.bm25_scores(index_of(spark, sf_dir, "sentences"), questions(spark, sf_dir)), 40)
+    rows = L.best_bm25(index_of(spark, sf_dir, "sentences"), questions(spark, sf_dir), 40)
     rows = rows.withColumn("doc", doc_of(F.col("id")))
     return ranked(rows, ["qid", "doc"], [F.col("score").desc(), F.col("id")], "doc_rank")
 

@@ -38,7 +38,7 @@ def entity_first_topk(spark, sf_dir):
     own = asked.select("qid", F.explode(T.matches(F.col("text"), "[A-Z][A-Za-z0-9_]{4,}")).alias("t")).select("qid", F.lower("t").alias("term")).distinct()
     strong = retrieval.strong_terms(retrieval.query_terms(asked)).select("qid", "term")
     terms = own.unionByName(strong.join(own.select("qid").distinct(), "qid", "left_anti"))
-    return retrieval.best(L.tf_scores(index_of(spark, sf_dir, "documents"), terms), TOP).select(F.col("qid").alias("item_id"), "rank", F.col("id").alias("doc_id"), "score")
+    return L.best_tf(index_of(spark, sf_dir, "documents"), terms, TOP).select(F.col("qid").alias("item_id"), "rank", F.col("id").alias("doc_id"), "score")
 
 
 def pruned_sufficiency(spark, sf_dir):
@@ -46,14 +46,14 @@ def pruned_sufficiency(spark, sf_dir):
     they suffice for the 10 best (else all terms are searched)."""
     asked = questions(spark, sf_dir)
     own = asked.select("qid", F.explode(T.matches(F.col("text"), "[A-Z][A-Za-z0-9_]*")).alias("t")).select("qid", F.lower("t").alias("term")).distinct()
-    found = retrieval.best(L.tf_scores(index_of(spark, sf_dir, "documents"), own), 200).groupBy("qid").agg(F.count("*").alias("n"))
+    found = L.best_tf(index_of(spark, sf_dir, "documents"), own, 200).groupBy("qid").agg(F.count("*").alias("n"))
     n = F.coalesce("n", F.lit(0))
     return asked.select("qid").join(found, "qid", "left").select(F.col("qid").alias("item_id"), n.alias("n"), (n >= 10).alias("enough"))
 
 
 def bm25_okapi_topk(spark, sf_dir):
-    scores = L.bm25_okapi_scores(index_of(spark, sf_dir, "document_words"), questions(spark, sf_dir))
-    return retrieval.best(scores, TOP).select(F.col("qid").alias("item_id"), "rank", F.col("id").alias("doc_id"), "score")
+    found = L.best_bm25_okapi(index_of(spark, sf_dir, "document_words"), questions(spark, sf_dir), TOP)
+    return found.select(F.col("qid").alias("item_id"), "rank", F.col("id").alias("doc_id"), "score")
 
 
 def block_features(spark, sf_dir):

@@ -11,7 +11,6 @@ from corpusmill.jobs.search_jobs import _SENTS, doc_of, questions
 from corpusmill.jobs.sql import any_in, bounded, names_sql, quoted
 from corpusmill.operators import evidence_packing as packing
 from corpusmill.operators import lexical_index as L
-from corpusmill.operators import retrieval
 
 
 def _docs(spark, sf_dir):
@@ -72,7 +71,7 @@ def _candidates(spark, sf_dir):
     """The forty best sentences per question by BM25, ranked by BM25, by hashed cosine and
     by their document's best sentence."""
     index, asked = index_of(spark, sf_dir, "sentences"), questions(spark, sf_dir)
-    found = written(retrieval.best(L.bm25_scores(index, asked), 40).withColumn("bm25_rank", F.col("rank") - 1), "sentences")
+    found = written(L.best_bm25(index, asked, 40).withColumn("bm25_rank", F.col("rank") - 1), "sentences")
     rows = index.blocks().select("id", "doc", "text").join(broadcast_if_small(found), "id").join(broadcast_if_small(asked.withColumnRenamed("text", "question")), "qid")
     q, s = T.feature_sets(F.col("question"))["tokens"], T.feature_sets(F.col("text"))["tokens"]
     near = F.size(F.array_intersect(q, s)) / F.greatest(F.lit(1.0), F.sqrt(F.size(q) * F.size(s).cast("double")))

@@ -116,3 +116,41 @@ def test_postings_are_counted_in_their_block(spark, tmp_path):
     for name in {r.file for r in files}:
         own = [(r.term.encode(), r.id) for r in sorted((r for r in files if r.file == name), key=lambda r: r.at)]
         assert own == sorted(own)
+
+
+def most_rows(df):
+    """The most rows that any node of the executed plan gave."""
+    df.collect()
+    todo, n = [df._jdf.queryExecution().executedPlan().finalPhysicalPlan()], 0
+    while todo:
+        node = todo.pop()
+        if node.metrics().contains("numOutputRows"):
+            n = max(n, node.metrics().apply("numOutputRows").value())
+        if node.getClass().getSimpleName().endswith("QueryStageExec"):
+            todo.append(node.plan())
+        todo += [node.children().apply(i) for i in range(node.children().size())]
+    return n
+
+
+def test_the_best_blocks_are_found_without_a_row_per_block_and_query(spark, tmp_path):
+    """Ranks, ties and scores as over all pairs; questions that all hold frequent words make no more rows."""
+    texts = [(7 * i % 1009, " ".join(["common", "word", *(f"w{i * j % 23}" for j in range(i % 9))]) if i % 40 else None) for i in range(900)]
+    L.write(spark.createDataFrame(texts, "id long, text string"), f"{tmp_path}/z", with_entities=False)
+    index = L.read(spark, f"{tmp_path}/z")
+    queries = spark.createDataFrame([(q, f"common word common w{q % 23} w{q % 5} none") for q in range(60)], "qid long, text string")
+    terms = retrieval.query_terms(queries)
+    for k in (1, 12, 5000):
+        assert rows(L.best_tf(index, terms, k).select("qid", "rank", "id", "score")) == rows(retrieval.best(L.tf_scores(index, terms), k).select("qid", "rank", "id", "score"))
+    for best, scores in ((L.best_bm25, L.bm25_scores), (L.best_bm25_okapi, L.bm25_okapi_scores)):
+        assert rows(best(index, queries, 12).select("qid", "rank", "id", "score")) == rows(retrieval.best(scores(index, queries), 12).select("qid", "rank", "id", "score"))
+    two = terms.where("qid < 4").withColumn("role", F.concat(F.lit("r"), F.col("qid") % 2))
+    assert {r.role for r in L.best_tf(index, two, 3, ("role", "qid")).collect()} == {"r0", "r1"} and L.best_tf(index, terms.where("false"), 3).count() == 0
+    found = L.best_tf(index, terms, 10)
+    assert most_rows(found) <= index.postings().count() < 60 * 850 <= most_rows(retrieval.best(L.tf_scores(index, terms), 10))
+
+
+def test_many_questions_are_searched_by_joins(spark, index, monkeypatch):
+    monkeypatch.setattr(L, "BROADCAST_ROWS", 1)
+    terms = retrieval.query_terms(asked(spark))
+    assert rows(L.best_tf(index, terms, 2)) == rows(retrieval.best(L.tf_scores(index, terms), 2).select("qid", "id", "score", "rank"))
+    assert rows(L.best_bm25(index, asked(spark), 2).select("qid", "id", "score")) == rows(retrieval.best(L.bm25_scores(index, asked(spark)), 2).select("qid", "id", "score"))
