@@ -31,13 +31,14 @@ def marked_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evidence(spark, sf_dir).select(F.col("block_id").alias("id"), "source_file", F.concat("text", mark).alias("text"))
 
 
-#: By kind: the blocks, the tables they come from, the analyzers that queries ask for, and whether vectors and entities are written.
-#: A query asks for one analyzer: the other one's postings aren't written for it.
+#: By kind: the blocks, the tables they come from, the analyzers that queries ask for, and whether vectors are written.
+#: A query asks for one analyzer: the other one's postings aren't written for it, nor are tables that it doesn't read.
 SOURCES = {
     "documents": (documents, ("documents",), ("tokens",), False),
     "document_words": (documents, ("documents",), ("words",), False),
     "sentences": (sentence_rows, ("documents",), ("words",), False),
-    "evidence": (marked_evidence, ("orders", "customer", "nation"), ("tokens",), True),
+    "evidence": (marked_evidence, ("orders", "customer", "nation"), ("tokens",), False),
+    "evidence_vectors": (marked_evidence, ("orders", "customer", "nation"), ("tokens",), True),
 }
 _WRITTEN: dict[tuple, lexical_index.Index] = {}
 
@@ -56,6 +57,6 @@ def index_of(spark: SparkSession, sf_dir: str, kind: str) -> lexical_index.Index
     key = (spark.sparkContext.applicationId, kind, *(_state(spark, f"{sf_dir}/{t}.parquet") for t in tables))
     if key not in _WRITTEN:
         path = shared_path(spark, f"index-{kind}")
-        lexical_index.write(rows(spark, sf_dir), path, analyzers, with_vectors, with_entities=with_vectors)
+        lexical_index.write(rows(spark, sf_dir), path, analyzers, with_vectors, with_entities=False)
         _WRITTEN[key] = lexical_index.read(spark, path)
     return _WRITTEN[key]

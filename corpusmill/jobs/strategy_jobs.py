@@ -57,18 +57,19 @@ def pruned_enough(spark, sf_dir):
 def role_topk(spark, sf_dir):
     """The ten best blocks by strong terms (names first) and by field terms."""
     index, terms = index_of(spark, sf_dir, "evidence"), L.role_terms(questions(spark, sf_dir))
-    rows = L.strong_scores(index, terms).withColumn("role", F.lit("strong")).unionByName(L.tf_scores(index, terms.where("role = 'field'")).withColumn("role", F.lit("field")))
-    return top_k(rows, ["role", "qid"], [F.col("score").desc(), F.col("id")], 10).select("role", "qid", "rank", F.col("id").alias("block_id"), "score")
+    strong = L.first_hitting(index, terms, ["name", "strong"]).select("qid", F.lit("strong").alias("role"), "term")
+    rows = L.best_tf(index, strong.unionByName(terms.where("role = 'field'")), 10, ("role", "qid"))
+    return rows.select("role", "qid", "rank", F.col("id").alias("block_id"), "score")
 
 
 def strategy_topk(spark, sf_dir):
-    return strategies.searched(index_of(spark, sf_dir, "evidence"), questions(spark, sf_dir), CELLS).select("cell", "strategy", "qid", "rank", F.col("id").alias("block_id"), "score")
+    return strategies.searched(index_of(spark, sf_dir, "evidence_vectors"), questions(spark, sf_dir), CELLS).select("cell", "strategy", "qid", "rank", F.col("id").alias("block_id"), "score")
 
 
 def strategy_sweep(spark, sf_dir):
     """Per cell: questions answered, candidates, and the share of the full scan's five best
     that are among its own."""
-    rows = written(strategies.searched(index_of(spark, sf_dir, "evidence"), questions(spark, sf_dir), CELLS), "sweep")
+    rows = written(strategies.searched(index_of(spark, sf_dir, "evidence_vectors"), questions(spark, sf_dir), CELLS), "sweep")
     full = F.broadcast(rows.where("cell = 0").select("qid", "id", F.lit(1).alias("hit")))  # five rows a question
     per = rows.where("rank <= 5").join(full, ["qid", "id"], "left").groupBy("cell", "strategy", "qid").agg(F.count("hit").alias("hits"), F.first("n_candidates").alias("n_candidates"))
     return per.groupBy("cell", "strategy").agg(F.count("*").alias("n_questions"), F.sum("n_candidates").alias("n_candidates"), F.round(F.sum("hits") / F.count("*") / 5 * 100, 6).alias("overlap_pct"))

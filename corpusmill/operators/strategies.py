@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from corpusmill.functions.plans import broadcast_if_small, top_k, written
+from corpusmill.functions.plans import broadcast_if_small, written
 from corpusmill.operators import lexical_index as L
 from corpusmill.operators import resolve, vectors
 
@@ -53,19 +53,20 @@ def pool(index: L.Index, questions: DataFrame, cells: list[Cell]) -> DataFrame:
     """(qid, id, cos, ann_rank, and for each role its hits and rank, the numbers n_role of
     the question's rows in each list, marked) of all rows that any cell could use."""
     longest = max(max(c.cap, c.k, c.ann_k, c.rerank_k) for c in cells)
-    limits = {"marker": None, "entity": longest, "all": longest} | dict.fromkeys(("name", "strong", "field"), max(max(c.lexical_k, c.k) for c in cells))
+    limits = {"entity": longest, "all": longest} | dict.fromkeys(("name", "strong", "field"), max(max(c.lexical_k, c.k) for c in cells))
     terms = L.role_terms(questions)
-    hits = L.Wanted(terms).joined(index.postings()).groupBy("qid", "id").agg(*[F.sum(F.when(F.col("role") == r, F.col("tf"))).alias(r) for r in ROLES])
-    hits = written(hits, "pool-hits")
+    marked = L.tf_scores(index, terms.where("role = 'marker'")).select(F.lit("marker").alias("role"), "qid", "id", "score", F.lit(1).alias("rank"))
+    best = L.best_tf(index, terms.where("role <> 'marker'"), max(limits.values()), ("role", "qid"))
+    within = F.lit(False)
+    for role, limit in limits.items():
+        within = within | ((F.col("role") == role) & (F.col("rank") <= limit))
     none = lambda name, kind: F.lit(None).cast(kind).alias(name)
 
     asked = vectors.hashed_vectors(questions.select(F.col("qid").alias("id"), "text")).withColumnRenamed("id", "qid")
     rows = vectors.cosine_top_k(index.vectors(), asked, longest).select("qid", "id", F.col("rank").alias("ann_rank"), *[none(f"{r}{x}", "long") for r in ROLES for x in ("", "_rank")])
-    for role, limit in limits.items():
-        own = hits.where(F.col(role).isNotNull())
-        best = top_k(own, ["qid"], [F.col(role).desc(), F.col("id")], limit) if limit else own.withColumn("rank", F.lit(1))
-        some = [F.col(role) if r == role else none(r, "long") for r in ROLES], [F.col("rank").cast("long").alias(f"{r}_rank") if r == role else none(f"{r}_rank", "long") for r in ROLES]
-        rows = rows.unionByName(best.select("qid", "id", none("ann_rank", "int"), *some[0], *some[1]))
+    for some in (marked, best.where(within)):
+        of = lambda r, c: F.when(F.col("role") == r, F.col(c).cast("long"))
+        rows = rows.unionByName(some.select("qid", "id", none("ann_rank", "int"), *[of(r, "score").alias(r) for r in ROLES], *[of(r, "rank").alias(f"{r}_rank") for r in ROLES]))
     one = rows.groupBy("qid", "id").agg(F.max("ann_rank").alias("ann_rank"), *[F.max(f"{r}{x}").alias(f"{r}{x}") for r in ROLES for x in ("", "_rank")])
     one = written(one, "pool-rows")
     counts = one.groupBy("qid").agg(*[F.count(f"{r}_rank").alias(f"n_{r}") for r in ROLES])

@@ -123,16 +123,16 @@ class HashingEmbedder:
         return self.known[token]
 
     def encode(self, texts: list[str | None]) -> np.ndarray:
-        out = np.zeros((len(texts), DIM))
-        for row, text in zip(out, texts):
-            for token in self.TOKEN.findall((text or "").lower()):
-                row[self.bucket(token)] += 1.0
-            length = np.linalg.norm(row)
-            if length:
-                row /= length
-            else:
-                row[-1] = 1.0
-        return out
+        places: list[int] = []
+        lengths = []
+        for text in texts:
+            tokens = self.TOKEN.findall((text or "").lower())
+            places += map(self.bucket, tokens)
+            lengths.append(len(tokens))
+        rows = np.repeat(np.arange(len(texts)), lengths)
+        out = np.bincount(rows * DIM + np.array(places, dtype=np.int64), minlength=len(texts) * DIM).reshape(-1, DIM).astype(np.float64)
+        out[np.array(lengths, dtype=np.int64) == 0, -1] = 1.0
+        return out / np.sqrt((out * out).sum(axis=1, keepdims=True))
 
 
 def _all_scores(queries: Broadcast, vectors_of):
