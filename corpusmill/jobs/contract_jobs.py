@@ -80,8 +80,7 @@ def code_file_topk(spark, sf_dir):
     path = F.concat(F.lit("src/doc_"), F.col("doc_id").cast("string"), F.lit(".py"))
     files = spark.read.parquet(f"{sf_dir}/documents.parquet").select(path.alias("path"), "text")
     issues = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select(F.col("item_id").alias("id"), "text")
-    best = top_k(code.file_scores(issues, files), ["id"], [F.col("score").desc(), F.col("path")], 10)
-    return best.select(F.col("id").alias("item_id"), "rank", "path", "score")
+    return code.best_files(issues, files, 10).select(F.col("id").alias("item_id"), "rank", "path", "score")
 
 
 QUERIES = {f.__name__: f for f in (answer_audit, guard_routes, output_checks, conversation_diffs, code_file_topk)}
