@@ -217,7 +217,9 @@ def date_parts(text: Column) -> Column:
 
 
 def budget_string(line: Column) -> Column:
-    return F.coalesce(*[found(line, f"(?i){p}", 1) for p in BUDGET_PATTERNS])
+    first, united, usd, short, plain = (found(line, f"(?i){p}", 1) for p in BUDGET_PATTERNS)
+    unit = F.regexp_like(line, F.lit(r"(?i)\d\s*[udmkt]"))  # without a digit before a unit's letter neither pattern of units matches
+    return F.coalesce(F.when(F.contains(line, F.lit("$")), first), F.when(unit, united), F.when(F.contains(F.lower(line), F.lit("usd")), usd), F.when(unit, short), plain)
 
 
 def normalized_budget(text: Column, years: bool = False) -> Column:

@@ -57,11 +57,6 @@ def kernel_list(spark, sf_dir):
     return ranked(rows, ["owner"], [F.col("entity")], "position")
 
 
-def _resolved_budgets(spark, sf_dir):
-    rows = facts.extract(evidence(spark, sf_dir))
-    return rows, facts.resolved(rows.where("field = 'budget'"), ["entity"])
-
-
 def kernel_compare(spark, sf_dir):
     """The higher budget of each customer and the next by key."""
     values = facts.known_amounts(facts.extract(evidence(spark, sf_dir)), "budget")
@@ -72,8 +67,7 @@ def kernel_compare(spark, sf_dir):
 
 def portfolio(spark, sf_dir):
     """Sum of current budgets per manager, and the project with the largest."""
-    rows, budgets = _resolved_budgets(spark, sf_dir)
-    owned = facts.current_owners(rows).join(budgets.select("entity", "amount"), "entity")
+    owned = facts.owned_amounts(facts.extract(evidence(spark, sf_dir)), "budget")
     return owned.groupBy("owner").agg(F.count("*").alias("n_projects"), F.sum("amount").alias("total"), F.max(F.struct("amount", F.col("entity"))).alias("top")).select("owner", "n_projects", "total", F.col("top.entity").alias("top_project"), F.col("top.amount").alias("top_amount"))
 
 

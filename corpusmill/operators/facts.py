@@ -49,8 +49,9 @@ def extract(evidence: DataFrame, renamed: DataFrame | None = None) -> DataFrame:
     if renamed is not None:
         rows = rows.join(broadcast_if_small(renamed), rows["entity"] == renamed["old"], "left").withColumn("entity", F.coalesce("new", "entity")).drop("old", "new")
     line, nothing = F.col("line"), F.lit(None).cast("bigint")
-    left, came = (F.trim(F.nullif(F.regexp_extract("line", REASSIGNED, i), F.lit(""))) for i in (1, 2))
-    rows = rows.withColumns({"budget": T.budget_string(line), "status": T.line_status(line), "left": left, "came": came, "manager": F.trim(T.found(line, OWNER, 1))})
+    left, came = (F.when(F.contains(F.lower(line), F.lit("reassigned")), F.trim(T.found(line, REASSIGNED, i))) for i in (1, 2))  # patterns run where their word is
+    manager = F.when(F.contains(line, F.lit("managed by")), F.trim(T.found(line, OWNER, 1)))
+    rows = rows.withColumns({"budget": T.budget_string(line), "status": T.line_status(line), "left": left, "came": came, "manager": manager})
     rows = rows.withColumn("amount", T.normalized_budget(F.col("budget")))
     budget, amount, status, left, came = map(F.col, ("budget", "amount", "status", "left", "came"))
     owner = F.coalesce("manager", "left")
@@ -120,6 +121,24 @@ def current_owners(facts: DataFrame) -> DataFrame:
     return owners.withColumn("latest", latest).where("undated OR own >= latest").select("owner", "entity")
 
 
+def owned_amounts(facts: DataFrame, field: str) -> DataFrame:
+    """(owner, entity, amount): ``current_owners`` with the resolved amount of ``field``, of
+    entities that have both. One pass over the facts: an entity's owners are a row each, its
+    facts of ``field`` one more."""
+    date, dated, own = F.col("date"), F.col("date.y") != -1, F.col("field") == field
+    owner = F.when((F.col("field") == "owner") & (F.col("status") == "active"), F.col("value"))
+    best = F.struct("date", "is_amendment", (-F.col("block_id")).alias("block"), (-F.col("seq")).alias("seq"), "amount")
+    first = lambda noise: F.max(F.when(own & (F.col("status") == "active") & (F.col("is_noise") == noise), best))
+    rows = facts.withColumn("owner", owner).where(own | F.col("owner").isNotNull()).groupBy("entity", "owner").agg(
+        F.max(F.when(F.col("owner").isNotNull() & dated, date)).alias("own"), F.max(F.col("owner").isNotNull() & ~dated).alias("undated"),
+        F.max(F.when(own, ~F.col("is_noise"))).alias("clean"), first(False).alias("of_clean"), first(True).alias("of_noise"),
+    )
+    each = Window.partitionBy("entity")  # a row per owner of the entity, and one
+    latest, found = F.max("own").over(each), F.max(F.when(F.col("clean"), F.col("of_clean")).otherwise(F.col("of_noise"))).over(each)
+    rows = rows.withColumns({"latest": latest, "found": found}).where("owner IS NOT NULL AND found IS NOT NULL AND (undated OR own >= latest)")
+    return rows.select("owner", "entity", "found.amount")
+
+
 def compared(pairs: DataFrame, values: DataFrame, mentioned: DataFrame | None = None, higher: bool = True) -> DataFrame:
     """``pairs`` (pair_id, a, b) with status, answer and amount: the entity of the higher
     (lower) amount in ``values`` (entity, amount). Unknown entities, missing amounts and

@@ -306,3 +306,48 @@ def test_the_resolver_shuffles_no_texts(spark):
     assert {r.block_id: r.state for r in found.collect()} == {1: "obsolete", 3: "active", 5: "suffix_distractor", 7: "unrelated_entity", 9: "unrelated_entity"} and found.count() == 5
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert "Window" in plan and "first(text" not in plan
+
+
+def test_the_best_files_are_found_without_a_row_per_file_and_issue(spark):
+    from corpusmill.functions.plans import top_k
+
+    files = [(f"src/m{i % 97}_{i}.py", None if i % 31 == 5 else " ".join(["common", *(f"w{i * j % 19}" for j in range(i % 7))]) if i % 3 else f"class Box{i}Lid:\n    def do_{i}_it(self):\n        return common") for i in range(400)]
+    issues = [(i, f"common Common w{i % 19} w{i % 5} none" + (f" see src/m{i}_{i}.py and Box{3 * i}Lid" if i % 4 == 0 else "")) for i in range(40)] + [(90, None), (91, "zzz")]
+    files, issues = spark.createDataFrame(files, "path string, text string").repartition(3), spark.createDataFrame(issues, "id long, text string")
+    order = [F.col("score").desc(), F.col("path")]
+    for k in (9, 1000):
+        expected = top_k(code.file_scores(issues, files), ["id"], order, k).select("id", "rank", "path", "score")
+        assert sorted(map(tuple, code.best_files(issues, files, k).collect())) == sorted(map(tuple, expected.collect()))
+    found = code.best_files(issues, files, 5)
+    n = found.count()
+    found.collect()
+    todo, most = [found._jdf.queryExecution().executedPlan().finalPhysicalPlan()], 0
+    while todo:
+        node = todo.pop()
+        most = max(most, node.metrics().apply("numOutputRows").value()) if node.metrics().contains("numOutputRows") else most
+        todo += [node.plan()] if node.getClass().getSimpleName().endswith("QueryStageExec") else []
+        todo += [node.children().apply(i) for i in range(node.children().size())]
+    assert n == 200 and most < 40 * 380  # every issue shares a word with every file
+    assert code.best_files(issues.where("id = 91"), files, 3).count() == 0
+
+
+def test_owned_amounts_read_the_facts_once(spark):
+    """As owners joined with resolved budgets, but with one scan of the evidence's facts."""
+    kinds = ["owner", "budget", "budget", "deadline"]
+    rows = [
+        (f"E{i * 7 % 23}", kinds[i * 5 % 4], f"v{i % 3}", i % 9 if kinds[i * 5 % 4] == "budget" else None, "obsolete" if i % 5 == 0 else "active", f"f{i}", i, (-1 if i % 6 == 0 else 1990 + i % 4, 0, 1), i % 3, i % 2 == 0, False, i % 4 > 1 or i % 23 < 6)
+        for i in range(400)
+    ]
+    kind = "entity string, field string, value string, amount long, status string, source_file string, block_id long, date struct<y int, m int, d int>, seq int, is_amendment boolean, is_base boolean, is_noise boolean"
+    table = spark.createDataFrame(rows, kind)
+    joined = facts.current_owners(table).join(facts.resolved(table.where("field = 'budget'"), ["entity"]).select("entity", "amount"), "entity")
+    found = facts.owned_amounts(table, "budget")
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, joined.select("owner", "entity", "amount").collect())) and found.count() > 20
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") == 1
+
+
+def test_budgets_are_those_of_the_patterns_alone(spark):
+    lines = ["Project A budget is $1,200.", "cost 3 million", "usd 12k", "USD 7", "5 Thousand", "12m", "year 1996", "12 dollars or $3", "9 unit", "none", "", "1,000 usd", "4\tk", "Usd4", None, "$x 55555"]
+    table = spark.createDataFrame([(i, x) for i, x in enumerate(lines)], "i int, line string")
+    plain = F.coalesce(*[T.found(F.col("line"), f"(?i){p}", 1) for p in T.BUDGET_PATTERNS])
+    assert table.where(~T.budget_string(F.col("line")).eqNullSafe(plain)).count() == 0
