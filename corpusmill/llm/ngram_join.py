@@ -40,6 +40,7 @@ Shingles are 64-bit hashes (a false one in a pair of documents has a chance of a
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from itertools import chain
 
 import numpy as np
@@ -49,7 +50,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from corpusmill.llm.common import arrow_batches, discard, small, stored, table
+from corpusmill.llm.common import arrow_batches, discard, marked, shuffles_freed, small, stored, table
 from corpusmill.llm.components import connected_components
 from corpusmill.llm.signature_tree import OF, SHARE, connect
 
@@ -60,9 +61,14 @@ SKETCH, SKETCH_PARTS = 1 << 20, 256
 LONGER = 32
 #: Tokens of a cell that one traversal takes.
 CELL_TOKENS = 1_000_000
+#: Rows with a shingle each, or tokens of sets, that one shuffle takes; the rest goes in
+#: further rounds, so that the disk that shuffles take is bounded.
+ROUND_TOKENS = 1 << 27
+#: Sets whose texts are read in one pass; their ids are broadcast.
+ROUND_SETS = 500_000
 #: Rows of texts that are shingled together, and rows with sets in an Arrow batch.
 TEXT_ROWS, SET_ROWS = 500, 500
-CACHE_WORDS, CACHED_BYTES = 100_000, 40
+CACHE_WORDS, CACHED_BYTES, SEEN = 100_000, 40, 100_000
 _C, _M = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 DOC_SCHEMA = "doc_id long, node long, proof long, n int, cold array<long>, hot array<long>"
@@ -147,8 +153,9 @@ def frequent(docs: DataFrame) -> np.ndarray:
     per_task = docs.select("text").mapInArrow(_count, schema).withColumn("salt", F.spark_partition_id() % 64)
     some = per_task.groupBy("part", "salt").applyInArrow(_sum, schema)
     counts = np.zeros((SKETCH_PARTS, SKETCH // SKETCH_PARTS), np.int64)
-    for r in some.groupBy("part").applyInArrow(_sum, schema).collect():
-        counts[r.part] = np.frombuffer(r.counts, np.int32)
+    with shuffles_freed(docs.sparkSession):
+        for r in some.groupBy("part").applyInArrow(_sum, schema).collect():
+            counts[r.part] = np.frombuffer(r.counts, np.int32)
     counts = counts.ravel()
     mean = counts.mean()
     return np.where(counts > mean + 6 * np.sqrt(mean) + 16, counts, 0).astype(np.int32)
@@ -210,15 +217,17 @@ def _describe(sent, seed: int):
 
 def described(docs: DataFrame) -> tuple[DataFrame, DataFrame, int]:
     """DOC_SCHEMA and a row number for every document; the nodes (node, rep: the smallest
-    doc_id, row: that document's row); and the seed of the node hashes."""
+    doc_id, row: that document's row, copies: rows of that id); and the seed of the node
+    hashes."""
     sent = docs.sparkSession.sparkContext.broadcast(frequent(docs))
     for seed in range(8):
         found = stored(docs.mapInArrow(_describe(sent, seed), DOC_SCHEMA).withColumn("row", F.monotonically_increasing_id()), "shingles")
-        first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("first")
-        nodes = found.where("n > 0").groupBy("node").agg(first, F.min("proof").alias("p"), F.max("proof").alias("q"))
-        nodes = stored(nodes.select("node", F.col("first.doc_id").alias("rep"), F.col("first.row").alias("row"), "p", "q"), "nodes")
+        ids = found.where("n > 0").groupBy("node", "doc_id").agg(F.min("row").alias("row"), F.count("*").alias("copies"), F.min("proof").alias("p"), F.max("proof").alias("q"))
+        first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row", "copies")).alias("first")
+        nodes = ids.groupBy("node").agg(first, F.min("p").alias("p"), F.max("q").alias("q"))
+        nodes = stored(nodes.select("node", F.col("first.doc_id").alias("rep"), F.col("first.row").alias("row"), F.col("first.copies").alias("copies"), "p", "q"), "nodes")
         if not nodes.where("p <> q").limit(1).count():
-            return found, nodes.select("node", "rep", "row"), seed
+            return found, nodes.select("node", "rep", "row", "copies"), seed
     raise RuntimeError("set hashes collide under every seed")
 
 
@@ -250,15 +259,28 @@ def _batch(rows: np.ndarray, names: list[str]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(x).cast(t) for x, t in zip(rows, types)], names=names)
 
 
+def rounds(tokens: int | None) -> int:
+    return -(-(tokens or 1) // ROUND_TOKENS)
+
+
 def shared_rows(found: DataFrame, nodes: DataFrame) -> DataFrame:
     """key, node, n: the prefix shingles that more than one node has; from here on a node
     goes by the row number of its first document, whose prefix is read. A frequent shingle
-    is counted in every task first."""
-    own = found.join(small(nodes.where(F.col("rep").isNotNull()).select("row")), "row").select(F.col("row").alias("node"), "n", "cold", "hot")
-    cold = own.select(F.explode("cold").alias("key"), "node", "n").repartition("key").sortWithinPartitions("key")
-    hot = own.select(F.explode("hot").alias("key"), "node", "n")
-    many = hot.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
-    return cold.mapInArrow(_shared, "key long, node long, n int").unionByName(hot.join(many, "key", "left_semi"))
+    is counted in every task first. Shingles go in rounds by their remainder; stored."""
+    own = marked(found, "row", nodes.where(F.col("rep").isNotNull()).select("row"), exact=True).where("_marked").select(F.col("row").alias("node"), "n", "cold", "hot")
+    n = rounds(found.agg(F.ceil(F.sum(F.col("n") * (OF - SHARE) / OF + F.col("n") / LONGER + 1))).first()[0])
+    out = []
+    for k in range(n):
+        mine = F.pmod(F.col("key"), F.lit(n)) == k
+        cold = own.select(F.explode("cold").alias("key"), "node", "n").where(mine).repartition("key").sortWithinPartitions("key")
+        hot = own.select(F.explode("hot").alias("key"), "node", "n").where(mine)
+        many = hot.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
+        out.append(stored(cold.mapInArrow(_shared, "key long, node long, n int").unionByName(hot.join(many, "key", "left_semi")), "shared"))
+    return together(out)
+
+
+def together(parts: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, parts)
 
 
 def enough(rows: DataFrame) -> DataFrame:
@@ -290,57 +312,81 @@ def _joining(rows: DataFrame) -> DataFrame:
 
 def _token_sets(seed: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
+        hashes, seen = WordHashes(), set()
         for whole in batches:
             for batch in _slices(whole):
-                data = [distinct(x).tobytes() for x in all_shingles(batch.column("text").to_pylist(), hashes)]
-                same = [_signed(xxhash.xxh3_64_intdigest(x, seed)) == h for x, h in zip(data, batch.column("hash").to_pylist())]
-                rows = pa.RecordBatch.from_arrays([batch.column("node"), pa.array(data, pa.binary())], names=["node", "tokens"])
-                yield rows.filter(pa.array(same, pa.bool_()))
+                ids, data = batch.column("doc_id").to_pylist(), [distinct(x).tobytes() for x in all_shingles(batch.column("text").to_pylist(), hashes)]
+                sums = [_signed(xxhash.xxh3_64_intdigest(x, seed)) for x in data]
+                if len(seen) > SEEN:
+                    seen.clear()
+                new = [(x not in seen, seen.add(x))[0] for x in zip(ids, sums)]
+                rows = pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sums, pa.int64()), pa.array(data, pa.binary())], names=["doc_id", "hash", "tokens"])
+                yield rows.filter(pa.array(new, pa.bool_()))
 
     return run
 
 
 def token_sets(docs: DataFrame, nodes: DataFrame, wanted: DataFrame, seed: int) -> DataFrame:
     """node and tokens (sorted 64-bit hashes) of the ``wanted`` nodes, one row each, from
-    the texts of their documents; documents of the same id with other texts drop out."""
-    known = nodes.where(F.col("rep").isNotNull()).select(F.col("node").alias("hash"), F.col("row").alias("node"), F.col("rep").alias("doc_id"))
+    the texts of their documents; documents of the same id with other texts drop out.
+    Neither texts nor sets are shuffled, but for the sets of repeated rows."""
+    spark = docs.sparkSession
+    known = nodes.where(F.col("rep").isNotNull()).select(F.col("node").alias("hash"), F.col("row").alias("node"), F.col("rep").alias("doc_id"), "copies")
     ids = stored(known.join(small(wanted), "node", "left_semi"), "wanted")
-    texts = docs.join(small(ids), "doc_id").select("node", "hash", "text")
-    sets = stored(texts.mapInArrow(_token_sets(seed), "node long, tokens binary").groupBy("node").agg(F.first("tokens").alias("tokens")), "sets")
-    discard(docs.sparkSession, ids)
-    return sets
+    n, out = max(1, -(-ids.count() // ROUND_SETS)), []
+    for k in range(n):
+        mine = ids.where(F.pmod("hash", F.lit(n)) == k)
+        texts = marked(docs, "doc_id", mine.select("doc_id")).where("_marked").select("doc_id", "text")
+        sets = texts.mapInArrow(_token_sets(seed), "doc_id long, hash long, tokens binary").join(F.broadcast(mine), ["doc_id", "hash"])
+        out.append(stored(sets.select("node", "tokens", "copies"), "sets"))
+    sets = together(out)
+    if ids.where("copies > 1").limit(1).count():
+        several = sets.where("copies > 1").groupBy("node").agg(F.first("tokens").alias("tokens"))
+        sets = sets.where("copies = 1").select("node", "tokens").unionByName(several)
+    discard(spark, ids)
+    return sets.select("node", "tokens")
+
+
+def _short_keys(k: int, n: int):
+    """A row for each token with remainder ``k`` by ``n``; keys of 40 bits take less room to
+    shuffle, and those that fall together only keep more."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in batch.column("tokens")]
+            size = np.array([len(x) for x in sets], np.int64)
+            keys = np.concatenate([np.zeros(0, np.uint64), *sets]) >> np.uint64(24)
+            rows = np.stack([keys.view(np.int64), np.repeat(batch.column("node").to_numpy(), size), np.repeat(size, size)])
+            yield _batch(rows[:, rows[0] % n == k] if n > 1 else rows, ["key", "node", "n"])
 
-def _short_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each token; keys of 40 bits take less room to shuffle, and those that
-    fall together only keep more."""
-    for batch in batches:
-        sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in batch.column("tokens")]
-        size = np.array([len(x) for x in sets], np.int64)
-        keys = np.concatenate([np.zeros(0, np.uint64), *sets]) >> np.uint64(24)
-        yield _batch([keys.view(np.int64), np.repeat(batch.column("node").to_numpy(), size), np.repeat(size, size)], ["key", "node", "n"])
+    return run
 
 
 def crowded(sets: DataFrame) -> DataFrame:
     """The nodes that share 3/4 of their tokens at least with other nodes of ``sets``: any
-    two that link do."""
-    with arrow_batches(sets.sparkSession, SET_ROWS):
-        rows = sets.mapInArrow(_short_keys, "key long, node long, n int").repartition("key").sortWithinPartitions("key")
-        counts = rows.mapInArrow(_shared, "key long, node long, n int").groupBy("node", "n").agg(F.count("*").alias("c"))
-        return stored(counts.where(OF * F.col("c") >= SHARE * F.col("n")).select("node"), "crowded")
+    two that link do. Tokens go in rounds by their remainder."""
+    spark, n = sets.sparkSession, rounds(sets.agg(F.sum(F.length("tokens") / 8).cast("long")).first()[0])
+    with arrow_batches(spark, SET_ROWS):
+        counts = []
+        for k in range(n):
+            rows = sets.mapInArrow(_short_keys(k, n), "key long, node long, n int").repartition("key").sortWithinPartitions("key")
+            counts.append(stored(rows.mapInArrow(_shared, "key long, node long, n int").groupBy("node", "n").agg(F.count("*").alias("c")), "counts"))
+    every = together(counts).groupBy("node", "n").agg(F.sum("c").alias("c"))
+    out = stored(every.where(OF * F.col("c") >= SHARE * F.col("n")).select("node"), "crowded")
+    discard(spark, together(counts))
+    return out
 
 
 def one_cell(rows: DataFrame, turn: int) -> DataFrame:
-    """key, tile, node, comp: every node in the cell of its shared key of smallest hash."""
+    """key, tile, node, comp, n: every node in the cell of its shared key of smallest hash."""
     mine = rows.groupBy("node", "n", "comp").agg(F.min_by("key", F.xxhash64("key", F.lit(turn))).alias("key"))
     sizes = mine.groupBy("key").agg(F.sum("n").alias("all"), F.min("comp").alias("x"), F.max("comp").alias("y")).where("x < y")
     tile = F.pmod(F.xxhash64("node", F.lit(turn)), F.ceil(F.col("all") / CELL_TOKENS)).cast("string")
-    return mine.join(sizes, "key").select("key", tile.alias("tile"), "node", "comp")
+    return mine.join(sizes, "key").select("key", tile.alias("tile"), "node", "comp", "n")
 
 
 def families(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Cells (key, tile, node, comp) of the families (nodes that shared keys connect) within
+    """Cells (key, tile, node, comp, n) of the families (nodes that shared keys connect) within
     ``CELL_TOKENS``, and the nodes of the others; both stored."""
     spark = rows.sparkSession
     least = rows.groupBy("key").agg(F.min("node").alias("least"))
@@ -349,12 +395,14 @@ def families(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     own = stored(rows.select("node", "n", "comp").distinct().join(family, "node"), "families")
     discard(spark, ties)
     large = own.groupBy("family").agg(F.sum("n").alias("all")).where(F.col("all") > CELL_TOKENS).select("family")
-    cells = own.join(large, "family", "left_anti").select(F.col("family").alias("key"), F.lit("family").alias("tile"), "node", "comp")
-    return stored(cells, "cells"), stored(own.join(large, "family", "left_semi").select("node"), "members")
+    cells = own.join(large, "family", "left_anti").select(F.col("family").alias("key"), F.lit("family").alias("tile"), "node", "comp", "n")
+    out = stored(cells, "cells"), stored(own.join(large, "family", "left_semi").select("node"), "members")
+    discard(spark, own)
+    return out
 
 
 def all_cells(rows: DataFrame) -> DataFrame:
-    """key, tile, node, comp: every node in the cells of its shared keys, but for the
+    """key, tile, node, comp, n: every node in the cells of its shared keys, but for the
     largest ones: of ``least_shared`` keys that a pair shares, the one of the smallest cell
     is none of those for either. Of cells with the same nodes one is kept."""
     counted = rows.join(rows.groupBy("key").agg(F.count("*").alias("c")), "key")
@@ -362,7 +410,7 @@ def all_cells(rows: DataFrame) -> DataFrame:
     kept = counted.withColumn("rank", rank).where(F.col("rank") >= least_shared(F.col("n"))).select("key", "node", "n", "comp")
     like = kept.groupBy("key").agg(F.count("*").alias("c"), F.bit_xor(F.xxhash64("node")).alias("h"), F.min("node").alias("a"), F.max("node").alias("b"), F.min("comp").alias("x"), F.max("comp").alias("y"))
     keys = like.where("x < y").groupBy("c", "h", "a", "b").agg(F.min("key").alias("key")).select("key")
-    return tiles(kept.join(keys, "key", "left_semi")).select("key", "tile", "node", "comp")
+    return tiles(kept.join(keys, "key", "left_semi")).select("key", "tile", "node", "comp", "n")
 
 
 def tiles(rows: DataFrame, cell_tokens: int = CELL_TOKENS) -> DataFrame:
@@ -409,13 +457,20 @@ def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def linked(cells: DataFrame, sets: DataFrame) -> DataFrame:
-    """a, b: of the components of ``cells`` (key, tile, node, comp: stored) that links in
-    their cell connect, each with the smallest one there; stored."""
-    dealt = sets.join(small(cells), "node").repartition("key", "tile").sortWithinPartitions("key", "tile")
-    with arrow_batches(cells.sparkSession, SET_ROWS):
-        out = stored(dealt.select("key", "tile", "node", "comp", "tokens").mapInArrow(_linked, "a long, b long"), "links")
-    discard(cells.sparkSession, cells)
-    return out
+    """a, b: of the components of ``cells`` (key, tile, node, comp, n: stored) that links in
+    their cell connect, each with the smallest one there; stored. Cells go in rounds by
+    hash, with the sets of their nodes alone."""
+    spark, n, out = cells.sparkSession, rounds(cells.agg(F.sum("n")).first()[0]), []
+    for k in range(n):
+        mine = cells if n == 1 else stored(cells.where(F.pmod(F.xxhash64("key", "tile"), F.lit(n)) == k), "cells")
+        own = marked(sets, "node", mine.select("node"), exact=True).where("_marked").select("node", "tokens")
+        dealt = own.join(small(mine.drop("n")), "node").repartition("key", "tile").sortWithinPartitions("key", "tile")
+        with arrow_batches(spark, SET_ROWS):
+            out.append(stored(dealt.select("key", "tile", "node", "comp", "tokens").mapInArrow(_linked, "a long, b long"), "links"))
+        discard(spark, mine)
+    if n > 1:
+        discard(spark, cells)
+    return together(out)
 
 
 def renamed(edges: DataFrame) -> DataFrame:
@@ -438,24 +493,30 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles and component_id for every row of ``docs`` (doc_id, text)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     spark = docs.sparkSession
-    found, nodes, seed = described(docs)
-    rows = stored(shared_rows(found, nodes), "shared")
-    some = enough(rows)
+    whole, nodes, seed = described(docs)
+    shared = shared_rows(whole, nodes)
+    found = stored(whole.select("doc_id", "n", "node"), "found")
+    discard(spark, whole)
+    some = enough(shared)
     sets = token_sets(docs, nodes, some, seed)
     core = crowded(sets)
     components = stored(core.select("node", F.col("node").alias("component")), "components")
-    rows = still_open(rows.join(small(core), "node", "left_semi"), components)
+    rows = still_open(shared.join(small(core), "node", "left_semi"), components)
+    discard(spark, shared)
     stars = linked(stored(one_cell(rows, 0), "cells"), sets)  # one cell each: no chains
     components = merged(components, stars.select(F.col("a").alias("node"), F.col("b").alias("component")))
-    rows = still_open(rows, components)
+    rows = still_open(last := rows, components)
+    discard(spark, last)
     components = merged(components, renamed(linked(stored(one_cell(rows, 1), "cells"), sets)))
-    rows = still_open(rows, components)
+    rows = still_open(last := rows, components)
+    discard(spark, last)
     cells, members = families(rows)
     components = merged(components, renamed(linked(cells, sets)))
     if not members.isEmpty():
-        rows = still_open(rows.join(small(members), "node", "left_semi"), components)
+        rows = still_open((last := rows).join(small(members), "node", "left_semi"), components)
+        discard(spark, last)
         components = merged(components, renamed(linked(stored(all_cells(rows), "cells"), sets)))
-    for x in (sets, core, some):
+    for x in (sets, core, some, rows, members):
         discard(spark, x)
     components = components.withColumnRenamed("node", "row")
     named = nodes.join(components, "row", "left")
