@@ -536,13 +536,17 @@ def keep_first(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ids that of the smallest hash. Components are found on a hash of id and text in place
     of the id: so rows of a null id link like others, and different texts of one id are
     told apart. Of repeated rows (id and text) one stays, but rows without a word and
-    without an id stay each."""
+    without an id stay each. Only rows that may fall away or repeat (``marked``) are joined
+    and shuffled; the others' texts stay where they are read."""
     key = F.xxhash64("doc_id", "text")
     found = stored(near_duplicates(docs.select(key.alias("doc_id"), "text")), "near-duplicates")
     found = found.select(F.col("doc_id").alias("_key"), F.col("component_id").alias("_component"), (F.col("n_shingles") == 0).alias("_empty")).distinct()
-    rows = docs.select(key.alias("_key"), "doc_id").distinct().join(found, "_key")
+    rows = docs.select(key.alias("_key"), "doc_id").groupBy("_key", "doc_id").agg(F.count("*").alias("_rows")).join(found, "_key")
     first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_key"))
-    stay = rows.groupBy("_component").agg(first.alias("_first"), F.first("_empty").alias("_empty")).select("_first._key", "_empty")
-    kept = docs.withColumn("_key", key).join(small(stored(stay, "stay")), "_key")
+    stay = rows.groupBy("_component").agg(first.alias("_first")).select("_first._key", F.lit(True).alias("_stays"))
+    keys = rows.groupBy("_key").agg(F.sum("_rows").alias("_rows"), F.first("_empty").alias("_empty")).join(stay, "_key", "left")
+    some = stored(keys.where("_stays IS NULL OR _rows > 1").select("_key", F.coalesce("_stays", F.lit(False)).alias("_stays"), "_empty"), "some")
+    looked = marked(docs.withColumn("_key", key), "_key", some.select("_key"))
     each = F.when(F.col("_empty") & F.col("doc_id").isNull(), F.monotonically_increasing_id())
-    return kept.withColumn("_each", each).dropDuplicates(["_key", "_each"]).select(*docs.columns)
+    rest = looked.where("_marked").join(small(some), "_key", "left").where("coalesce(_stays, true)").withColumn("_each", each).dropDuplicates(["_key", "_each"])
+    return looked.where("NOT _marked").select(*docs.columns).unionByName(rest.select(*docs.columns))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from test_operators import brute_components, near_copies
 
 from corpusmill.llm import ngram_join
-from corpusmill.llm.common import marked, shared_dir, stored
+from corpusmill.llm.common import discard, marked, shared_dir, stored
 
 
 def shuffled(spark):
@@ -66,3 +66,15 @@ def test_marked_rows(spark):
     assert found.count() == 40_000 and found.where("NOT _marked AND row % 7 = 0 AND key IS NOT NULL").count() == 0
     assert found.where("_marked AND row % 7 > 0").count() < 4_000
     assert marked(rows, "key", keys.where("key = 0")).where("_marked").count() == 0
+
+
+def test_keep_first_moves_no_text_that_stays(spark):
+    docs = stored(long_rows(spark, 400).unionByName(long_rows(spark, 20)), "docs")
+    before = settled(spark)
+    kept = ngram_join.keep_first(spark, docs, "")
+    time.sleep(1)
+    between = settled(spark)
+    kept.write.format("noop").mode("overwrite").save()
+    assert shuffled(spark) - between < 400 * 200 * 8  # bytes of the texts, which don't shrink much
+    assert between - before < 400 * 200 * 8 and kept.count() == kept.select("doc_id").distinct().count() == 400
+    discard(spark, docs)
