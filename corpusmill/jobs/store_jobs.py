@@ -44,11 +44,11 @@ def memos(spark, sf_dir):
     return rows.select((F.col("t.n") * MEMO + key).alias("block_id"), F.concat(folder, key.cast("string"), F.lit("_"), F.col("t.n").cast("string"), F.lit(".txt")).alias("source_file"), F.col("t.text").alias("text"))
 
 
-def _store(spark, sf_dir):
+def _store(spark, sf_dir, ordered=True):
     """Facts under last names, the names, and every project that a text names."""
-    rows = evidence(spark, sf_dir).unionByName(memos(spark, sf_dir))
+    rows = written(evidence(spark, sf_dir).unionByName(memos(spark, sf_dir)), "evidence")
     names = fact_store.final_names(facts.renames(rows))
-    found = written(fact_store.renamed(fact_store.extract(rows, _people(spark, sf_dir), DEPARTMENTS, LOCATIONS), names), "facts")
+    found = written(fact_store.renamed(fact_store.extract(rows, _people(spark, sf_dir), DEPARTMENTS, LOCATIONS, ordered), names), "facts")
     return found, names, rows.select(F.explode(T.matches(F.col("text"), facts.NAME, 1)).alias("entity")).distinct()
 
 
@@ -87,7 +87,7 @@ def _claims(spark, sf_dir):
 
 def claim_scores(spark, sf_dir):
     """Answers about customers, checked claim by claim."""
-    found, names, _ = _store(spark, sf_dir)
+    found, names, _ = _store(spark, sf_dir, ordered=False)
     key = F.col("c_custkey")
     customers = spark.read.parquet(f"{sf_dir}/customer.parquet").select(key.alias("pack_id"), F.concat(F.lit("Project C"), key.cast("string")).alias("target"), F.when(key % 9 == 0, "It is late").otherwise("It is funded well").alias("conclusion"))
     packs = written(fact_store.pack(found, customers, names), "packs")

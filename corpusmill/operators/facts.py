@@ -28,7 +28,8 @@ def document_dates(evidence: DataFrame) -> DataFrame:
 
 def renames(evidence: DataFrame) -> DataFrame:
     """(old, new), upper case; the last block that renames a name decides."""
-    found = evidence.select("block_id", F.upper(F.regexp_extract("text", RENAME, 1)).alias("old"), F.upper(F.regexp_extract("text", RENAME, 2)).alias("new"))
+    told = evidence.where(F.contains(F.lower("text"), F.lit("renamed")))  # the pattern runs where its word is
+    found = told.select("block_id", F.upper(F.regexp_extract("text", RENAME, 1)).alias("old"), F.upper(F.regexp_extract("text", RENAME, 2)).alias("new"))
     return found.where("old <> ''").groupBy("old").agg(F.max_by("new", "block_id").alias("new"))
 
 
